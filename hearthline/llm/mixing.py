@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, word_count
+from .common import cut, table, word_count
 
 #: Membership patterns that the driver accepts; they grow with the sources' overlaps, not with the documents.
 MAX_PATTERNS = 200_000
@@ -196,7 +196,7 @@ WEIGHTS, BUDGET, REPEATS, SEED = (3, 1, 2), 1.5, 2, "mix"
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    docs = cut(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")))  # texts are read once
     mixed = mix_sources(docs.withColumn("members", F.array("source")), id_col="doc_id", size_col="size", members_col="members", weights=WEIGHTS, budget_ratio=BUDGET, max_repeats=REPEATS, seed=SEED)
     return with_targets(docs, mixed).select("doc_id", "source", "size", "source_size", "target", "taken")
 
@@ -221,9 +221,9 @@ f AS (SELECT min(k) AS k FROM o WHERE (total - capped) * w / rest <= 2.0::DOUBLE
 l AS (SELECT (o.total - o.capped)::DOUBLE AS lft, o.rest::DOUBLE AS rest, o.k FROM o JOIN f ON o.k = f.k),
 t AS (SELECT o.source, o.source_size, CASE WHEN o.k >= l.k THEN l.lft * o.w / l.rest ELSE 2.0::DOUBLE * o.source_size END::DOUBLE AS target FROM o LEFT JOIN l ON true),
 p AS (SELECT d.*, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS quota,
-        sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix:' || coalesce(d.doc_id::VARCHAR, 'null')), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS at
+        sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix:' || coalesce(d.doc_id::VARCHAR, 'null')), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS pos
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, source, size, source_size, target,
-  (greatest(0, least(quota, at + size) - at) + greatest(0, least(quota, source_size + at + size) - source_size - at))::BIGINT AS taken
+  (greatest(0, least(quota, pos + size) - pos) + greatest(0, least(quota, source_size + pos + size) - source_size - pos))::BIGINT AS taken
 FROM p
 """
