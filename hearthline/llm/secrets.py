@@ -112,22 +112,23 @@ def loud_part(token: Column, c: CharClass) -> Column:
 
 def entropy_spans(text: Column, classes=CLASSES, allow=ALLOW) -> Column:
     """Loud spans of each class, kind 3."""
-    out = []
-    for c in classes:
-
-        def keep(m: Column, c=c) -> Column:
-            good = F.lit(True)
-            for p in c.needs:
-                good = good & m.rlike(p)
-            for p in allow:
-                good = good & ~m.rlike(p)
-            return good
-
-        def part(s: Column, c=c) -> Column:
-            return let(loud_part(s["hit"], c), lambda x: F.struct((s["start"] + x["lo"]).cast("bigint").alias("start"), (s["start"] + x["hi"]).cast("bigint").alias("end"), F.lit(3).alias("kind"), F.when(x["hi"] > 0, F.substring(s["hit"], x["lo"] + 1, x["hi"] - x["lo"])).alias("hit")))
-
-        out.append(F.filter(F.transform(find(text, c.pattern, 3, keep), part), lambda s: s["hit"].isNotNull()))
-    return F.concat(*out)
+    return F.concat(*[_loud(text, c, allow) for c in classes])
+
+
+def _loud(text: Column, c: CharClass, allow) -> Column:
+    def keep(m: Column) -> Column:
+        good = F.lit(True)
+        for p in c.needs:
+            good = good & m.rlike(p)
+        for p in allow:
+            good = good & ~m.rlike(p)
+        return good
+
+    def part(s: Column) -> Column:
+        hit = lambda x: F.when(x["hi"] > 0, F.substring(s["hit"], x["lo"] + 1, x["hi"] - x["lo"]))
+        return let(loud_part(s["hit"], c), lambda x: F.struct((s["start"] + x["lo"]).cast("bigint").alias("start"), (s["start"] + x["hi"]).cast("bigint").alias("end"), F.lit(3).alias("kind"), hit(x).alias("hit")))
+
+    return F.filter(F.transform(find(text, c.pattern, 3, keep), part), lambda s: s["hit"].isNotNull())
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", classes=CLASSES, allow=ALLOW) -> DataFrame:
