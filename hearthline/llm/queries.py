@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query, its module here, and the name of its SQL there, if SQL can express it.
 QUERIES = {
     "op1_mix_sources": ("mixing", "OP1_SQL"),
+    "op2_pii": ("pii", None),
     "op3_secret_scan": ("secrets", None),
     "op4_url_filter": ("urls", "OP4_SQL"),
     "op6_quality_rules": ("quality", "OP6_SQL"),
