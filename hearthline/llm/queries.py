@@ -10,6 +10,7 @@ QUERIES = {
     "op2_pii": ("pii", None),
     "op3_secret_scan": ("secrets", None),
     "op4_url_filter": ("urls", "OP4_SQL"),
+    "op7_decontamination": ("decontamination", None),
     "op8_quality_classifier": ("gam", None),
     "op9_language_id": ("langid", None),
     "op6_quality_rules": ("quality", "OP6_SQL"),
