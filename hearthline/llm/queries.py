@@ -13,6 +13,7 @@ QUERIES = {
     "op7_decontamination": ("decontamination", None),
     "op8_quality_classifier": ("gam", None),
     "op9_language_id": ("langid", None),
+    "op5_quote_chat": ("quoting", None),
     "op6_quality_rules": ("quality", "OP6_SQL"),
     "op10_jaccard_join": ("jaccard", None),
 }
