@@ -1,11 +1,500 @@
-"""Every query over the driver's tables, with the SQL it must equal."""
+"""Every query over the driver's tables, with the SQL it must equal.
+
+Listings don't come with the driver's tables, so UNITS makes some from orders and customers: one expression that Spark
+and DuckDB both read, with nulls, empty values, duplicates and ties in every column that has a rule about them.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dates, kinds, places, text
+from ..operators import dashboard, units as ops
+from ..sources import raw
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+TODAY = date(1998, 6, 15)
+
+UNITS = """
+SELECT o_orderkey AS pos, concat('f', CAST(o_custkey % 7 AS STRING)) AS file_name, concat('s', CAST(o_custkey % 9 AS STRING)) AS source, c_mktsegment AS manager,
+  concat(CAST(o_custkey % 60 AS STRING), CASE o_orderkey % 3 WHEN 0 THEN ' Virginia Street' WHEN 1 THEN ' virginia St.' ELSE ' North Oak Avenue, Unit 4' END) AS address,
+  CASE o_custkey % 8 WHEN 0 THEN 'Berkeley' WHEN 1 THEN 'Oakland' WHEN 2 THEN 'San Francisco' WHEN 3 THEN 'Fresno' WHEN 4 THEN 'Boston' WHEN 5 THEN 'Belmont' WHEN 6 THEN '' END AS city,
+  CASE WHEN o_custkey % 8 IN (4, 5) THEN 'MA' WHEN o_custkey % 16 = 3 THEN 'TX' ELSE 'CA' END AS state,
+  CASE WHEN o_orderkey % 11 > 0 THEN CAST(o_orderkey % 10 AS DOUBLE) / 2 END AS bedrooms,
+  CASE WHEN o_orderkey % 13 > 0 THEN CAST(100 * (10 + o_orderkey % 37) AS DOUBLE) END AS rent,
+  CASE o_orderkey % 7 WHEN 0 THEN 'room' WHEN 1 THEN 'parking' WHEN 2 THEN 'storage' WHEN 3 THEN CAST(NULL AS STRING) ELSE 'residential' END AS kind,
+  CASE o_orderkey % 5 WHEN 0 THEN 'entire_place' WHEN 1 THEN 'private_room' WHEN 2 THEN 'shared_room' WHEN 3 THEN 'entire_place' END AS room_type,
+  CASE o_orderkey % 6 WHEN 0 THEN 'allowed' WHEN 1 THEN 'cats_only' WHEN 2 THEN 'none' WHEN 3 THEN '' END AS pets,
+  CASE o_orderkey % 4 WHEN 0 THEN 'furnished' WHEN 1 THEN 'unfurnished' END AS furnished,
+  CASE o_orderkey % 8 WHEN 0 THEN 'garage' WHEN 1 THEN 'street' WHEN 2 THEN 'none' END AS parking,
+  CASE o_orderkey % 9 WHEN 0 THEN 'in_unit' WHEN 1 THEN 'shared' WHEN 2 THEN 'none' WHEN 3 THEN 'hookups' END AS laundry,
+  o_orderkey % 17 = 0 AS available_now,
+  CASE WHEN o_orderkey % 3 > 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) END AS available_date,
+  CASE WHEN o_orderkey % 4 > 0 THEN CAST(1 + o_orderkey % 3 AS DOUBLE) END AS bathrooms,
+  CASE WHEN o_orderkey % 5 > 0 THEN CAST(400 + o_orderkey % 900 AS INT) END AS square_feet,
+  CASE WHEN o_orderkey % 10 > 0 THEN concat('u', CAST(o_orderkey % 4001 AS STRING)) END AS url
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey
+"""
+U = "u AS (" + UNITS.format(orders="orders", customer="customer") + ")"
+
+
+def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def units(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(UNITS, orders=t(spark, sf, "orders"), customer=t(spark, sf, "customer"))
+
 
-def queries() -> dict:
-    return {}
+def query(name: str, sql: str | None = None, on: str | None = None):
+    """Registers a query. on: a table, or "units"; the function then takes that DataFrame alone."""
+
+    def add(f):
+        if on:
+            QUERIES[name] = lambda spark, sf: f(units(spark, sf) if on == "units" else t(spark, sf, on))
+        else:
+            QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+C = F.col
+TYPE_SQL = "CASE WHEN bedrooms < 1 THEN 'studio' WHEN bedrooms >= 3 THEN '3plus_bedroom' WHEN bedrooms IS NOT NULL THEN CAST(floor(bedrooms)::INT AS STRING) || '_bedroom' END"
+ADDRESS_SQL = "array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(lower(address), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+'), lambda w: CASE w WHEN 'street' THEN 'st' WHEN 'avenue' THEN 'ave' WHEN 'north' THEN 'n' WHEN 'unit' THEN '' ELSE w END), lambda w: w <> ''), ' ')"
+AREAS_SQL = "a(area_state, area_city) AS (VALUES " + ", ".join(f"('{s}', '{c}')" for s in places.CITIES for c in places.city_list(s)) + ")"
+COVERED_SQL = "(coalesce(city, '') = '' OR EXISTS (SELECT 1 FROM a WHERE area_state = upper(state) AND area_city = lower(trim(city))))"
+LIVABLE_SQL = "coalesce(kind, 'residential') IN ('residential', 'room')"
+MERGED_SQL = f"m AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY {ADDRESS_SQL}, bedrooms, rent ORDER BY file_name, pos) AS k FROM u WHERE {LIVABLE_SQL} AND {COVERED_SQL}) WHERE k = 1)"
+
+# sources and sinks
+
+
+@query("src11_scan_units", f"WITH {U} SELECT file_name, pos, source, address, bedrooms, rent FROM u")
+def _(spark, sf):
+    """Units written as documents, one for each file name, and read back through the raw reader's schema."""
+    u = units(spark, sf)
+    docs = u.groupBy("file_name").agg(F.first("source").alias("source"), F.sort_array(F.collect_list(F.struct("pos", "address", C("source").alias("s"), "bedrooms", "rent"))).alias("units"))
+    text_rows = docs.select("file_name", F.to_json(F.struct("source", F.transform("units", lambda x: F.struct(x["address"].alias("address"), x["s"].alias("source"), x["bedrooms"].alias("bedrooms"), x["rent"].alias("rent"), x["pos"].cast("string").alias("title"))).alias("units"))).alias("j"))
+    parsed = text_rows.select("file_name", F.from_json("j", raw.RAW).alias("d")).select("file_name", F.explode("d.units").alias("u"))
+    return parsed.select("file_name", C("u.title").cast("long").alias("pos"), "u.source", "u.address", "u.bedrooms", "u.rent")
+
+
+@query("src13_fresh_pages", "SELECT event_id FROM events WHERE epoch(ts) >= (SELECT max(epoch(ts)) FROM events) - 86400")
+def _(spark, sf):
+    e = t(spark, sf, "events").withColumn("fetched_at", F.unix_timestamp(C("ts").cast("timestamp")).cast("double") + (F.date_part(F.lit("SECOND"), "ts") % 1).cast("double"))
+    last = e.agg(F.max("fetched_at")).first()[0]
+    return raw.fresh_pages(e, last).select("event_id")
+
+
+@query("src14_registry", "SELECT 's' || s_suppkey AS slug, s_name AS manager, CASE WHEN s_suppkey % 5 = 0 THEN 'none' ELSE 'appfolio' END AS platform FROM supplier WHERE s_suppkey % 5 <> 0", on="supplier")
+def _(s):
+    reg = s.select(F.concat(F.lit("s"), "s_suppkey").alias("slug"), C("s_name").alias("manager"), F.when(C("s_suppkey") % 5 == 0, "none").otherwise("appfolio").alias("platform"))
+    return reg.where("platform <> 'none'")
+
+
+@query("src16_batch_results", "SELECT CAST(event_id AS STRING) AS page_id, value FROM events WHERE event_id % 3 <> 0", on="events")
+def _(e):
+    line = F.to_json(F.struct(C("event_id").cast("string").alias("custom_id"), F.struct(F.when(C("event_id") % 3 == 0, "errored").otherwise("succeeded").alias("type"), F.struct(F.array(F.struct(F.lit("text").alias("type"), F.to_json(F.struct("value")).alias("text"))).alias("content")).alias("message")).alias("result")))
+    return raw.batch_results(e.select(line.alias("value")), "value double").select("page_id", C("result.value").alias("value"))
+
+
+@query("snk02_preserve", f"WITH {U}, n AS (SELECT * FROM u WHERE source IN ('s1', 's2') AND pos % 2 = 0) SELECT source, pos, true AS fresh FROM n UNION ALL SELECT source, pos, false FROM u WHERE source NOT IN (SELECT source FROM n)", on="units")
+def _(u):
+    new = u.where(C("source").isin("s1", "s2") & (C("pos") % 2 == 0)).select("source", "pos", F.lit(True).alias("fresh"))
+    return ops.preserve(u.select("source", "pos", F.lit(False).alias("fresh")), new)
+
+
+@query("snk03_status", "SELECT count(*) FILTER (s_acctbal >= 0) AS sources_ok, count(*) FILTER (s_acctbal < 0) AS sources_failed, CAST(sum(s_suppkey) AS BIGINT) AS total_units FROM supplier", on="supplier")
+def _(s):
+    return raw.status_totals(s.select((C("s_acctbal") >= 0).alias("ok"), C("s_suppkey").alias("units")))
+
+
+@query("snk04_upsert_contacts", "SELECT c_custkey AS k, 'new' AS v FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'old' FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 2 = 0", on="customer")
+def _(c):
+    old = c.where("c_custkey % 2 = 0").select(C("c_custkey").alias("k"), F.lit("old").alias("v"))
+    return ops.upsert(old, c.where("c_custkey % 3 = 0").select(C("c_custkey").alias("k"), F.lit("new").alias("v")), "k")
+
+
+@query("snk05_upsert_cache", "SELECT o_orderkey AS url, o_totalprice * 2 AS v FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 4 <> 0", on="orders")
+def _(o):
+    new = o.where("o_orderkey % 4 = 0").select(C("o_orderkey").alias("url"), (C("o_totalprice") * 2).alias("v"))
+    return ops.upsert(o.select(C("o_orderkey").alias("url"), C("o_totalprice").alias("v")), new, "url")
+
+
+# projections
+
+query("prj01_unit_type", f"WITH {U} SELECT pos, {TYPE_SQL} AS unit_type FROM u", on="units")(lambda u: u.select("pos", kinds.unit_type(C("bedrooms")).alias("unit_type")))
+query("prj03_default_room_type", f"WITH {U} SELECT pos, CASE WHEN room_type IS NULL AND coalesce(kind, 'residential') = 'residential' THEN 'entire_place' ELSE room_type END AS room_type FROM u", on="units")(
+    lambda u: u.select("pos", F.when(C("room_type").isNull() & (F.coalesce("kind", F.lit("residential")) == "residential"), "entire_place").otherwise(C("room_type")).alias("room_type"))
+)
+query(
+    "prj05_bedroom_label",
+    f"WITH {U} SELECT pos, CASE WHEN bedrooms IS NULL THEN 'Unknown' WHEN bedrooms = 0 THEN 'Studio' WHEN bedrooms = floor(bedrooms) THEN CAST(CAST(bedrooms AS INT) AS STRING) || ' bed' ELSE CAST(bedrooms AS STRING) || ' bed' END AS label FROM u",
+    on="units",
+)(lambda u: u.select("pos", kinds.bed_label(C("bedrooms")).alias("label")))
+query(
+    "prj06_page_bed_label",
+    f"""WITH {U}, n AS (SELECT *, CASE WHEN bedrooms = floor(bedrooms) THEN CAST(CAST(bedrooms AS INT) AS STRING) ELSE CAST(bedrooms AS STRING) END AS b FROM u)
+    SELECT pos, CASE WHEN room_type = 'entire_place' THEN CASE WHEN bedrooms IS NULL THEN '—' WHEN bedrooms = 0 THEN 'Studio' ELSE b || ' bd' END
+      ELSE CASE room_type WHEN 'shared_room' THEN 'Shared room' WHEN 'private_room' THEN 'Private room' ELSE 'Room' END || CASE WHEN coalesce(bedrooms, 0) <> 0 THEN ' in ' || b || ' bd' ELSE '' END END AS label FROM n""",
+    on="units",
+)(lambda u: u.select("pos", kinds.page_bed_label(C("bedrooms"), C("room_type")).alias("label")))
+query("prj08_source_url", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'https://' || s_name || '.appfolio.com/listings' WHEN 1 THEN 'https://' || s_name || '.managebuilding.com/Resident/public/rentals' ELSE 'https://x.org' END AS url FROM supplier", on="supplier")(
+    lambda s: s.select("s_suppkey", F.when(C("s_suppkey") % 3 == 0, "appfolio").when(C("s_suppkey") % 3 == 1, "buildium").otherwise("eri").alias("platform"), C("s_name").alias("account"), F.lit("https://x.org").alias("site")).select("s_suppkey", raw.source_url().alias("url"))
+)
+query("prj10_address", f"WITH {U} SELECT pos, array_to_string(list_filter([address, nullif(city, ''), state], lambda x: x IS NOT NULL), ', ') AS full_address FROM u", on="units")(
+    lambda u: u.select("pos", F.concat_ws(", ", "address", F.nullif("city", F.lit("")), "state").alias("full_address"))
+)
+query("prj11_stale", "SELECT event_id, epoch(TIMESTAMP '2024-01-15 00:00:00') - floor(epoch(ts)) > 172800 AS stale FROM events", on="events")(
+    lambda e: e.select("event_id", dates.is_stale(C("ts").cast("string"), F.lit("2024-01-15 00:00:00")).alias("stale"))
+)
+query(
+    "prj12_amenity_tags",
+    f"""WITH {U} SELECT pos, array_to_string(list_filter([CASE laundry WHEN 'in_unit' THEN 'In-unit laundry' WHEN 'shared' THEN 'Shared laundry' WHEN 'hookups' THEN 'Laundry hookups' WHEN 'none' THEN 'No laundry' END,
+      CASE parking WHEN 'garage' THEN 'Garage' WHEN 'street' THEN 'Street parking' WHEN 'none' THEN 'No parking' END, CASE furnished WHEN 'furnished' THEN 'Furnished' WHEN 'unfurnished' THEN 'Unfurnished' END,
+      CASE pets WHEN 'allowed' THEN 'Pets OK' WHEN 'cats_only' THEN 'Cats OK' WHEN 'none' THEN 'No pets' END], lambda x: x IS NOT NULL), '|') AS tags FROM u""",
+    on="units",
+)(lambda u: u.select("pos", F.array_join(kinds.amenity_tags(), "|").alias("tags")))
+RECORD = ("address", "city", "state", "manager", "kind", "room_type", "pets", "url")
+query("prj13_record", f"WITH {U} SELECT pos, label, coalesce(nullif(v, ''), '—') AS v FROM (" + " UNION ALL ".join(f"SELECT pos, '{c}' AS label, {c} AS v FROM u" for c in RECORD) + ")", on="units")(
+    lambda u: u.select("pos", *RECORD).unpivot("pos", list(RECORD), "label", "v").withColumn("v", F.coalesce(F.nullif("v", F.lit("")), F.lit("—")))
+)
+query("prj14_payload", f"WITH {U} SELECT pos, (manager IS NOT NULL)::INT + (city IS NOT NULL)::INT + (pets IS NOT NULL)::INT + (laundry IS NOT NULL)::INT AS known, pets FROM u", on="units")(
+    lambda u: u.withColumn("m", F.map_filter(F.map_from_arrays(F.array(*map(F.lit, ("manager", "city", "pets", "laundry"))), F.array("manager", "city", "pets", "laundry")), lambda k, v: v.isNotNull())).select("pos", F.size("m").alias("known"), F.try_element_at("m", F.lit("pets")).alias("pets"))
+)
+query("prj15_reading", f"WITH {U} SELECT pos, nullif(nullif(CASE WHEN pos % 2 = 0 THEN 'unknown' ELSE pets END, 'unknown'), '') AS pets FROM u", on="units")(lambda u: u.select("pos", text.reading(F.when(C("pos") % 2 == 0, "unknown").otherwise(C("pets"))).alias("pets")))
+query("prj16_cache_key", f"WITH {U} SELECT pos, coalesce(url, '') AS key FROM u", on="units")(lambda u: u.select("pos", F.coalesce("url", F.lit("")).alias("key")))
+
+# filters
+
+query("flt01_livable", f"WITH {U} SELECT pos FROM u WHERE {LIVABLE_SQL}", on="units")(lambda u: u.where(ops.is_livable(C("kind"))).select("pos"))
+query("flt02_covered", f"WITH {U}, {AREAS_SQL} SELECT pos FROM u WHERE {COVERED_SQL}", on="units")(lambda u: places.keep_covered(u).select("pos"))
+query("flt03_enrichable", f"WITH {U}, {AREAS_SQL} SELECT pos FROM u WHERE coalesce(url, '') <> '' AND kind IN ('residential', 'room') AND {COVERED_SQL}", on="units")(lambda u: places.keep_covered(u.where(ops.is_enrichable())).select("pos"))
+query(
+    "flt06_quarantine",
+    f"WITH {U} SELECT pos, CASE WHEN NOT coalesce(rent BETWEEN 100 AND 100000, true) THEN 'rent,' ELSE '' END || CASE WHEN square_feet <= 0 THEN 'square_feet,' ELSE '' END || CASE WHEN kind = 'room' AND room_type = 'entire_place' THEN 'room_type_of_room,' ELSE '' END || CASE WHEN pets = '' THEN 'pets,' ELSE '' END AS wrong FROM (SELECT * REPLACE (rent - 1100 AS rent, square_feet - 450 AS square_feet) FROM u) WHERE wrong <> ''",
+    on="units",
+)(lambda u: ops.quarantine(u.withColumns({"rent": C("rent") - 1100, "square_feet": C("square_feet") - 450, "unit_type": kinds.unit_type(C("bedrooms"))}))[1].select("pos", F.concat(F.array_join("violations", ","), F.lit(",")).alias("wrong")))
+FILTERS = {
+    "flt07_exact": (dashboard.Filters(exact={"pets": "allowed", "manager": "BUILDING"}), "pets = 'allowed' AND manager = 'BUILDING'"),
+    "flt08_least_size": (dashboard.Filters(baths=2, sqft=700), "coalesce(bathrooms >= 2, true) AND coalesce(square_feet >= 700, true)"),
+    "flt09_most_rent": (dashboard.Filters(rent=2500.0), "coalesce(rent <= 2500, true)"),
+    "flt10_beds": (dashboard.Filters(beds="4plus"), "bedrooms >= 4"),
+    "flt10_beds_exact": (dashboard.Filters(beds="1.5"), "bedrooms = 1.5"),
+    "flt11_move_in": (dashboard.Filters(by_date=date(1996, 1, 1)), "available_now OR coalesce(available_date <= '1996-01-01', true)"),
+    "flt12_whole_now": (dashboard.Filters(whole_only=True, now_only=True), "room_type = 'entire_place' AND available_now"),
+}
+for _name, (_filters, _where) in FILTERS.items():
+    query(_name, f"WITH {U} SELECT pos FROM u WHERE {_where}", on="units")(lambda u, f=_filters: u.where(f.predicate()).select("pos"))
+query("flt13_ttl", "SELECT event_id FROM events WHERE coalesce(value, 0) >= 50", on="events")(lambda e: e.where(F.coalesce("value", F.lit(0.0)) >= 50).select("event_id"))
+query("flt14_only", f"WITH {U} SELECT pos FROM u WHERE source IN ('s1', 's4')", on="units")(lambda u: u.where(C("source").isin("s1", "s4")).select("pos"))
+query("flt15_emails", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'a' || c_custkey || '@firm.com' END AS emails FROM customer", on="customer")(
+    lambda c: c.select("c_custkey", F.array_join(text.extract_contact(F.concat(F.when(C("c_custkey") % 3 == 0, "noreply@firm.com").otherwise(F.concat(F.lit("A"), "c_custkey", F.lit("@firm.com, a"), "c_custkey", F.lit("@firm.com"))), F.lit(" x@sentry.io")))["emails"], ",").alias("emails"))
+)
+query("flt16_has_contact", "SELECT c_custkey FROM customer WHERE c_acctbal > 0 OR c_custkey % 2 = 0", on="customer")(lambda c: c.where((C("c_acctbal") > 0) | (C("c_custkey") % 2 == 0)).select("c_custkey"))
+
+# joins
+
+CACHE_SQL = "c AS (SELECT DISTINCT url, 'shared' AS laundry, 'furnished' AS furnished FROM u WHERE url IS NOT NULL AND pos % 3 = 0)"
+
+
+def cache_of(u: DataFrame) -> DataFrame:
+    return u.where("url is not null and pos % 3 = 0").select("url").distinct().select("url", F.lit("shared").alias("laundry"), F.lit("furnished").alias("furnished"))
+
+
+query("join01_fill", f"WITH {U}, {CACHE_SQL} SELECT pos, coalesce(u.laundry, c.laundry) AS laundry, coalesce(u.furnished, c.furnished) AS furnished FROM u LEFT JOIN c ON u.url = c.url", on="units")(
+    lambda u: ops.fill(u, cache_of(u), ("laundry", "furnished")).select("pos", "laundry", "furnished")
+)
+query(
+    "join02_reconcile",
+    f"WITH {U}, c AS (SELECT url, arg_max(CAST(bedrooms + 1 AS DOUBLE), pos) AS b FROM u WHERE url IS NOT NULL AND pos % 5 = 0 AND bedrooms IS NOT NULL GROUP BY url), r AS (SELECT pos, coalesce(c.b, u.bedrooms) AS bedrooms FROM u LEFT JOIN c ON u.url = c.url) SELECT pos, bedrooms, {TYPE_SQL} AS unit_type FROM r",
+    on="units",
+)(
+    lambda u: ops.reconcile(u, u.where("url is not null and pos % 5 = 0 and bedrooms is not null").select("url", F.lit("bedrooms").alias("field"), (C("bedrooms") + 1).cast("string").alias("page"), F.lit("conflict").alias("type"), C("pos").alias("ord"))).select("pos", "bedrooms", "unit_type")
+)
+query("join03_contacts", "SELECT o_orderkey, m.phone FROM orders LEFT JOIN (SELECT c_mktsegment, arg_max(c_name, c_custkey) AS phone FROM customer GROUP BY 1) m ON CASE o_orderkey % 6 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'AUTOMOBILE' WHEN 2 THEN 'MACHINERY' ELSE 'NONE' END = c_mktsegment")(
+    lambda spark, sf: (
+        t(spark, sf, "orders").select("o_orderkey", F.when(C("o_orderkey") % 6 == 0, "BUILDING").when(C("o_orderkey") % 6 == 1, "AUTOMOBILE").when(C("o_orderkey") % 6 == 2, "MACHINERY").otherwise("NONE").alias("c_mktsegment"))
+        .join(t(spark, sf, "customer").groupBy("c_mktsegment").agg(F.max_by("c_name", "c_custkey").alias("phone")), "c_mktsegment", "left").select("o_orderkey", "phone")
+    )
+)
+query("join04_registry", "SELECT s_suppkey, coalesce(CASE WHEN s_suppkey % 4 = 0 THEN s_name END, n_name, 'none') AS manager FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")(
+    lambda spark, sf: t(spark, sf, "supplier").join(t(spark, sf, "nation"), C("s_nationkey") == C("n_nationkey"), "left").select("s_suppkey", F.coalesce(F.when(C("s_suppkey") % 4 == 0, C("s_name")), "n_name", F.lit("none")).alias("manager"))
+)
+query("join05_street_city", f"WITH {U}, k AS (SELECT address, arg_min(city, pos) AS there FROM u WHERE coalesce(city, '') <> '' GROUP BY address) SELECT pos, coalesce(nullif(city, ''), there) AS city FROM u LEFT JOIN k ON u.address = k.address", on="units")(
+    lambda u: u.join(u.where("coalesce(city, '') <> ''").groupBy("address").agg(F.min_by("city", "pos").alias("there")), "address", "left").select("pos", F.coalesce(F.nullif("city", F.lit("")), "there").alias("city"))
+)
+query("join06_not_cached", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")(lambda spark, sf: t(spark, sf, "orders").join(t(spark, sf, "lineitem"), C("o_orderkey") == C("l_orderkey"), "left_anti").select("o_orderkey"))
+query("join08_results_meta", "SELECT doc_id, quality, lang FROM documents JOIN labels USING (doc_id)")(lambda spark, sf: t(spark, sf, "documents").select("doc_id", "lang").join(t(spark, sf, "labels"), "doc_id").select("doc_id", "quality", "lang"))
+query("join09_single_unit", f"WITH {U}, k AS (SELECT source, url FROM u WHERE coalesce(url, '') <> '' AND kind IN ('residential', 'room') GROUP BY ALL HAVING count(*) = 1) SELECT pos FROM u JOIN k USING (source, url) WHERE kind IN ('residential', 'room')", on="units")(
+    lambda u: ops.single_unit_pages(u).select("pos")
+)
+query("join10_missing", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")(lambda spark, sf: t(spark, sf, "customer").join(t(spark, sf, "orders"), C("c_custkey") == C("o_custkey"), "left_anti").select("c_custkey"))
+
+# aggregates
+
+query("agg01_dedupe_source", f"WITH {U} SELECT min(pos) AS pos FROM u GROUP BY source, {ADDRESS_SQL}, bedrooms, rent", on="units")(
+    lambda u: ops.keep_first(u.select("source", "address", "bedrooms", "rent", "pos"), ["source", text.normal_address(C("address")), "bedrooms", "rent"], ["pos"]).select("pos")
+)
+query("agg01_dedupe_texts", "SELECT doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS k FROM documents) WHERE k = 1", on="documents")(
+    lambda d: ops.keep_first(d.select("doc_id", "n_chars", F.md5(C("text").cast("binary")).alias("h")), ["h"], ["doc_id"]).select("doc_id", "n_chars")
+)
+query("agg02_merge", f"WITH {U}, {AREAS_SQL}, {MERGED_SQL} SELECT file_name, pos, CASE WHEN room_type IS NULL AND coalesce(kind, 'residential') = 'residential' THEN 'entire_place' ELSE room_type END AS room_type, {TYPE_SQL} AS unit_type FROM m", on="units")(
+    lambda u: ops.merge_units(u).select("file_name", "pos", "room_type", "unit_type")
+)
+query("agg03_city_facet", "SELECT n_name AS value, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")(
+    lambda spark, sf: dashboard.count_facet(t(spark, sf, "customer").join(t(spark, sf, "nation"), C("c_nationkey") == C("n_nationkey")), "n_name")
+)
+query("agg04_bedroom_facet", f"WITH {U} SELECT bedrooms, count(*) AS n FROM u GROUP BY 1", on="units")(lambda u: u.groupBy("bedrooms").agg(F.count("*").alias("n")).orderBy(C("bedrooms").asc_nulls_last()))
+query("agg05_rent_range", f"WITH {U} SELECT min(rent) AS least, max(rent) AS most FROM u", on="units")(lambda u: u.agg(F.min("rent").alias("least"), F.max("rent").alias("most")))
+CELLS = ("room_type", "pets", "furnished", "parking", "laundry")
+query("agg06_facets", f"WITH {U}, f AS (" + " UNION ALL ".join(f"SELECT '{c}' AS facet, coalesce(nullif({c}, ''), 'unknown') AS value, pos FROM u" for c in CELLS) + ") SELECT facet, value, count(*) AS n, min(pos) AS first FROM f GROUP BY ALL", on="units")(
+    lambda u: dashboard.facets(u, CELLS, ["pos"]).orderBy(*dashboard.facet_order()).select("facet", "value", "n", C("first.pos").alias("first"))
+)
+query("agg06_facets_labels", "WITH j AS (SELECT lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)) " + " UNION ALL ".join(f"SELECT '{c}' AS facet, coalesce(CAST({c} AS STRING), 'unknown') AS value, count(*) AS n FROM j GROUP BY ALL" for c in ("lang", "quality", "toxic")))(
+    lambda spark, sf: dashboard.facets(t(spark, sf, "documents").select("doc_id", "lang").join(t(spark, sf, "labels"), "doc_id", "left"), ("lang", "quality", "toxic"), ["doc_id"]).select("facet", "value", "n")
+)
+query("agg07_excluded", f"WITH {U} SELECT kind, count(*) AS n FROM u WHERE NOT {LIVABLE_SQL} GROUP BY 1", on="units")(lambda u: u.where(~ops.is_livable(C("kind"))).groupBy("kind").agg(F.count("*").alias("n")))
+query("agg08_out_of_area", f"WITH {U}, {AREAS_SQL} SELECT city || ', ' || state AS place, count(*) AS n FROM u WHERE NOT {COVERED_SQL} GROUP BY 1 ORDER BY n DESC, place LIMIT 8", on="units")(
+    lambda u: u.join(places.keep_covered(u).select("pos"), "pos", "left_anti").groupBy(F.concat_ws(", ", "city", "state").alias("place")).agg(F.count("*").alias("n")).orderBy(C("n").desc(), "place").limit(8)
+)
+query("agg09_per_source", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")(
+    lambda spark, sf: t(spark, sf, "customer").select("c_custkey").join(t(spark, sf, "orders").groupBy(C("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n")), "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+)
+query("agg10_headline", f"WITH {U} SELECT count(*) AS n, CAST(median(rent) FILTER (room_type = 'entire_place') AS DOUBLE) AS median_rent, count(DISTINCT nullif(city, '')) AS cities, count(DISTINCT manager) AS managers FROM u", on="units")(
+    lambda u: dashboard.headline(u, C("rent"), C("room_type") == "entire_place", C("city"), C("manager"))
+)
+query("agg11_median", "SELECT p_brand, CAST(median(p_retailprice) AS DOUBLE) AS median FROM part GROUP BY 1", on="part")(lambda p: p.groupBy("p_brand").agg(F.median("p_retailprice").alias("median")))
+query("agg12", f"WITH {U} SELECT least(CAST(floor(bedrooms) AS INT), 4)::INT AS bucket, count(*) AS n, CAST(floor(median(rent) + 0.5) AS BIGINT) AS median FROM u WHERE room_type = 'entire_place' AND rent IS NOT NULL AND bedrooms IS NOT NULL GROUP BY 1", on="units")(
+    lambda u: dashboard.median_by_bucket(u, C("bedrooms"), C("rent"), C("room_type") == "entire_place")
+)
+query("agg12_median_by_bucket", "SELECT least(CAST(floor(p_size / 10.0) AS INT), 4)::INT AS bucket, count(*) AS n, CAST(floor(median(p_retailprice) + 0.5) AS BIGINT) AS median FROM part WHERE p_retailprice IS NOT NULL AND p_size IS NOT NULL GROUP BY 1", on="part")(
+    lambda p: dashboard.median_by_bucket(p, C("p_size") / 10, C("p_retailprice"), F.lit(True))
+)
+query("agg13_top_cities", "SELECT n_name AS value, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY n DESC, value LIMIT 12")(
+    lambda spark, sf: dashboard.count_facet(t(spark, sf, "customer").join(t(spark, sf, "nation"), C("c_nationkey") == C("n_nationkey")), "n_name").orderBy(C("n").desc(), "value").limit(12)
+)
+query("agg14_months", f"WITH {U}, l AS (SELECT left(available_date, 7) AS month, count(*) AS n FROM u WHERE NOT available_now AND available_date IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 11) SELECT 'now' AS month, count(*) AS n FROM u WHERE available_now UNION ALL SELECT * FROM l", on="units")(
+    lambda u: dashboard.by_month(u, C("available_date").cast("date"), C("available_now"))
+)
+query("agg14_month", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1", on="orders")(lambda o: o.groupBy(dates.month_key(C("o_orderdate")).alias("month")).agg(F.count("*").alias("n")))
+query("agg15_room_types", f"WITH {U} SELECT coalesce(room_type, 'unknown') AS room_type, count(*) AS n FROM u GROUP BY 1", on="units")(lambda u: u.groupBy(F.coalesce("room_type", F.lit("unknown")).alias("room_type")).agg(F.count("*").alias("n")))
+query(
+    "agg16_coverage",
+    f"WITH {U} SELECT 'In-unit laundry' AS name, count(*) AS n FROM u WHERE laundry = 'in_unit' UNION ALL SELECT 'Any laundry', count(*) FROM u WHERE laundry <> 'none' UNION ALL SELECT 'Parking', count(*) FROM u WHERE parking <> 'none' UNION ALL SELECT 'Furnished', count(*) FROM u WHERE furnished = 'furnished' UNION ALL SELECT 'Pets OK', count(*) FROM u WHERE pets <> 'none' AND pets <> ''",
+    on="units",
+)(lambda u: dashboard.coverage(u, dashboard.amenity_tests() | {"Pets OK": (C("pets") != "none") & (C("pets") != "")}))
+query("agg16_count_if", "SELECT count(*) FILTER (l_returnflag = 'R') AS r, count(*) FILTER (l_linestatus = 'O') AS o, count(*) FILTER (l_discount > 0.05) AS d FROM lineitem", on="lineitem")(
+    lambda x: x.agg(F.count_if(C("l_returnflag") == "R").alias("r"), F.count_if(C("l_linestatus") == "O").alias("o"), F.count_if(C("l_discount") > 0.05).alias("d"))
+)
+query("agg19_pages", f"WITH {U}, {CACHE_SQL} SELECT url, count(*) AS members, min(pos) AS first FROM u WHERE url IS NOT NULL AND kind IN ('residential', 'room') AND url NOT IN (SELECT url FROM c) GROUP BY 1", on="units")(
+    lambda u: ops.pages_to_read(u, cache_of(u), ["pos"]).select("url", "members", C("first.pos").alias("first"))
+)
+query("agg20_shared_pages", f"WITH {U} SELECT pos, count(*) OVER (PARTITION BY source, url) AS members FROM u", on="units")(
+    lambda u: u.join(u.groupBy(C("source").alias("s"), C("url").alias("l")).agg(F.count("*").alias("members")), (C("source") == C("s")) & C("url").eqNullSafe(C("l"))).select("pos", "members")
+)
+query("agg21_totals", "SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders GROUP BY 1", on="orders")(lambda o: o.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("total")))
+query("agg22_costs", "WITH k AS (SELECT n_chars // 4 + 700 AS t FROM documents) SELECT count(*) AS pages, CAST(sum(t) AS BIGINT) AS tokens_in, count(*) * 220 AS tokens_out, min(t) AS least, list_sort(list(t))[count(*) // 2 + 1] AS median, max(t) AS most FROM k", on="documents")(
+    lambda d: upper_median(d.select((F.floor(C("n_chars") / 4) + 700).alias("t")))
+)
+query("agg23_estimate", "SELECT count(*) AS n, round(count(*) * (5000 * 1.0 + 200 * 5.0) / 1e6 / 2, 2) AS cost FROM documents", on="documents")(lambda d: d.agg(F.count("*").alias("n")).withColumn("cost", F.round(C("n") * F.lit(5000 * 1.0 + 200 * 5.0) / 1e6 / 2, 2)))
+query("agg24_first_contact", "SELECT c_mktsegment, arg_min(c_name, c_custkey) AS first FROM customer GROUP BY 1", on="customer")(lambda c: c.groupBy("c_mktsegment").agg(F.min_by("c_name", "c_custkey").alias("first")))
+query("agg25_contact_coverage", "SELECT count(*) FILTER (c_acctbal > 0) AS phones, count(*) FILTER (c_custkey % 2 = 0) AS emails FROM customer", on="customer")(lambda c: c.agg(F.count_if(C("c_acctbal") > 0).alias("phones"), F.count_if(C("c_custkey") % 2 == 0).alias("emails")))
+
+
+def upper_median(tokens: DataFrame) -> DataFrame:
+    """Totals, and of an even number of sizes the upper middle one: the value at whose count from below half is first passed.
+
+    Sizes are counted first; the running sum is over distinct sizes, of which there are no more than a page has characters.
+    """
+    from pyspark.sql import Window
+
+    counts = tokens.groupBy("t").agg(F.count("*").alias("c"))
+    runs = counts.select("t", "c", F.sum("c").over(Window.orderBy("t")).alias("upto"), F.sum("c").over(Window.partitionBy(F.lit(1))).alias("all"))
+    return runs.agg(F.max("all").alias("pages"), F.sum(C("t") * C("c")).alias("tokens_in"), (F.max("all") * 220).alias("tokens_out"), F.min("t").alias("least"), F.min(F.when(C("upto") > F.floor(C("all") / 2), C("t"))).alias("median"), F.max("t").alias("most"))
+
+
+# orders, limits
+
+query("srt01_raw", f"WITH {U} SELECT pos, row_number() OVER (ORDER BY lower(coalesce(nullif(city, ''), '~')), coalesce(bedrooms, 99), coalesce(rent, 9e9), pos) AS place FROM u ORDER BY place LIMIT 100", on="units")(
+    lambda u: placed(dashboard.page_of(u, "raw", ["pos"], 100))
+)
+SORT_SQL = {
+    "srt02_merged": ("soonest", "available_now DESC, coalesce(available_date, '9999-99-99'), coalesce(rent, 9e9)"),
+    "srt03_rent_asc": ("rent-asc", "rent ASC NULLS LAST"),
+    "srt03_rent_desc": ("rent-desc", "coalesce(rent, -1) DESC"),
+    "srt03_beds_desc": ("beds-desc", "bedrooms DESC NULLS LAST"),
+    "srt03_city": ("city", "lower(coalesce(city, '~')) <> '', lower(replace(coalesce(city, '~'), '~', ' '))"),
+}
+for _name, (_sort, _order) in SORT_SQL.items():
+    query(_name, f"WITH {U} SELECT pos, row_number() OVER (ORDER BY {_order}, pos) AS place FROM u ORDER BY place LIMIT 50", on="units")(lambda u, s=_sort: placed(dashboard.page_of(u, s, ["pos"])))
+
+
+def placed(page: DataFrame) -> DataFrame:
+    """A page's rows with their places; a page is a few rows."""
+    return page.select(F.monotonically_increasing_id().alias("m"), "pos").coalesce(1).select("pos", (F.row_number().over(_by_m())).cast("long").alias("place"))
+
+
+def _by_m():
+    from pyspark.sql import Window
+
+    return Window.orderBy("m")
+
+
+query("srt05_page_ids", f"WITH {U}, k AS (SELECT DISTINCT url FROM u WHERE url IS NOT NULL) SELECT url, 'p' || lpad(CAST(row_number() OVER (ORDER BY url) - 1 AS STRING), 5, '0') AS page_id FROM k", on="units")(
+    lambda u: ops.numbered_pages(u.where("url is not null").select("url").distinct()).select("url", "page_id")
+)
+query("lim01_paging", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 50", on="orders")(lambda o: o.orderBy(C("o_totalprice").desc(), "o_orderkey").offset(50).limit(50).select("o_orderkey"))
+query("lim03_top_k", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_partkey LIMIT 8", on="lineitem")(lambda x: x.groupBy("l_partkey").agg(F.count("*").alias("n")).orderBy(C("n").desc(), "l_partkey").limit(8))
+query("lim04_truncate", "SELECT doc_id, length(left(text, 20000)) AS n FROM documents", on="documents")(lambda d: d.select("doc_id", F.length(F.substring("text", 1, 20_000)).cast("long").alias("n")))
+
+# scalar functions
+
+query(
+    "str01_clean_text",
+    """SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '[\\s\\x{00A0}]+', ' ', 'g')) AS clean FROM pages""",
+    on="pages",
+)(lambda p: p.select("page_id", text.clean_text(C("html")).alias("clean")))
+query("str02_rent", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN least(99999.99::DOUBLE, CASE WHEN o_totalprice >= 100 THEN round(o_totalprice, 2) END) WHEN o_orderkey % 4 = 3 OR o_totalprice < 100 OR o_totalprice > 100000 THEN NULL ELSE round(o_totalprice, 2) END AS rent FROM orders", on="orders")(
+    lambda o: o.select("o_orderkey", text.parse_rent(F.when(C("o_orderkey") % 4 == 0, F.concat(F.lit("Rent: $"), F.format_number("o_totalprice", 2), F.lit(" / mo"))).when(C("o_orderkey") % 4 == 1, F.concat(F.lit("$"), F.format_string("%.2f", "o_totalprice"), F.lit(" - $99,999.99"))).when(C("o_orderkey") % 4 == 2, F.format_string("%.2f", "o_totalprice")).otherwise("Call for pricing")).alias("rent"))
+)
+query("str03_bedrooms", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 0.0 WHEN 3 THEN NULL ELSE CASE WHEN p_size <= 20 THEN CAST(p_size AS DOUBLE) END END::DOUBLE AS beds FROM part", on="part")(
+    lambda p: p.select("p_partkey", text.parse_bedrooms(F.when(C("p_partkey") % 4 == 0, "Studio / 1 ba").when(C("p_partkey") % 4 == 1, F.concat("p_size", F.lit(" Bed | 1 Bath"))).when(C("p_partkey") % 4 == 2, F.concat(F.lit(" "), "p_size", F.lit(" "))).otherwise("call us")).alias("beds"))
+)
+query("str04_bathrooms", "SELECT p_partkey, CASE WHEN p_size <= 20 THEN CAST(p_size AS DOUBLE) END AS baths FROM part", on="part")(lambda p: p.select("p_partkey", text.parse_bathrooms(F.concat(F.lit("2 bd / "), "p_size", F.lit(" ba"))).alias("baths")))
+query("str05_square_feet", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CAST(10 + o_orderkey % 9000 AS INT) END AS area FROM orders", on="orders")(
+    lambda o: o.select("o_orderkey", text.parse_square_feet(F.when(C("o_orderkey") % 2 == 0, F.concat(F.format_number(10 + C("o_orderkey") % 9000, 0), F.lit(" sq. ft."))).otherwise("750.0")).alias("area"))
+)
+query("dat01_available", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day, o_orderkey % 4 = 3 AS now FROM orders", on="orders")(
+    lambda o: o.select("o_orderkey", dates.parse_available(F.when(C("o_orderkey") % 4 == 0, F.date_format("o_orderdate", "'from' yyyy-MM-dd")).when(C("o_orderkey") % 4 == 1, F.date_format("o_orderdate", "'Available' MMMM d, yyyy")).when(C("o_orderkey") % 4 == 2, F.date_format("o_orderdate", "M/d/yyyy")).otherwise("Available NOW"), TODAY).alias("a")).select("o_orderkey", C("a.date").alias("day"), C("a.now").alias("now"))
+)
+query("dat02_infer_year", "SELECT DISTINCT month(o_orderdate)::INT AS m, day(o_orderdate)::INT AS d, CASE WHEN date_diff('day', make_date(1998, month(o_orderdate), day(o_orderdate)), DATE '1998-06-15') > 60 THEN 1999 ELSE 1998 END::INT AS y FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)", on="orders")(
+    lambda o: o.select(F.month("o_orderdate").alias("m"), F.day("o_orderdate").alias("d")).distinct().where("not (m = 2 and d = 29)").withColumn("y", dates.infer_year(C("m"), C("d"), F.lit(TODAY)))
+)
+query("dat03_epoch", "SELECT event_id, CAST((ts - INTERVAL 8 HOUR) AS DATE) AS day FROM events WHERE month(ts) IN (1, 2, 12)", on="events")(
+    lambda e: e.where(F.month("ts").isin(1, 2, 12)).select("event_id", dates.pacific_date(F.unix_millis(C("ts").cast("timestamp"))).alias("day"))
+)
+query("dat04_labels", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, strftime(o_orderdate, '%b %-d, %Y') AS label, strftime(o_orderdate, '%Y-%m') AS month, strftime(o_orderdate, '%b %y') AS short FROM orders", on="orders")(
+    lambda o: o.select(C("o_orderdate").cast("date").alias("day")).distinct().select("day", dates.day_label(C("day")).alias("label"), dates.month_key(C("day")).alias("month"), dates.month_label(C("day")).alias("short"))
+)
+query("str06_city", f"WITH {U} SELECT pos, city FROM (SELECT pos, nullif(city, '') AS city FROM u)", on="units")(
+    lambda u: u.select("pos", places.normal_city(F.concat(F.lit("  "), F.regexp_replace(F.upper("city"), " ", "  "), F.lit(" ,"))).alias("city"))
+)
+query("str07_location", f"WITH {U} SELECT pos, nullif(city, '') AS city, CASE WHEN coalesce(city, '') <> '' THEN state END AS state, CASE WHEN coalesce(city, '') <> '' THEN lpad(CAST(pos % 90000 AS STRING), 5, '0') END AS zip FROM u", on="units")(
+    lambda u: u.select("pos", places.parse_location(F.concat("address", F.lit(", "), F.coalesce("city", F.lit("")), F.lit(", "), "state", F.lit(" "), F.lpad((C("pos") % 90000).cast("string"), 5, "0"))).alias("l")).select("pos", "l.city", "l.state", "l.zip")
+)
+query("str08_city_of_address", f"WITH {U} SELECT pos, nullif(city, '') AS city FROM u", on="units")(lambda u: u.select("pos", places.city_of_address(F.concat("address", F.lit(", "), F.coalesce("city", F.lit("")), F.lit(", "), "state")).alias("city")))
+query("str09_classify", "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'application' WHEN p_partkey % 5 = 1 AND p_size < 25 THEN 'parking' WHEN p_partkey % 5 = 2 AND p_size < 25 THEN 'storage' WHEN p_partkey % 5 = 3 THEN 'room' ELSE 'residential' END AS kind FROM part", on="part")(
+    lambda p: p.select("p_partkey", kinds.classify(C("p_name"), F.element_at(F.array(*map(F.lit, ("Rental Application", "Covered Parking", "Locker 4", "Private room near campus", "Sunny flat"))), (C("p_partkey") % 5 + 1).cast("int")), F.when(C("p_size") < 25, 0.0).otherwise(2.0)).alias("kind"))
+)
+query("str10_title_beds", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 0.0 WHEN 1 THEN CASE WHEN p_size <= 20 THEN CAST(p_size AS DOUBLE) END END::DOUBLE AS beds FROM part", on="part")(
+    lambda p: p.select("p_partkey", text.bedrooms_from_title(F.when(C("p_partkey") % 3 == 0, "Top-Floor Studio").when(C("p_partkey") % 3 == 1, F.concat(F.lit("Sunny "), "p_size", F.lit("BR flat"))).otherwise(C("p_size").cast("string"))).alias("beds"))
+)
+query("str11_address", f"WITH {U} SELECT pos, {ADDRESS_SQL} AS address FROM u", on="units")(lambda u: u.select("pos", text.normal_address(C("address")).alias("address")))
+query("str12_facts", "SELECT c_custkey, c_name AS name, CAST(c_nationkey AS STRING) AS nation FROM customer", on="customer")(
+    lambda c: c.select("c_custkey", text.label_values(F.concat(F.lit("<dt>Name:</dt><dd>x</dd><dt>Nation</dt> <dd>"), C("c_nationkey").cast("string"), F.lit("</dd><dt>name</dt><dd><b>"), "c_name", F.lit("</b></dd>")), r"(?is)<dt[^>]*>(.*?)</dt>\s*<dd[^>]*>(.*?)</dd>").alias("m")).select("c_custkey", C("m")["name"].alias("name"), C("m")["nation"].alias("nation"))
+)
+query("str13_first_attr", "SELECT c_custkey, nullif(CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END, '') AS v FROM customer", on="customer")(lambda c: c.select("c_custkey", text.found(F.concat(F.lit('data-x="'), F.when(C("c_custkey") % 2 == 0, C("c_name")).otherwise(""), F.lit('"')), 'data-x="([^"]*)"').alias("v")))
+query("str15_contact", "SELECT c_custkey, '(' || 100 + c_custkey % 900 || ') 555-' || 1000 + c_custkey % 9000 AS phone, 'c' || c_custkey || '@firm.com' AS email FROM customer", on="customer")(
+    lambda c: c.select("c_custkey", text.extract_contact(F.concat(F.lit("<script>a@evil.com</script><!-- b@evil.com --><a href='mailto:C"), "c_custkey", F.lit("@firm.com'>write</a> "), (100 + C("c_custkey") % 900).cast("string"), F.lit("-555-"), (1000 + C("c_custkey") % 9000).cast("string"))).alias("x")).select("c_custkey", "x.phone", F.get("x.emails", F.lit(0)).alias("email"))
+)
+query("str16_specs", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'private_room' WHEN 1 THEN 'shared_room' END AS room_type FROM part", on="part")(lambda p: p.select("p_partkey", kinds.room_type_of_specs(F.when(C("p_partkey") % 3 == 0, "Private Room in 3 bd / 2 ba").when(C("p_partkey") % 3 == 1, "shared room in Studio").otherwise("Room in Studio")).alias("room_type")))
+
+
+def policy(name: str, value) -> F.Column:
+    return F.array(F.struct(F.lit("Other").alias("catalogName"), F.array(F.lit("1 tenant max per room")).alias("type")), F.struct(F.lit(name).alias("catalogName"), F.array(value).alias("type"))).cast(kinds.POLICY)
+
+
+query("arr01_occupancy", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 AND p_size < 30 THEN 'private_room' END AS room_type FROM part", on="part")(
+    lambda p: p.select("p_partkey", kinds.room_type_of_occupancy(policy("Occupancy Policy", F.concat((C("p_partkey") % 3).cast("string"), F.lit(" tenants max per room"))), C("p_size") < 30).alias("room_type"))
+)
+query("arr02_pets", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'cats_only' WHEN 2 THEN 'dogs_only' WHEN 3 THEN 'allowed' END AS pets FROM part", on="part")(
+    lambda p: p.select("p_partkey", kinds.pets_of_policy(policy("Pet Policy", F.element_at(F.array(*map(F.lit, ("No Pets", "Cats Allowed", "Dogs OK", "Cats and dogs", "Ask"))), (C("p_partkey") % 5 + 1).cast("int")))).alias("pets"))
+)
+query("arr03_fill", f"WITH {U} SELECT pos, coalesce(pets, laundry) AS pets, (coalesce(pets, laundry) IS NOT NULL AND furnished IS NOT NULL) AS complete FROM u", on="units")(
+    lambda u: u.select("pos", F.coalesce("pets", "laundry").alias("pets"), (F.coalesce("pets", "laundry").isNotNull() & C("furnished").isNotNull()).alias("complete"))
+)
+query("jsn01_payload", "SELECT event_id, props->>'$.k' AS k FROM events", on="events")(lambda e: e.select("event_id", F.get_json_object("props", "$.k").alias("k")))
+query("mth01_money", "SELECT o_orderkey, '$' || format('{:,}', CAST(floor(o_totalprice + 0.5) AS BIGINT)) AS price FROM orders", on="orders")(lambda o: o.select("o_orderkey", text.money(C("o_totalprice")).alias("price")))
+
+
+def two_readings(o: DataFrame) -> tuple[dict, dict]:
+    """The parser's reading of an order and a page's, apart by less and by more than each tolerance, each with nulls."""
+    k = C("o_orderkey")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    mine = {
+        "bedrooms": (k % 4).cast("double"), "bathrooms": F.lit(1.0), "rent": F.when(k % 9 > 0, C("o_totalprice")), "square_feet": F.lit(1000.0), "available_date": day,
+        "available_now": k % 2 == 0, "city": F.lit("Oakland"), "kind": F.lit("residential"),
+    }
+    page = {
+        "bedrooms": F.when(k % 5 > 0, (k % 4 + (k % 3 == 0).cast("int")).cast("double")), "bathrooms": 1.0 + (k % 3) * 0.008, "rent": C("o_totalprice") + (k % 5) * 0.4, "square_feet": (1000 + k % 40).cast("double"),
+        "available_date": F.date_format(F.date_add(C("o_orderdate").cast("date"), (k % 2).cast("int")), "M/d/yyyy"), "available_now": k % 3 == 0, "city": F.when(k % 2 == 0, " OAKLAND ").otherwise("Berkeley"),
+        "kind": F.when(k % 3 == 0, "unknown").when(k % 3 == 1, "room").otherwise("residential"),
+    }
+    return mine, page
+
+
+@query(
+    "cmp01_tolerance",
+    """SELECT o_orderkey, f AS field, y AS type FROM (SELECT o_orderkey, o_orderkey AS k, o_totalprice AS p FROM orders), LATERAL (VALUES
+      ('bedrooms', CASE WHEN k % 5 > 0 AND k % 3 = 0 THEN 'conflict' END), ('bathrooms', CASE WHEN k % 3 = 2 THEN 'conflict' END),
+      ('rent', CASE WHEN k % 9 = 0 THEN 'parser_missing' WHEN abs(p - (p + (k % 5) * 0.4::DOUBLE)) > 1.0 THEN 'conflict' END), ('square_feet', CASE WHEN k % 40 > 20 THEN 'conflict' END),
+      ('available_date', CASE WHEN k % 2 = 1 THEN 'conflict' END), ('available_now', CASE WHEN (k % 2 = 0) <> (k % 3 = 0) THEN 'conflict' END), ('city', CASE WHEN k % 2 = 1 THEN 'conflict' END),
+      ('kind', CASE WHEN k % 3 = 1 THEN 'conflict' END)) AS v(f, y) WHERE y IS NOT NULL""",
+    on="orders",
+)
+def _(o):
+    mine, page = two_readings(o)
+    return o.select("o_orderkey", F.explode(ops.compare_readings(mine, page, F.lit(TODAY))).alias("c")).select("o_orderkey", "c.field", "c.type")
+
+
+@query(
+    "agg17_conflict_counts",
+    """SELECT y AS type, count(*) AS n FROM (SELECT o_orderkey AS k FROM orders), LATERAL (VALUES (CASE WHEN k % 5 > 0 AND k % 3 = 0 THEN 'conflict' END), (CASE WHEN k % 3 = 2 THEN 'conflict' END),
+      (CASE WHEN k % 9 = 0 THEN 'parser_missing' WHEN k % 5 > 2 THEN 'conflict' END), (CASE WHEN k % 40 > 20 THEN 'conflict' END), (CASE WHEN k % 2 = 1 THEN 'conflict' END),
+      (CASE WHEN (k % 2 = 0) <> (k % 3 = 0) THEN 'conflict' END), (CASE WHEN k % 2 = 1 THEN 'conflict' END), (CASE WHEN k % 3 = 1 THEN 'conflict' END)) AS v(y) WHERE y IS NOT NULL GROUP BY 1""",
+    on="orders",
+)
+def _(o):
+    mine, page = two_readings(o)
+    return o.select(F.explode(ops.compare_readings(mine, page, F.lit(TODAY))).alias("c")).groupBy("c.type").agg(F.count("*").alias("n"))
+
+
+@query(
+    "cmp02_inline",
+    """SELECT o_orderkey, f AS field FROM (SELECT o_orderkey, o_orderkey AS k, o_totalprice AS p FROM orders), LATERAL (VALUES ('bedrooms', k % 5 > 0 AND k % 3 = 0), ('rent', k % 9 > 0 AND (k % 5) * 0.4::DOUBLE / (p + (k % 5) * 0.4::DOUBLE) > 0.05), ('kind', k % 3 = 1), ('city', k % 2 = 1)) AS v(f, y) WHERE y""",
+    on="orders",
+)
+def _(o):
+    mine, page = two_readings(o)
+    return o.select("o_orderkey", F.explode(ops.inline_conflicts(mine, page)).alias("c")).select("o_orderkey", "c.field")
+
+
+query("agg18_applied", f"WITH {U} SELECT CASE WHEN pos % 2 = 0 THEN 'bedrooms' ELSE 'rent' END AS field, pos % 2 = 0 AS applied, count(*) AS n FROM u GROUP BY ALL", on="units")(
+    lambda u: u.select(F.when(C("pos") % 2 == 0, "bedrooms").otherwise("rent").alias("field")).groupBy("field", C("field").isin(*ops.APPLIED).alias("applied")).agg(F.count("*").alias("n"))
+)
+query("prm01_apply", f"WITH {U} SELECT pos, coalesce(pets, 'none') AS pets, coalesce(parking, 'street') AS parking FROM u", on="units")(
+    lambda u: ops.fill(u.withColumn("url", F.lit("p")), u.sparkSession.createDataFrame([("p", "none", "street")], "url string, pets string, parking string"), ("pets", "parking")).select("pos", "pets", "parking")
+)
+query("prm02_structured", f"WITH {U} SELECT pos, CASE WHEN pets IS NOT NULL OR room_type IS NOT NULL THEN 'structured' ELSE 'none' END AS method FROM u", on="units")(
+    lambda u: u.select("pos", F.when(C("pets").isNotNull() | C("room_type").isNotNull(), "structured").otherwise("none").alias("method"))
+)
+query("snk06_conflict_report", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F' ORDER BY 2 LIMIT 100", on="orders")(
+    lambda o: placed(raw.conflict_report(o.where("o_orderstatus = 'F'").select(C("o_orderkey").alias("pos"), F.lit("conflict").alias("type"), C("o_orderpriority").alias("field"), F.lpad(C("o_orderkey").cast("string"), 12, "0").alias("address"), F.lit("").alias("url"))).limit(100)).select(C("pos").alias("o_orderkey"), "place")
+)
