@@ -55,10 +55,9 @@ def passages(text: str) -> list[tuple[int, list[str]]]:
         out[-1][1].append(rest)
     for (depth, lines), (after, _) in zip(out, out[1:], strict=False):
         if depth == 0 and after > 0:
-            while lines and not lines[-1].strip():
-                lines.pop()
-            if lines and ATTRIBUTION.search(lines[-1]):
-                lines.pop()
+            told = False
+            while lines and (not lines[-1].strip() or not told and ATTRIBUTION.search(lines[-1])):
+                told = told or bool(lines.pop().strip())
     return out
 
 
