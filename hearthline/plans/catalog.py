@@ -498,3 +498,5 @@ query("prm02_structured", f"WITH {U} SELECT pos, CASE WHEN pets IS NOT NULL OR r
 query("snk06_conflict_report", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F' ORDER BY 2 LIMIT 100", on="orders")(
     lambda o: placed(raw.conflict_report(o.where("o_orderstatus = 'F'").select(C("o_orderkey").alias("pos"), F.lit("conflict").alias("type"), C("o_orderpriority").alias("field"), F.lpad(C("o_orderkey").cast("string"), 12, "0").alias("address"), F.lit("").alias("url"))).limit(100)).select(C("pos").alias("o_orderkey"), "place")
 )
+
+from . import markup  # noqa: E402, F401  its queries register themselves here
