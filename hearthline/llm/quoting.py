@@ -57,7 +57,8 @@ def passages(text: str) -> list[tuple[int, list[str]]]:
         if depth == 0 and after > 0:
             told = False
             while lines and (not lines[-1].strip() or not told and ATTRIBUTION.search(lines[-1])):
-                told = told or bool(lines.pop().strip())
+                last = lines.pop()
+                told = told or bool(last.strip())
     return out
 
 
