@@ -15,6 +15,7 @@ those that the operator adds replace input columns of the same name.
 from __future__ import annotations
 
 import heapq
+import json
 from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -158,8 +159,6 @@ def mix_sources(docs: DataFrame, *, id_col: str, size_col: str, members_col: str
     totals = slots.groupBy("__pattern").agg(F.sum("__in_slot").alias("__all")).limit(MAX_PATTERNS + 1).collect()
     if len(totals) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns; merge sources first")
-    import json
-
     names = {r["__pattern"]: tuple(json.loads(r["__pattern"])) for r in totals}
     plan = plan_mix({names[r["__pattern"]]: int(r["__all"]) for r in totals}, weights, budget_ratio, max_repeats)
     lines = [(r["__pattern"], int(r["__all"]), [{"source": s, "words": w} for s, w in plan.flow.get(names[r["__pattern"]], [])]) for r in totals]

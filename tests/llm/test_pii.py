@@ -42,7 +42,7 @@ def test_query_base(spark, sf):
 
 def test_bootstrap_finds_what_stands_where_known_ones_do(spark):
     rows = [(i, f"please call me at {'+1 (555) 555-' if i % 2 else '(555) 555-'}{1000 + i} soon, order {i}77777 shipped", "extra") for i in range(60)]
-    rows += [(100 + i, f"card number 41111111{i:04d}1111 expires" if False else f"pay with card {_luhn(i)} today", "extra") for i in range(40)]
+    rows += [(100 + i, f"pay with card {_luhn(i)} today", "extra") for i in range(40)]
     rows += [(900, "pay with card 4111111111111112 today", "x"), (901, None, None), (901, None, None), (902, "", "x"), (None, "a@b.co", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
     out = {r["doc_id"]: r for r in pii.scan_pii(docs).collect()}
