@@ -1,14 +1,17 @@
 """Personal data by bootstrapped contextual extraction.
 
-Fixed patterns give seed entities. A pattern of the bootstrap is the lexical context of a token: the two words before it, the word before
-it, or the word after it, with the token's shape class; an instance is a token that looks like an identifier. Spark
-builds the graph of patterns and instances by counting, and scores it in rounds: a pattern is as good as the instances
-it stands by (the weighted share of known identifiers among its occurrences, times a factor for support), an instance
-as good as its patterns (one minus the product of their doubts). Patterns of the last round above a threshold then mark
-tokens in every text that no fixed pattern found.
-
-The tokens that can become entities are those with a digit or an `@` that no fixed pattern covers, so the graph grows
-with identifiers and not with words. Texts are read twice: once to count, once to mark.
+Fixed patterns give seed entities. A pattern of the bootstrap is the lexical context of a place: the two words before it, the word
+before it, or the word after it, with the coarse class of what stands there (has an `@`, has letters, has neither). An instance is a
+text that looks like an identifier, and its form is its characters by class. Spark builds the graph of patterns and instances by
+counting, and scores it in rounds. A pattern is as good as the instances it stands by: the weighted share of believed identifiers
+among its occurrences, where an unknown one weighs less the better the patterns are that its form stands in; so a format that no fixed
+pattern has, but that is met where identifiers are, is no evidence against those places. An instance is as good as its patterns
+above the thresholds (one minus the product of their doubts), and a believed one counts for all its other patterns in the next round,
+those without a seed too. Patterns of the last round above the thresholds then mark places in every text that no fixed pattern found.
+
+The places that can become entities are those with a digit or an `@` that no fixed pattern covers: tokens, and runs of tokens of digits,
+dots, hyphens and brackets with one space between them. A row of more than RUN_DIGITS digits is no identifier but a row of numbers, and
+gives its tokens. So the graph grows with identifiers and not with words. Texts are read twice: once to count, once to mark.
 
 Defined results: null texts are empty; repeated rows are scanned alike and each occurrence counts as evidence; an empty
 table gives an empty result; other columns stay as they are, those added replace columns of the same name.
@@ -25,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, table
+from .decontamination import bounded
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns. Each possible start is tried once, so that long runs of digits or letters cost no more than their length.
@@ -35,9 +39,14 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+NUMERIC = re.compile(r"[+(]*[0-9][0-9().-]*")
+#: The most digits of a known kind, a card number.
+RUN_DIGITS = 19
 
 #: Parameters: rounds of scoring, least score of a pattern, least number of distinct known identifiers and of occurrences behind it, prior doubt.
 ROUNDS, LEAST_SCORE, LEAST_KNOWN, LEAST_SEEN, PRIOR = 3, 0.6, 5, 10, 3.0
+#: How often in a round the scores of patterns and the doubt in forms are counted from each other.
+PASSES = 3
 
 
 def luhn(digits: str) -> bool:
@@ -86,42 +95,76 @@ def before(text: str, at: int) -> list[str]:
     return [w.strip(",.;:\"'()[]").lower()[-40:] for w in text[max(0, at - 120) : at].split()[::-1][:2]]
 
 
+def coarse(token: str) -> str:
+    return "@" if "@" in token else "a" if any(c.isalpha() for c in token) else "9"
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """Patterns that a token at this place stands in."""
-    form = shape(text[start:end])
+    """Patterns that what is at this place stands in; the first character tells their side."""
+    form = coarse(text[start:end])
     left = before(text, start)
     right = text[end : end + 60].split(None, 1)[:1]
     out = []
     if left:
-        out.append(f"{left[0]} _ {form}")
+        out.append(f"1 {left[0]} _ {form}")
     if len(left) > 1:
-        out.append(f"{left[1]} {left[0]} _ {form}")
+        out.append(f"2 {left[1]} {left[0]} _ {form}")
     if right:
-        out.append(f"_ {right[0].strip(',.;:').lower()[:40]} {form}")
+        out.append(f"3 _ {right[0].strip(',.;:').lower()[:40]} {form}")
     return out
 
 
+def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """The place without the punctuation around it; a bracket that opens stays where it is closed inside."""
+    while b > a and not text[b - 1].isalnum():
+        b -= 1
+    close = text.rfind(")", a, b)
+    while a < b and not (text[a].isalnum() or text[a] in "@+_" or (text[a] == "(" and a < close)):
+        a += 1
+    return a, b
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Tokens with a digit or @ that touch no base span, without the punctuation around them."""
+    """Tokens with a digit or @ and runs of numeric tokens, of 5 characters or with an @, that touch no base span."""
     if "@" not in text and not DIGITS.search(text):
         return
+    run: list[tuple[int, int]] = []
     k = 0
     for m in TOKEN.finditer(text):
         a, b = m.span()
-        while a < b and not (text[a].isalnum() or text[a] in "@+_"):
-            a += 1
-        while b > a and not text[b - 1].isalnum():
-            b -= 1
-        if b - a < 5:
-            continue
         while k < len(base) and base[k][2] <= a:
             k += 1
-        if not any(x[0] < b and a < x[2] for x in base[k : k + 8]):
+        ta, tb = trimmed(text, a, b)
+        if any(x[0] < tb and ta < x[2] for x in base[k : k + 8]):
+            yield from _places_of_run(text, run)
+            run = []
+            continue
+        # the next group of the same number: one space and no punctuation between, and a bracket opens only after a short prefix
+        joins = run and a == run[-1][1] + 1 and text[a - 1] == " " and text[a - 2] not in ".-"
+        joins = joins and (text[a] != "(" or (len(run) == 1 and a - 1 - run[0][0] <= 4)) and text[a] != "+"
+        m = NUMERIC.match(text, a, b)
+        if not (joins and m and m.end() >= tb):
+            yield from _places_of_run(text, run)
+            run = []
+        run.append((a, b))
+        m = NUMERIC.match(text, ta, b)
+        if not (m and m.end() == b):
+            yield from _places_of_run(text, run)
+            run = []
+    yield from _places_of_run(text, run)
+
+
+def _places_of_run(text: str, run: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    if len(run) > 1 and len(DIGITS.findall(text, run[0][0], run[-1][1])) <= RUN_DIGITS:
+        run = [(run[0][0], run[-1][1])]
+    for a, b in run:
+        a, b = trimmed(text, a, b)
+        if b - a >= 5 or (b > a and "@" in text[a:b]):
             yield a, b
 
 
 def _graph_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """pattern, instance (its hash), kind (-1: not a known identifier) for every seed and candidate."""
+    """pattern, form, instance (its hash), kind (-1: not a known identifier) for every seed and candidate."""
     for batch in batches:
         rows = []
         for text in batch["text"]:
@@ -131,8 +174,18 @@ def _graph_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known = [(a, b, kind) for a, kind, b in base]
             for a, b, kind in known + [(a, b, -1) for a, b in candidates(text, base)]:
                 h = int.from_bytes(hashlib.blake2b(text[a:b].encode(), digest_size=8).digest(), "big", signed=True)
-                rows += [(p, h, kind) for p in contexts(text, a, b)]
-        yield pd.DataFrame(rows, columns=["pattern", "instance", "kind"])
+                form = shape(text[a:b])
+                rows += [(p, form, h, kind) for p in contexts(text, a, b)]
+        yield pd.DataFrame(rows, columns=["pattern", "form", "instance", "kind"])
+
+
+def _scores(belief: DataFrame, forms: DataFrame | None) -> DataFrame:
+    """Of each pattern score, occurrences (seen), believed instances (known) and their occurrences by kind (n0, n1, ...)."""
+    rows = belief.withColumn("near", F.lit(0.0)) if forms is None else belief.join(bounded(forms, forms.count()), "form", "left")
+    weight, doubt = F.log1p("n"), F.greatest(F.col("p"), 1 - F.coalesce("near", F.lit(0.0)))
+    of = [F.sum(F.when((F.col("p") > 0) & (F.col("kind") == i), F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(KINDS))]
+    score = F.sum(weight * F.col("p")) / (F.sum(weight * doubt) + PRIOR)
+    return rows.groupBy("pattern").agg(score.alias("score"), F.sum("n").alias("seen"), F.sum((F.col("p") > 0).cast("int")).alias("known"), *of)
 
 
 def learn_patterns(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -141,25 +194,32 @@ def learn_patterns(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     Edges are counted before anything else, so a pattern or identifier that makes up a third of all places is one row a
     partition when it is shuffled.
     """
-    raw = docs.select("text").mapInPandas(_graph_rows, "pattern string, instance long, kind int")
-    edges = cut(raw.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n")))
-    # only patterns with enough known identifiers can pass, and only they can vouch for an instance
-    seeds = edges.where("kind >= 0").groupBy("pattern").agg(F.count("*").alias("known")).where(F.col("known") >= LEAST_KNOWN)
-    edges = edges.join(seeds.select("pattern"), "pattern")
-    belief = edges.select("pattern", "instance", "kind", "n", (F.col("kind") >= 0).cast("double").alias("p"))
-    scores = None
+    raw = docs.select("text").mapInPandas(_graph_rows, "pattern string, form string, instance long, kind int")
+    edges = cut(raw.groupBy("pattern", "form", "instance", "kind").agg(F.count("*").alias("n")))
+    side = F.substring("pattern", 1, 1).alias("side")
+    met = cut(edges.where("kind < 0").groupBy(side, "form").agg(F.sum("n").alias("met")))
+    # a pattern with fewer occurrences or instances than the thresholds ask can pass in no round
+    live = edges.groupBy("pattern").agg(F.sum("n").alias("seen"), F.count("*").alias("instances")).where((F.col("seen") >= LEAST_SEEN) & (F.col("instances") >= LEAST_KNOWN))
+    edges = cut(edges.join(live.select("pattern"), "pattern"))
+    belief = edges.withColumn("p", (F.col("kind") >= 0).cast("double"))
+    good = None
     for k in range(rounds):
-        seen = F.sum(F.log1p("n"))
-        scores = cut(
-            belief.groupBy("pattern").agg(
-                (F.sum(F.log1p("n") * F.col("p")) / (seen + PRIOR)).alias("score"), F.sum("n").alias("seen"), F.mode(F.when(F.col("kind") >= 0, F.col("kind")), True).alias("of")
-            )
-        )
+        forms = None
+        for _ in range(PASSES):
+            # by form, the mean score of the patterns that its unknown instances stand in, on the side where that is most
+            scores = _scores(belief, forms).where("score > 0").select("pattern", "score")
+            near = belief.where("p = 0").join(scores, "pattern").groupBy(side, "form").agg(F.sum(F.col("n") * F.col("score")).alias("near"))
+            forms = cut(near.join(met, ["side", "form"]).groupBy("form").agg(F.max(F.col("near") / F.col("met")).alias("near")))
+        scores = _scores(belief, forms)
+        good = scores.where((F.col("score") >= LEAST_SCORE) & (F.col("seen") >= LEAST_SEEN) & (F.col("known") >= LEAST_KNOWN))
+        most = F.array_max(F.array(*[F.struct(F.col(f"n{i}").alias("n"), F.lit(-i).alias("i")) for i in range(len(KINDS))]))
+        good = cut(good.select("pattern", (-most["i"]).cast("int").alias("kind"), "score"))
         if k + 1 < rounds:
-            doubt = F.exp(F.sum(F.log(F.lit(1.0) - F.least(F.col("score"), F.lit(0.99)))))
-            instances = edges.join(scores, "pattern").groupBy("instance").agg((1 - doubt).alias("trust"))
-            belief = edges.join(instances, "instance").withColumn("p", F.when(F.col("kind") >= 0, 1.0).otherwise(F.col("trust") * 0.9))
-    return scores.where((F.col("score") >= LEAST_SCORE) & (F.col("seen") >= LEAST_SEEN)).select("pattern", F.col("of").alias("kind"), "score")
+            trust = 1 - F.exp(F.sum(F.log(F.lit(1.0) - F.least(F.col("score"), F.lit(0.99)))))
+            found = edges.where("kind < 0").drop("kind").join(good, "pattern").groupBy("instance").agg(trust.alias("trust"), F.max_by("kind", F.struct("score", "kind")).alias("as"))
+            kind, p = F.when(F.col("kind") >= 0, F.col("kind")).otherwise(F.coalesce("as", F.lit(-1))), F.when(F.col("kind") >= 0, 1.0).otherwise(F.coalesce(F.col("trust") * 0.9, F.lit(0.0)))
+            belief = cut(edges.join(found, "instance", "left").select("pattern", "form", "instance", kind.alias("kind"), "n", p.alias("p")))
+    return good
 
 
 def _places(texts: pd.Series) -> pd.DataFrame:

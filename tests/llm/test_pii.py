@@ -52,6 +52,44 @@ def test_bootstrap_finds_what_stands_where_known_ones_do(spark):
     assert pii.scan_pii(docs.limit(0)).count() == 0 and pii.scan_pii(docs).count() == len(rows)
 
 
+def test_candidates_are_runs():
+    text = 'call (555) 555-1234, or 1 (555) 555-1234 or "(555) 555 1234". Pay 4111 1111 1111 1112 at john@localhost (AB-12345) a@b 12 7; 555 12th. (((((((1 +12'
+    assert [text[a:b] for a, b in pii.candidates(text, pii.base_spans(text))] == [
+        "(555) 555-1234", "1 (555) 555-1234", "(555) 555 1234", "4111 1111 1111 1112", "john@localhost", "AB-12345", "a@b",
+    ]
+    rows = "1234567 " * 40
+    assert len(list(pii.candidates(rows, []))) == 40, "a row of numbers is no single identifier"
+
+
+def test_bootstrap_finds_unseen_formats_and_learns_from_them(spark):
+    """Formats that no fixed pattern has, by their places; and a place without any known one, by what was found elsewhere."""
+    texts = [f"please call me at {'+1 (555) 555-' if i % 3 else '(555) 555-'}{1000 + i} soon, order {i}77777 shipped" for i in range(60)]
+    texts += [f"write a mail to {'user%d@localhost' % i if i % 4 == 0 else 'user%d@mail.example.com' % i} now" for i in range(60)]
+    texts += [f"she paid by card {'4111 1111 %04d 1112' % i if i % 5 == 0 else _luhn(i)} yesterday" for i in range(60)]
+    second = len(texts)
+    texts += [f"the fax machine: (555) 555-{1000 + i}" for i in range(0, 60, 3)]
+    texts += [f"the fax machine: (555) 777-{2000 + i}" for i in range(4)]
+    texts += [f"see page {10000 + i} there" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: [(s["kind"], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["spans"]] for r in pii.scan_pii(docs).collect()}
+    for i in range(60):
+        assert out[i] == [(3, f"{'+1 (555) 555-' if i % 3 else '(555) 555-'}{1000 + i}")]
+        assert out[60 + i] == [(0, texts[60 + i].split()[4])]
+        assert len(out[120 + i]) == 1 and out[120 + i][0][0] == 2 and len(out[120 + i][0][1].replace(" ", "")) == 16
+    for i in range(second, second + 24):
+        assert out[i] == [(3, texts[i].split(": ")[1])], "a place that only found ones vouch for"
+    assert all(out[i] == [] for i in range(second + 24, len(texts)))
+
+
+def test_bootstrap_finds_national_phones(spark):
+    """Half of the phones at a place, the rest in a format that no fixed pattern has."""
+    texts = [f"please call me at {'+1 (555) 555-' if i % 2 else '(555) 555-'}{1000 + i} soon, order {i}77777 shipped" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.scan_pii(docs).collect():
+        text = texts[r["doc_id"]]
+        assert [(s["kind"], text[s["start"] : s["end"]]) for s in r["spans"]] == [(3, text[18:].split(" soon")[0])]
+
+
 def _luhn(i):
     head = f"411111{i:09d}"
     return next(head + str(d) for d in range(10) if pii.luhn(head + str(d)))
