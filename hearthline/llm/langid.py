@@ -10,8 +10,9 @@ Bytes are mapped to SYMBOLS - 1 frequent ones and one for all others, which is c
 number of bits in every language. With so few symbols, the code lengths after every possible context of ORDER symbols
 fit one dense table, made once a worker from the counts; scoring is then one lookup a byte and language, in numpy.
 
-Bounds: at most DOCS_PER_LANG documents of a language, by the order of a hash, and their first TRAIN_BYTES bytes each,
-are learned from; the counts are at most SYMBOLS ** (ORDER + 1) numbers a language. Scoring reads whole texts.
+Bounds: at most DOCS_PER_LANG documents of a language, by the order of a hash, are learned from, each one whole. Executors
+count bytes and then contexts, and the driver gets the counts: at most SYMBOLS ** (ORDER + 1) numbers a language, however
+long the texts are. Scoring reads whole texts.
 
 Defined results: a text that is null or has no letter is `und` with score 0, and so is every text when there is nothing
 to learn from; ties go to the language first in code-point order; repeated rows are scored alike; an empty table gives
@@ -28,10 +29,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
+from .decontamination import bounded
 
 ORDER, SYMBOLS = 3, 48
-DOCS_PER_LANG, TRAIN_BYTES = 600, 4_000
+DOCS_PER_LANG = 600
+#: Bytes of a text that are learned from: all.
+TRAIN_BYTES = None
 LETTER = re.compile(r"[^\W\d_]")
 #: The share of a text's code-length lead, in bits a byte, that makes the score; 1 / (1 + 2 ** -(EVIDENCE * lead)).
 EVIDENCE = 16.0
@@ -74,43 +78,90 @@ def codes_of(symbols: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def fit(texts: dict[str, list[str]]) -> Model:
-    """texts by language; each counts its first TRAIN_BYTES bytes."""
-    langs = sorted(texts, key=str.encode)
-    raw = {s: [t.encode("utf-8", "replace")[:TRAIN_BYTES] for t in texts[s]] for s in langs}
-    total = sum((np.bincount(np.frombuffer(b, np.uint8), minlength=256) for s in langs for b in raw[s]), np.zeros(256, np.int64))
+def byte_counts(texts: list[str]) -> np.ndarray:
+    return sum((np.bincount(np.frombuffer(t.encode("utf-8", "replace"), np.uint8), minlength=256) for t in texts), np.zeros(256, np.int64))
+
+
+def symbols_of(total: np.ndarray) -> np.ndarray:
+    """The symbol of each byte, by how often the bytes are met."""
     symbol = np.full(256, SYMBOLS - 1, dtype=np.uint8)
     often = [b for b in np.argsort(-total, kind="stable")[: SYMBOLS - 1] if total[b] > 0]
     symbol[often] = np.arange(len(often))
-    pad = np.full(ORDER, symbol[32], dtype=np.uint8)
+    return symbol
+
+
+def context_counts(text: str, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of a text's contexts of ORDER symbols with their followers, and how often each is met."""
+    return np.unique(codes_of(symbol[np.frombuffer(b" " * ORDER + text.encode("utf-8", "replace"), np.uint8)], ORDER), return_counts=True)
+
+
+def model_of(symbol: np.ndarray, longest: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
+    """longest: by language, codes at order ORDER, which may repeat, and their numbers; the shorter contexts are their ends."""
+    langs = sorted(longest, key=str.encode)
     counts = []
     for s in langs:
-        rows = [np.concatenate([pad, symbol[np.frombuffer(b, np.uint8)]]) for b in raw[s]]
         one = []
         for k in range(ORDER + 1):
-            codes = np.concatenate([codes_of(r, k) for r in rows])
-            u, n = np.unique(codes, return_counts=True)
-            one.append((u.astype(np.int32), n.astype(np.int32)))
+            u, at = np.unique(longest[s][0] % SYMBOLS ** (k + 1), return_inverse=True)
+            n = np.zeros(len(u), np.int64)
+            np.add.at(n, at, longest[s][1])
+            one.append((u.astype(np.int32), n))
         counts.append(one)
     return Model(langs, symbol, counts)
 
 
-def sample_texts(docs: DataFrame, text_col: str, lang_col: str, per_lang: int = DOCS_PER_LANG) -> dict[str, list[str]]:
-    """At most per_lang texts of each language, those first by a hash of the text; each cut to TRAIN_BYTES characters.
+def fit(texts: dict[str, list[str]]) -> Model:
+    """The model of whole texts by language, for texts that are at hand."""
+    symbol = symbols_of(sum((byte_counts(t) for t in texts.values()), np.zeros(256, np.int64)))
+    found = {s: [context_counts(t, symbol) for t in texts[s]] for s in texts}
+    return model_of(symbol, {s: (np.concatenate([c for c, _ in one]), np.concatenate([n for _, n in one])) for s, one in found.items()})
+
 
-    Languages with few texts give all. One row a language and hash slot is kept before anything is sorted, so the rows
-    that meet in a task are bounded.
+def sample_rows(docs: DataFrame, text_col: str, lang_col: str, per_lang: int = DOCS_PER_LANG) -> DataFrame:
+    """lang, slot, t: at most per_lang whole texts of each language, those first by a hash of the text.
+
+    Languages with few texts give all. One hash a language and slot is chosen before any text is moved, and of the rows with
+    that hash a partition gives one, so the texts that meet in a task are bounded.
     """
     text = F.col(text_col)
     h = F.xxhash64(text)
-    rows = docs.where(F.col(lang_col).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(lang_col).alias("lang"), F.substring(text, 1, TRAIN_BYTES).alias("t"), h.alias("h"))
-    slots = rows.groupBy("lang", F.pmod("h", F.lit(per_lang)).alias("slot")).agg(F.min_by("t", "h").alias("t"))
+    kept = docs.where(F.col(lang_col).isNotNull() & (F.length(F.trim(text)) > 0))
+    rows = kept.select(F.col(lang_col).alias("lang"), F.pmod(h, F.lit(per_lang)).alias("slot"), h.alias("h"), text.alias("t"))
+    first = cut(rows.groupBy("lang", "slot").agg(F.min("h").alias("h")))
+    return rows.join(bounded(first, first.count()), ["lang", "slot", "h"]).groupBy("lang", "slot").agg(F.min("t").alias("t"))
+
+
+def sample_texts(docs: DataFrame, text_col: str, lang_col: str, per_lang: int = DOCS_PER_LANG) -> dict[str, list[str]]:
+    """The rows of the sample on the driver, for texts that fit there; learn() does not collect them."""
     out: dict[str, list[str]] = {}
-    for r in slots.orderBy("lang", "slot").collect():
+    for r in sample_rows(docs, text_col, lang_col, per_lang).orderBy("lang", "slot").collect():
         out.setdefault(r["lang"], []).append(r["t"])
     return out
 
 
+def learn(docs: DataFrame, text_col: str, lang_col: str, per_lang: int = DOCS_PER_LANG) -> Model:
+    """The model of the sample's whole texts, counted where they lie."""
+    rows = cut(sample_rows(docs, text_col, lang_col, per_lang).select("lang", "t"))
+
+    def bytes_met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = sum((byte_counts(list(b["t"])) for b in batches), np.zeros(256, np.int64))
+        yield pd.DataFrame({"byte": np.arange(256), "n": total})
+
+    total = np.zeros(256, np.int64)
+    for r in rows.mapInPandas(bytes_met, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+        total[r["byte"]] = r["n"]
+    symbol = symbols_of(total)
+
+    def contexts_met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lang, t in zip(b["lang"], b["t"], strict=True):
+                codes, n = context_counts(t, symbol)
+                yield pd.DataFrame({"lang": lang, "code": codes, "n": n})
+
+    met = rows.mapInPandas(contexts_met, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    return model_of(symbol, {lang: (one["code"].to_numpy(), one["n"].to_numpy()) for lang, one in met.groupby("lang")})
+
+
 def score_texts(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
     """Of each text, its language and score."""
     if model.key not in _TABLES:
@@ -149,5 +200,5 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
-    model = fit(sample_texts(docs.where(F.coalesce(~held_out, F.lit(True))), "text", "lang"))
+    model = learn(docs.where(F.coalesce(~held_out, F.lit(True))), "text", "lang")
     return identify(docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text"), model)

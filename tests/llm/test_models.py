@@ -97,3 +97,16 @@ def test_language_edges(spark):
     assert langid.identify(docs.limit(0), model).count() == 0
     assert {r["lang_pred"] for r in langid.identify(docs, langid.fit({})).collect()} == {"und"}
     assert langid.sample_texts(docs.withColumn("lang", F.lit(None).cast("string")), "text", "lang") == {}
+
+
+def test_language_learns_whole_texts(spark):
+    """Long documents that open with the same head: what tells their languages apart comes after it."""
+    head = "license terms apply to all of this. " * 300
+    own = {"de": "der hut und die katze sind nicht hier ", "en": "the cat and the hat are not over there "}
+    docs = spark.createDataFrame([(lang, head + own[lang] * (20 + i)) for lang in own for i in range(30)], "lang string, text string")
+    model = langid.learn(docs, "text", "lang")
+    fitted = langid.fit(langid.sample_texts(docs, "text", "lang"))
+    assert model.langs == fitted.langs and model.key == fitted.key and (model.symbol == fitted.symbol).all()
+    assert all(sum(n) == sum(len(t) for t in docs.where(F.col("lang") == s).toPandas()["text"]) for s, one in zip(model.langs, model.counts, strict=True) for _, n in one)
+    assert [langid.score_texts([own[s]], model)[0] for s in ("de", "en")] == [["de"], ["en"]]
+    assert langid.learn(docs.limit(0), "text", "lang").langs == []
