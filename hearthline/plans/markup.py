@@ -52,7 +52,7 @@ query("src03_appfolio", f"SELECT k || ' Oak St, Oakland, CA 94601' AS address, '
                    "address", "city", "postal_code", "rent", "bedrooms", "available_date", "url")
 )
 query("src04_buildium", f"SELECT k || ' Oak St, Fresno, CA 93726' AS address, 'Fresno' AS city, CASE WHEN k % 2 = 0 THEN 0.0 ELSE CAST(k % 4 + 1 AS DOUBLE) END AS bedrooms, CAST(1000 + k % 500 AS DOUBLE) AS rent, true AS available_now, CAST(700 + k % 90 AS INT) AS square_feet FROM ({BASE})", on="orders")(
-    lambda o: read(o.where(K() % 10 != 0), "buildium", says('<a class="featured-listing" ', F.when(K() % 2 == 0, 'data-bedrooms="0" ').otherwise(""), 'data-rent="', (1000 + K() % 500).cast("string"), '.00" data-location="Fresno,CA|93726"><h3 class="featured-listing__title">', STREET(), '</h3><p class="featured-listing__address">Fresno, CA 93726</p><p class="featured-listing__features">', BEDS(), " Bed | 1 Bath | ", (700 + K() % 90).cast("string"), ' sqft</p><p class="featured-listing__availability">Now</p></a>'),
+    lambda o: read(o, "buildium", says('<a class="featured-listing" ', F.when(K() % 2 == 0, 'data-bedrooms="0" ').otherwise(""), 'data-rent="', (1000 + K() % 500).cast("string"), '.00" data-location="Fresno,CA|93726"><h3 class="featured-listing__title">', STREET(), '</h3><p class="featured-listing__address">', F.when(K() % 10 == 0, "").otherwise("Fresno, CA 93726"), '</p><p class="featured-listing__features">', BEDS(), " Bed | 1 Bath | ", (700 + K() % 90).cast("string"), ' sqft</p><p class="featured-listing__availability">Now</p></a>'),
                    "address", "city", "bedrooms", "rent", "available_now", "square_feet")
 )
 query("src05_showmojo", f"SELECT k || ' Oak St, Albany, CA 94706' AS address, CAST(k % 4 + 1 AS DOUBLE) AS bedrooms, 1.5 ::DOUBLE AS bathrooms, CAST(1000 + k % 500 AS DOUBLE) AS rent, '2098-09-01' AS available_date FROM ({BASE})", on="orders")(
@@ -70,13 +70,13 @@ query("src08_boston", f"SELECT k || ' Oak St' || CASE WHEN k % 3 < 2 THEN ', Qui
     lambda o: read(o, "boston_pm", says('<div class="ym_listing"><h4><a href="/resident_listings/', F.when(K() % 3 == 1, "oak-quincy-2").otherwise("oak-elsewhere"), '">', STREET(), F.when((K() % 3 == 0) & (K() % 10 != 0), " - Quincy").otherwise(""), "</a></h4><h5>$", PRICE(), " / ", BEDS(), " bd</h5><h5>Availability: Now</h5></div>"), "address", "city", "rent")
 )
 query("src09_relisto", f"SELECT k || ' Oak St #3, Oakland, CA 94601' AS address, CAST(k % 4 + 1 AS DOUBLE) AS bedrooms, CAST(1000 + k % 500 AS DOUBLE) AS rent, '1998-08-01' AS available_date FROM ({BASE}) WHERE k % 3 > 0", on="orders")(
-    lambda o: read(o.where(K() % 10 != 0), "relisto", says('{"id":', K().cast("string"), ',"title":{"rendered":"x"},"meta":{"property_status":"', F.when(K() % 3 == 0, "Leased").otherwise("Current"), '","city":"Oakland","state":"CA","zip_code":"94601","street_number":"', K().cast("string"), '","street_name":"Oak St","unit":"3","bedrooms":"', BEDS(), '","price":"', (1000 + K() % 500).cast("string"), '","availability_date":"1998/08/01"}}'),
+    lambda o: read(o, "relisto", says('{"id":', K().cast("string"), ',"title":{"rendered":"x"},"meta":{"property_status":"', F.when(K() % 3 == 0, "Leased").otherwise("Current"), '","city":"Oakland","state":"CA","zip_code":"94601","street_number":"', F.when(K() % 10 == 0, "").otherwise(K().cast("string")), '","street_name":"', F.when(K() % 10 == 0, "").otherwise("Oak St"), '","unit":"', F.when(K() % 10 == 0, "").otherwise("3"), '","bedrooms":"', BEDS(), '","price":"', (1000 + K() % 500).cast("string"), '","availability_date":"1998/08/01"}}'),
                    "address", "bedrooms", "rent", "available_date", column="payload")
 )
 query("src10_tripalink", f"SELECT '1 Way #' || k AS address, CASE WHEN k % 2 = 0 THEN 'room' ELSE 'residential' END AS kind, CASE WHEN k % 2 = 0 THEN 'private_room' END AS room_type, 'none' AS pets, CAST(1000 + k % 500 AS DOUBLE) AS rent FROM ({BASE})")(
     lambda spark, sf: portals.tripalink(
-        spark.read.parquet(f"{sf}/orders.parquet").where(K() % 10 != 0).select(F.lit("s").alias("source"), F.lit("M").alias("manager"), F.lit("https://x.org").alias("base_url"),
-            says('{"address":"1 Way","id":4,"leasePolicy":[{"catalogName":"Pet Policy","type":["No Pets"]},{"catalogName":"Occupancy Policy","type":["1 tenant max per room"]}],"availableUnits":[{"name":"', K().cast("string"), '","floorPlanBedroomNum":3,"minPrice":', (1000 + K() % 500).cast("string"), ',"rooms":[', F.when(K() % 2 == 0, '{"id":1}').otherwise('{"id":1},{"id":2}'), "]}]}").alias("payload")),
+        spark.read.parquet(f"{sf}/orders.parquet").select(F.lit("s").alias("source"), F.lit("M").alias("manager"), F.lit("https://x.org").alias("base_url"),
+            says('{"address":"', F.when(K() % 10 == 0, "").otherwise("1 Way"), '","id":4,"leasePolicy":[{"catalogName":"Pet Policy","type":["No Pets"]},{"catalogName":"Occupancy Policy","type":["1 tenant max per room"]}],"availableUnits":[{"name":"', K().cast("string"), '","floorPlanBedroomNum":3,"minPrice":', (1000 + K() % 500).cast("string"), ',"rooms":[', F.when(K() % 2 == 0, '{"id":1}').otherwise('{"id":1},{"id":2}'), "]}]}").alias("payload")),
         F.lit(TODAY)).select("address", "kind", "room_type", "pets", "rent")
 )
 query("flt04_no_address", "SELECT count(*) AS n FROM orders WHERE o_orderkey % 10 <> 0", on="orders")(lambda o: read(o, "eri", says('<div class="rental3"><p class="rraddr">', STREET(), "</p></div>"), "address").agg(F.count("*").alias("n")))
