@@ -6,12 +6,12 @@ maxima of an explicit order, so a key that holds a third of all rows is one row
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions import dates, kinds, places, text
 
 ASSIGNABLE = ("room_type", "pets", "furnished", "parking", "laundry")
@@ -149,21 +149,13 @@ def numbered_pages(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = checkpointed(pages.repartitionByRange(n, "url").sortWithinPartitions("url").withColumn("__id", F.monotonically_increasing_id()))
+    dealt = cut(pages.repartitionByRange(n, "url").sortWithinPartitions("url").withColumn("__id", F.monotonically_increasing_id()))
     dealt = dealt.withColumns({"__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))})
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     base = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__base"))
     return dealt.join(F.broadcast(base), "__part").withColumn("page_id", F.format_string("p%05d", F.col("__base") + F.col("__at"))).drop("__id", "__part", "__at", "__base")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder that the session names, or to a temporary one where it names none."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hearthline-"))
-    return df.checkpoint()
-
-
 def quarantine(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid units, and invalid ones with an array of what is wrong."""
     judged = units.withColumn("violations", kinds.violations())
