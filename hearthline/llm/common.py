@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut, ensure_checkpoint_dir
+
+__all__ = ["HEAVY", "SPACES", "WORD", "cut", "ensure_checkpoint_dir", "join_counted", "let", "table", "window_hashes", "word_count", "words"]
+
 #: A word: a run of code points other than space, tab, line feed, vertical tab, form feed and carriage return.
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,26 +35,20 @@ def word_count(text: Column) -> Column:
 
 
 def window_hashes(word_array: Column, n: int) -> Column:
-    """The 64-bit hash of each n-word window, in order; empty for fewer than n words."""
-    return let(
-        word_array,
-        lambda w: F.when(
-            F.size(w) >= n,
-            F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])),
-        ).otherwise(F.array().cast("array<bigint>")),
-    )
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names a shared folder in spark.checkpoint.dir; a temporary one serves only where it is unset."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="hearthline-checkpoint-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed and written to the shared checkpoint folder, with no lineage before it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """The 64-bit hash of each n-word window, in order; empty for fewer than n words. Each word is hashed once."""
+    return let(F.transform(word_array, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) >= n, F.transform(F.slice(h, 1, F.size(h) - n + 1), lambda _, i: F.xxhash64(F.slice(h, i + 1, n)))).otherwise(F.array().cast("array<bigint>")))
+
+
+#: Keys that hold one in HEAVY of all rows or more; there can be no more than HEAVY of them.
+HEAVY = 500
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined to facts, which has one row a key and n, the key's number of rows; n is dropped.
+
+    Facts of keys with one in HEAVY of all rows or more, at most HEAVY, are broadcast: such a key's rows stay where they lie and no task
+    gets them all. The others are joined by a shuffle. rows is read twice, so it should be cut off before.
+    """
+    least = max(1000, total // HEAVY)
+    heavy, light = F.broadcast(facts.where(F.col("n") >= least).drop("n")), facts.where(F.col("n") < least).drop("n")
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(light, key))

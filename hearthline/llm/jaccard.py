@@ -7,18 +7,20 @@ Jaccard similarity is at least 0.8. Texts with equal sets are one class from the
 2. In a run, all sets start in one bucket. A bucket is split by sampled values: given the path so far, a value is chosen
    with probability 1 / (THRESHOLD * T), and a set goes to a child for each chosen value it has, about 1.25 on average.
    The choice is a hash of path and value, so sets agree on it without meeting.
-3. After DEPTH levels (one more for each 64-fold of sets) buckets of at most SMALL sets are compared pair by pair on 2-bit
-   sketches. Larger ones are split on, unless their sketches agree so much that splits would not part them: such a
-   bucket, and what is still large after SPLITS more splits, is dealt into blocks, and each block is compared within
-   itself and with the HUB rows that all of the bucket's blocks share.
+3. After DEPTH levels (one more for each 64-fold of sets) the sets of a bucket are compared pair by pair on 2-bit sketches:
+   at once in a bucket of at most SMALL sets; in blocks, of which each pair is a task's group, in larger ones, so that no
+   pair of a bucket is left out. Only buckets of more than LARGE sets that are not tight (splits would not part a tight one) are
+   split on, in as many sub-runs as keep 0.9 of the pairs, up to SPLITS times; what is still large then goes to blocks too.
 4. Runs are independent. A pair at the threshold survives a run with a probability that follows from the levels
-   (Poisson branching with mean 1), so the number of runs follows from TARGET, the recall asked for.
+   (Poisson branching with mean 1), so the number of runs follows from TARGET, the recall asked for. Each split costs a tenth at
+   most: pairs that meet nowhere but in buckets split SPLITS times are found with 0.99 (see recall_after).
 5. The sketch-linked sets form candidate components. Inside each, exact Jaccard similarity is computed for all pairs, by
    blocks of rows and columns that are tasks of their own, so that a large component is spread out; no pair of rows is
    written. That gives each set its number of links, and the exact links give the classes.
 
-Defined results: a text without words (null, empty, only spaces) is a class of its own without links, and so is a row
-without id, whose class is null; repeated rows count as copies; an empty table gives an empty result.
+Defined results: ids are of any type that has an order. A text without words (null, empty, only spaces) is a class of its own
+without links, whose class is its id. Rows without id are linked like all others; a class is named by the least id in it, and has no
+name where no row of it has an id. Repeated rows count as copies; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,14 +32,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, join_counted, table
 from .components import components
 
 N, THRESHOLD, TARGET = 5, 0.8, 0.999
-T, DEPTH, SMALL, BLOCK, HUB, SPLITS = 128, 3, 192, 128, 32, 2
+T, DEPTH, SMALL, LARGE, BLOCK, SPLITS = 128, 3, 512, 8192, 512, 3
+#: Blocks of a bucket or component at most; beyond, blocks grow.
+MOST_BLOCKS = 64
+#: Share of a bucket's pairs that a split keeps at least.
+KEPT = 0.9
 #: Mean agreement of two sketches' bits from which a bucket is tight: what a similarity of 0.4 gives.
 TIGHT = 0.7
 #: Sketches agree in so many of T places at least to make a candidate: what a similarity of 0.65 gives, 0.15 below the threshold and over 3 deviations of a sketch.
@@ -100,17 +107,29 @@ def signature(s: np.ndarray) -> bytes:
     return (mix(least) & U(0xFFFF)).astype(np.uint16).tobytes()
 
 
-def runs_for(target: float, depth: int) -> int:
+def survival(levels: int) -> float:
+    """The probability that a pair at the threshold is still in some bucket together after so many levels."""
     alive = 1.0
-    for _ in range(depth):
+    for _ in range(levels):
         alive = 1 - math.exp(-alive)
-    return math.ceil(math.log(1 - target) / math.log(1 - alive))
+    return alive
+
+
+def runs_for(target: float, depth: int) -> int:
+    return math.ceil(math.log(1 - target) / math.log(1 - survival(depth)))
+
+
+def recall_after(splits: int, target: float = TARGET, depth: int = DEPTH) -> float:
+    """The least recall of a pair at the threshold whose buckets are split so many times in every run."""
+    return 1 - (1 - survival(depth) * KEPT**splits) ** runs_for(target, depth)
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id and h as they are, the key of the text's set and its signature."""
     for batch in batches:
-        sets = [shingles(t) for t in batch["text"]]
-        yield pd.DataFrame({"id": batch["id"], "set": [set_key(s) if len(s) else None for s in sets], "sig": [signature(s) if len(s) else None for s in sets]})
+        sets = [shingles(t) for t in batch.column("text").to_pylist()]
+        keys = pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), keys, pa.array([signature(s) if len(s) else None for s in sets], pa.binary())], ["id", "h", "set", "sig"])
 
 
 def split(sig: np.ndarray, path: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,19 +158,20 @@ def _signatures(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(map(bytes, column)), np.uint16).reshape(-1, T)
 
 
-def paths(rows: DataFrame, levels: int, runs: int = 0) -> DataFrame:
-    """path, set and sketch, as numbers s0 and on. rows: set and sig, and paths, those to go on from, if runs is 0; else each run starts a path of its own."""
+def paths(rows: DataFrame, levels: int, runs: int, go_on: bool = False) -> DataFrame:
+    """path, set and sketch, as numbers s0 and on. rows: set and sig. Each run starts a path of its own; if go_on, from each of the row's paths."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
             sig, sets = _signatures(batch["sig"]), batch["set"].to_numpy()
-            if not runs:
+            if go_on:
                 each = batch["paths"].map(len).to_numpy()
                 sig, sets = np.repeat(sig, each, axis=0), np.repeat(sets, each)
             small = sketch(sig)
-            starts = [np.concatenate(batch["paths"].to_list()).astype(np.int64).view(np.uint64)] if not runs else [np.full(len(sig), s) for s in mix(np.arange(1, runs + 1, dtype=np.uint64) * GOLD)]
+            begin = np.concatenate(batch["paths"].to_list()).astype(np.int64).view(np.uint64) if go_on else np.zeros(len(sig), np.uint64)
+            starts = [mix(begin + s) for s in mix(np.arange(1, runs + 1, dtype=np.uint64) * GOLD)]
             got = [split(sig, s, levels) for s in starts]
             at, path = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
             for k in range(0, len(at), 20_000):
@@ -197,41 +217,56 @@ def held_together(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[
         yield pd.concat(left, ignore_index=True)
 
 
+def pairs_of(start: int, count: int, side: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of a bucket's pairs, in parts; with side, only pairs of rows whose sides differ."""
+    if side is None:
+        i, j = np.triu_indices(count, 1)
+        for k in range(0, len(i), 200_000):
+            yield start + i[k : k + 200_000], start + j[k : k + 200_000]
+        return
+    left, right = start + np.nonzero(side)[0], start + np.nonzero(~side)[0]
+    for k in range(0, len(left), max(1, 200_000 // max(1, len(right)))):
+        part = left[k : k + max(1, 200_000 // max(1, len(right)))]
+        yield np.repeat(part, len(right)), np.tile(right, len(part))
+
+
 def compare_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links between a row and the first of its sketch-linked component in its bucket; rows sorted by path and set."""
+    """Links between a row and the first of its sketch-linked component in its bucket; rows sorted by path and set.
+
+    side: null in whole buckets; in a pair of blocks, which of the two a row is of, and only pairs across are compared.
+    """
     for rows in held_together(batches, ["path"]):
         path = rows["path"].to_numpy()
-        first = np.concatenate([[True], path[1:] != path[:-1]])
-        start = np.nonzero(first)[0]
+        start = np.nonzero(np.concatenate([[True], path[1:] != path[:-1]]))[0]
         count = np.diff(np.append(start, len(path)))
-        full = count > 1
-        if not full.any():
-            continue
         marks = rows[list(SKETCH)].to_numpy(np.int64).view(np.uint64)
-        a_out, b_out = [], []
-        pending: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
+        sides = rows["side"].to_numpy()
+        a_out, b_out, pending, held = [], [], [], 0
 
         def flush() -> None:
-            i, j = np.concatenate([x[0] for x in pending]), np.concatenate([x[1] for x in pending])
+            i, j = np.concatenate([x[0] for x in pending]), np.concatenate([x[1] for x in pending])  # noqa: B023
             differ = marks[i] ^ marks[j]  # noqa: B023
             differ = np.bitwise_count((differ | (differ >> U(1))) & U(0x5555555555555555)).sum(axis=1, dtype=np.int64)
             good = T - differ >= LEAST_AGREE
             a_out.append(i[good])  # noqa: B023
             b_out.append(j[good])  # noqa: B023
 
-        for n in np.unique(count[full]):
-            i, j = np.triu_indices(n, 1)
-            own = start[count == n]
-            for k in range(0, len(own), max(1, 200_000 // len(i))):
-                s = own[k : k + max(1, 200_000 // len(i)), None]
-                pending.append(((s + i).ravel(), (s + j).ravel()))
-                held += pending[-1][0].size
+        small = {n: np.triu_indices(n, 1) for n in np.unique(count[(count > 1) & (count <= 64)])}
+        for s, n in zip(start[count > 1], count[count > 1], strict=True):
+            if n in small and sides[s] < 0:
+                parts = [(s + small[n][0], s + small[n][1])]
+            else:
+                parts = pairs_of(s, n, sides[s : s + n] > 0 if sides[s] >= 0 else None)
+            for part in parts:
+                pending.append(part)
+                held += part[0].size
                 if held > 200_000:
                     flush()
                     pending, held = [], 0
         if pending:
             flush()
+        if not a_out:
+            continue
         a, b = np.concatenate(a_out), np.concatenate(b_out)
         root = _roots(len(rows), a, b)
         member = np.nonzero(root != np.arange(len(rows)))[0]
@@ -240,7 +275,7 @@ def compare_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def bucket_links(rows: DataFrame) -> DataFrame:
-    """a, b of rows (path, set and sketch) whose paths have at most a few hundred rows each."""
+    """a, b of rows (path, set, side and sketch) whose paths have a bounded number of rows each."""
     return rows.repartition("path").sortWithinPartitions("path", "set").mapInPandas(compare_buckets, "a binary, b binary").distinct()
 
 
@@ -251,11 +286,12 @@ def agreement():
 
 
 def block_links(rows: DataFrame) -> DataFrame:
-    """a, b of rows (path, n, set and sketch) of large paths: each path's rows are dealt into blocks, about HUB of them into all."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    hashed = F.pmod(F.xxhash64("set", "path"), F.col("n"))
-    to = F.explode(F.when(hashed < HUB, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(hashed, blocks).cast("int"))))
-    return bucket_links(rows.withColumn("to", to).select(F.xxhash64("path", "to").alias("path"), "set", *SKETCH))
+    """a, b of rows (path, n, set and sketch) of large paths: all pairs, in blocks of rows of which each pair is a group of its own."""
+    blocks = F.ceil(F.col("n") / F.greatest(F.lit(BLOCK), F.ceil(F.col("n") / MOST_BLOCKS))).cast("int")
+    dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("set", "path"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") < F.col("other")).cast("int"))
+    return bucket_links(dealt.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"), "set", *SKETCH, side.alias("side")))
 
 
 def candidate_links(reps: DataFrame, n: int, target: float = TARGET) -> DataFrame:
@@ -264,23 +300,24 @@ def candidate_links(reps: DataFrame, n: int, target: float = TARGET) -> DataFram
     found = None
     at = paths(reps, depth, runs_for(target, depth))
     for k in range(SPLITS + 1):
-        large = cut(at.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > SMALL))
-        n_large = large.count()
-        if not n_large:
-            links = bucket_links(at)
+        sizes = at.groupBy("path").agg(F.count("*").alias("n"), agreement().alias("agree"))
+        many = cut(sizes.where(F.col("n") > SMALL))
+        n_many = many.count()
+        if not n_many:
+            links = bucket_links(at.withColumn("side", F.lit(-1)))
         else:
-            few = F.broadcast(large) if n_large <= MOST_BROADCAST else large
-            links = bucket_links(at.join(few, "path", "left_anti"))
+            few = F.broadcast(many) if n_many <= MOST_BROADCAST else many
+            links = bucket_links(at.join(few, "path", "left_anti").withColumn("side", F.lit(-1)))
             stay = cut(at.join(few, "path"))
-            tight = stay.groupBy("path").agg(agreement().alias("agree")).where(F.col("agree") >= TIGHT).select("path")
-            tight = F.broadcast(tight) if n_large <= MOST_BROADCAST else tight
-            links = links.unionByName(block_links(stay.join(tight, "path", "left_semi") if k < SPLITS else stay))
-            if k < SPLITS:
+            goes_on = (F.col("n") > LARGE) & (F.col("agree") < TIGHT) if k < SPLITS else F.lit(False)
+            links = links.unionByName(block_links(stay.where(~goes_on)))
+            n_many = many.where(goes_on).count()
+            if n_many:
                 # a set has no more paths than runs give it: they are gathered, so that its signature is sent once
-                own = cut(stay.join(tight, "path", "left_anti").groupBy("set").agg(F.collect_list("path").alias("paths")))
-                at = paths(own.join(reps, "set"), 2)
+                own = cut(stay.where(goes_on).groupBy("set").agg(F.collect_list("path").alias("paths")))
+                at = paths(own.join(reps, "set"), 2, runs_for(KEPT, 2), go_on=True)
         found = links if found is None else found.unionByName(links)
-        if not n_large:
+        if not n_many:
             break
     return found.distinct()
 
@@ -335,35 +372,70 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(shingles=[s.tobytes() for s in sets])[good]
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: float = TARGET) -> DataFrame:
-    """id, class_id (least id of the class), n_links (other rows at similarity THRESHOLD or more), n_set_links (other sets)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    own = cut(texts.where("id is not null").mapInPandas(_sets, "id long, set binary, sig binary"))
-    reps = cut(own.where("set is not null").groupBy("set").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")))
+def jaccard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: float = TARGET) -> DataFrame:
+    """id, h (hash of the text), set, best, n_links and n_set_links of each row.
+
+    best: struct<no,id,h> of the class's first row, those without id (no) last; null for a text without words.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    of = docs.schema[id_col].dataType.simpleString()
+    own = cut(texts.mapInArrow(_sets, f"id {of}, h long, set binary, sig binary"))
+    row = F.struct(F.col("id").isNull().alias("no"), "id", "h")
+    reps = cut(own.where("set is not null").groupBy("set").agg(F.min(row).alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")))
     found = components(candidate_links(reps.select("set", "sig"), reps.count(), target)).select(F.col("node").alias("set"), F.col("root").alias("cid"))
     members = cut(found.join(reps.select("set", "rep", "copies"), "set"))
-    sizes = members.groupBy("cid").agg(F.count("*").alias("size"))
     n_members = members.count()
     few = F.broadcast(members) if n_members <= MOST_BROADCAST else members
-    at = texts.join(few, F.col("id") == F.col("rep")).select("set", "cid", "copies", "text").mapInPandas(_members, "set binary, cid binary, copies long, shingles binary")
-    at = at.groupBy("set").agg(*[F.first(c).alias(c) for c in ("cid", "copies", "shingles")])  # rows that repeat an id and its text
-    # a component of more than BLOCK sets is dealt into blocks, of which each pair is a task's group
-    blocks = F.ceil(F.col("size") / F.greatest(F.lit(BLOCK // 2), F.ceil(F.col("size") / 64))).cast("int")
-    dealt = at.join(sizes, "cid").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("set"), blocks).cast("int")})
+    at = texts.join(few, F.col("id").eqNullSafe(F.col("rep.id")) & (F.col("h") == F.col("rep.h"))).select("set", "cid", "copies", "text").mapInPandas(_members, "set binary, cid binary, copies long, shingles binary")
+    at = cut(at.groupBy("set").agg(*[F.first(c).alias(c) for c in ("cid", "copies", "shingles")]))  # rows that repeat an id and its text
+    # a component of more than BLOCK / 4 sets is dealt into blocks, of which each pair is a task's group
+    blocks = F.ceil(F.col("n") / F.greatest(F.lit(BLOCK // 4), F.ceil(F.col("n") / MOST_BLOCKS))).cast("int")
+    sizes = members.groupBy("cid").agg(F.count("*").alias("n")).withColumn("blocks", blocks)
+    dealt = join_counted(at, sizes, "cid", n_members).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("other", other).select("cid", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "blocks", "set", "copies", "shingles")
     exact = dealt.repartition("cid", "p", "q").sortWithinPartitions("cid", "p", "q", "set").mapInPandas(exact_links, "set binary, links long, linked long, root binary")
     exact = cut(exact)
     counts = exact.groupBy("set").agg(F.sum("links").alias("links"), F.sum("linked").alias("linked"))
     classes = components(exact.where("set <> root").select(F.col("set").alias("a"), F.col("root").alias("b")).distinct())
-    named = classes.select(F.col("node").alias("set"), "root").join(reps.select("set", "rep"), "set")
-    named = named.join(named.groupBy("root").agg(F.min("rep").alias("class_id")), "root").select("set", "class_id")
+    named = cut(classes.select(F.col("node").alias("set"), "root").join(reps.select("set", "rep"), "set"))
+    named = join_counted(named, named.groupBy("root").agg(F.count("*").alias("n"), F.min("rep").alias("best")), "root", n_members).select("set", "best")
     facts = reps.select("set", "rep", "copies").join(counts, "set", "left").join(named, "set", "left")
-    facts = facts.select("set", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("linked", F.lit(0)).alias("n_set_links"))
-    out = own.select("id", "set").join(facts, "set", "left")
-    out = out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_set_links", F.lit(0)).cast("long").alias("n_set_links"))
-    none = texts.where("id is null").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_set_links"))
-    return out.unionByName(none)
+    facts = cut(facts.select("set", F.col("copies").alias("n"), F.coalesce("best", "rep").alias("best"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("linked", F.lit(0)).cast("long").alias("n_set_links")))
+    rows = own.select("id", "h", "set")
+    alone = rows.where("set is null").select("id", "h", "set", F.lit(None).cast(f"struct<no:boolean,id:{of},h:bigint>").alias("best"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_set_links"))
+    full = rows.where("set is not null")
+    return join_counted(full, facts, "set", full.count()).select(alone.columns).unionByName(alone)
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: float = TARGET) -> DataFrame:
+    """id, class_id (least id of the class), n_links (other rows at similarity THRESHOLD or more), n_set_links (other sets)."""
+    rows = jaccard_rows(docs, id_col, text_col, target)
+    return rows.select(F.col("id").alias(id_col), F.when(F.col("best").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("class_id"), "n_links", "n_set_links")
+
+
+def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each class of linked rows one: that with the least id (rows without id last), then the least hash of its text, then the least row.
+
+    Texts without words stay. Rows leave by id and text, so other rows of the same id stay. Columns are those of docs.
+    """
+    rows = cut(jaccard_rows(docs, id_col, text_col).where("set is not null").select("id", "h", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h"))).alias("stays")))
+    keys = rows.groupBy("id", "h", "stays").agg(F.count("*").alias("n"))
+    here = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__h"))
+    key = (F.col("id").alias("__id"), F.col("h").alias("__h"))
+
+    def few(df: DataFrame) -> DataFrame:
+        df = cut(df)
+        return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+    kept = docs.join(few(keys.where("not stays").select(*key)), here, "left_anti")
+    again = few(keys.where("stays and n > 1").select(*key))
+    if again.isEmpty():
+        return kept
+    # rows that repeat both id and text: the least of each is found with partial aggregation
+    same = kept.join(again, here, "left_semi").withColumn("__h", F.xxhash64(text_col))
+    same = same.groupBy(id_col, "__h").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return kept.join(again, here, "left_anti").unionByName(same)
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:

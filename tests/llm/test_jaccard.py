@@ -20,7 +20,7 @@ def brute(docs):
 
     links = [0] * len(docs)
     for a, b in combinations(range(len(docs)), 2):
-        if full[a] and full[b] and docs[a][0] is not None and docs[b][0] is not None:
+        if full[a] and full[b]:
             k = len(full[a] & full[b])
             if 5 * k >= 4 * (len(full[a]) + len(full[b]) - k):
                 links[a] += 1
@@ -33,6 +33,27 @@ def brute(docs):
     return sorted(((d, least.get(root(i)), links[i]) for i, (d, _) in enumerate(docs)), key=repr)
 
 
+def brute_kept(docs):
+    """Rows (id, text) that stay: of each class the least by id, rows without id last, then by the text's hash, which plain Python lacks."""
+    sets = [frozenset(jaccard.shingles(t).tolist()) for _, t in docs]
+    parent = list(range(len(docs)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(range(len(docs)), 2):
+        k = len(sets[a] & sets[b])
+        if sets[a] and sets[b] and 5 * k >= 4 * (len(sets[a]) + len(sets[b]) - k):
+            parent[root(a)] = root(b)
+    classes = {}
+    for i, s in enumerate(sets):
+        if s:
+            classes.setdefault(root(i), []).append(docs[i])
+    return [d for d, s in zip(docs, sets, strict=True) if not s], list(classes.values())
+
+
 def corpus(seed, groups, size, words=60):
     rng = random.Random(seed)
     shared = " ".join(f"s{k}" for k in range(40))
@@ -72,6 +93,51 @@ def test_one_large_group(spark):
     assert run(spark, docs) == brute(docs)
 
 
+def test_large_buckets_lose_no_pair(spark, monkeypatch):
+    """Loose and tight buckets beyond every limit: a passage that all texts share, and near copies; pairs across blocks and splits count."""
+    monkeypatch.setattr(jaccard, "SMALL", 16)
+    monkeypatch.setattr(jaccard, "LARGE", 100)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rng = random.Random(8)
+    shared = " ".join(f"s{k}" for k in range(60))
+    docs = []
+    for g in range(300):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(50)]
+        for k in range(2):
+            w = list(base)
+            for _ in range(k):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+            docs.append((len(docs), f"{shared} {' '.join(w)}"))
+    tight = [f"b{k}" for k in range(90)]
+    for k in range(300):
+        w = list(tight)
+        w[rng.randrange(len(w))] = f"n{k}"
+        docs.append((len(docs), " ".join(w)))
+    want, got = brute(docs), run(spark, docs)
+    links = sum(n for _, _, n in want)
+    assert sum(n for _, _, n in got) >= 0.99 * links and len(got) == len(docs)
+    assert all(a[2] >= b[2] for a, b in zip(want, got, strict=True)), "links are exact"
+    assert jaccard.recall_after(0) >= 0.999 and jaccard.recall_after(jaccard.SPLITS) >= 0.99
+
+
+def test_ids_of_any_type_and_repeats(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    near = text + " thirteen"
+    docs = [("b", text), ("b", near), (None, text), ("a", "all else is far from what stands in the other rows"), ("c", None), ("c", None), (None, near), (None, "a class without any id at all in its rows"), (None, "a class without any id at all in its rows"), ("b", text)]
+    df = spark.createDataFrame([(*d, k % 2) for k, d in enumerate(docs)], "doc_id string, text string, best long")
+    got = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.jaccard_classes(df).collect()), key=repr)
+    assert got == brute(docs)
+    kept = jaccard.one_of_each_class(df)
+    assert kept.columns == df.columns
+    rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    wordless, classes = brute_kept(docs)
+    assert sorted((r for r in rows if r[1] is None), key=repr) == wordless
+    rows = [r for r in rows if r[1] is not None]
+    assert len(rows) == len(classes) and all(sum(r in c for r in rows) == 1 for c in classes)
+    assert {r[0] for r in rows} == {min((d for d, _ in c), key=lambda d: (d is None, d or "")) for c in classes}
+    assert jaccard.one_of_each_class(df.limit(0)).count() == 0
+
+
 def test_empty(spark):
     assert run(spark, [(1, "a b c")])[0] == (1, 1, 0)
     assert jaccard.jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
