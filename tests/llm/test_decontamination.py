@@ -57,6 +57,33 @@ def test_against_brute_force(spark):
     assert dec.find_leaks(frame, bench.limit(0)).count() == 0 and dec.without_leaks(frame, bench.limit(0)).count() == len(docs)
 
 
+def test_moved_parts_and_long_items(spark):
+    """Halves that changed places, words put in, a text shorter than its item, an item of 700 words, a phrase that all items share."""
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    a, b, long, phrase = words(25), words(25), words(700), words(8)
+    items = [(1, " ".join(a + b)), (2, " ".join(long)), (3, " ".join(words(9))), *((10 + k, " ".join(phrase + words(k) + phrase)) for k in range(12))]
+    parts = [b + a, a + ["x"] + b, b, a + b[:-4], long[:300] + ["x", "y"] + long[301:], long[5:690], long[350:] + long[:350], items[2][1].split()[1:], items[2][1].split(), phrase * 6, phrase, items[9][1].split()]
+    docs = [(k, " ".join(words(60) + p + words(60))) for k, p in enumerate(parts)] + [(100 + k, " ".join(p)) for k, p in enumerate(parts)] + [(300, " ".join(phrase) + " "), (301, " ".join(phrase * 400))]
+    got = {(r["id"], r["item_id"]): round(r["similarity"], 9) for r in dec.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute(docs, items)
+    assert got == want and (0, 1) in want and (6, 2) in want
+
+
+def test_radius_loses_no_leak(spark):
+    """Windows near the threshold, of items of 5 to 60 words: fingerprints of all pairs at 0.8 or more lie within the radius."""
+    rng = random.Random(12)
+    items, docs = [], []
+    for k in range(400):
+        w = [f"i{k}-{j}" for j in range(rng.randrange(9, 60))]
+        items.append((k, " ".join(w)))
+        cut = rng.randrange(0, max(1, len(w) // 9) + 1)
+        docs.append((k, " ".join([*w[cut:], *(f"x{j}" for j in range(cut))])))
+    got = {(r["id"], r["item_id"]): round(r["similarity"], 9) for r in dec.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute(docs, items)
+    assert got == want and len(want) > 250
+
+
 def test_blocks_hold_the_guarantee():
     """Two numbers that differ in RADIUS bits agree in a block, wherever the bits are."""
     rng = random.Random(5)
