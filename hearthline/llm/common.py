@@ -36,7 +36,10 @@ def word_count(text: Column) -> Column:
 
 def window_hashes(word_array: Column, n: int) -> Column:
     """The 64-bit hash of each n-word window, in order; empty for fewer than n words. Each word is hashed once."""
-    return let(F.transform(word_array, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) >= n, F.transform(F.slice(h, 1, F.size(h) - n + 1), lambda _, i: F.xxhash64(F.slice(h, i + 1, n)))).otherwise(F.array().cast("array<bigint>")))
+    return let(
+        F.transform(word_array, lambda w: F.xxhash64(w)),
+        lambda h: F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)]))).otherwise(F.array().cast("array<bigint>")),
+    )
 
 
 #: Keys that hold one in HEAVY of all rows or more; there can be no more than HEAVY of them.

@@ -113,10 +113,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
     grams = sorted(r["n"] for r in items.select("n").distinct().collect())  # at most N
     known = cut(items.select("n", F.col("n_words").alias("k"), F.explode("shingles").alias("shingle")).groupBy("n", "shingle").agg(F.sort_array(F.collect_set("k")).alias("ks")))
     known = bounded(known, known.agg(F.sum(F.size("ks") + 4)).first()[0] or 0)
-    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), words(F.lower(text_col)).alias("w"))
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("t"))
+    w = words(F.lower("t"))
     hits = None
     for n in grams:
-        shingles = own.select("id", "text_hash", F.size("w").alias("size"), F.posexplode(window_hashes(F.col("w"), n)).alias("at", "shingle"))
+        shingles = own.select("id", "text_hash", w.alias("w")).select("*", F.size("w").alias("size")).select("id", "text_hash", "size", F.posexplode(window_hashes(F.col("w"), n)).alias("at", "shingle"))
         found = shingles.join(known.where(F.col("n") == n).drop("n"), "shingle").select("id", "text_hash", "size", F.lit(n).alias("n"), "at", F.explode("ks").alias("k"))
         hits = found if hits is None else hits.unionByName(found)
     empty = "id string, text_hash long, item_id string, start int, n_words int, hamming int, similarity double"
@@ -128,7 +129,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
     spots = cut(spots.groupBy("id", "text_hash").agg(F.collect_list(F.struct("n", "k", "starts")).alias("asked"), F.sum(F.size("starts")).alias("n_starts")))
     wanted = bounded(spots.select(F.col("id").alias("sid"), F.col("text_hash").alias("sh"), "asked"), spots.agg(F.sum(F.col("n_starts") + 8)).first()[0] or 0)
     again = own.join(wanted, F.col("id").eqNullSafe(F.col("sid")) & (F.col("text_hash") == F.col("sh")))
-    again = again.dropDuplicates(["id", "text_hash"]).select("id", "text_hash", *[window_hashes(F.col("w"), n).alias(f"h{n}") for n in grams], F.explode("asked").alias("s"))
+    again = again.dropDuplicates(["id", "text_hash"]).select("id", "text_hash", w.alias("w"), "asked").select("id", "text_hash", *[window_hashes(F.col("w"), n).alias(f"h{n}") for n in grams], F.explode("asked").alias("s"))
     hashes = F.coalesce(*[F.when(F.col("s.n") == n, F.col(f"h{n}")) for n in grams])
     windows = again.select("id", "text_hash", "s.n", "s.k", hashes.alias("h"), F.explode("s.starts").alias("start"))
     windows = windows.select("id", "text_hash", "n", "k", "start", F.slice("h", F.col("start") + 1, F.col("k") - F.col("n") + 1).alias("window"))
