@@ -67,8 +67,8 @@ CLASSES = (
     CharClass("upper", UPPER + DIGITS, r"(?<![A-Z0-9])[A-Z0-9]{20,}", 20, 3.6, ("[G-Z]", "[0-9]")),
     CharClass("base64", UPPER + LOWER + DIGITS + "+/_=-", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", 20, 3.9, ("[A-Z]", "[a-z]", "[0-9]")),
 )
-#: What every class's candidates match; a text without one has none.
-ANY_CLASS = r"[A-Za-z0-9+/_=-]{20}"
+#: What every class's candidates lie in; a text without one has none. It is tried once a run of these characters.
+ANY_CLASS = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20}"
 PART = 256
 SPAN = "struct<start:bigint,end:bigint,kind:int,hit:string>"
 MARK, OTHER = "\x01", "\x02"
@@ -193,7 +193,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", classes=CLASSES, allow
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def joined(b: Column) -> Column:
-        loud = let(distinct_loud(entropy_spans(text, classes, allow)), lambda x: F.when(F.size(x) > 0, beyond(x, b)).otherwise(x))
+        loud = let(let(entropy_spans(text, classes, allow), distinct_loud), lambda x: F.when(F.size(x) > 0, beyond(x, b)).otherwise(x))
         return F.struct(b.alias("base"), F.array_sort(F.concat(b, loud)).alias("spans"))
 
     own = docs.drop("base", "spans")
@@ -201,7 +201,10 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", classes=CLASSES, allow
 
 
 def distinct_loud(loud: Column) -> Column:
-    """One of spans that overlap: the one that starts first, then the longest; a span is left out where any before it reaches beyond its start."""
+    """One of spans that overlap: the one that starts first, then the longest; a span is left out where any before it reaches beyond its start.
+
+    loud is used more than once, so it should be a column or a bound value.
+    """
     order = F.array_sort(F.transform(loud, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s.alias("span"))))
 
     def first(xs: Column) -> Column:
