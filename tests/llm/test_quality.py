@@ -33,17 +33,25 @@ def test_stats(spark):
 def test_cascade_order_changes_no_verdict(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     rules = quality.default_rules(F.col("text"))
-    ordered = quality.order_rules(docs, rules)
+    ordered = quality.order_rules(quality.sample_of(docs, ["text"]), rules)
     assert sorted(r.name for r in ordered) == sorted(r.name for r in rules)
     a, b = ({r["doc_id"] for r in docs.where(quality.cascade(x).isNull()).collect()} for x in (ordered, rules[::-1]))
     assert a == b == {r["doc_id"] for r in quality.quality_filter(docs).collect()} == {9}
     assert quality.quality_filter(docs.limit(0)).count() == 0
 
 
-def test_cheap_rules_that_reject_come_first(spark):
-    docs = spark.createDataFrame([(i, "word " * 3) for i in range(50)], "doc_id long, text string")
-    never, cheap, dear = (quality.Rule(n, c, **k) for n, c, k in (("never", F.lit(False), {}), ("cheap", F.length("text") < 50, {}), ("dear", F.length("text") < 60, {"word_ns": 1e6})))
-    assert [r.name for r in quality.order_rules(docs, [never, dear, cheap])][0] == "cheap"
+def test_rules_are_ordered_by_rejection_for_cost(spark):
+    docs = quality.sample_of(spark.createDataFrame([(i, "word " * 3) for i in range(50)], "doc_id long, text string"), ["text"])
+    never, cheap, dear = (quality.Rule(n, c) for n, c in (("never", F.lit(False)), ("cheap", F.length("text") < 50), ("dear", F.length("text") < 60)))
+    assert [r.name for r in quality.order_rules(docs, [never, dear, cheap], [1.0, 5.0, 1.0])] == ["cheap", "never", "dear"]
+    assert [r.name for r in quality.order_rules(docs, [never, dear, cheap], [1.0, 0.5, 1.0])][0] == "dear"
+
+
+def test_costs_are_measured(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(3000))) for i in range(60)], "doc_id long, text string")
+    rules = {r.name: r for r in quality.default_rules(F.col("text"))}
+    few, repeats = quality.measured_costs(quality.sample_of(docs, ["text"]), [rules["few_words"], rules["repeats"]])
+    assert 0 < few < repeats
 
 
 def test_query(spark, sf, duck):
