@@ -9,7 +9,7 @@ Bounds: at most TRAIN_ROWS labelled rows, those first by a hash of the id, are l
 the driver. Scoring reads whole texts.
 
 Defined results: null texts are empty, and an empty text is scored like any other; labels of null id or value are left
-out, and an id with several labels counts once for each; with no labels at all every score is PRIOR; repeated rows are
+out, an id with several labels counts once for each, and of several documents of an id the least text is learned from; with no labels at all every score is PRIOR; repeated rows are
 scored alike; an empty table gives an empty result; other columns stay.
 """
 
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 TRAIN_ROWS, BINS, PAIR_BINS, ROUNDS, PAIR_ROUNDS, PAIRS, LEAVES, RATE, RIDGE, PRIOR = 20_000, 32, 8, 150, 60, 6, 3, 0.1, 1.0, 0.5
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -52,7 +52,7 @@ def features(text: str | None) -> list[float]:
     counts = Counter(words)
     return [
         float(np.log1p(len(words))),
-        sum(map(len, counts.elements())) / n if len(words) < 50 else (len(text) - int(seen[[32, 9, 10, 11, 12, 13]].sum())) / n,
+        (len(text) - int(seen[[32, 9, 10, 11, 12, 13]].sum())) / n,
         float(seen[SYMBOL].sum()) / n,
         1 - len(set(lines)) / max(1, len(lines)),
         1 - len(set(zip(words, words[1:], words[2:], words[3:], words[4:], strict=False))) / grams if grams > 0 else 0.0,
@@ -189,11 +189,15 @@ def feature_lists(texts: pd.Series) -> pd.Series:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Gam:
-    """A model from at most `rows` rows of labels, by the hash of their ids; that many short rows are broadcast."""
+    """A model from at most `rows` labels (distinct pairs of id and label), by the hash of their ids; that many short rows are broadcast.
+
+    Where an id has several documents the one with the least text counts, so that at most `rows` feature rows reach the driver.
+    """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), (F.col(label_col) > 0).cast("double").alias("__y"))
-    chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "__y").limit(rows)
-    joined = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(chosen), "__id")
-    got = joined.select(F.pandas_udf(feature_lists, "array<double>")("__t").alias("x"), "__y").toPandas()
+    chosen = cut(chosen.distinct().orderBy(F.xxhash64("__id"), "__id", "__y").limit(rows))
+    own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(chosen.select("__id").distinct()), "__id", "left_semi")
+    own = own.groupBy("__id").agg(F.min("__t").alias("__t")).select("__id", F.pandas_udf(feature_lists, "array<double>")("__t").alias("x"))
+    got = own.join(F.broadcast(chosen), "__id").select("x", "__y").toPandas()
     x = np.array(got["x"].tolist(), dtype=float).reshape(-1, len(NAMES))
     order = np.lexsort([*x.T, got["__y"].to_numpy()])  # the sums don't depend on how rows came
     return fit(x[order], got["__y"].to_numpy(dtype=float)[order])

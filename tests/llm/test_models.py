@@ -43,6 +43,14 @@ def test_classifier_edges(spark):
     assert {r["score"] for r in gam.classify(docs, gam.learn(docs, labels.limit(0))).collect()} == {gam.PRIOR}
 
 
+def test_repeated_ids_give_one_training_row(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, "other text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 30 + [(2, 0)], "doc_id long, quality int")
+    model = gam.learn(docs, labels)
+    assert model.base == 0.0, "one row of each label"
+    assert gam.learn(docs, labels, rows=1).base != 0.0
+
+
 def slow_bits(texts, text):
     """Code length of escape method C, a byte at a time; symbols as the model maps them."""
     model = langid.fit(texts)
