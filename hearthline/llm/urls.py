@@ -53,8 +53,14 @@ def nested_rules(rules: DataFrame) -> DataFrame:
         F.max("verdict").alias("verdict"), F.min(F.concat("host", "path")).alias("rule"), F.max(F.size(labels)).alias("labels"), F.max(F.length("host")).alias("host_length")
     )
     events = keyed.withColumns({"at": F.col("key"), "step": F.lit(1)}).unionByName(keyed.withColumns({"at": F.concat("key", F.lit(LAST)), "step": F.lit(-1)}))
-    sweep = Window.partitionBy("place").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("depth", F.sum("step").over(sweep).cast("int")).where("step = 1").drop("at", "step", "place")
+    # a host's steps add up to 0, so one running sum over all hosts gives each one's depths, and no host's rules need to meet in one task
+    n = int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    events = cut(events.repartitionByRange(n, "place", "at").withColumn("part", F.spark_partition_id()))
+    sums = events.groupBy("part").agg(F.sum("step").alias("all"))
+    base = sums.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("base"))  # a row for each partition
+    sweep = Window.partitionBy("part").orderBy("place", "at").rowsBetween(Window.unboundedPreceding, 0)
+    depths = events.withColumn("in_part", F.sum("step").over(sweep)).join(F.broadcast(base), "part").withColumn("depth", (F.col("in_part") + F.col("base")).cast("int"))
+    return depths.where("step = 1").drop("at", "step", "place", "part", "in_part", "base")
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", default: str = "allow") -> DataFrame:
