@@ -146,11 +146,11 @@ def plan_mix(patterns: dict[tuple, int], weights, budget_ratio: float, max_repea
     return Plan(sources, dict(sizes), targets, dict(flow))
 
 
-def mix_sources(docs: DataFrame, *, id_col: str, size_col: str, members_col: str, weights, budget_ratio: float, max_repeats: int = 2, seed: str = "mix") -> DataFrame:
+def mix_sources(docs: DataFrame, *, id_col: str, size_col: str, members_col: str, weights, budget_ratio: float, max_repeats: int = 2, seed: str = "mix", ties: Sequence[str] = ()) -> DataFrame:
     """docs with `taken` (words that the mix takes, repeats counted) and `drawn` (array of source and words it counts for).
 
     members_col: array of the document's sources. Sources share budget_ratio times all words by weight, each at most
-    max_repeats times its own words. Ties of the seeded order fall back to id and size, so reruns agree.
+    max_repeats times its own words. Ties of the seeded order fall back to id, size and the columns in ties, so reruns agree.
     """
     size = F.greatest(F.coalesce(F.col(size_col), F.lit(0)).cast("long"), F.lit(0).cast("long"))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
@@ -166,7 +166,7 @@ def mix_sources(docs: DataFrame, *, id_col: str, size_col: str, members_col: str
     # one row for each pattern and slot, at most 4096 a pattern; the order of slots is the order of their documents' keys
     before = Window.partitionBy("__pattern").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = slots.withColumn("__base", F.coalesce(F.sum("__in_slot").over(before), F.lit(0))).drop("__in_slot").join(_small(flows, len(lines)), "__pattern")
-    earlier = Window.partitionBy("__pattern", "__slot").orderBy("__key", id_col, "__size").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("__pattern", "__slot").orderBy("__key", id_col, "__size", *ties).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("__from", F.coalesce(F.sum("__size").over(earlier), F.lit(0))).join(starts, ["__pattern", "__slot"], "left").withColumn("__from", F.col("__from") + F.col("__base"))
     wanted = F.aggregate("__flow", F.lit(0).cast("long"), lambda a, x: a + x["words"])
 
