@@ -49,6 +49,32 @@ def test_run(spark, sf, result):
     assert all(r["n_chars"] == len(r["text"]) for d, r in result.items() if "[SECRET]" in r["text"])
 
 
+def test_rows_of_repeated_and_null_ids(spark, sf):
+    """Row by row: copies go, other rows of the same id stay, no row is multiplied."""
+    prose = lambda k, n=30: " ".join(f"word{k}x{j}" for j in range(n))
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    rows = [
+        (1, prose("a"), "en", "s", 1), (2, prose("a"), "en", "s", 1), (2, prose("b"), "en", "s", 1), (5, prose("g"), "en", "t", 1), (5, prose("g"), "en", "t", 1), (5, prose("h"), "en", None, 1),
+        (None, prose("n"), "en", "s", 1), (None, prose("n"), "en", "t", 1), (None, prose("a") + " more", "en", "t", 1), (None, None, None, None, None), (7, f"{prose('i')} {item} {prose('j')}", "en", "s", 1),
+        (7, prose("k") + " password=abcdefghijklmnop", "en", "s", 1), (8, "too short", "en", "s", 1), (9, prose("long", 20_000), "en", "u", 1),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    at, seen = docs, []
+    for name, stage in cp.STAGES:
+        at = stage(spark, at, sf)
+        seen.append(sorted(((r["doc_id"], (r["text"] or "")[:12]) for r in at.collect()), key=repr))
+    key = lambda *xs: sorted(((d, t[:12]) for d, t in xs), key=repr)
+    full = [(d, t or "") for d, t, *_ in rows if t and t != "too short"]
+    assert seen[0] == key(*full)
+    one = [(1, prose("a")), (2, prose("b")), (5, prose("g")), (5, prose("h")), (None, prose("n")), (7, prose("i")), (7, prose("k")), (9, prose("long"))]
+    assert seen[1] == key(*one)
+    assert seen[2] == seen[3] == key(*(x for x in one if x[1] != prose("i")))
+    assert len(seen[4]) == len(set(seen[4])) and set(seen[4]) <= set(seen[3])
+    mixed = at.collect()
+    assert all(0 < r["taken"] <= 2 * len(WORD.findall(r["text"])) for r in mixed) and any(r["doc_id"] is None for r in mixed)
+    assert [r["text"].endswith("[SECRET]") for r in mixed if r["doc_id"] == 7] == [True] * sum(r["doc_id"] == 7 for r in mixed)
+
+
 def test_stages_keep_columns_and_live_with_edges(spark, sf):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "the quick brown fox jumps over one lazy dog and then sleeps well", "en", None, 60), (3, "the quick brown fox jumps over one lazy dog and then sleeps well", "en", None, 60), (None, "another small text that has enough words to be kept by every rule", "en", "s", 66)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
