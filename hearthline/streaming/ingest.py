@@ -10,14 +10,22 @@ from ..sources.raw import RAW
 
 def stream_raw(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     docs = spark.readStream.schema(RAW).option("multiLine", True).option("maxFilesPerTrigger", files_per_batch).json(folder)
-    rows = docs.where(F.col("source").isNotNull()).withColumn("file_name", F.col("_metadata.file_name"))
-    return rows.select("file_name", F.col("source").alias("doc_source"), F.posexplode("units").alias("pos", "u")).select("file_name", "pos", "doc_source", "u.*")
+    rows = docs.where(F.col("source").isNotNull()).withColumns({"file_name": F.col("_metadata.file_name"), "file_time": F.col("_metadata.file_modification_time")})
+    return rows.select("file_name", "file_time", F.col("source").alias("doc_source"), F.posexplode("units").alias("pos", "u")).select("file_name", "file_time", "pos", "doc_source", "u.*")
 
 
 def ingest(units: DataFrame, table_path: str, checkpoint: str):
-    """Runs what is there now and stops. Each batch replaces the partitions of its sources, so a batch that runs twice changes nothing."""
+    """Runs what is there now and stops. Each batch is a partition of its own that only it writes, so files of one source that come in
+    several batches all stay, and a batch that runs twice changes nothing."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.sortWithinPartitions("doc_source", "pos").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_source").parquet(table_path)
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("batch", F.lit(number))
+        rows.sortWithinPartitions("doc_source", "file_name", "pos").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table_path)
 
     return units.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(table: DataFrame) -> DataFrame:
+    """The units of each file as it was read last: a file that came again under its name replaces what it gave before."""
+    last = table.groupBy("doc_source", "file_name").agg(F.max("batch").alias("batch"))
+    return table.join(last, ["doc_source", "file_name", "batch"])
