@@ -15,27 +15,30 @@ STREET_END = r"(?iU)\b(st|street|ave|avenue|blvd|boulevard|rd|road|dr|drive|ln|l
 
 # Cities by state that count as covered.
 CITIES = {
-    "CA": """san francisco, oakland, berkeley, fremont, hayward, san leandro, alameda, emeryville, albany, piedmont, san lorenzo, castro valley,
-        cherryland, ashland, union city, newark, dublin, pleasanton, livermore, sunol, richmond, concord, walnut creek, antioch, pittsburg,
-        martinez, san pablo, el cerrito, el sobrante, pinole, hercules, brentwood, oakley, danville, san ramon, lafayette, orinda, moraga,
-        pleasant hill, clayton, kensington, rodeo, crockett, bay point, san rafael, novato, mill valley, sausalito, larkspur, corte madera,
-        tiburon, san anselmo, fairfax, ross, belvedere, greenbrae, napa, american canyon, st helena, calistoga, yountville, san mateo,
-        redwood city, daly city, south san francisco, san bruno, pacifica, burlingame, millbrae, foster city, san carlos, belmont, menlo park,
-        east palo alto, half moon bay, brisbane, colma, hillsborough, atherton, woodside, portola valley, la honda, san jose, santa clara,
-        sunnyvale, mountain view, palo alto, cupertino, milpitas, campbell, los gatos, saratoga, gilroy, morgan hill, los altos,
-        los altos hills, monte sereno, vallejo, fairfield, vacaville, benicia, suisun city, dixon, rio vista, santa rosa, petaluma,
-        rohnert park, windsor, healdsburg, sonoma, sebastopol, cotati, cloverdale""",
-    "MA": """boston, cambridge, somerville, brookline, newton, quincy, medford, malden, everett, chelsea, revere, watertown, waltham, arlington,
-        belmont, winthrop, milton, dedham, needham, framingham, natick, brookline village, dorchester, roxbury, jamaica plain, brighton,
-        allston, roslindale, west roxbury, hyde park, mattapan, east boston, south boston, charlestown, back bay, beacon hill, south end,
-        fenway, mission hill, north end""",
+    "CA": (
+        "san francisco", "oakland", "berkeley", "fremont", "hayward", "san leandro", "alameda", "emeryville", "albany", "piedmont",
+        "san lorenzo", "castro valley", "cherryland", "ashland", "union city", "newark", "dublin", "pleasanton", "livermore", "sunol",
+        "richmond", "concord", "walnut creek", "antioch", "pittsburg", "martinez", "san pablo", "el cerrito", "el sobrante", "pinole",
+        "hercules", "brentwood", "oakley", "danville", "san ramon", "lafayette", "orinda", "moraga", "pleasant hill", "clayton",
+        "kensington", "rodeo", "crockett", "bay point", "san rafael", "novato", "mill valley", "sausalito", "larkspur", "corte madera",
+        "tiburon", "san anselmo", "fairfax", "ross", "belvedere", "greenbrae", "napa", "american canyon", "st helena", "calistoga",
+        "yountville", "san mateo", "redwood city", "daly city", "south san francisco", "san bruno", "pacifica", "burlingame", "millbrae",
+        "foster city", "san carlos", "belmont", "menlo park", "east palo alto", "half moon bay", "brisbane", "colma", "hillsborough",
+        "atherton", "woodside", "portola valley", "la honda", "san jose", "santa clara", "sunnyvale", "mountain view", "palo alto",
+        "cupertino", "milpitas", "campbell", "los gatos", "saratoga", "gilroy", "morgan hill", "los altos", "los altos hills",
+        "monte sereno", "vallejo", "fairfield", "vacaville", "benicia", "suisun city", "dixon", "rio vista", "santa rosa", "petaluma",
+        "rohnert park", "windsor", "healdsburg", "sonoma", "sebastopol", "cotati", "cloverdale",
+    ),
+    "MA": (
+        "boston", "cambridge", "somerville", "brookline", "newton", "quincy", "medford", "malden", "everett", "chelsea", "revere",
+        "watertown", "waltham", "arlington", "belmont", "winthrop", "milton", "dedham", "needham", "framingham", "natick",
+        "brookline village", "dorchester", "roxbury", "jamaica plain", "brighton", "allston", "roslindale", "west roxbury", "hyde park",
+        "mattapan", "east boston", "south boston", "charlestown", "back bay", "beacon hill", "south end", "fenway", "mission hill",
+        "north end",
+    ),
 }
 
 
-def city_list(state: str) -> list[str]:
-    return [" ".join(c.split()) for c in CITIES[state].split(",")]
-
-
 def _capital(w: Column) -> Column:
     return F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000)))
 
@@ -79,7 +82,7 @@ def city_of_address(address: Column) -> Column:
 
 def covered_areas(spark: SparkSession) -> DataFrame:
     """area_state, area_city: about 150 rows, whatever the data."""
-    return spark.createDataFrame([(s, c) for s in CITIES for c in city_list(s)], "area_state string, area_city string")
+    return spark.createDataFrame([(s, c) for s in CITIES for c in CITIES[s]], "area_state string, area_city string")
 
 
 def keep_covered(units: DataFrame, areas: DataFrame | None = None) -> DataFrame:

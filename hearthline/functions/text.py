@@ -178,6 +178,11 @@ def detail_text(markup: Column, most: int = 20_000) -> Column:
     return F.substring(clean_text(visible(markup)), 1, most)
 
 
+def joined_address(*parts: Column) -> Column:
+    """The parts that there are, with commas between."""
+    return F.concat_ws(", ", *[F.nullif(p, F.lit("")) for p in parts])
+
+
 def label_values(block: Column, pattern: str) -> Column:
     """map of lower-cased labels to values, from a pattern with both as groups; of equal labels the last counts."""
     labels = F.transform(F.regexp_extract_all(block, F.lit(pattern), 1), lambda x: F.regexp_replace(F.lower(clean_text(x)), "^[: ]+|[: ]+$", ""))

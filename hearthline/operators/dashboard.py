@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dates
+from ..functions import dates, kinds, text
 
 FACETS = ("room_type", "unit_type", "pets", "furnished", "parking", "laundry")
 
@@ -59,9 +59,61 @@ SORTS = {
 }
 
 
-def page_of(units: DataFrame, sort: str, tie: list[str], size: int = 50, pages: int = 1) -> DataFrame:
-    """The first rows in a sort order: a top-k, never a whole sort."""
-    return units.orderBy(*SORTS[sort](), *tie).limit(size * pages)
+def page_of(units: DataFrame, sort: str, tie: list[str], size: int = 50, page: int = 0) -> DataFrame:
+    """The rows of a page in a sort order, pages from 0: a top-k of the rows up to its end."""
+    return units.orderBy(*SORTS[sort](), *tie).offset(size * page).limit(size)
+
+
+def top(counts: DataFrame, most: int, name: str = "value") -> DataFrame:
+    """The most frequent values; of equal counts the first value."""
+    return counts.orderBy(F.col("n").desc(), name).limit(most)
+
+
+def bedroom_facet(df: DataFrame) -> DataFrame:
+    """Counts by bedrooms, those that don't state any too, which come last."""
+    return df.groupBy("bedrooms").agg(F.count("*").alias("n")).orderBy(F.col("bedrooms").asc_nulls_last())
+
+
+def rent_range(df: DataFrame) -> DataFrame:
+    return df.agg(F.min("rent").alias("least"), F.max("rent").alias("most"))
+
+
+def median_of(df: DataFrame, value: Column, *by: str) -> DataFrame:
+    """The exact median, the mean of the two middle values of an even number."""
+    return df.groupBy(*by).agg(F.median(value).alias("median"))
+
+
+#: Rows of the room type chart, in their fixed order.
+ROOM_TYPES = {"entire_place": "Entire place", "private_room": "Private room", "shared_room": "Shared room", "unknown": "Undetermined"}
+
+
+def room_types(df: DataFrame) -> DataFrame:
+    """place, name, n of the room types that there are, in their fixed order, those that aren't known last."""
+    known = F.coalesce(F.nullif("room_type", F.lit("")), F.lit("unknown"))
+    rows = list(enumerate(ROOM_TYPES.items()))
+    place = F.coalesce(*[F.when(F.col("k") == key, i) for i, (key, _) in rows])
+    name = F.coalesce(*[F.when(F.col("k") == key, label) for _, (key, label) in rows])
+    return df.groupBy(known.alias("k")).agg(F.count("*").alias("n")).select(place.alias("place"), name.alias("name"), "n").where("place is not null").orderBy("place")
+
+
+#: Labels of a unit's full record.
+UNIT_TYPES = {"studio": "Studio", "1_bedroom": "1 bedroom", "2_bedroom": "2 bedroom", "3plus_bedroom": "3+ bedroom"}
+
+
+def record() -> Column:
+    """array<struct<label,value>> of a unit's full record, a dash for what it doesn't state."""
+    c = F.col
+    labelled = lambda labels, name: F.coalesce(F.try_element_at(text.literal_map(labels), c(name)), c(name))
+    number = lambda v: F.when(v == F.floor(v), v.cast("long").cast("string")).otherwise(v.cast("string"))
+    rows = {
+        "Unit type": labelled(UNIT_TYPES, "unit_type"), "Rental type": labelled({k: v for k, v in ROOM_TYPES.items() if k != "unknown"}, "room_type"),
+        "Bedrooms": F.when(c("bedrooms") == 0, "Studio (0)").otherwise(number(c("bedrooms"))), "Bathrooms": number(c("bathrooms")),
+        "Square feet": F.when(c("square_feet") != 0, F.format_number("square_feet", 0)), "Rent": F.when(c("rent").isNotNull(), text.money(c("rent"))),
+        "Available": F.when(F.coalesce("available_now", F.lit(False)), "Now").otherwise(dates.day_label(c("available_date").try_cast("date"))),
+        **{name.capitalize(): labelled(kinds.AMENITIES[name], name) for name in ("laundry", "parking", "furnished", "pets")},
+        "City": c("city"), "Postal code": c("postal_code"), "State": c("state"), "Manager": c("manager"), "Source": c("source"),
+    }
+    return F.array(*[F.struct(F.lit(k).alias("label"), F.coalesce(F.nullif(v, F.lit("")), F.lit("—")).alias("value")) for k, v in rows.items()])
 
 
 def count_facet(df: DataFrame, column: str, name: str = "value") -> DataFrame:

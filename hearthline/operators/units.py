@@ -17,6 +17,8 @@ from ..functions import dates, kinds, places, text
 ASSIGNABLE = ("room_type", "pets", "furnished", "parking", "laundry")
 #: Fields on which the page wins over the parser.
 APPLIED = ("kind", "bedrooms", "bathrooms", "available_date", "available_now")
+#: What an enrichment has, besides method and evidence.
+ENRICHED = (*ASSIGNABLE, "summary")
 
 
 def keep_first(df: DataFrame, keys: Sequence, order: Sequence[str]) -> DataFrame:
@@ -36,22 +38,152 @@ def is_enrichable() -> Column:
     return (F.coalesce("url", F.lit("")) != "") & F.coalesce(F.col("kind").isin(*kinds.LIVABLE), F.lit(False))
 
 
+def default_room_type(kind: Column, room_type: Column) -> Column:
+    """A residential unit whose room type nobody stated is a whole place."""
+    return F.when(room_type.isNull() & (F.coalesce(kind, F.lit("residential")) == "residential"), "entire_place").otherwise(room_type)
+
+
+def published(units: DataFrame) -> DataFrame:
+    """Units as they are shown: the kind is what they were chosen by, and is left out."""
+    return units.drop("kind")
+
+
 def merge_units(units: DataFrame, order: Sequence[str] = ("file_name", "pos")) -> DataFrame:
     """Published units: livable and covered ones first, then the first of each address, bedrooms and rent, then defaults."""
     kept = places.keep_covered(units.where(is_livable(F.col("kind"))))
     first = keep_first(kept, [text.normal_address(F.col("address")), "bedrooms", "rent"], order)
-    default = (F.col("room_type").isNull()) & (F.coalesce("kind", F.lit("residential")) == "residential")
-    done = first.withColumn("room_type", F.when(default, "entire_place").otherwise(F.col("room_type")))
-    return done.withColumn("unit_type", kinds.unit_type(F.col("bedrooms"))).drop("kind")
+    done = first.withColumn("room_type", default_room_type(F.col("kind"), F.col("room_type")))
+    return published(done.withColumn("unit_type", kinds.unit_type(F.col("bedrooms"))))
+
 
+def cache_key(url: Column) -> Column:
+    return F.coalesce(url, F.lit(""))
+
+
+def left_by_url(units: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """units with the columns of side's row for their url. side: one row a value of key.
+
+    Units without url may be a large part of all rows: they take the row of the empty url, if there is one, by a broadcast of that one row,
+    and only the others are shuffled.
+    """
+    blank = cache_key(F.col("url")) == ""
+    with_url = units.where(~blank).join(side.where(F.col(key) != ""), F.col("url") == F.col(key), "left")
+    return with_url.unionByName(units.where(blank).join(F.broadcast(side.where(F.col(key) == "")), cache_key(F.col("url")) == F.col(key), "left"))
 
-def fill(units: DataFrame, cache: DataFrame, fields: Sequence[str] = (*ASSIGNABLE, "summary")) -> DataFrame:
+
+def fill(units: DataFrame, cache: DataFrame, fields: Sequence[str] = ENRICHED) -> DataFrame:
     """Units with their empty fields filled from the cache row of their url; what a unit has stays. cache: one row a url."""
     side = cache.select(F.col("url").alias("__url"), *[F.col(f).alias(f"__{f}") for f in fields])
-    joined = units.join(side, F.coalesce("url", F.lit("")) == F.col("__url"), "left")
+    joined = left_by_url(units, side, "__url")
     return joined.select(*[F.coalesce(c, f"__{c}").alias(c) if c in fields else F.col(c) for c in units.columns])
 
 
+def structured_of() -> Column:
+    """What a unit's own columns say, as an enrichment; its method is structured where they say something about pets or room type."""
+    said = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    method = F.when(said("pets") | said("room_type"), "structured").otherwise("none")
+    return F.struct(*[F.col(f) for f in ENRICHED], method.alias("method"), F.lit(None).cast("map<string,string>").alias("evidence"))
+
+
+def merge_enrichments(a: Column, b: Column) -> Column:
+    """a laid over b: a's values win, methods are joined, and of evidence for one field b's wins."""
+    methods = F.array_join(F.array_distinct(F.filter(F.array(a["method"], b["method"]), lambda m: F.coalesce(m, F.lit("none")) != "none")), "+")
+    none = F.create_map().cast("map<string,string>")
+
+    def joined(x: Column) -> Column:
+        evidence = F.map_concat(F.map_filter(x["a"], lambda k, _: ~F.map_contains_key(x["b"], k)), x["b"])
+        return F.when((F.size(x["a"]) > 0) | (F.size(x["b"]) > 0), evidence)
+
+    evidence = text.let(F.struct(F.coalesce(a["evidence"], none).alias("a"), F.coalesce(b["evidence"], none).alias("b")), joined)
+    return F.struct(*[F.coalesce(a[f], b[f]).alias(f) for f in ENRICHED], F.coalesce(F.nullif(methods, F.lit("")), F.lit("none")).alias("method"), evidence.alias("evidence"))
+
+
+def missing_fields(e: Column) -> Column:
+    """Names of the fields that an enrichment lacks; none for a complete one."""
+    return F.array_compact(F.array(*[F.when(e[f].isNull(), f) for f in ENRICHED]))
+
+
+def known_fields() -> Column:
+    """What a reader of a unit's page is told of it: a map of the fields that it states."""
+    names = [F.lit(f) for f in ENRICHED]
+    return F.map_filter(F.map_from_arrays(F.array(*names), F.array(*ENRICHED)), lambda _, v: F.coalesce(v, F.lit("")) != "")
+
+
+def apply_results(units: DataFrame, results: DataFrame) -> DataFrame:
+    """Units after a reading of their pages: null fields and a blank summary are filled, and conflicts replaced where the reading has any.
+
+    results: one row a url, with the fields of an enrichment and observed. Units have conflicts.
+    """
+    side = results.select(F.col("url").alias("__url"), *[F.col(f).alias(f"__{f}") for f in ENRICHED], F.col("observed").alias("__observed"))
+    joined = left_by_url(units, side, "__url")
+    page = {f: F.col(f"__observed.{f}") for f in ("bedrooms", "rent", "city")} | {"kind": F.col("__observed.listing_kind")}
+    found = F.when(F.col("__observed.describes_one_unit"), inline_conflicts({f: F.col(f) for f in ("bedrooms", "rent", "city", "kind")}, page))
+    new = {f: F.coalesce(F.col(f), F.col(f"__{f}")) for f in ASSIGNABLE}
+    new["summary"] = F.when(F.coalesce("summary", F.lit("")) == "", F.coalesce(F.nullif("__summary", F.lit("")), "summary")).otherwise(F.col("summary"))
+    new["conflicts"] = F.when(F.size(found) > 0, found).otherwise(F.col("conflicts"))
+    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in units.columns])
+
+
+def manager_contacts(contacts: DataFrame) -> DataFrame:
+    """manager, phone, emails, source_url: of a manager's contacts that of the last slug; those without manager are left out."""
+    last = F.max_by(F.struct("phone", F.coalesce("emails", F.array().cast("array<string>")).alias("emails"), "source_url"), "slug")
+    return contacts.where(F.coalesce("manager", F.lit("")) != "").groupBy("manager").agg(last.alias("c")).select("manager", "c.*")
+
+
+def has_contact(phone: Column, emails: Column) -> Column:
+    return (F.coalesce(phone, F.lit("")) != "") | (F.coalesce(F.size(emails), F.lit(0)) > 0)
+
+
+def with_contacts(units: DataFrame, contacts: DataFrame, most: int = 2) -> DataFrame:
+    """Units with phone and emails of their manager, so many emails at most; null where there is no phone and no email."""
+    side = manager_contacts(contacts).where(has_contact(F.col("phone"), F.col("emails"))).select("manager", "phone", F.slice("emails", 1, most).alias("emails"))
+    return units.join(side, "manager", "left")
+
+
+def contact_coverage(contacts: DataFrame) -> DataFrame:
+    """managers, phones, emails: how many managers there are, and have a phone or any email."""
+    return manager_contacts(contacts).agg(F.count("*").alias("managers"), F.count_if(F.coalesce("phone", F.lit("")) != "").alias("phones"), F.count_if(F.size("emails") > 0).alias("emails"))
+
+
+def first_contacts(pages: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Of the pages of each slug the contact of the first: slug, contact."""
+    return pages.groupBy("slug").agg(F.min_by("contact", F.struct(*order)).alias("contact"))
+
+
+def with_registry(docs: DataFrame, registry: DataFrame) -> DataFrame:
+    """Documents with the registry's row for their slug; their own manager counts first, then the registry's, then the slug. registry is a source list."""
+    side = registry.select("slug", F.col("manager").alias("__manager"), "site", "platform")
+    return docs.join(side, "slug", "left").withColumn("manager", F.coalesce(F.nullif("manager", F.lit("")), "__manager", "slug")).drop("__manager")
+
+
+def only_slugs(registry: DataFrame, wanted: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of the slugs that are wanted, and the slugs among them that there are none of."""
+    asked = registry.sparkSession.createDataFrame([(w.strip(),) for w in wanted if w.strip()], "slug string").distinct()
+    return registry.where(F.col("slug").isin([w.strip() for w in wanted])), without(asked, registry, "slug")
+
+
+def without(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """The rows whose key others doesn't have."""
+    return rows.join(others.select(key), key, "left_anti")
+
+
+def results_with_meta(results: DataFrame, meta: DataFrame) -> DataFrame:
+    """Results with what was asked for under their page_id; results of unknown pages are left out."""
+    return results.join(meta, "page_id")
+
+
+def per_source(sources: DataFrame, units: DataFrame, key: str = "source") -> DataFrame:
+    """Each source with its number of units, 0 too."""
+    counts = units.groupBy(key).agg(F.count("*").alias("n"))
+    return sources.join(counts, key, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+
+
+def with_page_members(units: DataFrame) -> DataFrame:
+    """Units that have a url with members, the number of units of their source on their page."""
+    own = units.where(cache_key(F.col("url")) != "")
+    return own.join(own.groupBy("source", "url").agg(F.count("*").alias("members")), ["source", "url"])
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """new, and the rows of old whose key new doesn't have."""
     return old.join(new, key, "left_anti").unionByName(new)
@@ -67,7 +199,11 @@ def compare_readings(mine: dict[str, Column], page: dict[str, Column], today: Co
     """array<struct<field,parser,page,type>>: where a page's own reading differs from the parser's, by each field's tolerance."""
     stated = lambda c: F.coalesce(c.cast("string"), F.lit("")) != ""
     gap = lambda f: F.abs(mine[f].cast("double") - page[f].cast("double"))
-    iso = dates.parse_available(page["available_date"], today)["date"]
+    return text.let(dates.parse_available(page["available_date"], today)["date"], lambda iso: _differences(mine, page, iso, stated, gap))
+
+
+def _differences(mine: dict[str, Column], page: dict[str, Column], iso: Column, stated, gap) -> Column:
+    """iso: the page's date, bound, as reading it is dear."""
     differs = {
         "bedrooms": gap("bedrooms") > 0,
         "bathrooms": gap("bathrooms") > 0.01,
@@ -121,19 +257,29 @@ def cross_check(units: DataFrame, cache: DataFrame, today: Column) -> DataFrame:
     return joined.select("address", "manager", "url", F.explode(compare_readings(mine, page, today)).alias("c")).select("address", "manager", "url", "c.*")
 
 
-def reconcile(units: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """Units with the page's value where a conflict on an applied field names their url; the last row of a url and field wins.
-
-    conflicts: url, field, page, type and ord, its order.
-    """
+def page_values(conflicts: DataFrame) -> DataFrame:
+    """url and for each applied field __field, the page's value in the last row of that url and field. conflicts: url, field, page, type and ord, its order."""
     rows = conflicts.where(F.col("field").isin(*APPLIED) & (F.col("type") == "conflict") & F.col("page").isNotNull())
-    last = rows.groupBy("url").agg(*[F.max_by(F.when(F.col("field") == f, F.col("page")), F.when(F.col("field") == f, F.col("ord"))).alias(f"__{f}") for f in APPLIED])
-    joined = units.join(last, "url", "left")
+    return rows.groupBy(F.col("url").alias("__url")).agg(*[F.max_by(F.when(F.col("field") == f, F.col("page")), F.when(F.col("field") == f, F.col("ord"))).alias(f"__{f}") for f in APPLIED])
+
+
+def reconcile(units: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """Units with the page's value where a conflict on an applied field names their url; the last row of a url and field wins."""
+    joined = left_by_url(units, page_values(conflicts), "__url")
     kinds_of = dict(units.dtypes)
     fixed = [F.coalesce(F.col(f"__{c}").try_cast(kinds_of[c]), F.col(c)).alias(c) if c in APPLIED else F.col(c) for c in units.columns if c != "unit_type"]
     return joined.select(*fixed).withColumn("unit_type", kinds.unit_type(F.col("bedrooms")))
 
 
+def reconcile_counts(units: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """field, applied, n: how many values reconcile changes, by field, and how many rows on other fields are left for review."""
+    kinds_of = dict(units.dtypes)
+    joined = units.join(page_values(conflicts), F.col("url") == F.col("__url"))
+    changed = [F.count_if(F.col(f"__{c}").try_cast(kinds_of[c]).isNotNull() & ~F.col(f"__{c}").try_cast(kinds_of[c]).eqNullSafe(F.col(c))).alias(c) for c in APPLIED if c in kinds_of]
+    done = joined.agg(*changed).unpivot([], [c for c in APPLIED if c in kinds_of], "field", "n").where("n > 0").select("field", F.lit(True).alias("applied"), "n")
+    return done.unionByName(conflicts.where(~F.col("field").isin(*APPLIED)).groupBy("field").agg(F.count("*").alias("n")).select("field", F.lit(False).alias("applied"), "n"))
+
+
 def pages_to_read(units: DataFrame, cache: DataFrame, order: Sequence[str]) -> DataFrame:
     """url, members and the first member's row of each page of an enrichable unit that the cache lacks."""
     own = units.where(is_enrichable())
@@ -141,19 +287,30 @@ def pages_to_read(units: DataFrame, cache: DataFrame, order: Sequence[str]) -> D
     return pages.join(cache.select("url"), "url", "left_anti")
 
 
-def numbered_pages(pages: DataFrame) -> DataFrame:
-    """page_id p00000, p00001, … by url, without bringing all pages to one task.
+def numbered(rows: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """rows with their places in an order, from 0, as column name, without bringing all rows to one task. The order has no ties.
 
-    Urls are range-partitioned and sorted; an id is the number of rows in earlier partitions, of which there is one row
+    Rows are range-partitioned and sorted; a place is the number of rows in earlier partitions, of which there is one row
     each, plus the place in its own. The rows are cut off first, so that both counts see the same partitions.
     """
-    spark = pages.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut(pages.repartitionByRange(n, "url").sortWithinPartitions("url").withColumn("__id", F.monotonically_increasing_id()))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
     dealt = dealt.withColumns({"__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))})
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     base = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__base"))
-    return dealt.join(F.broadcast(base), "__part").withColumn("page_id", F.format_string("p%05d", F.col("__base") + F.col("__at"))).drop("__id", "__part", "__at", "__base")
+    return dealt.join(F.broadcast(base), "__part").withColumn(name, F.col("__base") + F.col("__at")).drop("__id", "__part", "__at", "__base")
+
+
+def numbered_pages(pages: DataFrame) -> DataFrame:
+    """page_id p00000, p00001, … by url."""
+    return numbered(pages, ["url"], "__place").withColumn("page_id", F.format_string("p%05d", "__place")).drop("__place")
+
+
+def queue_limit(pages: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The first pages by url, most of them, found as a top-k; and those beyond."""
+    last = pages.select("url").orderBy("url").limit(most).agg(F.max("url")).first()[0]
+    queued = F.coalesce(F.col("url") <= F.lit(last).cast("string"), F.lit(False))
+    return pages.where(queued), pages.where(~queued)
 
 
 def quarantine(units: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -163,8 +320,21 @@ def quarantine(units: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def token_costs(pages: DataFrame, size: Column) -> DataFrame:
-    """pages, tokens in and out, least, upper median and most tokens of a page."""
-    tokens = F.floor(size / 4) + 700
-    return pages.select(tokens.alias("t")).agg(
-        F.count("*").alias("pages"), F.sum("t").alias("tokens_in"), (F.count("*") * 220).alias("tokens_out"), F.min("t").alias("least"), F.percentile("t", F.lit(0.5)).alias("median"), F.max("t").alias("most")
-    )
+    """pages, tokens in and out, least, upper median and most tokens of a page.
+
+    Of an even number the upper middle one is the median: the value at whose count from below half is first passed. Sizes
+    are counted first; the running sum is over distinct sizes, of which there are no more than a page has characters.
+    """
+    counts = pages.select((F.floor(size / 4) + 700).alias("t")).groupBy("t").agg(F.count("*").alias("c"))
+    runs = counts.select("t", "c", F.sum("c").over(Window.orderBy("t")).alias("upto"), F.sum("c").over(Window.partitionBy(F.lit(1))).alias("all"))
+    median = F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("t")))
+    return runs.agg(
+        F.coalesce(F.max("all"), F.lit(0)).alias("pages"), F.sum(F.col("t") * F.col("c")).alias("tokens_in"), (F.coalesce(F.max("all"), F.lit(0)) * 220).alias("tokens_out"),
+        F.min("t").alias("least"), median.alias("median"), F.max("t").alias("most"),
+    )
+
+
+def flat_cost(pages: DataFrame, rate_in: float, rate_out: float, batch: bool = True) -> DataFrame:
+    """n and cost of so many pages at 5,000 tokens in and 200 out each, by rates for a million; half in a batch."""
+    price = F.lit(5000 * rate_in + 200 * rate_out)
+    return pages.agg(F.count("*").alias("n")).withColumn("cost", F.round(F.col("n") * price / 1e6 / (2 if batch else 1), 2))

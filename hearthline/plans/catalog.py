@@ -6,16 +6,20 @@ and DuckDB both read, with nulls, empty values, duplicates and ties in every col
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import ensure_checkpoint_dir
 from ..functions import dates, kinds, places, text
 from ..operators import dashboard, units as ops
-from ..sources import raw
+from ..sources import extractor, portals, raw
 
+C = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 TODAY = date(1998, 6, 15)
@@ -74,10 +78,9 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-C = F.col
 TYPE_SQL = "CASE WHEN bedrooms < 1 THEN 'studio' WHEN bedrooms >= 3 THEN '3plus_bedroom' WHEN bedrooms IS NOT NULL THEN CAST(floor(bedrooms)::INT AS STRING) || '_bedroom' END"
 ADDRESS_SQL = "array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(lower(address), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+'), lambda w: CASE w WHEN 'street' THEN 'st' WHEN 'avenue' THEN 'ave' WHEN 'north' THEN 'n' WHEN 'unit' THEN '' ELSE w END), lambda w: w <> ''), ' ')"
-AREAS_SQL = "a(area_state, area_city) AS (VALUES " + ", ".join(f"('{s}', '{c}')" for s in places.CITIES for c in places.city_list(s)) + ")"
+AREAS_SQL = "a(area_state, area_city) AS (VALUES " + ", ".join(f"('{s}', '{c}')" for s in places.CITIES for c in places.CITIES[s]) + ")"
 COVERED_SQL = "(coalesce(city, '') = '' OR EXISTS (SELECT 1 FROM a WHERE area_state = upper(state) AND area_city = lower(trim(city))))"
 LIVABLE_SQL = "coalesce(kind, 'residential') IN ('residential', 'room')"
 MERGED_SQL = f"m AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY {ADDRESS_SQL}, bedrooms, rent ORDER BY file_name, pos) AS k FROM u WHERE {LIVABLE_SQL} AND {COVERED_SQL}) WHERE k = 1)"
@@ -85,14 +88,29 @@ MERGED_SQL = f"m AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PAR
 # sources and sinks
 
 
-@query("src11_scan_units", f"WITH {U} SELECT file_name, pos, source, address, bedrooms, rent FROM u")
-def _(spark, sf):
-    """Units written as documents, one for each file name, and read back through the raw reader's schema."""
-    u = units(spark, sf)
-    docs = u.groupBy("file_name").agg(F.first("source").alias("source"), F.sort_array(F.collect_list(F.struct("pos", "address", C("source").alias("s"), "bedrooms", "rent"))).alias("units"))
-    text_rows = docs.select("file_name", F.to_json(F.struct("source", F.transform("units", lambda x: F.struct(x["address"].alias("address"), x["s"].alias("source"), x["bedrooms"].alias("bedrooms"), x["rent"].alias("rent"), x["pos"].cast("string").alias("title"))).alias("units"))).alias("j"))
-    parsed = text_rows.select("file_name", F.from_json("j", raw.RAW).alias("d")).select("file_name", F.explode("d.units").alias("u"))
-    return parsed.select("file_name", C("u.title").cast("long").alias("pos"), "u.source", "u.address", "u.bedrooms", "u.rent")
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4()}"
+
+
+def raw_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of the orders, one a customer, written a line each and read back; each tenth customer's line is broken off."""
+    own = t(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("us"))
+    listed = F.transform("us", lambda x: F.struct(F.concat(x["o_orderkey"], F.lit(" Oak St")).alias("address"), x["o_totalprice"].alias("rent")))
+    line = F.to_json(F.struct(F.concat(F.lit("c"), "o_custkey").alias("source"), listed.alias("units")))
+    path = scratch(spark, "raw")
+    own.select(F.when(C("o_custkey") % 10 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.text(path)
+    return raw.read_raw(spark, path, lines=True)
+
+
+query("src11_scan_units", "SELECT 'c' || o_custkey AS source, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, o_orderkey || ' Oak St' AS address, o_totalprice AS rent FROM orders WHERE o_custkey % 10 <> 0")(
+    lambda spark, sf: raw.units_of(raw_documents(spark, sf)).select(C("doc_source").alias("source"), C("pos").cast("long").alias("pos"), "address", "rent")
+)
+query("src12_corrupt", "SELECT count(DISTINCT o_custkey) AS broken FROM orders WHERE o_custkey % 10 = 0")(lambda spark, sf: raw.broken(raw_documents(spark, sf)).agg(F.count("*").alias("broken")))
+query("src13_missing_cache", "SELECT CAST(o_orderkey AS STRING) AS url, 'new' AS pets FROM orders")(
+    lambda spark, sf: ops.upsert(raw.read_table(spark, f"{sf}/no-such-cache.json", "url string, pets string"), t(spark, sf, "orders").select(C("o_orderkey").cast("string").alias("url"), F.lit("new").alias("pets")), "url")
+)
 
 
 @query("src13_fresh_pages", "SELECT event_id FROM events WHERE epoch(ts) >= (SELECT max(epoch(ts)) FROM events) - 86400")
@@ -104,8 +122,7 @@ def _(spark, sf):
 
 @query("src14_registry", "SELECT 's' || s_suppkey AS slug, s_name AS manager, CASE WHEN s_suppkey % 5 = 0 THEN 'none' ELSE 'appfolio' END AS platform FROM supplier WHERE s_suppkey % 5 <> 0", on="supplier")
 def _(s):
-    reg = s.select(F.concat(F.lit("s"), "s_suppkey").alias("slug"), C("s_name").alias("manager"), F.when(C("s_suppkey") % 5 == 0, "none").otherwise("appfolio").alias("platform"))
-    return reg.where("platform <> 'none'")
+    return raw.scrapable(s.select(F.concat(F.lit("s"), "s_suppkey").alias("slug"), C("s_name").alias("manager"), F.when(C("s_suppkey") % 5 == 0, "none").otherwise("appfolio").alias("platform")))
 
 
 @query("src16_batch_results", "SELECT CAST(event_id AS STRING) AS page_id, value FROM events WHERE event_id % 3 <> 0", on="events")
@@ -141,7 +158,7 @@ def _(o):
 
 query("prj01_unit_type", f"WITH {U} SELECT pos, {TYPE_SQL} AS unit_type FROM u", on="units")(lambda u: u.select("pos", kinds.unit_type(C("bedrooms")).alias("unit_type")))
 query("prj03_default_room_type", f"WITH {U} SELECT pos, CASE WHEN room_type IS NULL AND coalesce(kind, 'residential') = 'residential' THEN 'entire_place' ELSE room_type END AS room_type FROM u", on="units")(
-    lambda u: u.select("pos", F.when(C("room_type").isNull() & (F.coalesce("kind", F.lit("residential")) == "residential"), "entire_place").otherwise(C("room_type")).alias("room_type"))
+    lambda u: u.select("pos", ops.default_room_type(C("kind"), C("room_type")).alias("room_type"))
 )
 query(
     "prj05_bedroom_label",
@@ -159,7 +176,7 @@ query("prj08_source_url", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'htt
     lambda s: s.select("s_suppkey", F.when(C("s_suppkey") % 3 == 0, "appfolio").when(C("s_suppkey") % 3 == 1, "buildium").otherwise("eri").alias("platform"), C("s_name").alias("account"), F.lit("https://x.org").alias("site")).select("s_suppkey", raw.source_url().alias("url"))
 )
 query("prj10_address", f"WITH {U} SELECT pos, array_to_string(list_filter([address, nullif(city, ''), state], lambda x: x IS NOT NULL), ', ') AS full_address FROM u", on="units")(
-    lambda u: u.select("pos", F.concat_ws(", ", "address", F.nullif("city", F.lit("")), "state").alias("full_address"))
+    lambda u: u.select("pos", text.joined_address(C("address"), C("city"), C("state")).alias("full_address"))
 )
 query("prj11_stale", "SELECT event_id, epoch(TIMESTAMP '2024-01-15 00:00:00') - floor(epoch(ts)) > 172800 AS stale FROM events", on="events")(
     lambda e: e.select("event_id", dates.is_stale(C("ts").cast("string"), F.lit("2024-01-15 00:00:00")).alias("stale"))
@@ -171,15 +188,25 @@ query(
       CASE pets WHEN 'allowed' THEN 'Pets OK' WHEN 'cats_only' THEN 'Cats OK' WHEN 'none' THEN 'No pets' END], lambda x: x IS NOT NULL), '|') AS tags FROM u""",
     on="units",
 )(lambda u: u.select("pos", F.array_join(kinds.amenity_tags(), "|").alias("tags")))
-RECORD = ("address", "city", "state", "manager", "kind", "room_type", "pets", "url")
-query("prj13_record", f"WITH {U} SELECT pos, label, coalesce(nullif(v, ''), '—') AS v FROM (" + " UNION ALL ".join(f"SELECT pos, '{c}' AS label, {c} AS v FROM u" for c in RECORD) + ")", on="units")(
-    lambda u: u.select("pos", *RECORD).unpivot("pos", list(RECORD), "label", "v").withColumn("v", F.coalesce(F.nullif("v", F.lit("")), F.lit("—")))
+def labelled_sql(column: str, labels: dict[str, str]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.items()) + f" ELSE {column} END"
+
+
+NUMBER_SQL = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS STRING) ELSE CAST({0} AS STRING) END"
+RECORD_SQL = {
+    "Unit type": labelled_sql("unit_type", dashboard.UNIT_TYPES), "Rental type": labelled_sql("room_type", dashboard.ROOM_TYPES), "Bedrooms": f"CASE WHEN bedrooms = 0 THEN 'Studio (0)' ELSE {NUMBER_SQL.format('bedrooms')} END",
+    "Bathrooms": NUMBER_SQL.format("bathrooms"), "Square feet": "format('{:,}', square_feet)", "Rent": "'$' || format('{:,}', CAST(floor(rent + 0.5) AS BIGINT))",
+    "Available": "CASE WHEN available_now THEN 'Now' ELSE strftime(CAST(available_date AS DATE), '%b %-d, %Y') END", **{n.capitalize(): labelled_sql(n, kinds.AMENITIES[n]) for n in ("laundry", "parking", "furnished", "pets")},
+    "City": "city", "Postal code": "CASE WHEN pos % 2 = 0 THEN '94601' END", "State": "state", "Manager": "manager", "Source": "source",
+}
+query("prj13_record", f"WITH {U}, v AS (SELECT *, {TYPE_SQL} AS unit_type FROM u) SELECT pos, label, coalesce(nullif(v, ''), '—') AS value FROM (" + " UNION ALL ".join(f"SELECT pos, '{k}' AS label, {v} AS v FROM v" for k, v in RECORD_SQL.items()) + ")", on="units")(
+    lambda u: u.withColumns({"unit_type": kinds.unit_type(C("bedrooms")), "postal_code": F.when(C("pos") % 2 == 0, "94601")}).select("pos", F.explode(dashboard.record()).alias("r")).select("pos", "r.*")
 )
-query("prj14_payload", f"WITH {U} SELECT pos, (manager IS NOT NULL)::INT + (city IS NOT NULL)::INT + (pets IS NOT NULL)::INT + (laundry IS NOT NULL)::INT AS known, pets FROM u", on="units")(
-    lambda u: u.withColumn("m", F.map_filter(F.map_from_arrays(F.array(*map(F.lit, ("manager", "city", "pets", "laundry"))), F.array("manager", "city", "pets", "laundry")), lambda k, v: v.isNotNull())).select("pos", F.size("m").alias("known"), F.try_element_at("m", F.lit("pets")).alias("pets"))
+query("prj14_payload", f"WITH {U} SELECT pos, " + " + ".join(f"(coalesce({f}, '') <> '')::INT" for f in ops.ASSIGNABLE) + " AS known, nullif(pets, '') AS pets FROM u", on="units")(
+    lambda u: u.withColumn("summary", F.lit(None).cast("string")).withColumn("m", ops.known_fields()).select("pos", F.size("m").alias("known"), F.try_element_at("m", F.lit("pets")).alias("pets"))
 )
 query("prj15_reading", f"WITH {U} SELECT pos, nullif(nullif(CASE WHEN pos % 2 = 0 THEN 'unknown' ELSE pets END, 'unknown'), '') AS pets FROM u", on="units")(lambda u: u.select("pos", text.reading(F.when(C("pos") % 2 == 0, "unknown").otherwise(C("pets"))).alias("pets")))
-query("prj16_cache_key", f"WITH {U} SELECT pos, coalesce(url, '') AS key FROM u", on="units")(lambda u: u.select("pos", F.coalesce("url", F.lit("")).alias("key")))
+query("prj16_cache_key", f"WITH {U} SELECT pos, coalesce(url, '') AS key FROM u", on="units")(lambda u: u.select("pos", ops.cache_key(C("url")).alias("key")))
 
 # filters
 
@@ -202,12 +229,26 @@ FILTERS = {
 }
 for _name, (_filters, _where) in FILTERS.items():
     query(_name, f"WITH {U} SELECT pos FROM u WHERE {_where}", on="units")(lambda u, f=_filters: u.where(f.predicate()).select("pos"))
-query("flt13_ttl", "SELECT event_id FROM events WHERE coalesce(value, 0) >= 50", on="events")(lambda e: e.where(F.coalesce("value", F.lit(0.0)) >= 50).select("event_id"))
-query("flt14_only", f"WITH {U} SELECT pos FROM u WHERE source IN ('s1', 's4')", on="units")(lambda u: u.where(C("source").isin("s1", "s4")).select("pos"))
+query("flt13_ttl", "SELECT event_id FROM events WHERE value >= 50 AND event_id % 5 > 0", on="events")(
+    lambda e: raw.fresh_pages(e.withColumn("fetched_at", F.when(C("event_id") % 5 > 0, C("value") * 3600)), 74 * 3600).select("event_id")
+)
+@query("flt14_only", "SELECT 's' || s_suppkey AS slug, true AS known FROM supplier WHERE s_suppkey IN (1, 4) UNION ALL SELECT 'nowhere', false", on="supplier")
+def _(s):
+    known, unknown = ops.only_slugs(s.select(F.concat(F.lit("s"), "s_suppkey").alias("slug")), ["s1", " s4", "nowhere", ""])
+    return known.withColumn("known", F.lit(True)).unionByName(unknown.withColumn("known", F.lit(False)))
+
+
+CONTACTS_SQL = "k AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 > 0 THEN 'm' || (c_custkey % 50) ELSE '' END AS manager, CASE WHEN c_acctbal > 4000 THEN 'p' || c_custkey END AS phone, list_slice(['a' || c_custkey, 'b' || c_custkey, 'c' || c_custkey], 1, c_custkey % 4) AS emails FROM customer), l AS (SELECT * FROM k WHERE manager <> '' QUALIFY row_number() OVER (PARTITION BY manager ORDER BY id DESC) = 1)"
+
+
+def contacts(c: DataFrame) -> DataFrame:
+    k = C("c_custkey")
+    emails = F.slice(F.array(*[F.concat(F.lit(x), k) for x in "abc"]), F.lit(1), (k % 4).cast("int"))
+    return c.select(F.lpad(k.cast("string"), 12, "0").alias("slug"), F.when(k % 7 > 0, F.concat(F.lit("m"), k % 50)).otherwise("").alias("manager"), F.when(C("c_acctbal") > 4000, F.concat(F.lit("p"), k)).alias("phone"), F.when(k % 4 > 0, emails).alias("emails"), F.lit(None).cast("string").alias("source_url"))
 query("flt15_emails", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'a' || c_custkey || '@firm.com' END AS emails FROM customer", on="customer")(
     lambda c: c.select("c_custkey", F.array_join(text.extract_contact(F.concat(F.when(C("c_custkey") % 3 == 0, "noreply@firm.com").otherwise(F.concat(F.lit("A"), "c_custkey", F.lit("@firm.com, a"), "c_custkey", F.lit("@firm.com"))), F.lit(" x@sentry.io")))["emails"], ",").alias("emails"))
 )
-query("flt16_has_contact", "SELECT c_custkey FROM customer WHERE c_acctbal > 0 OR c_custkey % 2 = 0", on="customer")(lambda c: c.where((C("c_acctbal") > 0) | (C("c_custkey") % 2 == 0)).select("c_custkey"))
+query("flt16_has_contact", f"WITH {CONTACTS_SQL} SELECT id FROM k WHERE phone IS NOT NULL OR len(emails) > 0", on="customer")(lambda c: contacts(c).where(ops.has_contact(C("phone"), C("emails"))).select(C("slug").cast("long").alias("id")))
 
 # joins
 
@@ -228,24 +269,30 @@ query(
 )(
     lambda u: ops.reconcile(u, u.where("url is not null and pos % 5 = 0 and bedrooms is not null").select("url", F.lit("bedrooms").alias("field"), (C("bedrooms") + 1).cast("string").alias("page"), F.lit("conflict").alias("type"), C("pos").alias("ord"))).select("pos", "bedrooms", "unit_type")
 )
-query("join03_contacts", "SELECT o_orderkey, m.phone FROM orders LEFT JOIN (SELECT c_mktsegment, arg_max(c_name, c_custkey) AS phone FROM customer GROUP BY 1) m ON CASE o_orderkey % 6 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'AUTOMOBILE' WHEN 2 THEN 'MACHINERY' ELSE 'NONE' END = c_mktsegment")(
-    lambda spark, sf: (
-        t(spark, sf, "orders").select("o_orderkey", F.when(C("o_orderkey") % 6 == 0, "BUILDING").when(C("o_orderkey") % 6 == 1, "AUTOMOBILE").when(C("o_orderkey") % 6 == 2, "MACHINERY").otherwise("NONE").alias("c_mktsegment"))
-        .join(t(spark, sf, "customer").groupBy("c_mktsegment").agg(F.max_by("c_name", "c_custkey").alias("phone")), "c_mktsegment", "left").select("o_orderkey", "phone")
-    )
-)
-query("join04_registry", "SELECT s_suppkey, coalesce(CASE WHEN s_suppkey % 4 = 0 THEN s_name END, n_name, 'none') AS manager FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")(
-    lambda spark, sf: t(spark, sf, "supplier").join(t(spark, sf, "nation"), C("s_nationkey") == C("n_nationkey"), "left").select("s_suppkey", F.coalesce(F.when(C("s_suppkey") % 4 == 0, C("s_name")), "n_name", F.lit("none")).alias("manager"))
+query("join03_contacts", f"WITH {CONTACTS_SQL} SELECT o_orderkey, CASE WHEN phone IS NOT NULL OR len(emails) > 0 THEN phone END AS phone, CASE WHEN phone IS NOT NULL OR len(emails) > 0 THEN array_to_string(list_slice(emails, 1, 2), ',') END AS emails FROM orders LEFT JOIN l ON 'm' || (o_custkey % 60) = manager")(
+    lambda spark, sf: ops.with_contacts(t(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("m"), C("o_custkey") % 60).alias("manager")), contacts(t(spark, sf, "customer"))).select("o_orderkey", "phone", F.when(C("emails").isNotNull(), F.array_join("emails", ",")).alias("emails"))
+)
+query("join04_registry", "SELECT 's' || s_suppkey AS slug, coalesce(CASE WHEN s_suppkey % 4 = 0 THEN s_name END, n_name, 's' || s_suppkey) AS manager, CASE WHEN n_name IS NOT NULL THEN 'eri' END AS platform FROM supplier LEFT JOIN nation ON s_suppkey = n_nationkey")(
+    lambda spark, sf: ops.with_registry(
+        t(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("slug"), F.when(C("s_suppkey") % 4 == 0, C("s_name")).otherwise("").alias("manager")),
+        t(spark, sf, "nation").select(F.concat(F.lit("s"), "n_nationkey").alias("slug"), C("n_name").alias("manager"), F.lit("https://x.org").alias("site"), F.lit("eri").alias("platform")),
+    ).select("slug", "manager", "platform")
+)
+query("join05_street_city", f"WITH {U} SELECT source, address AS street, arg_min(city, pos) AS there FROM u WHERE coalesce(city, '') <> '' GROUP BY ALL", on="units")(
+    lambda u: portals.street_cities(u.select("source", C("address").alias("street"), F.nullif("city", F.lit("")).alias("own"), "pos"))
 )
-query("join05_street_city", f"WITH {U}, k AS (SELECT address, arg_min(city, pos) AS there FROM u WHERE coalesce(city, '') <> '' GROUP BY address) SELECT pos, coalesce(nullif(city, ''), there) AS city FROM u LEFT JOIN k ON u.address = k.address", on="units")(
-    lambda u: u.join(u.where("coalesce(city, '') <> ''").groupBy("address").agg(F.min_by("city", "pos").alias("there")), "address", "left").select("pos", F.coalesce(F.nullif("city", F.lit("")), "there").alias("city"))
+query("join06_not_cached", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")(
+    lambda spark, sf: ops.without(t(spark, sf, "orders").select("o_orderkey"), t(spark, sf, "lineitem").select(C("l_orderkey").alias("o_orderkey")), "o_orderkey")
+)
+query("join08_results_meta", "SELECT doc_id AS page_id, quality, lang FROM documents JOIN labels USING (doc_id)")(
+    lambda spark, sf: ops.results_with_meta(t(spark, sf, "labels").select(C("doc_id").alias("page_id"), "quality"), t(spark, sf, "documents").select(C("doc_id").alias("page_id"), "lang"))
 )
-query("join06_not_cached", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")(lambda spark, sf: t(spark, sf, "orders").join(t(spark, sf, "lineitem"), C("o_orderkey") == C("l_orderkey"), "left_anti").select("o_orderkey"))
-query("join08_results_meta", "SELECT doc_id, quality, lang FROM documents JOIN labels USING (doc_id)")(lambda spark, sf: t(spark, sf, "documents").select("doc_id", "lang").join(t(spark, sf, "labels"), "doc_id").select("doc_id", "quality", "lang"))
 query("join09_single_unit", f"WITH {U}, k AS (SELECT source, url FROM u WHERE coalesce(url, '') <> '' AND kind IN ('residential', 'room') GROUP BY ALL HAVING count(*) = 1) SELECT pos FROM u JOIN k USING (source, url) WHERE kind IN ('residential', 'room')", on="units")(
     lambda u: ops.single_unit_pages(u).select("pos")
 )
-query("join10_missing", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")(lambda spark, sf: t(spark, sf, "customer").join(t(spark, sf, "orders"), C("c_custkey") == C("o_custkey"), "left_anti").select("c_custkey"))
+query("join10_missing", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")(
+    lambda spark, sf: ops.without(t(spark, sf, "customer").select("c_custkey"), t(spark, sf, "orders").select(C("o_custkey").alias("c_custkey")), "c_custkey")
+)
 
 # aggregates
 
@@ -261,11 +308,10 @@ query("agg02_merge", f"WITH {U}, {AREAS_SQL}, {MERGED_SQL} SELECT file_name, pos
 query("agg03_city_facet", "SELECT n_name AS value, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")(
     lambda spark, sf: dashboard.count_facet(t(spark, sf, "customer").join(t(spark, sf, "nation"), C("c_nationkey") == C("n_nationkey")), "n_name")
 )
-query("agg04_bedroom_facet", f"WITH {U} SELECT bedrooms, count(*) AS n FROM u GROUP BY 1", on="units")(lambda u: u.groupBy("bedrooms").agg(F.count("*").alias("n")).orderBy(C("bedrooms").asc_nulls_last()))
-query("agg05_rent_range", f"WITH {U} SELECT min(rent) AS least, max(rent) AS most FROM u", on="units")(lambda u: u.agg(F.min("rent").alias("least"), F.max("rent").alias("most")))
-CELLS = ("room_type", "pets", "furnished", "parking", "laundry")
-query("agg06_facets", f"WITH {U}, f AS (" + " UNION ALL ".join(f"SELECT '{c}' AS facet, coalesce(nullif({c}, ''), 'unknown') AS value, pos FROM u" for c in CELLS) + ") SELECT facet, value, count(*) AS n, min(pos) AS first FROM f GROUP BY ALL", on="units")(
-    lambda u: dashboard.facets(u, CELLS, ["pos"]).orderBy(*dashboard.facet_order()).select("facet", "value", "n", C("first.pos").alias("first"))
+query("agg04_bedroom_facet", f"WITH {U} SELECT bedrooms, count(*) AS n FROM u GROUP BY 1", on="units")(dashboard.bedroom_facet)
+query("agg05_rent_range", f"WITH {U} SELECT min(rent) AS least, max(rent) AS most FROM u", on="units")(dashboard.rent_range)
+query("agg06_facets", f"WITH {U}, v AS (SELECT *, {TYPE_SQL} AS unit_type FROM u), f AS (" + " UNION ALL ".join(f"SELECT '{c}' AS facet, coalesce(nullif({c}, ''), 'unknown') AS value, pos FROM v" for c in dashboard.FACETS) + ") SELECT facet, value, count(*) AS n, min(pos) AS first FROM f GROUP BY ALL", on="units")(
+    lambda u: dashboard.facets(u.withColumn("unit_type", kinds.unit_type(C("bedrooms"))), dashboard.FACETS, ["pos"]).orderBy(*dashboard.facet_order()).select("facet", "value", "n", C("first.pos").alias("first"))
 )
 query("agg06_facets_labels", "WITH j AS (SELECT lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)) " + " UNION ALL ".join(f"SELECT '{c}' AS facet, coalesce(CAST({c} AS STRING), 'unknown') AS value, count(*) AS n FROM j GROUP BY ALL" for c in ("lang", "quality", "toxic")))(
     lambda spark, sf: dashboard.facets(t(spark, sf, "documents").select("doc_id", "lang").join(t(spark, sf, "labels"), "doc_id", "left"), ("lang", "quality", "toxic"), ["doc_id"]).select("facet", "value", "n")
@@ -275,12 +321,12 @@ query("agg08_out_of_area", f"WITH {U}, {AREAS_SQL} SELECT city || ', ' || state
     lambda u: u.join(places.keep_covered(u).select("pos"), "pos", "left_anti").groupBy(F.concat_ws(", ", "city", "state").alias("place")).agg(F.count("*").alias("n")).orderBy(C("n").desc(), "place").limit(8)
 )
 query("agg09_per_source", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")(
-    lambda spark, sf: t(spark, sf, "customer").select("c_custkey").join(t(spark, sf, "orders").groupBy(C("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n")), "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    lambda spark, sf: ops.per_source(t(spark, sf, "customer").select("c_custkey"), t(spark, sf, "orders").select(C("o_custkey").alias("c_custkey")), "c_custkey")
 )
 query("agg10_headline", f"WITH {U} SELECT count(*) AS n, CAST(median(rent) FILTER (room_type = 'entire_place') AS DOUBLE) AS median_rent, count(DISTINCT nullif(city, '')) AS cities, count(DISTINCT manager) AS managers FROM u", on="units")(
     lambda u: dashboard.headline(u, C("rent"), C("room_type") == "entire_place", C("city"), C("manager"))
 )
-query("agg11_median", "SELECT p_brand, CAST(median(p_retailprice) AS DOUBLE) AS median FROM part GROUP BY 1", on="part")(lambda p: p.groupBy("p_brand").agg(F.median("p_retailprice").alias("median")))
+query("agg11_median", "SELECT p_brand, CAST(median(p_retailprice) AS DOUBLE) AS median FROM part GROUP BY 1", on="part")(lambda p: dashboard.median_of(p, C("p_retailprice"), "p_brand"))
 query("agg12", f"WITH {U} SELECT least(CAST(floor(bedrooms) AS INT), 4)::INT AS bucket, count(*) AS n, CAST(floor(median(rent) + 0.5) AS BIGINT) AS median FROM u WHERE room_type = 'entire_place' AND rent IS NOT NULL AND bedrooms IS NOT NULL GROUP BY 1", on="units")(
     lambda u: dashboard.median_by_bucket(u, C("bedrooms"), C("rent"), C("room_type") == "entire_place")
 )
@@ -288,13 +334,15 @@ query("agg12_median_by_bucket", "SELECT least(CAST(floor(p_size / 10.0) AS INT),
     lambda p: dashboard.median_by_bucket(p, C("p_size") / 10, C("p_retailprice"), F.lit(True))
 )
 query("agg13_top_cities", "SELECT n_name AS value, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY n DESC, value LIMIT 12")(
-    lambda spark, sf: dashboard.count_facet(t(spark, sf, "customer").join(t(spark, sf, "nation"), C("c_nationkey") == C("n_nationkey")), "n_name").orderBy(C("n").desc(), "value").limit(12)
+    lambda spark, sf: dashboard.top(dashboard.count_facet(t(spark, sf, "customer").join(t(spark, sf, "nation"), C("c_nationkey") == C("n_nationkey")), "n_name"), 12)
 )
 query("agg14_months", f"WITH {U}, l AS (SELECT left(available_date, 7) AS month, count(*) AS n FROM u WHERE NOT available_now AND available_date IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 11) SELECT 'now' AS month, count(*) AS n FROM u WHERE available_now UNION ALL SELECT * FROM l", on="units")(
     lambda u: dashboard.by_month(u, C("available_date").cast("date"), C("available_now"))
 )
 query("agg14_month", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1", on="orders")(lambda o: o.groupBy(dates.month_key(C("o_orderdate")).alias("month")).agg(F.count("*").alias("n")))
-query("agg15_room_types", f"WITH {U} SELECT coalesce(room_type, 'unknown') AS room_type, count(*) AS n FROM u GROUP BY 1", on="units")(lambda u: u.groupBy(F.coalesce("room_type", F.lit("unknown")).alias("room_type")).agg(F.count("*").alias("n")))
+query("agg15_room_types", f"WITH {U}, r AS (SELECT CASE room_type WHEN 'entire_place' THEN 0 WHEN 'private_room' THEN 1 WHEN 'shared_room' THEN 2 ELSE 3 END AS place FROM u WHERE room_type IS DISTINCT FROM 'private_room') SELECT place, ['Entire place', 'Private room', 'Shared room', 'Undetermined'][place + 1] AS name, count(*) AS n FROM r GROUP BY ALL", on="units")(
+    lambda u: dashboard.room_types(u.where(~C("room_type").eqNullSafe("private_room")))
+)
 query(
     "agg16_coverage",
     f"WITH {U} SELECT 'In-unit laundry' AS name, count(*) AS n FROM u WHERE laundry = 'in_unit' UNION ALL SELECT 'Any laundry', count(*) FROM u WHERE laundry <> 'none' UNION ALL SELECT 'Parking', count(*) FROM u WHERE parking <> 'none' UNION ALL SELECT 'Furnished', count(*) FROM u WHERE furnished = 'furnished' UNION ALL SELECT 'Pets OK', count(*) FROM u WHERE pets <> 'none' AND pets <> ''",
@@ -306,36 +354,21 @@ query("agg16_count_if", "SELECT count(*) FILTER (l_returnflag = 'R') AS r, count
 query("agg19_pages", f"WITH {U}, {CACHE_SQL} SELECT url, count(*) AS members, min(pos) AS first FROM u WHERE url IS NOT NULL AND kind IN ('residential', 'room') AND url NOT IN (SELECT url FROM c) GROUP BY 1", on="units")(
     lambda u: ops.pages_to_read(u, cache_of(u), ["pos"]).select("url", "members", C("first.pos").alias("first"))
 )
-query("agg20_shared_pages", f"WITH {U} SELECT pos, count(*) OVER (PARTITION BY source, url) AS members FROM u", on="units")(
-    lambda u: u.join(u.groupBy(C("source").alias("s"), C("url").alias("l")).agg(F.count("*").alias("members")), (C("source") == C("s")) & C("url").eqNullSafe(C("l"))).select("pos", "members")
+query("agg20_shared_pages", f"WITH {U} SELECT pos, count(*) OVER (PARTITION BY source, url) AS members FROM u WHERE url IS NOT NULL", on="units")(lambda u: ops.with_page_members(u).select("pos", "members"))
+query("agg21_totals", "SELECT count(*) FILTER (o_orderstatus = 'O') AS sources_ok, count(*) FILTER (o_orderstatus <> 'O') AS sources_failed, CAST(sum(o_custkey) AS BIGINT) AS total_units FROM orders", on="orders")(
+    lambda o: raw.status_totals(o.select((C("o_orderstatus") == "O").alias("ok"), C("o_custkey").alias("units")))
 )
-query("agg21_totals", "SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders GROUP BY 1", on="orders")(lambda o: o.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("total")))
 query("agg22_costs", "WITH k AS (SELECT n_chars // 4 + 700 AS t FROM documents) SELECT count(*) AS pages, CAST(sum(t) AS BIGINT) AS tokens_in, count(*) * 220 AS tokens_out, min(t) AS least, list_sort(list(t))[count(*) // 2 + 1] AS median, max(t) AS most FROM k", on="documents")(
-    lambda d: upper_median(d.select((F.floor(C("n_chars") / 4) + 700).alias("t")))
+    lambda d: ops.token_costs(d, C("n_chars"))
 )
-query("agg23_estimate", "SELECT count(*) AS n, round(count(*) * (5000 * 1.0 + 200 * 5.0) / 1e6 / 2, 2) AS cost FROM documents", on="documents")(lambda d: d.agg(F.count("*").alias("n")).withColumn("cost", F.round(C("n") * F.lit(5000 * 1.0 + 200 * 5.0) / 1e6 / 2, 2)))
-query("agg24_first_contact", "SELECT c_mktsegment, arg_min(c_name, c_custkey) AS first FROM customer GROUP BY 1", on="customer")(lambda c: c.groupBy("c_mktsegment").agg(F.min_by("c_name", "c_custkey").alias("first")))
-query("agg25_contact_coverage", "SELECT count(*) FILTER (c_acctbal > 0) AS phones, count(*) FILTER (c_custkey % 2 = 0) AS emails FROM customer", on="customer")(lambda c: c.agg(F.count_if(C("c_acctbal") > 0).alias("phones"), F.count_if(C("c_custkey") % 2 == 0).alias("emails")))
-
-
-def upper_median(tokens: DataFrame) -> DataFrame:
-    """Totals, and of an even number of sizes the upper middle one: the value at whose count from below half is first passed.
-
-    Sizes are counted first; the running sum is over distinct sizes, of which there are no more than a page has characters.
-    """
-    from pyspark.sql import Window
-
-    counts = tokens.groupBy("t").agg(F.count("*").alias("c"))
-    runs = counts.select("t", "c", F.sum("c").over(Window.orderBy("t")).alias("upto"), F.sum("c").over(Window.partitionBy(F.lit(1))).alias("all"))
-    return runs.agg(F.max("all").alias("pages"), F.sum(C("t") * C("c")).alias("tokens_in"), (F.max("all") * 220).alias("tokens_out"), F.min("t").alias("least"), F.min(F.when(C("upto") > F.floor(C("all") / 2), C("t"))).alias("median"), F.max("t").alias("most"))
-
+query("agg23_estimate", "SELECT count(*) AS n, round(count(*) * (5000 * 1.0 + 200 * 5.0) / 1e6 / 2, 2) AS cost FROM documents", on="documents")(lambda d: ops.flat_cost(d, 1.0, 5.0))
+query("agg24_first_contact", "SELECT c_mktsegment AS slug, arg_min(c_name, c_custkey) AS contact FROM customer GROUP BY 1", on="customer")(lambda c: ops.first_contacts(c.select(C("c_mktsegment").alias("slug"), C("c_name").alias("contact"), "c_custkey"), ["c_custkey"]))
+query("agg25_contact_coverage", f"WITH {CONTACTS_SQL} SELECT count(*) AS managers, count(phone) AS phones, count(*) FILTER (len(emails) > 0) AS emails FROM l", on="customer")(lambda c: ops.contact_coverage(contacts(c)))
 
 # orders, limits
 
-query("srt01_raw", f"WITH {U} SELECT pos, row_number() OVER (ORDER BY lower(coalesce(nullif(city, ''), '~')), coalesce(bedrooms, 99), coalesce(rent, 9e9), pos) AS place FROM u ORDER BY place LIMIT 100", on="units")(
-    lambda u: placed(dashboard.page_of(u, "raw", ["pos"], 100))
-)
 SORT_SQL = {
+    "srt01_raw": ("raw", "lower(coalesce(nullif(city, ''), '~')), coalesce(bedrooms, 99), coalesce(rent, 9e9)"),
     "srt02_merged": ("soonest", "available_now DESC, coalesce(available_date, '9999-99-99'), coalesce(rent, 9e9)"),
     "srt03_rent_asc": ("rent-asc", "rent ASC NULLS LAST"),
     "srt03_rent_desc": ("rent-desc", "coalesce(rent, -1) DESC"),
@@ -343,26 +376,18 @@ SORT_SQL = {
     "srt03_city": ("city", "lower(coalesce(city, '~')) <> '', lower(replace(coalesce(city, '~'), '~', ' '))"),
 }
 for _name, (_sort, _order) in SORT_SQL.items():
-    query(_name, f"WITH {U} SELECT pos, row_number() OVER (ORDER BY {_order}, pos) AS place FROM u ORDER BY place LIMIT 50", on="units")(lambda u, s=_sort: placed(dashboard.page_of(u, s, ["pos"])))
-
-
-def placed(page: DataFrame) -> DataFrame:
-    """A page's rows with their places; a page is a few rows."""
-    return page.select(F.monotonically_increasing_id().alias("m"), "pos").coalesce(1).select("pos", (F.row_number().over(_by_m())).cast("long").alias("place"))
-
-
-def _by_m():
-    from pyspark.sql import Window
-
-    return Window.orderBy("m")
-
-
+    query(_name, f"WITH {U} SELECT pos, row_number() OVER (ORDER BY {_order}, pos) - 1 AS place FROM u", on="units")(lambda u, s=_sort: ops.numbered(u, [*dashboard.SORTS[s](), C("pos")], "place").select("pos", "place"))
 query("srt05_page_ids", f"WITH {U}, k AS (SELECT DISTINCT url FROM u WHERE url IS NOT NULL) SELECT url, 'p' || lpad(CAST(row_number() OVER (ORDER BY url) - 1 AS STRING), 5, '0') AS page_id FROM k", on="units")(
     lambda u: ops.numbered_pages(u.where("url is not null").select("url").distinct()).select("url", "page_id")
 )
-query("lim01_paging", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 50", on="orders")(lambda o: o.orderBy(C("o_totalprice").desc(), "o_orderkey").offset(50).limit(50).select("o_orderkey"))
-query("lim03_top_k", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_partkey LIMIT 8", on="lineitem")(lambda x: x.groupBy("l_partkey").agg(F.count("*").alias("n")).orderBy(C("n").desc(), "l_partkey").limit(8))
-query("lim04_truncate", "SELECT doc_id, length(left(text, 20000)) AS n FROM documents", on="documents")(lambda d: d.select("doc_id", F.length(F.substring("text", 1, 20_000)).cast("long").alias("n")))
+query("srt06_statuses", "SELECT 's' || s_suppkey AS slug, row_number() OVER (ORDER BY 's' || s_suppkey) - 1 AS place FROM supplier", on="supplier")(lambda s: ops.numbered(raw.status_rows(s.select(F.concat(F.lit("s"), "s_suppkey").alias("slug"))), ["slug"], "place"))
+query("lim01_paging", f"WITH {U} SELECT pos FROM u ORDER BY coalesce(rent, -1) DESC, pos LIMIT 50 OFFSET 100", on="units")(lambda u: dashboard.page_of(u, "rent-desc", ["pos"], page=2).select("pos"))
+query("lim01_pages_of_each_order", f"WITH {U}" + " UNION ALL ".join(f" SELECT '{s}' AS sort, pos FROM (SELECT pos FROM u ORDER BY {o}, pos LIMIT 50 OFFSET 50)" for s, o in SORT_SQL.values()), on="units")(
+    lambda u: functools.reduce(DataFrame.unionByName, [dashboard.page_of(u, s, ["pos"], page=1).select(F.lit(s).alias("sort"), "pos") for s, _ in SORT_SQL.values()])
+)
+query("lim03_top_k", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_partkey LIMIT 8", on="lineitem")(lambda x: dashboard.top(x.groupBy("l_partkey").agg(F.count("*").alias("n")), 8, "l_partkey"))
+CLEAN_SQL = r"""trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<noscript\b.*?</noscript>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '[\s\x{00A0}]+', ' ', 'g'))"""
+query("lim04_truncate", f"SELECT page_id, left({CLEAN_SQL}, 200) AS head, length(left({CLEAN_SQL}, 20000)) AS n FROM pages", on="pages")(lambda p: p.select("page_id", text.detail_text(C("html"), 200).alias("head"), F.length(text.detail_text(C("html"))).cast("long").alias("n")))
 
 # scalar functions
 
@@ -384,11 +409,13 @@ query("str05_square_feet", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN
 query("dat01_available", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day, o_orderkey % 4 = 3 AS now FROM orders", on="orders")(
     lambda o: o.select("o_orderkey", dates.parse_available(F.when(C("o_orderkey") % 4 == 0, F.date_format("o_orderdate", "'from' yyyy-MM-dd")).when(C("o_orderkey") % 4 == 1, F.date_format("o_orderdate", "'Available' MMMM d, yyyy")).when(C("o_orderkey") % 4 == 2, F.date_format("o_orderdate", "M/d/yyyy")).otherwise("Available NOW"), TODAY).alias("a")).select("o_orderkey", C("a.date").alias("day"), C("a.now").alias("now"))
 )
-query("dat02_infer_year", "SELECT DISTINCT month(o_orderdate)::INT AS m, day(o_orderdate)::INT AS d, CASE WHEN date_diff('day', make_date(1998, month(o_orderdate), day(o_orderdate)), DATE '1998-06-15') > 60 THEN 1999 ELSE 1998 END::INT AS y FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)", on="orders")(
-    lambda o: o.select(F.month("o_orderdate").alias("m"), F.day("o_orderdate").alias("d")).distinct().where("not (m = 2 and d = 29)").withColumn("y", dates.infer_year(C("m"), C("d"), F.lit(TODAY)))
+query("dat02_infer_year", "SELECT DISTINCT month(o_orderdate)::INT AS m, day(o_orderdate)::INT AS d, CASE WHEN month(o_orderdate) = 2 AND day(o_orderdate) = 29 THEN 1998 WHEN date_diff('day', CAST('1998-' || strftime(o_orderdate, '%m-%d') AS DATE), DATE '1998-06-15') > 60 THEN 1999 ELSE 1998 END::INT AS y FROM orders", on="orders")(
+    lambda o: o.select(F.month("o_orderdate").alias("m"), F.day("o_orderdate").alias("d")).distinct().withColumn("y", dates.infer_year(C("m"), C("d"), F.lit(TODAY)))
 )
-query("dat03_epoch", "SELECT event_id, CAST((ts - INTERVAL 8 HOUR) AS DATE) AS day FROM events WHERE month(ts) IN (1, 2, 12)", on="events")(
-    lambda e: e.where(F.month("ts").isin(1, 2, 12)).select("event_id", dates.pacific_date(F.unix_millis(C("ts").cast("timestamp"))).alias("day"))
+#: Daylight saving lasts from 10:00 UTC on the second Sunday of March to 9:00 UTC on the first of November.
+SUNDAY_SQL = "make_date(year(t), {0}, {1}) + ((7 - dayofweek(make_date(year(t), {0}, {1}))) % 7)::INT"
+query("dat03_epoch", f"SELECT event_id, CAST(t - CASE WHEN t >= {SUNDAY_SQL.format(3, 8)} + INTERVAL 10 HOUR AND t < {SUNDAY_SQL.format(11, 1)} + INTERVAL 9 HOUR THEN INTERVAL 7 HOUR ELSE INTERVAL 8 HOUR END AS DATE) AS day FROM (SELECT event_id, CAST(ts AS TIMESTAMP) + INTERVAL (event_id % 366) DAY AS t FROM events)", on="events")(
+    lambda e: e.select("event_id", dates.pacific_date(F.unix_millis(C("ts").cast("timestamp") + F.make_dt_interval(days=(C("event_id") % 366).cast("int")))).alias("day"))
 )
 query("dat04_labels", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, strftime(o_orderdate, '%b %-d, %Y') AS label, strftime(o_orderdate, '%Y-%m') AS month, strftime(o_orderdate, '%b %y') AS short FROM orders", on="orders")(
     lambda o: o.select(C("o_orderdate").cast("date").alias("day")).distinct().select("day", dates.day_label(C("day")).alias("label"), dates.month_key(C("day")).alias("month"), dates.month_label(C("day")).alias("short"))
@@ -427,10 +454,17 @@ query("arr01_occupancy", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 AND p_si
 query("arr02_pets", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'cats_only' WHEN 2 THEN 'dogs_only' WHEN 3 THEN 'allowed' END AS pets FROM part", on="part")(
     lambda p: p.select("p_partkey", kinds.pets_of_policy(policy("Pet Policy", F.element_at(F.array(*map(F.lit, ("No Pets", "Cats Allowed", "Dogs OK", "Cats and dogs", "Ask"))), (C("p_partkey") % 5 + 1).cast("int")))).alias("pets"))
 )
-query("arr03_fill", f"WITH {U} SELECT pos, coalesce(pets, laundry) AS pets, (coalesce(pets, laundry) IS NOT NULL AND furnished IS NOT NULL) AS complete FROM u", on="units")(
-    lambda u: u.select("pos", F.coalesce("pets", "laundry").alias("pets"), (F.coalesce("pets", "laundry").isNotNull() & C("furnished").isNotNull()).alias("complete"))
-)
-query("jsn01_payload", "SELECT event_id, props->>'$.k' AS k FROM events", on="events")(lambda e: e.select("event_id", F.get_json_object("props", "$.k").alias("k")))
+query(
+    "arr03_merge",
+    f"""WITH {U}, e AS (SELECT *, CASE WHEN coalesce(pets, '') <> '' OR coalesce(room_type, '') <> '' THEN 'structured' ELSE 'none' END AS a, CASE pos % 3 WHEN 0 THEN 'llm' WHEN 1 THEN 'structured' ELSE 'none' END AS b FROM u)
+    SELECT pos, coalesce(pets, laundry) AS pets, CASE WHEN a = b OR b = 'none' THEN a WHEN a = 'none' THEN b ELSE a || '+' || b END AS method, CASE WHEN pos % 2 = 0 THEN 'read' END AS evidence, laundry IS NOT NULL AS complete FROM e""",
+    on="units",
+)(
+    lambda u: u.withColumn("summary", F.lit(None).cast("string")).withColumn("e", ops.merge_enrichments(ops.structured_of(), F.struct(
+        F.lit("shared_room").alias("room_type"), C("laundry").alias("pets"), F.lit("furnished").alias("furnished"), F.lit("street").alias("parking"), F.lit(None).cast("string").alias("laundry"), F.lit("Nice.").alias("summary"),
+        F.when(C("pos") % 3 == 0, "llm").when(C("pos") % 3 == 1, "structured").otherwise("none").alias("method"), F.when(C("pos") % 2 == 0, F.create_map(F.lit("pets"), F.lit("read"))).alias("evidence"))))
+    .select("pos", "e.pets", "e.method", F.try_element_at("e.evidence", F.lit("pets")).alias("evidence"), (F.size(ops.missing_fields(C("e"))) == 0).alias("complete"))
+)
 query("mth01_money", "SELECT o_orderkey, '$' || format('{:,}', CAST(floor(o_totalprice + 0.5) AS BIGINT)) AS price FROM orders", on="orders")(lambda o: o.select("o_orderkey", text.money(C("o_totalprice")).alias("price")))
 
 
@@ -486,17 +520,42 @@ def _(o):
     return o.select("o_orderkey", F.explode(ops.inline_conflicts(mine, page)).alias("c")).select("o_orderkey", "c.field")
 
 
-query("agg18_applied", f"WITH {U} SELECT CASE WHEN pos % 2 = 0 THEN 'bedrooms' ELSE 'rent' END AS field, pos % 2 = 0 AS applied, count(*) AS n FROM u GROUP BY ALL", on="units")(
-    lambda u: u.select(F.when(C("pos") % 2 == 0, "bedrooms").otherwise("rent").alias("field")).groupBy("field", C("field").isin(*ops.APPLIED).alias("applied")).agg(F.count("*").alias("n"))
+query("agg18_applied", f"WITH {U}, c AS (SELECT url, arg_max(bedrooms + 1, pos) AS b FROM u WHERE url IS NOT NULL AND pos % 5 = 0 AND bedrooms IS NOT NULL GROUP BY url) SELECT 'bedrooms' AS field, true AS applied, count(*) AS n FROM u JOIN c USING (url) WHERE bedrooms IS DISTINCT FROM b UNION ALL SELECT 'rent', false, count(*) FROM u WHERE url IS NOT NULL AND pos % 5 = 1", on="units")(
+    lambda u: ops.reconcile_counts(u, u.where("url is not null and (pos % 5 = 1 or pos % 5 = 0 and bedrooms is not null)").select("url", F.when(C("pos") % 5 == 0, "bedrooms").otherwise("rent").alias("field"), (C("bedrooms") + 1).cast("string").alias("page"), F.lit("conflict").alias("type"), C("pos").alias("ord")))
 )
-query("prm01_apply", f"WITH {U} SELECT pos, coalesce(pets, 'none') AS pets, coalesce(parking, 'street') AS parking FROM u", on="units")(
-    lambda u: ops.fill(u.withColumn("url", F.lit("p")), u.sparkSession.createDataFrame([("p", "none", "street")], "url string, pets string, parking string"), ("pets", "parking")).select("pos", "pets", "parking")
+@query(
+    "prm01_apply",
+    f"WITH {U}, c AS (SELECT DISTINCT url FROM u WHERE url IS NOT NULL AND pos % 3 = 0) SELECT pos, CASE WHEN c.url IS NULL THEN pets ELSE coalesce(pets, 'none') END AS pets, CASE WHEN c.url IS NULL THEN parking ELSE coalesce(parking, 'street') END AS parking, CASE WHEN pos % 2 = 0 THEN 'Own.' WHEN c.url IS NULL THEN '' ELSE 'Nice.' END AS summary, CASE WHEN c.url IS NOT NULL AND bedrooms <> 2 THEN 'bedrooms' WHEN pos % 4 = 0 THEN 'old' END AS conflict FROM u LEFT JOIN c ON u.url = c.url",
+    on="units",
 )
-query("prm02_structured", f"WITH {U} SELECT pos, CASE WHEN pets IS NOT NULL OR room_type IS NOT NULL THEN 'structured' ELSE 'none' END AS method FROM u", on="units")(
-    lambda u: u.select("pos", F.when(C("pets").isNotNull() | C("room_type").isNotNull(), "structured").otherwise("none").alias("method"))
+def _(u):
+    observed = F.from_json(F.lit('{"describes_one_unit": true, "bedrooms": 2.0, "listing_kind": "unknown"}'), raw.OBSERVED)
+    none = F.lit(None).cast("string")
+    read = cache_of(u).select("url", none.alias("room_type"), F.lit("none").alias("pets"), none.alias("furnished"), F.lit("street").alias("parking"), none.alias("laundry"), F.lit("Nice.").alias("summary"), observed.alias("observed"))
+    old = F.when(C("pos") % 4 == 0, F.array(F.struct(F.lit("old").alias("field"), none.alias("parsed"), none.alias("observed"))))
+    done = ops.apply_results(u.withColumns({"summary": F.when(C("pos") % 2 == 0, "Own.").otherwise(""), "conflicts": old}), read)
+    return done.select("pos", "pets", "parking", "summary", F.get("conflicts", F.lit(0))["field"].alias("conflict"))
+query("prm02_structured", f"WITH {U} SELECT pos, CASE WHEN coalesce(pets, '') <> '' OR room_type IS NOT NULL THEN 'structured' ELSE 'none' END AS method FROM u", on="units")(
+    lambda u: u.withColumn("summary", F.lit(None).cast("string")).select("pos", ops.structured_of()["method"].alias("method"))
 )
-query("snk06_conflict_report", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F' ORDER BY 2 LIMIT 100", on="orders")(
-    lambda o: placed(raw.conflict_report(o.where("o_orderstatus = 'F'").select(C("o_orderkey").alias("pos"), F.lit("conflict").alias("type"), C("o_orderpriority").alias("field"), F.lpad(C("o_orderkey").cast("string"), 12, "0").alias("address"), F.lit("").alias("url"))).limit(100)).select(C("pos").alias("o_orderkey"), "place")
+query("snk06_conflict_report", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, CASE WHEN o_orderkey % 3 > 0 THEN lpad(CAST(o_orderkey AS STRING), 12, '0') ELSE '' END, lpad(CAST(o_orderkey AS STRING), 12, '0')) - 1 AS place FROM orders WHERE o_orderstatus = 'F'", on="orders")(
+    lambda o: ops.numbered(raw.conflict_report(o.select("o_orderkey", F.when(C("o_orderstatus") == "F", "conflict").otherwise("parser_missing").alias("type"), C("o_orderpriority").alias("field"), F.when(C("o_orderkey") % 3 > 0, F.lpad(C("o_orderkey").cast("string"), 12, "0")).alias("address"), F.lpad(C("o_orderkey").cast("string"), 12, "0").alias("url"))), raw.report_order(), "place").select("o_orderkey", "place")
 )
 
+
+def keyword_reader(pages):
+    """A stand-in for a remote reader: it knows one word."""
+    return pages[["url"]].assign(**{c: None for c in ("room_type", "furnished", "parking", "laundry", "summary", "evidence", "observed")}, pets=["none" if "0" in t else None for t in pages["text"]], method="llm")
+
+
+query("udf02_cache_only", f"WITH {U}, {CACHE_SQL} SELECT url, laundry FROM c", on="units")(lambda u: extractor.read_pages(u.select("url"), full_cache(u)).select("url", "laundry"))
+query("udf02_extractor", f"WITH {U}, {CACHE_SQL}, p AS (SELECT DISTINCT url FROM u WHERE url IS NOT NULL) SELECT p.url, CASE WHEN c.url IS NULL THEN 'llm' END AS method, CASE WHEN c.url IS NULL AND contains(p.url, '0') THEN 'none' END AS pets FROM p LEFT JOIN c ON p.url = c.url", on="units")(
+    lambda u: extractor.read_pages(u.where("url is not null").select("url").distinct().withColumn("text", C("url")), full_cache(u), extractor.by_batches(keyword_reader)).select("url", "method", "pets")
+)
+
+
+def full_cache(u: DataFrame) -> DataFrame:
+    names = [x.split(" ", 1) for x in ("room_type string", "pets string", "parking string", "summary string", "method string", "evidence map<string,string>", f"observed {raw.OBSERVED}")]
+    return cache_of(u).select("url", "laundry", "furnished", *[F.lit(None).cast(kind).alias(name) for name, kind in names])
+
 from . import markup  # noqa: E402, F401  its queries register themselves here

@@ -1,15 +1,15 @@
-"""Queries over listing pages. The driver's tables have no listings, so cards are written from orders, a page for each 50th
-of the keys, and each adapter has to read from them what went in; every tenth card lacks its address and must be dropped."""
+"""Queries over listing pages. The driver's tables have no listings, so cards are written from orders, a page for each 64 of
+the keys, and each adapter has to read from them what went in; every tenth card lacks its address and must be dropped."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import kinds, text
+from ..functions import kinds, places
 from ..operators import dashboard, units as ops
 from ..sources import portals, raw
-from .catalog import TODAY, C, U, query
+from .catalog import TODAY, C, U, query, scratch
 
 
 
@@ -38,7 +38,8 @@ def says(*parts) -> Column:
 
 
 def pages(orders: DataFrame, card: Column, column: str = "html") -> DataFrame:
-    cards = orders.groupBy((K() % 50).alias("page")).agg(F.sort_array(F.collect_list(F.struct(K().alias("k"), card.alias("c")))).alias("cs"))
+    """Pages of a few cards each, as long as they are however many orders there are."""
+    cards = orders.groupBy(F.floor(K() / 64).alias("page")).agg(F.sort_array(F.collect_list(F.struct(K().alias("k"), card.alias("c")))).alias("cs"))
     whole = F.concat(F.lit("<p>top</p>"), F.array_join(F.transform("cs", lambda x: x["c"]), "")) if column == "html" else says("[", F.array_join(F.transform("cs", lambda x: x["c"]), ","), "]")
     return cards.select(F.lit("s").alias("source"), F.lit("M").alias("manager"), F.lit("https://x.org").alias("base_url"), whole.alias(column))
 
@@ -83,32 +84,52 @@ query("flt04_no_address", "SELECT count(*) AS n FROM orders WHERE o_orderkey % 1
 query("prj02_recompute", f"WITH {U}, v AS (SELECT pos, bedrooms + 1 AS bedrooms FROM u) SELECT pos, CASE WHEN bedrooms < 1 THEN 'studio' WHEN bedrooms >= 3 THEN '3plus_bedroom' WHEN bedrooms IS NOT NULL THEN CAST(CAST(floor(bedrooms) AS INT) AS STRING) || '_bedroom' END AS unit_type FROM v", on="units")(
     lambda u: u.withColumn("bedrooms", C("bedrooms") + 1).select("pos", kinds.unit_type(C("bedrooms")).alias("unit_type"))
 )
-query("prj04_no_kind", f"WITH {U} SELECT count(*) AS n FROM u", on="units")(lambda u: u.drop("kind").agg(F.count("*").alias("n")))
-query("prj07_zero_stays", f"WITH {U} SELECT pos, coalesce(bedrooms, bathrooms, 9) AS v FROM u", on="units")(lambda u: u.select("pos", F.coalesce("bedrooms", "bathrooms", F.lit(9.0)).alias("v")))
-query("prj09_url", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'https://x.org/p/' || c_custkey WHEN 1 THEN 'https://o.net/' || c_custkey ELSE 'https://x.org/listings' END AS url FROM customer", on="customer")(
-    lambda c: c.select("c_custkey", F.when(C("c_custkey") % 3 == 0, says("/p/", C("c_custkey"))).when(C("c_custkey") % 3 == 1, says("https://o.net/", C("c_custkey"))).alias("h")).select("c_custkey", F.when(F.startswith("h", F.lit("/")), says("https://x.org", C("h"))).otherwise(F.coalesce("h", F.lit("https://x.org/listings"))).alias("url"))
+query("prj04_no_kind", "SELECT unnest(['file_name', 'pos', 'address']) AS name", on="units")(lambda u: u.sparkSession.createDataFrame([(c,) for c in ops.published(u.select("file_name", "pos", "kind", "address")).columns], "name string"))
+query("prj07_zero_stays", f"WITH {U}, c AS (SELECT DISTINCT url FROM u WHERE url IS NOT NULL AND pos % 3 = 0) SELECT pos, coalesce(bedrooms, CASE WHEN c.url IS NOT NULL THEN 9.0 END) AS bedrooms FROM u LEFT JOIN c ON u.url = c.url", on="units")(
+    lambda u: ops.fill(u, u.where("url is not null and pos % 3 = 0").select("url").distinct().withColumn("bedrooms", F.lit(9.0)), ("bedrooms",)).select("pos", "bedrooms")
 )
-query("flt05_current", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O'", on="orders")(lambda o: o.where(F.lower("o_orderstatus") == "o").select("o_orderkey"))
-query("lim02_queue", f"WITH {U}, p AS (SELECT url, count(*) AS members, row_number() OVER (ORDER BY url) AS r FROM u WHERE coalesce(url, '') <> '' AND kind IN ('residential', 'room') GROUP BY 1) SELECT count(*) FILTER (r <= 100) AS queued, CAST(sum(members) FILTER (r > 100) AS BIGINT) AS overflow FROM p", on="units")(
-    lambda u: queue(ops.pages_to_read(u, u.select("url").limit(0), ["pos"]), 100)
+query("prj09_url", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'https://x.org/p/' || c_custkey WHEN 1 THEN 'https://o.net/' || c_custkey ELSE 'https://x.org/listings' END AS url FROM customer", on="customer")(
+    lambda c: c.select("c_custkey", F.lit("https://x.org//").alias("base_url"), F.when(C("c_custkey") % 3 == 0, says("/p/", C("c_custkey"))).when(C("c_custkey") % 3 == 1, says("https://o.net/", C("c_custkey"))).alias("h")).select("c_custkey", portals.absolute(C("h"), "/listings").alias("url"))
 )
-query("join07_metro", f"WITH {U} SELECT pos FROM u WHERE city = 'Boston' AND state = 'MA'", on="units")(
-    lambda u: u.join(F.broadcast(u.sparkSession.createDataFrame([("MA", "Boston")], "state string, city string")), ["state", "city"], "left_semi").select("pos")
+query("flt05_current", "SELECT 'Map ' || o_orderkey AS address FROM orders WHERE o_orderstatus IN ('O', 'P')", on="orders")(
+    lambda o: read(o, "relisto", says('{"meta":{"property_status":"', F.when(C("o_orderstatus") == "O", "current").when(C("o_orderstatus") == "P", "CURRENT").otherwise("Leased"), '","city":"Oakland","map":{"address":"Map ', K().cast("string"), '"}}}'), "address", column="payload")
 )
-query("jsn02_response", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN value END AS value FROM events", on="events")(
-    lambda e: e.select("event_id", F.from_json(F.try_element_at(F.filter(F.array(F.struct(F.lit("thinking").alias("type"), F.lit("hm").alias("text")), F.struct(F.lit("text").alias("type"), F.when(C("event_id") % 2 == 0, F.to_json(F.struct("value"))).otherwise("I can't").alias("text"))), lambda b: b["type"] == "text"), F.lit(1))["text"], "value double")["value"].alias("value"))
+query("jsn01_payload", "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'Map ' || o_orderkey ELSE o_orderkey || ' Oak St, Oakland' END AS address, CASE WHEN o_orderkey % 3 = 0 THEN 4.0 WHEN o_orderkey % 3 = 1 THEN 0.0 END::DOUBLE AS bedrooms, CASE WHEN o_orderkey % 3 < 2 THEN 'Sunny ' || CASE o_orderkey % 3 WHEN 0 THEN '4BR' ELSE 'studio' END END AS title FROM orders", on="orders")(
+    lambda o: read(o, "relisto", says('{"title":', F.when(K() % 3 == 0, '{"rendered":"Sunny 4BR"}').when(K() % 3 == 1, '{"rendered":"Sunny studio"}').otherwise("null"), ',"meta":{"property_status":"Current","city":"Oakland","street_number":"', K().cast("string"), '","street_name":"Oak St","map":', F.when(K() % 2 == 0, says('{"address":"Map ', K().cast("string"), '"}')).otherwise('{"address":null}'), "}}"), "address", "bedrooms", "title", column="payload")
+)
+query("lim02_queue", f"WITH {U}, p AS (SELECT url, count(*) AS members, row_number() OVER (ORDER BY url) AS r FROM u WHERE coalesce(url, '') <> '' AND kind IN ('residential', 'room') GROUP BY 1) SELECT r <= 100 AS queued, count(*) AS pages, CAST(sum(members) AS BIGINT) AS members FROM p GROUP BY 1", on="units")(
+    lambda u: queued(*ops.queue_limit(ops.pages_to_read(u, u.select("url").limit(0), ["pos"]), 100))
 )
-query("str14_street_key", f"WITH {U} SELECT pos, lower(regexp_extract(address, '^\\s*([0-9\\-]+\\s+[A-Za-z][A-Za-z .''-]*)', 1)) AS street FROM u", on="units")(lambda u: u.select("pos", F.lower(text.strip(text.found(C("address"), portals.BOSTON_STREET))).alias("street")))
-query("snk01_write", f"WITH {U}, d AS (SELECT source, address, bedrooms, rent, min(pos) AS pos FROM u GROUP BY ALL) SELECT source, count(*) AS n, CAST(sum(pos) AS BIGINT) AS total FROM d GROUP BY 1", on="units")(
-    lambda u: ops.keep_first(u.select("source", "address", "bedrooms", "rent", "pos"), ["source", "address", "bedrooms", "rent"], ["pos"]).groupBy("source").agg(F.count("*").alias("n"), F.sum("pos").alias("total"))
+query("join07_metro", f"WITH {U} SELECT pos FROM u WHERE city = 'Boston' AND state = 'MA' OR city = 'Fresno' AND state = 'TX' OR coalesce(city, '') = ''", on="units")(
+    lambda u: places.keep_covered(u, u.sparkSession.createDataFrame([("MA", "boston"), ("TX", "fresno")], "area_state string, area_city string")).select("pos")
 )
-query("snk07_payload", f"WITH {U} SELECT 'unit' AS type, count(*) AS n FROM u UNION ALL SELECT 'facet', count(DISTINCT coalesce(nullif(pets, ''), 'unknown')) FROM u", on="units")(
-    lambda u: raw.merged_payload(u.select("pos", "address"), dashboard.facets(u, ["pets"], ["pos"])).groupBy(F.get_json_object("value", "$.type").alias("type")).agg(F.count("*").alias("n"))
+query("jsn02_response", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN value END AS value FROM events", on="events")(
+    lambda e: e.select("event_id", raw.parse_response(F.when(C("event_id") % 7 > 0, F.array(F.struct(F.lit("thinking").alias("type"), F.lit("hm").alias("text")), F.struct(F.lit("text").alias("type"), F.when(C("event_id") % 2 == 0, F.to_json(F.struct("value"))).otherwise("I can't").alias("text"))))
+        .otherwise(F.array(F.struct(F.lit("text").alias("type"), F.when(C("event_id") % 2 == 0, F.to_json(F.struct("value"))).alias("text")))), "value double")["value"].alias("value"))
+)
+query("str14_boston", f"WITH {U}, v AS (SELECT *, address || coalesce(' - ' || nullif(city, ''), '') AS title FROM u) SELECT pos, nullif(city, '') AS city, trim(lower(regexp_extract(title, '^\\s*([0-9\\-]+\\s+[A-Za-z][A-Za-z .''-]*)', 1))) AS street, string_split(lower(nullif(city, '')), ' ')[-1] AS tail FROM v", on="units")(
+    lambda u: u.withColumns({"title": says(C("address"), F.coalesce(says(" - ", F.nullif("city", F.lit(""))), F.lit(""))), "link": says("https://x.org/resident_listings/12-", F.lower(F.replace(F.nullif("city", F.lit("")), F.lit(" "), F.lit("-"))), "-", (C("pos") % 5).cast("string"), "/")})
+    .select("pos", portals.title_city(C("title")).alias("city"), portals.street_key(C("title")).alias("street"), portals.slug_tail(C("link")).alias("tail"))
+)
+@query("snk01_write", f"WITH {U} SELECT source, min(pos) AS pos, bedrooms, rent FROM u GROUP BY source, address, bedrooms, rent", on="units")
+def _(u):
+    path = scratch(u.sparkSession, "units")
+    raw.write_partitioned(ops.keep_first(u.select("source", "city", "address", "bedrooms", "rent", "pos"), ["source", "address", "bedrooms", "rent"], ["pos"]), path)
+    return u.sparkSession.read.parquet(path).select("source", "pos", "bedrooms", "rent")
+query("snk07_payload", f"WITH {U} SELECT 'unit' AS type, CAST(pos AS STRING) AS pos, address, NULL AS value, NULL AS n FROM u UNION ALL SELECT 'facet', NULL, NULL, coalesce(nullif(pets, ''), 'unknown') AS value, CAST(count(*) AS STRING) FROM u GROUP BY 4", on="units")(
+    lambda u: raw.merged_payload(u.select("pos", "address"), dashboard.facets(u, ["pets"], ["pos"])).select(F.get_json_object("value", "$.type").alias("type"), *[F.get_json_object("value", f"$.row.{c}").alias(c) for c in ("pos", "address")], F.get_json_object("value", "$.row.n").alias("n"), F.get_json_object("value", "$.row.value").alias("value"))
 )
-query("udf01_adapters", "SELECT unnest(['appfolio', 'boston_pm', 'buildium', 'eri', 'mmg', 'relisto', 'showmojo', 'tripalink']) AS platform")(lambda spark, sf: spark.createDataFrame([(k,) for k in portals.ADAPTERS], "platform string"))
-
-
-def queue(pages: DataFrame, most: int) -> DataFrame:
-    """How many pages are queued, and how many members wait beyond: the queue is the first by url, found as a top-k."""
-    last = pages.orderBy("url").limit(most).agg(F.max("url")).first()[0]
-    return pages.agg(F.count_if(C("url") <= last).alias("queued"), F.sum(F.when(C("url") > last, C("members"))).alias("overflow"))
+@query("udf01_adapters", "SELECT c_name AS address, 'made_up' AS platform FROM customer", on="customer")
+def _(c):
+    """A platform of one's own is registered and then read like the built-in ones."""
+    portals.register("made_up", lambda pages, today: portals.finish(pages.select("*", F.explode(F.split("html", ";")).alias("a")), address=C("a")))
+    try:
+        return portals.extract(c.select(F.lit("s").alias("source"), F.lit("M").alias("manager"), F.lit("https://x.org").alias("base_url"), says(C("c_name"), ";").alias("html")), "made_up", F.lit(TODAY)).select("address", F.lit("made_up").alias("platform"))
+    finally:
+        portals.ADAPTERS.pop("made_up")
+
+
+def queued(first: DataFrame, over: DataFrame) -> DataFrame:
+    """Pages and members of the queue, and of what waits beyond it."""
+    both = first.withColumn("queued", F.lit(True)).unionByName(over.withColumn("queued", F.lit(False)))
+    return both.groupBy("queued").agg(F.count("*").alias("pages"), F.sum("members").alias("members"))

@@ -53,6 +53,31 @@ def site(path: Column) -> Column:
     return F.concat(F.regexp_replace("base_url", "/+$", ""), path)
 
 
+def absolute(link: Column, fallback: str) -> Column:
+    """A link of a page as an address: paths belong to the site, and a card without link gets the site's fallback path."""
+    return F.when(F.startswith(link, F.lit("/")), site(link)).otherwise(F.coalesce(link, site(F.lit(fallback))))
+
+
+def street_cities(rows: DataFrame) -> DataFrame:
+    """source, street, there: the city of the first card of each street that names one. rows: source, street, own, pos."""
+    return rows.where("own is not null and street is not null").groupBy("source", "street").agg(F.min_by("own", "pos").alias("there"))
+
+
+def street_key(title: Column) -> Column:
+    return F.lower(text.strip(text.found(title, BOSTON_STREET)))
+
+
+def title_city(title: Column) -> Column:
+    """The city that a title ends with, unless it is the name of a part of a building."""
+    named = text.strip(text.found(title, BOSTON_CITY))
+    return F.when(~named.rlike(BOSTON_NO_CITY), places.normal_city(named))
+
+
+def slug_tail(link: Column) -> Column:
+    """The last word of a listing's link, without a counter behind it."""
+    return some(F.element_at(F.split(F.regexp_replace(F.lower(text.found(link, BOSTON_SLUG)), r"-\d+$", ""), "-"), -1))
+
+
 # Markers and fields of each portal's cards.
 APPFOLIO_CARD = r'(?i)<div[^>]*class="[^"]*js-listing-item[^"]*"'
 APPFOLIO_FACT = r'(?is)<dt[^>]*class="[^"]*detail-box__label[^"]*"[^>]*>(.*?)</dt>\s*<dd[^>]*class="[^"]*detail-box__value[^"]*"[^>]*>(.*?)</dd>'
@@ -154,12 +179,10 @@ def mmg(pages: DataFrame, today: Column) -> DataFrame:
 def boston_pm(pages: DataFrame, today: Column) -> DataFrame:
     """A card's city is its title's; else its link's last word, if some title names that city; else that of the first card of its street."""
     rows = cards(pages, BOSTON_CARD).select("*", field(BOSTON_TITLE, 2).alias("t"), text.found(F.col("card"), BOSTON_TITLE, 1).alias("href"), F.transform(F.regexp_extract_all("card", F.lit(r"(?is)<h5[^>]*>(.*?)</h5>"), 1), text.clean_text).alias("lines")).where("t <> ''")
-    named = text.strip(text.found(F.col("t"), BOSTON_CITY))
-    tail = F.element_at(F.split(F.regexp_replace(F.lower(text.found(F.col("href"), BOSTON_SLUG)), r"-\d+$", ""), "-"), -1)
-    rows = rows.select("*", F.when(~named.rlike(BOSTON_NO_CITY), places.normal_city(named)).alias("own"), some(tail).alias("tail"), F.lower(text.strip(text.found(F.col("t"), BOSTON_STREET))).alias("street"), F.array_join("lines", " ").alias("all"))
+    rows = rows.select("*", title_city(F.col("t")).alias("own"), slug_tail(F.col("href")).alias("tail"), street_key(F.col("t")).alias("street"), F.array_join("lines", " ").alias("all"))
     known = rows.where("own is not null")
     words = known.select("source", F.lower("own").alias("tail")).distinct().withColumn("is_city", F.lit(True))
-    streets = known.where("street is not null").groupBy("source", "street").agg(F.min_by("own", "pos").alias("there"))
+    streets = street_cities(rows)
     rows = rows.join(words, ["source", "tail"], "left").join(streets, ["source", "street"], "left")
     rows = rows.withColumn("c", F.coalesce("own", F.when(F.col("is_city"), places.normal_city(F.col("tail"))), "there"))
     when = F.regexp_replace(F.coalesce(F.try_element_at(F.filter("lines", lambda t: t.rlike("(?i)avail")), F.lit(1)), F.lit("")), r"(?i)^\s*availability\s*:?\s*", "")
@@ -167,7 +190,7 @@ def boston_pm(pages: DataFrame, today: Column) -> DataFrame:
     rows = rows.select("*", line.alias("line"), dates.parse_available(when, today).alias("av"), text.parse_bedrooms(F.col("all")).alias("beds")).withColumn("a", F.concat_ws(", ", "line", "c", F.when(F.col("c").isNotNull(), "MA")))
     return finish(
         rows, address=F.col("a"), city=F.col("c"), state=F.lit("MA"), kind=kinds.classify(F.col("a"), F.col("all"), F.col("beds")), bedrooms=F.col("beds"), bathrooms=text.parse_bathrooms(F.col("all")), rent=text.parse_rent(F.col("all")),
-        available_date=F.col("av.date"), available_now=F.coalesce("av.now", F.lit(False)), title=F.col("line"), url=F.when(F.startswith("href", F.lit("/")), site(F.col("href"))).otherwise(F.coalesce("href", site(F.lit("/residents/listings/")))),
+        available_date=F.col("av.date"), available_now=F.coalesce("av.now", F.lit(False)), title=F.col("line"), url=absolute(F.col("href"), "/residents/listings/"),
     )
 
 
@@ -226,5 +249,10 @@ ADAPTERS: dict[str, Callable[[DataFrame, Column], DataFrame]] = {
 }
 
 
+def register(platform: str, adapter: Callable[[DataFrame, Column], DataFrame]) -> None:
+    """Adds a platform, or replaces its adapter."""
+    ADAPTERS[platform] = adapter
+
+
 def extract(pages: DataFrame, platform: str, today: Column) -> DataFrame:
     return ADAPTERS[platform](pages, today)

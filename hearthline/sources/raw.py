@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CONFLICT = "struct<field:string,parsed:string,observed:string>"
@@ -18,25 +18,38 @@ CONTACT = "slug string, manager string, phone string, emails array<string>, sour
 STATUS = "slug string, manager string, platform string, ok boolean, units long, error string, preserved boolean"
 
 
-def read_raw(spark: SparkSession, folder: str) -> DataFrame:
-    """One row a document, with file_name and _corrupt_record. Files that start with _ are not read."""
-    docs = spark.read.schema(f"{RAW}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(folder)
+def read_raw(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """One row a document, with file_name and _corrupt_record. Files that start with _ are not read. lines: files hold a document a line, not one each."""
+    docs = spark.read.schema(f"{RAW}, _corrupt_record string").option("multiLine", not lines).option("mode", "PERMISSIVE").json(folder)
     return docs.withColumn("file_name", F.col("_metadata.file_name"))
 
 
+def readable(docs: DataFrame) -> DataFrame:
+    """Documents that could be parsed to their end; of a broken one nothing counts, not even what came before the break."""
+    return docs.where(F.col("source").isNotNull() & F.col("_corrupt_record").isNull())
+
+
+def broken(docs: DataFrame) -> DataFrame:
+    """file_name and text of documents that could not be parsed."""
+    asked = F.coalesce(F.size("units"), F.lit(-1)) >= -1  # always so: Spark refuses to read the broken text alone, so another column is asked for
+    return docs.where(F.col("_corrupt_record").isNotNull() & asked).select("file_name", F.col("_corrupt_record").alias("value"))
+
+
 def units_of(docs: DataFrame) -> DataFrame:
     """One row a unit of readable documents, with file_name and pos, its place."""
-    rows = docs.where(F.col("source").isNotNull()).select("file_name", F.col("source").alias("doc_source"), F.col("manager").alias("doc_manager"), "scraped_at", F.posexplode("units").alias("pos", "u"))
+    rows = readable(docs).select("file_name", F.col("source").alias("doc_source"), F.col("manager").alias("doc_manager"), "scraped_at", F.posexplode("units").alias("pos", "u"))
     return rows.select("file_name", "pos", "doc_source", "doc_manager", "scraped_at", "u.*")
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON-lines table, or an empty one of the same schema where there is none that can be read."""
+    """A JSON-lines table, or an empty one of the same schema where there is none; any other fault is raised."""
     from pyspark.errors import AnalysisException
 
     try:
         return spark.read.schema(schema).json(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -49,8 +62,17 @@ def batch_results(lines: DataFrame, schema: str) -> DataFrame:
     """page_id and result of the batch lines that succeeded; others, refusals and broken lines are dropped."""
     line = "custom_id string, result struct<type:string,message:struct<content:array<struct<type:string,text:string>>>>"
     rows = lines.select(F.from_json("value", line).alias("r")).where("r.result.type = 'succeeded'")
-    first = F.try_element_at(F.filter("r.result.message.content", lambda c: c["type"] == "text"), F.lit(1))["text"]
-    return rows.select(F.col("r.custom_id").alias("page_id"), F.from_json(first, schema).alias("result")).where("result is not null")
+    return rows.select(F.col("r.custom_id").alias("page_id"), parse_response(F.col("r.result.message.content"), schema).alias("result")).where("result is not null")
+
+
+def parse_response(content: Column, schema: str) -> Column:
+    """The first text block of an answer, read as JSON; null for refusals and what is no JSON."""
+    return F.from_json(F.try_element_at(F.filter(content, lambda c: c["type"] == "text"), F.lit(1))["text"], schema)
+
+
+def scrapable(sources: DataFrame) -> DataFrame:
+    """Sources whose platform has an adapter."""
+    return sources.where(F.col("platform") != "none")
 
 
 def registry(spark: SparkSession, rows: list[tuple[str, str, str, str, str | None]]) -> DataFrame:
@@ -76,9 +98,18 @@ def status_totals(status: DataFrame) -> DataFrame:
     return status.agg(F.count_if("ok").alias("sources_ok"), F.count_if(~F.col("ok")).alias("sources_failed"), F.coalesce(F.sum("units"), F.lit(0)).alias("total_units"))
 
 
+def status_rows(status: DataFrame) -> DataFrame:
+    """A run's statuses in the order that they are written in."""
+    return status.orderBy("slug")
+
+
 def conflict_report(conflicts: DataFrame) -> DataFrame:
     """Rows of type conflict by field and address."""
-    return conflicts.where("type = 'conflict'").orderBy("field", F.coalesce("address", F.lit("")), "url")
+    return conflicts.where("type = 'conflict'").orderBy(*report_order())
+
+
+def report_order() -> list[Column]:
+    return [F.col("field"), F.coalesce("address", F.lit("")), F.col("url")]
 
 
 def merged_payload(units: DataFrame, facets: DataFrame) -> DataFrame:
