@@ -52,20 +52,19 @@ def test_repeated_ids_give_one_training_row(spark):
 
 
 def slow_bits(texts, text):
-    """Code length of escape method C, a byte at a time; symbols as the model maps them."""
-    model = langid.fit(texts)
+    """Code length of escape method C, a byte at a time."""
     out = []
-    for lang in model.langs:
+    for lang in sorted(texts):
         counts = [Counter() for _ in range(langid.ORDER + 1)]
         for t in texts[lang]:
-            s = [int(model.symbol[32])] * langid.ORDER + [int(model.symbol[b]) for b in t.encode()[: langid.TRAIN_BYTES]]
+            s = b" " * langid.ORDER + t.encode()
             for i in range(langid.ORDER, len(s)):
                 for k in range(langid.ORDER + 1):
-                    counts[k][tuple(s[i - k : i + 1])] += 1
-        s, total = [int(model.symbol[32])] * langid.ORDER + [int(model.symbol[b]) for b in text.encode()], 0.0
+                    counts[k][s[i - k : i + 1]] += 1
+        s, total = b" " * langid.ORDER + text.encode(), 0.0
         for i in range(langid.ORDER, len(s)):
             for k in range(langid.ORDER, -1, -1):
-                ctx = tuple(s[i - k : i])
+                ctx = s[i - k : i]
                 after = {g[-1]: n for g, n in counts[k].items() if g[:-1] == ctx}
                 n, d = sum(after.values()), len(after)
                 if s[i] in after:
@@ -74,19 +73,39 @@ def slow_bits(texts, text):
                 if n:
                     total += math.log2((n + d) / d)
             else:
-                total += math.log2(langid.SYMBOLS)
+                total += math.log2(256)
         out.append(total)
     return out
 
 
-def test_code_lengths_are_exact():
-    texts = {"en": ["the cat and the hat", "that is it"], "de": ["der hut und die katze", "das ist es ß"]}
-    text = "the hut ist ñ!"
+def test_code_lengths_are_exact(monkeypatch):
+    texts = {"en": ["the cat and the hat", "that is it"], "de": ["der hut und die katze", "das ist es ß"], "uk": ["це не той кіт", "і не та шапка"], "ja": ["猫と帽子"]}
+    asked = ["the hut ist ñ!", "це кіт", "", "ß", "猫 the 帽子 cat", "\x00\xff~"]
     model = langid.fit(texts)
-    codes = langid.codes_of(model.symbol[np.frombuffer(b"   " + text.encode(), np.uint8)], langid.ORDER)
-    fast = [float(t.take(codes).sum(dtype=np.float64)) for t in model.tables()]
-    slow = slow_bits(texts, text)
-    assert np.allclose(fast, [slow[0], slow[1]], rtol=1e-5)
+    for chunk in (7, 1 << 20):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        fast, sizes = langid.code_lengths(asked, model)
+        assert np.allclose(fast, [slow_bits(texts, t) for t in asked], rtol=1e-5) and sizes.tolist() == [len(t.encode()) for t in asked]
+
+
+def test_lookup():
+    rng = np.random.default_rng(3)
+    numbers = np.unique(rng.integers(0, 2**32, 5000).astype(np.uint64))
+    table = langid.Lookup(numbers)
+    assert (table.find(numbers) == np.arange(len(numbers))).all()
+    other = np.setdiff1d(rng.integers(0, 2**32, 5000).astype(np.uint64), numbers)
+    assert (table.find(other) == -1).all()
+
+
+def test_languages_of_one_script_are_told_apart(spark):
+    """Cyrillic and ideographic texts: bytes that are rare over all texts tell these languages apart."""
+    own = {"ru": "это не тот кот который был в шляпе ы э ъ", "uk": "це не той кіт який був у капелюсі і ї є ґ", "bg": "това не е котката която беше с шапка щ ъ", "ja": "これは帽子をかぶった猫ではない", "zh": "这不是戴帽子的那只猫"}
+    docs = spark.createDataFrame([(lang, f"{own[lang]} {i % 7} {own[lang][i % 9:]}") for lang in own for i in range(40)], "lang string, text string")
+    model = langid.learn(docs, "text", "lang")
+    assert [langid.score_texts([own[s][3:]], model)[0][0] for s in own] == list(own)
+    for lang in ("ru", "zh"):
+        assert len(langid.sample_texts(docs.where(F.col("lang") == lang), "text", "lang")[lang]) == docs.where(F.col("lang") == lang).distinct().count(), "few texts give all"
+    assert len(langid.sample_texts(docs, "text", "lang", 10)["ru"]) == 10
 
 
 def test_language_query(spark):
@@ -114,7 +133,7 @@ def test_language_learns_whole_texts(spark):
     docs = spark.createDataFrame([(lang, head + own[lang] * (20 + i)) for lang in own for i in range(30)], "lang string, text string")
     model = langid.learn(docs, "text", "lang")
     fitted = langid.fit(langid.sample_texts(docs, "text", "lang"))
-    assert model.langs == fitted.langs and model.key == fitted.key and (model.symbol == fitted.symbol).all()
-    assert all(sum(n) == sum(len(t) for t in docs.where(F.col("lang") == s).toPandas()["text"]) for s, one in zip(model.langs, model.counts, strict=True) for _, n in one)
+    assert model.langs == fitted.langs and model.key == fitted.key
+    assert all(sum(n) == sum(len(t) for t in docs.where(F.col("lang") == s).toPandas()["text"]) for s, (_, n) in zip(model.langs, model.counts, strict=True))
     assert [langid.score_texts([own[s]], model)[0] for s in ("de", "en")] == [["de"], ["en"]]
     assert langid.learn(docs.limit(0), "text", "lang").langs == []
