@@ -5,14 +5,14 @@ normalised (case, spaces, marks at the ends of words) and hashed whole, and line
 of what messages say themselves name the original: the earliest message of the conversation that says the passage, if
 it is earlier than the one that quotes it. A message replies to the latest original of its depth-1 passages, or, where no passage is
 found whole, of their lines. Replies and what they answer form threads, found by pointer doubling, and (thread_turn, turn)
-is the reply order: a thread's messages together, each after what it answers. Texts come back without quoted lines and
-the attribution lines over them.
+is the reply order: a thread's messages together, each after what it answers; position is a message's place in it, from 0. Texts come back
+without quoted lines and the attribution lines over them.
 
 A conversation is never gathered in one task: originals are minima by conversation and hash, links are one row for each
-message that quotes. Conversations without quotes cost one pass over their texts.
+message that quotes, and positions come from one range sort of all messages, in which a long conversation spreads over partitions.
 
 Defined results: null texts are empty; a message that quotes nothing known starts a thread; rows without conversation or
-turn start their own; rows that repeat a turn share its links; an empty table gives an empty result; other columns stay.
+turn start their own and have no position; rows that repeat a turn share its links and have places of their own; an empty table gives an empty result; other columns stay.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import hashlib
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -78,9 +78,9 @@ def parse(texts: pd.Series) -> pd.DataFrame:
 
 
 def link_quotes(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """messages with text without quotes, parent_turn (null: none), thread_turn, n_quotes and n_linked."""
+    """messages with text without quotes, parent_turn (null: none), thread_turn, position, n_quotes and n_linked."""
     parsed = F.pandas_udf(parse, "clean string, own array<long>, quoted array<struct<depth:int,whole:long,lines:array<long>>>")
-    own = messages.drop("parent_turn", "thread_turn", "n_quotes", "n_linked")
+    own = messages.drop("parent_turn", "thread_turn", "position", "n_quotes", "n_linked")
     rows = cut(own.withColumn("__p", parsed(text_col)).withColumns({"__c": F.col(conv_col), "__t": F.col(turn_col)}))
     known = rows.where("__c is not null and __t is not null")
     asks = known.select("__c", "__t", F.posexplode("__p.quoted").alias("at", "q")).select("__c", "__t", "at", "q.depth", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("q.whole").alias("key"))), F.transform("q.lines", lambda x: F.struct(F.lit(False).alias("whole"), x.alias("key"))))).alias("k")).select("__c", "__t", "at", "depth", "k.whole", "k.key").distinct()
@@ -98,7 +98,26 @@ def link_quotes(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str
     else:
         rows = rows.withColumns({"parent_turn": F.lit(None).cast("long"), "thread_turn": F.lit(None).cast("long"), "n_linked": F.lit(0).cast("long")})
     cols = [F.col("__p.clean").alias(text_col) if c == text_col else F.col(c) for c in own.columns]
-    return rows.select(*cols, F.col("parent_turn").cast("long").alias("parent_turn"), F.coalesce("thread_turn", F.col(turn_col)).cast("long").alias("thread_turn"), F.size("__p.quoted").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"))
+    out = rows.select(*cols, "__c", "__t", F.col("parent_turn").cast("long").alias("parent_turn"), F.coalesce("thread_turn", F.col(turn_col)).cast("long").alias("thread_turn"), F.size("__p.quoted").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"))
+    return with_positions(out, text_col).select(*own.columns, "parent_turn", "thread_turn", "position", "n_quotes", "n_linked")
+
+
+def with_positions(rows: DataFrame, text_col: str) -> DataFrame:
+    """rows with position, a row's place in its conversation's reply order; null for rows without conversation or turn.
+
+    Rows are range-partitioned by that order. A place is the place in its partition plus the conversation's rows in earlier partitions,
+    which only a conversation that crosses a border has: no more rows than there are partitions, twice.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["thread_turn", "__t", F.xxhash64(text_col)]
+    placed = F.col("__c").isNotNull() & F.col("__t").isNotNull()
+    dealt = cut(rows.repartitionByRange(n, "__c", *order).withColumn("__part", F.spark_partition_id()))
+    counts = dealt.where(placed).groupBy("__c", "__part").agg(F.count("*").alias("n"))
+    crossing = counts.groupBy("__c").agg(F.sort_array(F.collect_list(F.struct("__part", "n"))).alias("parts")).where(F.size("parts") > 1)
+    before = crossing.select("__c", F.posexplode("parts").alias("i", "p"), "parts").select("__c", "p.__part", F.aggregate(F.slice("parts", 1, F.col("i")), F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("base"))
+    here = F.row_number().over(Window.partitionBy("__part", "__c").orderBy(*order)) - 1
+    numbered = dealt.withColumn("__here", here).join(F.broadcast(before), ["__c", "__part"], "left")
+    return numbered.withColumn("position", F.when(placed, F.col("__here") + F.coalesce("base", F.lit(0))).cast("long"))
 
 
 def roots_of(links: DataFrame) -> DataFrame:
@@ -112,4 +131,4 @@ def roots_of(links: DataFrame) -> DataFrame:
 
 
 def op5_quote_chat(spark, sf_dir: str) -> DataFrame:
-    return link_quotes(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "text", "parent_turn", "thread_turn", "n_quotes", "n_linked")
+    return link_quotes(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "text", "parent_turn", "thread_turn", "position", "n_quotes", "n_linked")

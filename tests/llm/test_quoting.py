@@ -1,3 +1,6 @@
+import random
+import re
+
 import pandas as pd
 
 from hearthline.llm import quoting
@@ -43,6 +46,66 @@ def test_links(spark):
     assert quoting.link_quotes(df.limit(0)).count() == 0
 
 
+def plain(rows):
+    """The same in plain Python: rows are (conv, turn, text), turns are distinct."""
+    norm = lambda p: " ".join(x for x in (w.strip(".,;:!?\"'()") for w in p.casefold().split()) if x)
+    parsed = {}
+    for conv, turn, text in rows:
+        runs = []
+        for line in text.split("\n"):
+            m = re.match(r"[ \t]*>([ \t]?>)* ?", line)
+            depth, rest = (m.group().count(">"), line[m.end() :]) if m else (0, line)
+            if runs and runs[-1][0] == depth:
+                runs[-1][1].append(rest)
+            else:
+                runs.append((depth, [rest]))
+        for k in range(len(runs) - 1):
+            if runs[k][0] == 0 and runs[k][1] and runs[k][1][-1].endswith("wrote:"):
+                runs[k][1].pop()
+        says = [x for d, x in runs if d == 0]
+        own = {norm("\n".join("\n".join(x) for x in says))} | {norm("\n".join(x)) for x in says} | {norm(y) for x in says for y in x if len(y.split()) >= 3}
+        parsed[conv, turn] = ("\n".join("\n".join(x) for x in says if x).strip("\n") if any(d for d, _ in runs) else text, own - {""}, [(d, norm("\n".join(x)), [norm(y) for y in x if len(y.split()) >= 3]) for d, x in runs if d and norm("\n".join(x))])
+    out = {}
+    for (conv, turn), (clean, _, quoted) in parsed.items():
+        first = lambda k, conv=conv: min((t for (c, t), (_, own, _) in parsed.items() if c == conv and k in own), default=10**9)
+        whole = [first(k) for d, k, _ in quoted if d == 1 and first(k) < turn]
+        lines = [first(x) for d, _, xs in quoted if d == 1 for x in xs if first(x) < turn]
+        out[conv, turn] = [clean, max(whole) if whole else max(lines + whole) if lines else None]
+    for conv, turn in out:
+        root = turn
+        while out[conv, root][1] is not None:
+            root = out[conv, root][1]
+        out[conv, turn].append(root)
+    for conv in {c for c, _ in out}:
+        for k, (_, turn) in enumerate(sorted((v[2], t) for (c, t), v in out.items() if c == conv)):
+            out[conv, turn].append(k)
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def test_made_up_threads_against_plain_python(spark):
+    rng = random.Random(6)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    rows = []
+    for conv in range(12):
+        said = []
+        for turn in range(60 if conv == 0 else rng.randrange(1, 12)):
+            lines = [" ".join(rng.choice(words) for _ in range(rng.randrange(2, 6))) for _ in range(rng.randrange(1, 4))]
+            text = "\n".join(lines)
+            if said and rng.random() < 0.7:
+                old, quoted = rng.choice(said), ""
+                cited = old[1] if rng.random() < 0.6 else [rng.choice(old[1])]
+                quoted = "\n".join("> " + (x.upper() if rng.random() < 0.3 else x) for x in cited)
+                if rng.random() < 0.3:
+                    quoted = "\n".join(">> " + x for x in rng.choice(said)[1]) + "\n" + quoted
+                text = ("Ann wrote:\n" if rng.random() < 0.4 else "") + quoted + "\n" + text
+            said.append((turn, lines))
+            rows.append((conv, turn, text))
+    out = quoting.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()
+    got = {(r["conv_id"], r["turn"]): (r["text"], r["parent_turn"], r["thread_turn"], r["position"]) for r in out}
+    want = plain(rows)
+    assert got == want and sum(v[1] is not None for v in want.values()) > 50
+
+
 def test_long_chain(spark):
     rows = [(1, 0, "line number zero here")] + [(1, k, f"> line number {_name(k - 1)} here\nline number {_name(k)} here") for k in range(1, 40)]
     out = quoting.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, text string"))
