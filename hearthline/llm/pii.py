@@ -38,7 +38,8 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
-TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+#: A token with a digit or @. It is tried where a token starts and gives nothing back, so a long one costs no more than its length.
+TOKEN = re.compile(r"(?<![^\x20\x09-\x0D])[^0-9@\x20\x09-\x0D]*+[0-9@][^\x20\x09-\x0D]*+")
 NUMERIC = re.compile(r"[+(]*[0-9][0-9().-]*")
 #: The most digits of a known kind, a card number.
 RUN_DIGITS = 19
@@ -86,8 +87,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def shape(token: str) -> str:
-    """The token's characters by class, each class once in a row, so that identifiers of one format agree."""
-    return re.sub(r"(.)\1+", r"\1", "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in token[:64]))[:16]
+    """The token's characters by class, each class once in a row, so that identifiers of one format agree; long ones by their hash."""
+    form = re.sub(r"(?s)(.)\1+", r"\1", "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in token))
+    return form if len(form) <= 32 else hashlib.blake2b(form.encode("utf-8", "replace"), digest_size=8).hexdigest()
 
 
 def before(text: str, at: int) -> list[str]:
@@ -260,7 +262,7 @@ def as_string(spans):
 def op2_pii(spark, sf_dir: str) -> DataFrame:
     found = scan_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return found.select("doc_id", *count, F.sha2(as_string(F.col("base")), 256).alias("base_sha256"), as_string(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *count, F.sha2(as_string(F.col("base")), 256).alias("base_sha256"), as_string(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_found"))
 
 
 def _is(k: int):
