@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, table, word_count
 
-#: Membership patterns that the driver accepts; they grow with the sources' overlaps, not with the documents.
-MAX_PATTERNS = 200_000
+#: Membership patterns that the driver plans for; they grow with the sources' overlaps, not with the documents. More are refused, never dropped.
+MAX_PATTERNS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -54,61 +54,111 @@ def water_fill(sizes: Sequence[int], weights: Sequence[float], total: float, cap
     return targets
 
 
+class Network:
+    """Arcs as parallel lists; arc e's reverse is e ^ 1."""
+
+    def __init__(self) -> None:
+        self.out: list[list[int]] = []
+        self.to: list[int] = []
+        self.room: list[int] = []
+        self.cost: list[int] = []
+
+    def node(self) -> int:
+        self.out.append([])
+        return len(self.out) - 1
+
+    def arc(self, a: int, b: int, room: int, cost: int) -> int:
+        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
+            self.out[x].append(len(self.to))
+            self.to.append(y)
+            self.room.append(r)
+            self.cost.append(c)
+        return len(self.to) - 2
+
+    def distances(self, start: int, price: list[int]) -> list[float]:
+        """Shortest reduced costs from start over arcs with room."""
+        far = [float("inf")] * len(self.out)
+        far[start] = 0
+        queue: list[tuple[float, int]] = [(0, start)]
+        while queue:
+            d, a = heapq.heappop(queue)
+            if d > far[a]:
+                continue
+            for e in self.out[a]:
+                b = self.to[e]
+                if self.room[e] > 0 and (n := d + self.cost[e] + price[a] - price[b]) < far[b]:
+                    far[b] = n
+                    heapq.heappush(queue, (n, b))
+        return far
+
+    def fill_shortest(self, start: int, end: int, price: list[int]) -> None:
+        """As much flow as arcs of reduced cost 0 can carry, by levels and blocking flows."""
+        while True:
+            level = [-1] * len(self.out)
+            level[start] = 0
+            at = deque([start])
+            while at:
+                a = at.popleft()
+                for e in self.out[a]:
+                    b = self.to[e]
+                    if self.room[e] > 0 and level[b] < 0 and self.cost[e] + price[a] - price[b] == 0:
+                        level[b] = level[a] + 1
+                        at.append(b)
+            if level[end] < 0:
+                return
+            tried, path, a = [0] * len(self.out), [], start
+            while True:
+                if a == end:
+                    moved = min(self.room[e] for e in path)
+                    for e in path:
+                        self.room[e] -= moved
+                        self.room[e ^ 1] += moved
+                    k = next(i for i, e in enumerate(path) if not self.room[e])
+                    a = self.to[path[k] ^ 1]
+                    del path[k:]
+                    continue
+                while tried[a] < len(self.out[a]):
+                    e = self.out[a][tried[a]]
+                    b = self.to[e]
+                    if self.room[e] > 0 and level[b] == level[a] + 1 and self.cost[e] + price[a] - price[b] == 0:
+                        break
+                    tried[a] += 1
+                else:
+                    if not path:
+                        break
+                    a = self.to[path.pop() ^ 1]
+                    tried[a] += 1
+                    continue
+                path.append(self.out[a][tried[a]])
+                a = self.to[path[-1]]
+
+
 def min_cost_flow(supply: dict, demand: dict, arcs: dict, max_repeats: int) -> dict:
     """Words from each supply to each demand over arcs, all demand that can be met, at the least sum of repetition costs.
 
-    The k-th use of a supply's words costs k * k a word. Shortest augmenting paths over node potentials.
+    The k-th use of a supply's words costs k * k a word. Node prices come from shortest paths; for each length of a shortest path all
+    flow of that length is sent at once, so that there are as many rounds as lengths, not as many as supplies.
     """
-    graph: list[list[list]] = []
-    ids: dict = {}
-
-    def node(key) -> int:
-        if key not in ids:
-            ids[key] = len(graph)
-            graph.append([])
-        return ids[key]
-
-    def arc(a: int, b: int, capacity: int, cost: int) -> list:
-        forth, back = [b, capacity, cost, None], [a, 0, -cost, None]
-        forth[3], back[3] = back, forth
-        graph[a].append(forth)
-        graph[b].append(back)
-        return forth
-
-    start, end = node("start"), node("end")
+    net = Network()
+    start, end = net.node(), net.node()
+    at_demand = {s: net.node() for s in demand}
     used = {}
     for p, size in supply.items():
+        own = net.node()
         for k in range(1, max_repeats + 1):
-            arc(start, node(("p", p)), size, k * k)
+            net.arc(start, own, size, k * k)
         for s in arcs[p]:
-            used[p, s] = arc(node(("p", p)), node(("s", s)), size * max_repeats, 0)
+            used[p, s] = net.arc(own, at_demand[s], size * max_repeats, 0)
     for s, quota in demand.items():
-        arc(node(("s", s)), end, quota, 0)
-    price = [0] * len(graph)
+        net.arc(at_demand[s], end, quota, 0)
+    price = [0] * len(net.out)
     while True:
-        far: list[float] = [float("inf")] * len(graph)
-        via: list = [None] * len(graph)
-        far[start] = 0
-        queue = [(0, start)]
-        while queue:
-            d, a = heapq.heappop(queue)
-            if d > far[a]:
-                continue
-            for e in graph[a]:
-                if e[1] > 0 and (n := d + e[2] + price[a] - price[e[0]]) < far[e[0]]:
-                    far[e[0]], via[e[0]] = n, (a, e)
-                    heapq.heappush(queue, (n, e[0]))
-        if via[end] is None:
-            return {k: e[3][1] for k, e in used.items() if e[3][1]}
-        price = [p + (f if f < float("inf") else 0) for p, f in zip(price, far, strict=True)]
-        path, at = [], end
-        while at != start:
-            at, e = via[at]
-            path.append(e)
-        moved = min(e[1] for e in path)
-        for e in path:
-            e[1] -= moved
-            e[3][1] += moved
+        far = net.distances(start, price)
+        if far[end] == float("inf"):
+            return {k: net.room[e ^ 1] for k, e in used.items() if net.room[e ^ 1]}
+        # nodes beyond the end's distance need no higher price than its own
+        price = [p + int(min(f, far[end])) for p, f in zip(price, far, strict=True)]
+        net.fill_shortest(start, end, price)
 
 
 def plan_mix(patterns: dict[tuple, int], weights, budget_ratio: float, max_repeats: int) -> Plan:

@@ -1,3 +1,5 @@
+import random
+import time
 from collections import defaultdict
 
 import pytest
@@ -22,6 +24,52 @@ def test_flow_repeats_as_little_as_it_can():
     assert flow == {(("a",), "a"): 20}
 
 
+def slow_flow(supply, demand, arcs, repeats):
+    """Cost and size of the best flow, a word at a time over shortest paths."""
+    edges = []
+    for p, n in supply.items():
+        edges += [["s", p, n, k * k] for k in range(1, repeats + 1)] + [[p, ("d", d), 10**6, 0] for d in arcs[p]]
+    edges += [[("d", d), "t", n, 0] for d, n in demand.items()]
+    flow, cost, sent = [0] * len(edges), 0, 0
+    while True:
+        far, via = {"s": 0}, {}
+        for _ in range(len(supply) + len(demand) + 2):
+            for i, (a, b, n, c) in enumerate(edges):
+                for x, y, room, w, sign in ((a, b, n - flow[i], c, 1), (b, a, flow[i], -c, -1)):
+                    if room > 0 and x in far and far[x] + w < far.get(y, 10**9):
+                        far[y], via[y] = far[x] + w, (x, i, sign)
+        if "t" not in far:
+            return sent, cost
+        cost, sent, y = cost + far["t"], sent + 1, "t"
+        while y != "s":
+            y, i, sign = via[y]
+            flow[i] += sign
+
+
+def test_flow_against_slow_one():
+    rng = random.Random(9)
+    for _ in range(40):
+        sources = "abcd"[: rng.randrange(1, 5)]
+        patterns = {p for _ in range(rng.randrange(1, 7)) if (p := tuple(sorted(set(rng.choices(sources, k=rng.randrange(1, 4))))))}
+        supply, demand = {p: rng.randrange(0, 7) for p in patterns}, {s: rng.randrange(0, 12) for s in sources}
+        got = mixing.min_cost_flow(supply, demand, {p: p for p in patterns}, 2)
+        out = {p: sum(v for (q, _), v in got.items() if q == p) for p in patterns}
+        assert all(sum(v for (_, t), v in got.items() if t == s) <= demand[s] for s in sources)
+        cost = sum(min(n, supply[p]) + 4 * max(0, n - supply[p]) for p, n in out.items())
+        assert all(n <= 2 * supply[p] for p, n in out.items()) and (sum(out.values()), cost) == slow_flow(supply, demand, {p: p for p in patterns}, 2)
+
+
+def test_flow_of_many_patterns():
+    """Overlaps of 14 sources, 16 thousand patterns."""
+    names = [f"s{k:02}" for k in range(14)]
+    supply = {tuple(n for j, n in enumerate(names) if k >> j & 1): 1 + k % 50 for k in range(1, 1 << 14)}
+    demand = {n: sum(supply.values()) // (8 + j) for j, n in enumerate(names)}
+    start = time.process_time()
+    got = mixing.min_cost_flow(supply, demand, {p: p for p in supply}, 2)
+    assert sum(got.values()) == min(sum(demand.values()), 2 * sum(supply.values()))
+    assert time.process_time() - start < 60
+
+
 def brute(rows, plan_of):
     by = defaultdict(list)
     for r in rows:
