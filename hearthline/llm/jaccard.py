@@ -300,24 +300,26 @@ def candidate_links(reps: DataFrame, n: int, target: float = TARGET) -> DataFram
     found = None
     at = paths(reps, depth, runs_for(target, depth))
     for k in range(SPLITS + 1):
-        sizes = at.groupBy("path").agg(F.count("*").alias("n"), agreement().alias("agree"))
-        many = cut(sizes.where(F.col("n") > SMALL))
+        many = cut(at.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > SMALL))
         n_many = many.count()
+        go_on = False
         if not n_many:
             links = bucket_links(at.withColumn("side", F.lit(-1)))
         else:
             few = F.broadcast(many) if n_many <= MOST_BROADCAST else many
             links = bucket_links(at.join(few, "path", "left_anti").withColumn("side", F.lit(-1)))
             stay = cut(at.join(few, "path"))
-            goes_on = (F.col("n") > LARGE) & (F.col("agree") < TIGHT) if k < SPLITS else F.lit(False)
-            links = links.unionByName(block_links(stay.where(~goes_on)))
-            n_many = many.where(goes_on).count()
-            if n_many:
+            go_on = k < SPLITS and not many.where(F.col("n") > LARGE).isEmpty()
+            if go_on:
+                loose = cut(stay.where(F.col("n") > LARGE).groupBy("path").agg(agreement().alias("agree")).where(F.col("agree") < TIGHT).select("path"))
+                loose = F.broadcast(loose) if n_many <= MOST_BROADCAST else loose
                 # a set has no more paths than runs give it: they are gathered, so that its signature is sent once
-                own = cut(stay.where(goes_on).groupBy("set").agg(F.collect_list("path").alias("paths")))
+                own = cut(stay.join(loose, "path", "left_semi").groupBy("set").agg(F.collect_list("path").alias("paths")))
+                stay = stay.join(loose, "path", "left_anti")
                 at = paths(own.join(reps, "set"), 2, runs_for(KEPT, 2), go_on=True)
+            links = links.unionByName(block_links(stay))
         found = links if found is None else found.unionByName(links)
-        if not n_many:
+        if not go_on:
             break
     return found.distinct()
 
