@@ -18,6 +18,7 @@ from ..checkpoints import ensure_checkpoint_dir
 from ..functions import dates, kinds, places, text
 from ..operators import dashboard, units as ops
 from ..sources import extractor, portals, raw
+from ..streaming import ingest
 
 C = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,19 +95,34 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4()}"
 
 
-def raw_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents of the orders, one a customer, written a line each and read back; each tenth customer's line is broken off."""
+def raw_files(spark: SparkSession, sf: str) -> str:
+    """A folder of documents of the orders, one a customer, written a line each; each tenth customer's line is broken off."""
     own = t(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("us"))
     listed = F.transform("us", lambda x: F.struct(F.concat(x["o_orderkey"], F.lit(" Oak St")).alias("address"), x["o_totalprice"].alias("rent")))
     line = F.to_json(F.struct(F.concat(F.lit("c"), "o_custkey").alias("source"), listed.alias("units")))
     path = scratch(spark, "raw")
     own.select(F.when(C("o_custkey") % 10 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.text(path)
-    return raw.read_raw(spark, path, lines=True)
+    return path
+
+
+def raw_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return raw.read_raw(spark, raw_files(spark, sf), lines=True)
+
+
+SCAN_SQL = "SELECT 'c' || o_custkey AS source, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, o_orderkey || ' Oak St' AS address, o_totalprice AS rent FROM orders WHERE o_custkey % 10 <> 0"
+
+
+query("src11_scan_units", SCAN_SQL)(lambda spark, sf: raw.units_of(raw_documents(spark, sf)).select(C("doc_source").alias("source"), C("pos").cast("long").alias("pos"), "address", "rent"))
+
+
+@query("stm00_stream", SCAN_SQL)
+def _(spark, sf):
+    """The same documents as a stream of files into a table."""
+    out = scratch(spark, "stream")
+    ingest.ingest(ingest.stream_raw(spark, raw_files(spark, sf), 2, lines=True), f"{out}/units", f"{out}/at").awaitTermination()
+    return ingest.current(spark.read.parquet(f"{out}/units")).select(C("doc_source").alias("source"), C("pos").cast("long").alias("pos"), "address", "rent")
 
 
-query("src11_scan_units", "SELECT 'c' || o_custkey AS source, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, o_orderkey || ' Oak St' AS address, o_totalprice AS rent FROM orders WHERE o_custkey % 10 <> 0")(
-    lambda spark, sf: raw.units_of(raw_documents(spark, sf)).select(C("doc_source").alias("source"), C("pos").cast("long").alias("pos"), "address", "rent")
-)
 query("src12_corrupt", "SELECT count(DISTINCT o_custkey) AS broken FROM orders WHERE o_custkey % 10 = 0")(lambda spark, sf: raw.broken(raw_documents(spark, sf)).agg(F.count("*").alias("broken")))
 query("src13_missing_cache", "SELECT CAST(o_orderkey AS STRING) AS url, 'new' AS pets FROM orders")(
     lambda spark, sf: ops.upsert(raw.read_table(spark, f"{sf}/no-such-cache.json", "url string, pets string"), t(spark, sf, "orders").select(C("o_orderkey").cast("string").alias("url"), F.lit("new").alias("pets")), "url")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.raw import RAW
+from ..sources.raw import RAW, readable
 
 
-def stream_raw(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    docs = spark.readStream.schema(RAW).option("multiLine", True).option("maxFilesPerTrigger", files_per_batch).json(folder)
-    rows = docs.where(F.col("source").isNotNull()).withColumns({"file_name": F.col("_metadata.file_name"), "file_time": F.col("_metadata.file_modification_time")})
+def stream_raw(spark: SparkSession, folder: str, files_per_batch: int = 1000, lines: bool = False) -> DataFrame:
+    """Units of the documents in new files; lines: files hold a document a line, not one each. Broken documents give none."""
+    docs = spark.readStream.schema(f"{RAW}, _corrupt_record string").option("multiLine", not lines).option("maxFilesPerTrigger", files_per_batch).json(folder)
+    rows = readable(docs).withColumns({"file_name": F.col("_metadata.file_name"), "file_time": F.col("_metadata.file_modification_time")})
     return rows.select("file_name", "file_time", F.col("source").alias("doc_source"), F.posexplode("units").alias("pos", "u")).select("file_name", "file_time", "pos", "doc_source", "u.*")
 
 
