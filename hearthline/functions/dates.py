@@ -19,8 +19,8 @@ GRACE_DAYS = 60
 
 
 def as_date(year: Column, month: Column, day: Column) -> Column:
-    """The date, null if there is no such day."""
-    return F.when(year >= 1, F.format_string("%04d-%02d-%02d", year, month, day).try_cast("date"))
+    """The date, null if there is no such day. Numbers have 4, 2 and 2 digits at most."""
+    return let(year, lambda y: F.when(y >= 1, F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), month.cast("string"), F.lit("-"), day.cast("string")).try_cast("date")))
 
 
 def infer_year(month: Column, day: Column, today: Column) -> Column:
@@ -41,8 +41,7 @@ def parse_available(text: Column, today: Column | date) -> Column:
         iso = as_date(part(s, ISO, 1), part(s, ISO, 2), part(s, ISO, 3))
         month = ((F.instr(F.lit(MONTHS), F.substring(F.lower(F.regexp_extract(s, NAMED, 1)), 1, 3)) + 2) / 3).cast("int")
         named = let(F.struct(month.alias("m"), part(s, NAMED, 2).alias("d")), lambda x: as_date(F.coalesce(part(s, NAMED, 3), infer_year(x["m"], x["d"], today)), x["m"], x["d"]))
-        year = part(s, NUMERIC, 3)
-        year = F.when(year < 100, year + 2000).otherwise(year)
+        year = let(part(s, NUMERIC, 3), lambda y: F.when(y < 100, y + 2000).otherwise(y))
         numeric = let(F.struct(part(s, NUMERIC, 1).alias("m"), part(s, NUMERIC, 2).alias("d")), lambda x: as_date(F.coalesce(year, infer_year(x["m"], x["d"], today)), x["m"], x["d"]))
         day = F.coalesce(F.when(s.rlike(ISO), iso), F.when(s.rlike(NAMED), named), F.when(s.rlike(NUMERIC), numeric))
         return let(day, lambda d: F.struct(F.date_format(d, "yyyy-MM-dd").alias("date"), (d.isNull() & F.coalesce(s.rlike(NOW), F.lit(False))).alias("now")))

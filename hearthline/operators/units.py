@@ -197,13 +197,26 @@ def preserve(old: DataFrame, new: DataFrame, key: str = "source", allow_empty: D
 
 def compare_readings(mine: dict[str, Column], page: dict[str, Column], today: Column) -> Column:
     """array<struct<field,parser,page,type>>: where a page's own reading differs from the parser's, by each field's tolerance."""
-    stated = lambda c: F.coalesce(c.cast("string"), F.lit("")) != ""
-    gap = lambda f: F.abs(mine[f].cast("double") - page[f].cast("double"))
-    return text.let(dates.parse_available(page["available_date"], today)["date"], lambda iso: _differences(mine, page, iso, stated, gap))
+    fields = (*TEXTS, *NUMBERS)
+    both = F.struct(*[mine[f].alias(f"m_{f}") for f in fields], *[page[f].alias(f"p_{f}") for f in fields])
+
+    def of(x: Column) -> Column:
+        """Readings may be dear expressions, so each is worked out once."""
+        iso = dates.parse_available(x["p_available_date"], today)["date"]
+        return text.let(iso, lambda d: _differences({f: x[f"m_{f}"] for f in fields}, {f: x[f"p_{f}"] for f in fields}, d))
+
+    return text.let(both, of)
 
 
-def _differences(mine: dict[str, Column], page: dict[str, Column], iso: Column, stated, gap) -> Column:
-    """iso: the page's date, bound, as reading it is dear."""
+#: Compared fields, those in which an empty text is no statement apart.
+TEXTS = ("available_date", "city", "kind")
+NUMBERS = ("bedrooms", "bathrooms", "rent", "square_feet", "available_now")
+
+
+def _differences(mine: dict[str, Column], page: dict[str, Column], iso: Column) -> Column:
+    """iso: the page's date as the parser would write it."""
+    stated = lambda side, f: F.coalesce(side[f], F.lit("")) != "" if f in TEXTS else side[f].isNotNull()
+    gap = lambda f: F.abs(mine[f].cast("double") - page[f].cast("double"))
     differs = {
         "bedrooms": gap("bedrooms") > 0,
         "bathrooms": gap("bathrooms") > 0.01,
@@ -217,11 +230,11 @@ def _differences(mine: dict[str, Column], page: dict[str, Column], iso: Column,
     for f, other in differs.items():
         seen = iso if f == "available_date" else page[f]
         row = lambda kind, value, f=f: F.struct(F.lit(f).alias("field"), mine[f].cast("string").alias("parser"), value.cast("string").alias("page"), F.lit(kind).alias("type"))
-        missing = stated(page[f]) & ~stated(mine[f])
+        missing = ~stated(mine, f)
         if f == "available_now":
             missing = missing & page[f]
-        rows.append(F.when(missing, row("parser_missing", page[f])).when(stated(page[f]) & stated(mine[f]) & F.coalesce(other, F.lit(False)), row("conflict", seen)))
-    kind = (F.coalesce(page["kind"], F.lit("")) != "") & (page["kind"] != "unknown") & stated(mine["kind"]) & (page["kind"] != mine["kind"])
+        rows.append(F.when(stated(page, f), F.when(missing, row("parser_missing", page[f])).when(stated(mine, f) & F.coalesce(other, F.lit(False)), row("conflict", seen))))
+    kind = stated(page, "kind") & (page["kind"] != "unknown") & stated(mine, "kind") & (page["kind"] != mine["kind"])
     rows.append(F.when(kind, F.struct(F.lit("kind").alias("field"), mine["kind"].alias("parser"), page["kind"].alias("page"), F.lit("conflict").alias("type"))))
     return F.array_compact(F.array(*rows))
 
