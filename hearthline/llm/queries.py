@@ -16,6 +16,7 @@ QUERIES = {
     "op5_quote_chat": ("quoting", None),
     "op6_quality_rules": ("quality", "OP6_SQL"),
     "op10_jaccard_join": ("jaccard", None),
+    "op11_filter_audit": ("audit", "OP11_SQL"),
 }
 
 
