@@ -17,6 +17,7 @@ QUERIES = {
     "op6_quality_rules": ("quality", "OP6_SQL"),
     "op10_jaccard_join": ("jaccard", None),
     "op11_filter_audit": ("audit", "OP11_SQL"),
+    "op12_conversation_trie": ("tries", "OP12_SQL"),
 }
 
 
