@@ -18,6 +18,7 @@ QUERIES = {
     "op10_jaccard_join": ("jaccard", None),
     "op11_filter_audit": ("audit", "OP11_SQL"),
     "op12_conversation_trie": ("tries", "OP12_SQL"),
+    "op13_suffix_dedup": ("suffixes", None),
 }
 
 
