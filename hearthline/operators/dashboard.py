@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, kinds, text
+from . import selection
 
 FACETS = ("room_type", "unit_type", "pets", "furnished", "parking", "laundry")
 
@@ -50,12 +51,12 @@ class Filters:
 
 #: Sort orders by name; every one ends with a tie-break of the caller.
 SORTS = {
-    "soonest": lambda: [F.coalesce("available_now", F.lit(False)).desc(), F.coalesce("available_date", F.lit("9999-99-99")).asc(), F.coalesce("rent", F.lit(9e9)).asc()],
+    "soonest": lambda: [F.coalesce("available_now", F.lit(False)).desc(), F.coalesce(F.nullif("available_date", F.lit("")), F.lit("9999-99-99")).asc(), F.coalesce("rent", F.lit(9e9)).asc()],
     "rent-asc": lambda: [F.col("rent").asc_nulls_last()],
     "rent-desc": lambda: [F.coalesce("rent", F.lit(-1.0)).desc()],
     "beds-desc": lambda: [F.col("bedrooms").desc_nulls_last()],
-    "city": lambda: [F.collate(F.coalesce("city", F.lit("~")), "UNICODE").asc()],
-    "raw": lambda: [F.lower(F.coalesce(F.nullif("city", F.lit("")), F.lit("~"))).asc(), F.coalesce("bedrooms", F.lit(99.0)).asc(), F.coalesce("rent", F.lit(9e9)).asc()],
+    "city": lambda: [F.collate(F.coalesce(F.nullif("city", F.lit("")), F.lit("~")), "UNICODE").asc()],
+    "raw": lambda: [F.lower(F.coalesce(F.nullif("city", F.lit("")), F.lit("~"))).asc(), F.coalesce("bedrooms", F.lit(99.0)).asc(), F.coalesce("rent", F.lit(9e9)).asc(), text.normal_address(F.col("address")).asc()],
 }
 
 
@@ -80,7 +81,7 @@ def rent_range(df: DataFrame) -> DataFrame:
 
 def median_of(df: DataFrame, value: Column, *by: str) -> DataFrame:
     """The exact median, the mean of the two middle values of an even number."""
-    return df.groupBy(*by).agg(F.median(value).alias("median"))
+    return selection.median(df, value, by).select(*by, "median")
 
 
 #: Rows of the room type chart, in their fixed order.
@@ -134,12 +135,15 @@ def facet_order() -> list[Column]:
 def median_by_bucket(df: DataFrame, beds: Column, rent: Column, whole: Column) -> DataFrame:
     """bucket, n and median (half up) of rents of whole units by bedrooms, 4 and more together."""
     rows = df.where(whole & rent.isNotNull() & beds.isNotNull()).select(F.least(F.floor(beds), F.lit(4)).cast("int").alias("bucket"), rent.alias("r"))
-    return rows.groupBy("bucket").agg(F.count("*").alias("n"), F.floor(F.median("r") + 0.5).cast("long").alias("median"))
+    return selection.median(rows, F.col("r"), ["bucket"]).select("bucket", "n", F.floor(F.col("median") + 0.5).cast("long").alias("median"))
 
 
 def headline(df: DataFrame, rent: Column, whole: Column, city: Column, manager: Column) -> DataFrame:
+    """n, the exact median rent of whole units, and how many cities and managers there are; one row."""
     name = lambda c: F.nullif(c.cast("string"), F.lit(""))
-    return df.agg(F.count("*").alias("n"), F.median(F.when(whole, rent)).alias("median_rent"), F.count_distinct(name(city)).alias("cities"), F.count_distinct(name(manager)).alias("managers"))
+    counts = df.agg(F.count("*").alias("n"), F.count_distinct(name(city)).alias("cities"), F.count_distinct(name(manager)).alias("managers"), F.lit(1).alias("__row"))
+    middle = selection.median(df, F.when(whole, rent)).select(F.lit(1).alias("__row"), F.col("median").alias("median_rent"))
+    return counts.join(middle, "__row", "left").select("n", "median_rent", "cities", "managers")
 
 
 def by_month(df: DataFrame, day: Column, now: Column, most: int = 11) -> DataFrame:
@@ -150,17 +154,13 @@ def by_month(df: DataFrame, day: Column, now: Column, most: int = 11) -> DataFra
 
 
 def coverage(df: DataFrame, tests: dict[str, Column]) -> DataFrame:
-    """name and n of the tests that hold for some row; one pass."""
+    """name and n of the tests that hold for some row, the most frequent first; one pass."""
     row = df.agg(*[F.count_if(F.coalesce(t, F.lit(False))).alias(f"c{i}") for i, t in enumerate(tests.values())])
     cells = F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"c{i}").alias("n")) for i, name in enumerate(tests)])
-    return row.select(F.explode(cells).alias("x")).select("x.*").where("n > 0")
+    return row.select(F.posexplode(cells).alias("i", "x")).where("x.n > 0").orderBy(F.col("x.n").desc(), "i").select("x.*")
 
 
 def amenity_tests() -> dict[str, Column]:
-    return {
-        "In-unit laundry": F.col("laundry") == "in_unit",
-        "Any laundry": F.col("laundry") != "none",
-        "Parking": F.col("parking") != "none",
-        "Furnished": F.col("furnished") == "furnished",
-        "Pets OK": F.col("pets") != "none",
-    }
+    """What a unit states to have; null and empty texts state nothing."""
+    some = lambda c: ~F.col(c).isin("none", "")
+    return {"In-unit laundry": F.col("laundry") == "in_unit", "Any laundry": some("laundry"), "Parking": some("parking"), "Furnished": F.col("furnished") == "furnished", "Pets OK": some("pets")}

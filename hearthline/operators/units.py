@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import cut
 from ..functions import dates, kinds, places, text
+from . import selection
 
 ASSIGNABLE = ("room_type", "pets", "furnished", "parking", "laundry")
 #: Fields on which the page wins over the parser.
@@ -39,8 +40,8 @@ def is_enrichable() -> Column:
 
 
 def default_room_type(kind: Column, room_type: Column) -> Column:
-    """A residential unit whose room type nobody stated is a whole place."""
-    return F.when(room_type.isNull() & (F.coalesce(kind, F.lit("residential")) == "residential"), "entire_place").otherwise(room_type)
+    """A residential unit whose room type nobody stated is a whole place; a kind that isn't given is not residential here."""
+    return F.when(room_type.isNull() & (kind == "residential"), "entire_place").otherwise(room_type)
 
 
 def published(units: DataFrame) -> DataFrame:
@@ -195,17 +196,18 @@ def preserve(old: DataFrame, new: DataFrame, key: str = "source", allow_empty: D
     return (kept.join(allow_empty, key, "left_anti") if allow_empty is not None else kept).unionByName(new)
 
 
-def compare_readings(mine: dict[str, Column], page: dict[str, Column], today: Column) -> Column:
-    """array<struct<field,parser,page,type>>: where a page's own reading differs from the parser's, by each field's tolerance."""
-    fields = (*TEXTS, *NUMBERS)
-    both = F.struct(*[mine[f].alias(f"m_{f}") for f in fields], *[page[f].alias(f"p_{f}") for f in fields])
-
-    def of(x: Column) -> Column:
-        """Readings may be dear expressions, so each is worked out once."""
-        iso = dates.parse_available(x["p_available_date"], today)["date"]
-        return text.let(iso, lambda d: _differences({f: x[f"m_{f}"] for f in fields}, {f: x[f"p_{f}"] for f in fields}, d))
+def compare_readings(df: DataFrame, keep: Sequence[Column | str], mine: dict[str, Column], page: dict[str, Column], today: Column) -> DataFrame:
+    """keep and field, parser, page, type: a row for each field in which a page's own reading differs from the parser's, by the field's tolerance.
 
-    return text.let(both, of)
+    Readings may be dear expressions: each is a column of a first projection, the page's date one of a second, and what is compared reads
+    these, so all is worked out once and within generated code.
+    """
+    fields = (*TEXTS, *NUMBERS)
+    read = df.select(*keep, *[side[f].alias(f"__{name}_{f}") for name, side in (("m", mine), ("p", page)) for f in fields])
+    read = read.withColumn("__iso", dates.parse_available(F.col("__p_available_date"), today)["date"])
+    of = lambda name: {f: F.col(f"__{name}_{f}") for f in fields}
+    kept = read.columns[: -2 * len(fields) - 1]
+    return read.select(*kept, F.explode(_differences(of("m"), of("p"), F.col("__iso"))).alias("__c")).select(*kept, "__c.*")
 
 
 #: Compared fields, those in which an empty text is no statement apart.
@@ -267,13 +269,15 @@ def cross_check(units: DataFrame, cache: DataFrame, today: Column) -> DataFrame:
     joined = single_unit_pages(units).join(cache.where("observed.describes_one_unit").select("url", "observed"), "url")
     page = {f: F.col(f"observed.{f}") for f in fields} | {"kind": F.col("observed.listing_kind")}
     mine = {f: F.col(f) for f in (*fields, "kind")}
-    return joined.select("address", "manager", "url", F.explode(compare_readings(mine, page, today)).alias("c")).select("address", "manager", "url", "c.*")
+    return compare_readings(joined, ["address", "manager", "url"], mine, page, today)
 
 
 def page_values(conflicts: DataFrame) -> DataFrame:
-    """url and for each applied field __field, the page's value in the last row of that url and field. conflicts: url, field, page, type and ord, its order."""
-    rows = conflicts.where(F.col("field").isin(*APPLIED) & (F.col("type") == "conflict") & F.col("page").isNotNull())
-    return rows.groupBy(F.col("url").alias("__url")).agg(*[F.max_by(F.when(F.col("field") == f, F.col("page")), F.when(F.col("field") == f, F.col("ord"))).alias(f"__{f}") for f in APPLIED])
+    """url and for each applied field __field, the page's value in the last row of that url and field, null if that one states none.
+    conflicts: url, field, page, type and ord, its order."""
+    rows = conflicts.where(F.col("field").isin(*APPLIED) & (F.col("type") == "conflict"))
+    last = lambda f: F.max_by(F.when(F.col("field") == f, F.struct("page")), F.when(F.col("field") == f, F.col("ord")))["page"]
+    return rows.groupBy(F.col("url").alias("__url")).agg(*[last(f).alias(f"__{f}") for f in APPLIED])
 
 
 def reconcile(units: DataFrame, conflicts: DataFrame) -> DataFrame:
@@ -333,18 +337,24 @@ def quarantine(units: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def token_costs(pages: DataFrame, size: Column) -> DataFrame:
-    """pages, tokens in and out, least, upper median and most tokens of a page.
+    """pages, tokens in and out, and the least, upper median and most characters of a page; one row.
 
-    Of an even number the upper middle one is the median: the value at whose count from below half is first passed. Sizes
-    are counted first; the running sum is over distinct sizes, of which there are no more than a page has characters.
+    A page takes a token for four characters and 700 besides, not rounded, and gives 220. Without pages there are zeros and nulls.
     """
-    counts = pages.select((F.floor(size / 4) + 700).alias("t")).groupBy("t").agg(F.count("*").alias("c"))
-    runs = counts.select("t", "c", F.sum("c").over(Window.orderBy("t")).alias("upto"), F.sum("c").over(Window.partitionBy(F.lit(1))).alias("all"))
-    median = F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("t")))
-    return runs.agg(
-        F.coalesce(F.max("all"), F.lit(0)).alias("pages"), F.sum(F.col("t") * F.col("c")).alias("tokens_in"), (F.coalesce(F.max("all"), F.lit(0)) * 220).alias("tokens_out"),
-        F.min("t").alias("least"), median.alias("median"), F.max("t").alias("most"),
+    sizes = pages.select(size.cast("double").alias("__size"))
+    sums = sizes.agg(
+        F.count("*").alias("pages"), F.coalesce(F.sum(F.col("__size") / 4 + 700), F.lit(0.0)).alias("tokens_in"), (F.count("*") * 220).alias("tokens_out"),
+        F.min("__size").cast("long").alias("least"), F.max("__size").cast("long").alias("most"), F.lit(1).alias("__row"),
     )
+    middle = selection.upper_median(sizes, F.col("__size")).select(F.lit(1).alias("__row"), F.col("median").cast("long").alias("median"))
+    return sums.join(middle, "__row", "left").select("pages", "tokens_in", "tokens_out", "least", "median", "most")
+
+
+def price_table(costs: DataFrame, rates: Sequence[tuple[str, float, float]]) -> DataFrame:
+    """model, at_once, in_batch: the price of a row of token_costs by rates (model, in, out) for a million tokens; a batch costs half."""
+    table = F.explode(F.array(*[F.struct(F.lit(name).alias("model"), F.lit(float(i)).alias("i"), F.lit(float(o)).alias("o")) for name, i, o in rates]))
+    price = F.col("tokens_in") / 1e6 * F.col("r.i") + F.col("tokens_out") / 1e6 * F.col("r.o")
+    return costs.select("*", table.alias("r")).select("r.model", F.round(price, 2).alias("at_once"), F.round(price / 2, 2).alias("in_batch"))
 
 
 def flat_cost(pages: DataFrame, rate_in: float, rate_out: float, batch: bool = True) -> DataFrame:

@@ -11,13 +11,15 @@ import uuid
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import ensure_checkpoint_dir
+from ..checkpoints import cut, ensure_checkpoint_dir
 from ..functions import dates, kinds, places, text
 from ..operators import dashboard, units as ops
+from ..operators.publishing import publish_units
 from ..sources import extractor, portals, raw
+from ..sources.published import Published, PublishedByKey, part_of_source
 from ..streaming import ingest
 
 C = F.col
@@ -27,7 +29,7 @@ TODAY = date(1998, 6, 15)
 
 UNITS = """
 SELECT o_orderkey AS pos, concat('f', CAST(o_custkey % 7 AS STRING)) AS file_name, concat('s', CAST(o_custkey % 9 AS STRING)) AS source, c_mktsegment AS manager,
-  concat(CAST(o_custkey % 60 AS STRING), CASE o_orderkey % 3 WHEN 0 THEN ' Virginia Street' WHEN 1 THEN ' virginia St.' ELSE ' North Oak Avenue, Unit 4' END) AS address,
+  concat(CAST(o_custkey % 60 AS STRING), CASE o_orderkey % 3 WHEN 0 THEN ' Linden Street' WHEN 1 THEN ' linden St.' ELSE ' North Oak Avenue, Unit 4' END) AS address,
   CASE o_custkey % 8 WHEN 0 THEN 'Berkeley' WHEN 1 THEN 'Oakland' WHEN 2 THEN 'San Francisco' WHEN 3 THEN 'Fresno' WHEN 4 THEN 'Boston' WHEN 5 THEN 'Belmont' WHEN 6 THEN '' END AS city,
   CASE WHEN o_custkey % 8 IN (4, 5) THEN 'MA' WHEN o_custkey % 16 = 3 THEN 'TX' ELSE 'CA' END AS state,
   CASE WHEN o_orderkey % 11 > 0 THEN CAST(o_orderkey % 10 AS DOUBLE) / 2 END AS bedrooms,
@@ -95,35 +97,83 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4()}"
 
 
-def raw_files(spark: SparkSession, sf: str) -> str:
-    """A folder of documents of the orders, one a customer, written a line each; each tenth customer's line is broken off."""
-    own = t(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("us"))
+def read_back(df: DataFrame, folder: str) -> DataFrame:
+    """df, computed and cut off, after which the scratch folder that it was read from goes."""
+    kept = cut(df)
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    return kept
+
+
+def rename_parts(spark: SparkSession, folder: str, to: str, name: str) -> None:
+    """Moves the files that Spark has written in folder to another one, as name0.json, name1.json and so on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(to).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(to))
+    parts = sorted(str(s.getPath()) for s in fs.listStatus(path(folder)) if s.getPath().getName().startswith("part-"))
+    for i, part in enumerate(parts):
+        fs.rename(path(part), path(f"{to}/{name}{i}.json"))
+
+
+def document_lines(orders: DataFrame) -> DataFrame:
+    """A customer's orders as a raw document, a line each: stray (it states no source) or not, and the line."""
+    own = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("us"))
     listed = F.transform("us", lambda x: F.struct(F.concat(x["o_orderkey"], F.lit(" Oak St")).alias("address"), x["o_totalprice"].alias("rent")))
-    line = F.to_json(F.struct(F.concat(F.lit("c"), "o_custkey").alias("source"), listed.alias("units")))
+    stray = C("o_custkey") % 7 == 0
+    return own.select("o_custkey", stray.alias("stray"), F.to_json(F.struct(F.when(~stray, F.concat(F.lit("c"), "o_custkey")).alias("source"), listed.alias("units"))).alias("value"))
+
+
+def raw_files(spark: SparkSession, sf: str) -> str:
+    """A folder of documents of the orders, one a customer, a line each; each tenth customer's line is broken off, and documents that state no source are in files of
+    their own."""
     path = scratch(spark, "raw")
-    own.select(F.when(C("o_custkey") % 10 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.text(path)
+    lines = document_lines(t(spark, sf, "orders")).select("stray", F.when(C("o_custkey") % 10 == 0, F.substring("value", 1, 20)).otherwise(C("value")).alias("value"))
+    lines.write.partitionBy("stray").text(f"{path}/_written")
+    for stray, name in (("true", "stray"), ("false", "own")):
+        rename_parts(spark, f"{path}/_written/stray={stray}", path, name)
     return path
 
 
-def raw_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return raw.read_raw(spark, raw_files(spark, sf), lines=True)
+def scanned(rows: DataFrame) -> DataFrame:
+    """Units of raw_files as their SQL gives them: the number of a stray document's file depends on how it was written."""
+    return rows.select(F.regexp_replace("doc_source", r"^stray\d+$", "stray").alias("source"), C("pos").cast("long").alias("pos"), "address", "rent")
 
 
-SCAN_SQL = "SELECT 'c' || o_custkey AS source, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, o_orderkey || ' Oak St' AS address, o_totalprice AS rent FROM orders WHERE o_custkey % 10 <> 0"
+SCAN_SQL = "SELECT CASE WHEN o_custkey % 7 = 0 THEN 'stray' ELSE 'c' || o_custkey END AS source, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, o_orderkey || ' Oak St' AS address, o_totalprice AS rent FROM orders WHERE o_custkey % 10 <> 0"
 
 
-query("src11_scan_units", SCAN_SQL)(lambda spark, sf: raw.units_of(raw_documents(spark, sf)).select(C("doc_source").alias("source"), C("pos").cast("long").alias("pos"), "address", "rent"))
+@query("src11_scan_units", SCAN_SQL)
+def _(spark, sf):
+    folder = raw_files(spark, sf)
+    return read_back(scanned(raw.units_of(raw.read_raw(spark, folder, lines=True))), folder)
 
 
-@query("stm00_stream", SCAN_SQL)
+@query(
+    "stm00_stream",
+    """WITH k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders WHERE o_custkey % 7 <> 0 AND o_custkey % 10 <> 0)
+    SELECT 'c' || o_custkey AS source, pos, o_orderkey || ' Oak St' AS address, CASE WHEN o_custkey % 6 = 1 THEN 1.0 ELSE o_totalprice END AS rent FROM k WHERE o_custkey % 6 <> 2 AND (o_custkey % 6 <> 1 OR pos = 0)""",
+)
 def _(spark, sf):
-    """The same documents as a stream of files into a table."""
-    out = scratch(spark, "stream")
-    ingest.ingest(ingest.stream_raw(spark, raw_files(spark, sf), 2, lines=True), f"{out}/units", f"{out}/at").awaitTermination()
-    return ingest.current(spark.read.parquet(f"{out}/units")).select(C("doc_source").alias("source"), C("pos").cast("long").alias("pos"), "address", "rent")
+    """Three runs of a stream of files: all documents; some again with their first unit alone, at another rent; some again without any."""
+    out, inbox = scratch(spark, "stream"), scratch(spark, "inbox")
+    lines = document_lines(t(spark, sf, "orders").where("o_custkey % 10 <> 0")).where("not stray")
+    doc = F.from_json("value", raw.RAW)
+    first = F.transform(F.slice(doc["units"], 1, 1), lambda x: F.struct(x["address"].alias("address"), F.lit(1.0).alias("rent")))
+    again = lines.where("o_custkey % 6 = 1").select(F.to_json(F.struct(doc["source"].alias("source"), first.alias("units"))).alias("value"))
+    emptied = lines.where("o_custkey % 6 = 2").select(F.to_json(F.struct(doc["source"].alias("source"), F.array().cast("array<struct<address:string>>").alias("units"))).alias("value"))
+    for k, run in enumerate((lines.select("value"), again, emptied)):
+        run.write.text(f"{inbox}/run={k}")
+        ingest.ingest(ingest.stream_raw(spark, inbox, 2, lines=True), f"{out}/units", f"{out}/at").awaitTermination()
+    units = ingest.deduped(ingest.current(spark.read.parquet(f"{out}/units"), ["doc_source"]))
+    return read_back(read_back(units.select(C("doc_source").alias("source"), C("pos").cast("long").alias("pos"), "address", "rent"), out), inbox)
+
+
+@query("src12_corrupt", "SELECT count(DISTINCT o_custkey) AS broken FROM orders WHERE o_custkey % 10 = 0")
+def _(spark, sf):
+    folder = raw_files(spark, sf)
+    return read_back(raw.broken(raw.read_raw(spark, folder, lines=True)).agg(F.count("*").alias("broken")), folder)
 
 
-query("src12_corrupt", "SELECT count(DISTINCT o_custkey) AS broken FROM orders WHERE o_custkey % 10 = 0")(lambda spark, sf: raw.broken(raw_documents(spark, sf)).agg(F.count("*").alias("broken")))
 query("src13_missing_cache", "SELECT CAST(o_orderkey AS STRING) AS url, 'new' AS pets FROM orders")(
     lambda spark, sf: ops.upsert(raw.read_table(spark, f"{sf}/no-such-cache.json", "url string, pets string"), t(spark, sf, "orders").select(C("o_orderkey").cast("string").alias("url"), F.lit("new").alias("pets")), "url")
 )
@@ -147,33 +197,86 @@ def _(e):
     return raw.batch_results(e.select(line.alias("value")), "value double").select("page_id", C("result.value").alias("value"))
 
 
-@query("snk02_preserve", f"WITH {U}, n AS (SELECT * FROM u WHERE source IN ('s1', 's2') AND pos % 2 = 0) SELECT source, pos, true AS fresh FROM n UNION ALL SELECT source, pos, false FROM u WHERE source NOT IN (SELECT source FROM n)", on="units")
+#: Sources of a second run: s1 and s2 have new units, s3 an invalid one, s4 and s5 none; the others were not read.
+RUN_SQL = "n AS (SELECT * FROM u WHERE source IN ('s1', 's2', 's3') AND pos % 2 = 0)"
+FIRST_SQL = f"SELECT min(pos) AS pos FROM {{0}} GROUP BY source, {ADDRESS_SQL}, bedrooms, rent"
+RAW_ORDER_SQL = f"lower(CASE WHEN coalesce(city, '') = '' THEN '~' ELSE city END), coalesce(bedrooms, 99), coalesce(rent, 9e9), {ADDRESS_SQL}"
+PUBLISHED = "source string, manager string, address string, city string, bedrooms double, rent double, pos long, unit_type string"
+
+
+def two_runs(u: DataFrame, folder: str) -> tuple[Published, DataFrame]:
+    """The table after a run over all sources and a second one over some, and the second one's status."""
+    spark = u.sparkSession
+    table = Published(spark, folder, PUBLISHED, part_of_source(C("source")))
+    valid = u.withColumns({"pets": F.nullif("pets", F.lit("")), "room_type": F.when(C("kind") != "room", C("room_type"))})
+    every = u.select(C("source").alias("slug"), F.lit("M").alias("manager"), F.lit("eri").alias("platform")).distinct()
+    publish_units(table, every, valid)
+    again = valid.where(C("source").isin("s1", "s2", "s3") & (C("pos") % 2 == 0)).withColumn("rent", F.when(C("source") == "s3", -1.0).otherwise(C("rent")))
+    named = every.where(C("slug").isin("s1", "s2", "s3", "s4", "s5")).unionByName(every.limit(0).sparkSession.createDataFrame([("new", "M", "eri")], every.schema))
+    return table, publish_units(table, named, again)
+
+
+@query("snk01_write", f"WITH {U}, f AS ({FIRST_SQL.format('u')}) SELECT source, pos, address, bedrooms, rent, row_number() OVER (PARTITION BY source ORDER BY {RAW_ORDER_SQL}) - 1 AS place FROM u JOIN f USING (pos)", on="units")
 def _(u):
-    new = u.where(C("source").isin("s1", "s2") & (C("pos") % 2 == 0)).select("source", "pos", F.lit(True).alias("fresh"))
-    return ops.preserve(u.select("source", "pos", F.lit(False).alias("fresh")), new)
+    """One run, read back with the places that rows have in their source's folder."""
+    folder = scratch(u.sparkSession, "units")
+    table = Published(u.sparkSession, folder, PUBLISHED, part_of_source(C("source")))
+    valid = u.withColumns({"pets": F.nullif("pets", F.lit("")), "room_type": F.when(C("kind") != "room", C("room_type"))})
+    publish_units(table, u.select(C("source").alias("slug"), F.lit("M").alias("manager"), F.lit("eri").alias("platform")).distinct(), valid)
+    rows = table.read().select("*", C("_metadata.file_path").alias("file"), C("_metadata.file_name").alias("name"), F.monotonically_increasing_id().alias("id"))
+    return read_back(rows.select("source", "pos", "address", "bedrooms", "rent", (F.row_number().over(Window.partitionBy("source").orderBy("id")) - 1).cast("long").alias("place")), folder)
 
 
-@query("snk03_status", "SELECT count(*) FILTER (s_acctbal >= 0) AS sources_ok, count(*) FILTER (s_acctbal < 0) AS sources_failed, CAST(sum(s_suppkey) AS BIGINT) AS total_units FROM supplier", on="supplier")
-def _(s):
-    return raw.status_totals(s.select((C("s_acctbal") >= 0).alias("ok"), C("s_suppkey").alias("units")))
+@query("snk02_preserve", f"WITH {U}, {RUN_SQL}, f AS ({FIRST_SQL.format('u')}), g AS ({FIRST_SQL.format('n')}) SELECT source, pos FROM u JOIN f USING (pos) WHERE source NOT IN ('s1', 's2') UNION ALL SELECT source, pos FROM u JOIN g USING (pos) WHERE source IN ('s1', 's2')", on="units")
+def _(u):
+    folder = scratch(u.sparkSession, "units")
+    return read_back(two_runs(u, folder)[0].read().select("source", "pos"), folder)
+
+
+STATUS_SQL = f"""{RUN_SQL}, f AS ({FIRST_SQL.format('u')}), g AS ({FIRST_SQL.format('n')}),
+    had AS (SELECT source, count(*) AS n FROM u JOIN f USING (pos) GROUP BY 1), got AS (SELECT source, count(*) AS n FROM u JOIN g USING (pos) GROUP BY 1),
+    status AS (SELECT slug, slug <> 's3' AS ok, CASE WHEN slug = 's3' THEN 0 WHEN slug IN ('s1', 's2') THEN got.n ELSE coalesce(had.n, 0) END AS units, CASE WHEN slug = 's3' THEN 'invalid: rent' END AS error, slug IN ('s4', 's5') AS preserved
+      FROM (VALUES ('s1'), ('s2'), ('s3'), ('s4'), ('s5'), ('new')) AS v(slug) LEFT JOIN had ON had.source = slug LEFT JOIN got ON got.source = slug)"""
+
+
+@query("snk03_status", f"WITH {U}, {STATUS_SQL} SELECT slug, ok, units, error, preserved FROM status", on="units")
+def _(u):
+    folder = scratch(u.sparkSession, "units")
+    return read_back(raw.status_rows(two_runs(u, folder)[1]).select("slug", "ok", "units", "error", "preserved"), folder)
+
+
+@query("agg21_totals", f"WITH {U}, {STATUS_SQL} SELECT count(*) FILTER (ok) AS sources_ok, count(*) FILTER (NOT ok) AS sources_failed, CAST(sum(units) AS BIGINT) AS total_units FROM status", on="units")
+def _(u):
+    folder = scratch(u.sparkSession, "units")
+    return read_back(raw.status_totals(two_runs(u, folder)[1]), folder)
 
 
-@query("snk04_upsert_contacts", "SELECT c_custkey AS k, 'new' AS v FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'old' FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 2 = 0", on="customer")
+@query("snk04_upsert_contacts", "SELECT 'c' || c_custkey AS slug, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE 'old' END AS manager, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'p' || c_custkey END AS phone FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0", on="customer")
 def _(c):
-    old = c.where("c_custkey % 2 = 0").select(C("c_custkey").alias("k"), F.lit("old").alias("v"))
-    return ops.upsert(old, c.where("c_custkey % 3 = 0").select(C("c_custkey").alias("k"), F.lit("new").alias("v")), "k")
+    """Two published versions; a new entry replaces all of the old one."""
+    folder = scratch(c.sparkSession, "contacts")
+    table = PublishedByKey(c.sparkSession, folder, raw.CONTACT, "slug", 8)
+    of = lambda rows, manager, phone: rows.select(F.concat(F.lit("c"), "c_custkey").alias("slug"), F.lit(manager).alias("manager"), phone.alias("phone"), F.array(F.concat("c_custkey", F.lit("@x.org"))).alias("emails"), F.lit(None).cast("string").alias("source_url"))
+    table.upsert(of(c.where("c_custkey % 2 = 0"), "old", F.concat(F.lit("p"), "c_custkey")))
+    table.upsert(of(c.where("c_custkey % 3 = 0"), "new", F.lit(None).cast("string")))
+    return read_back(table.read().select("slug", "manager", "phone"), folder)
 
 
-@query("snk05_upsert_cache", "SELECT o_orderkey AS url, o_totalprice * 2 AS v FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 4 <> 0", on="orders")
+@query("snk05_upsert_cache", "SELECT CAST(o_orderkey AS STRING) AS url, CASE WHEN o_orderkey % 4 = 0 THEN 'none' ELSE 'allowed' END AS pets, 2 AS version FROM orders UNION ALL SELECT CAST(o_orderkey AS STRING), 'allowed', 1 FROM orders", on="orders")
 def _(o):
-    new = o.where("o_orderkey % 4 = 0").select(C("o_orderkey").alias("url"), (C("o_totalprice") * 2).alias("v"))
-    return ops.upsert(o.select(C("o_orderkey").alias("url"), C("o_totalprice").alias("v")), new, "url")
+    """Answers by url; a reader that is pinned to the first version goes on to see it."""
+    folder = scratch(o.sparkSession, "cache")
+    table = PublishedByKey(o.sparkSession, folder, "url string, pets string", "url", 16)
+    table.upsert(o.select(C("o_orderkey").cast("string").alias("url"), F.lit("allowed").alias("pets")))
+    first = table.read(1)
+    table.upsert(o.where("o_orderkey % 4 = 0").select(C("o_orderkey").cast("string").alias("url"), F.lit("none").alias("pets")))
+    return read_back(first.withColumn("version", F.lit(1)).unionByName(table.read().withColumn("version", F.lit(2))), folder)
 
 
 # projections
 
 query("prj01_unit_type", f"WITH {U} SELECT pos, {TYPE_SQL} AS unit_type FROM u", on="units")(lambda u: u.select("pos", kinds.unit_type(C("bedrooms")).alias("unit_type")))
-query("prj03_default_room_type", f"WITH {U} SELECT pos, CASE WHEN room_type IS NULL AND coalesce(kind, 'residential') = 'residential' THEN 'entire_place' ELSE room_type END AS room_type FROM u", on="units")(
+query("prj03_default_room_type", f"WITH {U} SELECT pos, CASE WHEN room_type IS NULL AND kind = 'residential' THEN 'entire_place' ELSE room_type END AS room_type FROM u", on="units")(
     lambda u: u.select("pos", ops.default_room_type(C("kind"), C("room_type")).alias("room_type"))
 )
 query(
@@ -280,17 +383,17 @@ query("join01_fill", f"WITH {U}, {CACHE_SQL} SELECT pos, coalesce(u.laundry, c.l
 )
 query(
     "join02_reconcile",
-    f"WITH {U}, c AS (SELECT url, arg_max(CAST(bedrooms + 1 AS DOUBLE), pos) AS b FROM u WHERE url IS NOT NULL AND pos % 5 = 0 AND bedrooms IS NOT NULL GROUP BY url), r AS (SELECT pos, coalesce(c.b, u.bedrooms) AS bedrooms FROM u LEFT JOIN c ON u.url = c.url) SELECT pos, bedrooms, {TYPE_SQL} AS unit_type FROM r",
+    f"WITH {U}, c AS (SELECT url, CAST(bedrooms + 1 AS DOUBLE) AS b FROM u WHERE url IS NOT NULL AND pos % 5 = 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY pos DESC) = 1), r AS (SELECT pos, coalesce(c.b, u.bedrooms) AS bedrooms FROM u LEFT JOIN c ON u.url = c.url) SELECT pos, bedrooms, {TYPE_SQL} AS unit_type FROM r",
     on="units",
 )(
-    lambda u: ops.reconcile(u, u.where("url is not null and pos % 5 = 0 and bedrooms is not null").select("url", F.lit("bedrooms").alias("field"), (C("bedrooms") + 1).cast("string").alias("page"), F.lit("conflict").alias("type"), C("pos").alias("ord"))).select("pos", "bedrooms", "unit_type")
+    lambda u: ops.reconcile(u, u.where("url is not null and pos % 5 = 0").select("url", F.lit("bedrooms").alias("field"), (C("bedrooms") + 1).cast("string").alias("page"), F.lit("conflict").alias("type"), C("pos").alias("ord"))).select("pos", "bedrooms", "unit_type")
 )
 query("join03_contacts", f"WITH {CONTACTS_SQL} SELECT o_orderkey, CASE WHEN phone IS NOT NULL OR len(emails) > 0 THEN phone END AS phone, CASE WHEN phone IS NOT NULL OR len(emails) > 0 THEN array_to_string(list_slice(emails, 1, 2), ',') END AS emails FROM orders LEFT JOIN l ON 'm' || (o_custkey % 60) = manager")(
     lambda spark, sf: ops.with_contacts(t(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("m"), C("o_custkey") % 60).alias("manager")), contacts(t(spark, sf, "customer"))).select("o_orderkey", "phone", F.when(C("emails").isNotNull(), F.array_join("emails", ",")).alias("emails"))
 )
-query("join04_registry", "SELECT 's' || s_suppkey AS slug, coalesce(CASE WHEN s_suppkey % 4 = 0 THEN s_name END, n_name, 's' || s_suppkey) AS manager, CASE WHEN n_name IS NOT NULL THEN 'eri' END AS platform FROM supplier LEFT JOIN nation ON s_suppkey = n_nationkey")(
-    lambda spark, sf: ops.with_registry(
-        t(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("slug"), F.when(C("s_suppkey") % 4 == 0, C("s_name")).otherwise("").alias("manager")),
+query("join04_registry", "WITH d AS (SELECT 's' || s_suppkey AS slug, CASE WHEN s_suppkey % 4 = 0 THEN s_name END AS manager FROM supplier) SELECT slug, coalesce(manager, n_name, slug) AS manager, CASE WHEN n_name IS NOT NULL THEN 'eri' END AS platform FROM d LEFT JOIN nation ON slug = 's' || n_nationkey")(
+    lambda spark, sf: ops.with_registry(  # a document that states no source goes by its file's name
+        t(spark, sf, "supplier").select(F.when(C("s_suppkey") % 3 == 0, F.lit(None)).when(C("s_suppkey") % 3 == 1, "").otherwise(F.concat(F.lit("s"), "s_suppkey")).alias("source"), F.concat(F.lit("s"), "s_suppkey", F.lit(".json")).alias("file_name"), F.when(C("s_suppkey") % 4 == 0, C("s_name")).otherwise("").alias("manager")).withColumn("slug", raw.slug()),
         t(spark, sf, "nation").select(F.concat(F.lit("s"), "n_nationkey").alias("slug"), C("n_name").alias("manager"), F.lit("https://x.org").alias("site"), F.lit("eri").alias("platform")),
     ).select("slug", "manager", "platform")
 )
@@ -318,7 +421,7 @@ query("agg01_dedupe_source", f"WITH {U} SELECT min(pos) AS pos FROM u GROUP BY s
 query("agg01_dedupe_texts", "SELECT doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS k FROM documents) WHERE k = 1", on="documents")(
     lambda d: ops.keep_first(d.select("doc_id", "n_chars", F.md5(C("text").cast("binary")).alias("h")), ["h"], ["doc_id"]).select("doc_id", "n_chars")
 )
-query("agg02_merge", f"WITH {U}, {AREAS_SQL}, {MERGED_SQL} SELECT file_name, pos, CASE WHEN room_type IS NULL AND coalesce(kind, 'residential') = 'residential' THEN 'entire_place' ELSE room_type END AS room_type, {TYPE_SQL} AS unit_type FROM m", on="units")(
+query("agg02_merge", f"WITH {U}, {AREAS_SQL}, {MERGED_SQL} SELECT file_name, pos, CASE WHEN room_type IS NULL AND kind = 'residential' THEN 'entire_place' ELSE room_type END AS room_type, {TYPE_SQL} AS unit_type FROM m", on="units")(
     lambda u: ops.merge_units(u).select("file_name", "pos", "room_type", "unit_type")
 )
 query("agg03_city_facet", "SELECT n_name AS value, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")(
@@ -356,14 +459,19 @@ query("agg14_months", f"WITH {U}, l AS (SELECT left(available_date, 7) AS month,
     lambda u: dashboard.by_month(u, C("available_date").cast("date"), C("available_now"))
 )
 query("agg14_month", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1", on="orders")(lambda o: o.groupBy(dates.month_key(C("o_orderdate")).alias("month")).agg(F.count("*").alias("n")))
-query("agg15_room_types", f"WITH {U}, r AS (SELECT CASE room_type WHEN 'entire_place' THEN 0 WHEN 'private_room' THEN 1 WHEN 'shared_room' THEN 2 ELSE 3 END AS place FROM u WHERE room_type IS DISTINCT FROM 'private_room') SELECT place, ['Entire place', 'Private room', 'Shared room', 'Undetermined'][place + 1] AS name, count(*) AS n FROM r GROUP BY ALL", on="units")(
-    lambda u: dashboard.room_types(u.where(~C("room_type").eqNullSafe("private_room")))
+query("agg15_room_types", f"WITH {U}, r AS (SELECT CASE room_type WHEN 'entire_place' THEN 0 WHEN 'private_room' THEN 1 WHEN 'shared_room' THEN 2 ELSE 3 END AS place FROM u) SELECT place, ['Entire place', 'Private room', 'Shared room', 'Undetermined'][place + 1] AS name, count(*) AS n FROM r GROUP BY ALL", on="units")(
+    dashboard.room_types
 )
+COVERAGE_SQL = {"In-unit laundry": "laundry = 'in_unit'", "Any laundry": "laundry <> '' AND laundry <> 'none'", "Parking": "parking <> '' AND parking <> 'none'", "Furnished": "furnished = 'furnished'", "Pets OK": "pets <> '' AND pets <> 'none'"}
 query(
     "agg16_coverage",
-    f"WITH {U} SELECT 'In-unit laundry' AS name, count(*) AS n FROM u WHERE laundry = 'in_unit' UNION ALL SELECT 'Any laundry', count(*) FROM u WHERE laundry <> 'none' UNION ALL SELECT 'Parking', count(*) FROM u WHERE parking <> 'none' UNION ALL SELECT 'Furnished', count(*) FROM u WHERE furnished = 'furnished' UNION ALL SELECT 'Pets OK', count(*) FROM u WHERE pets <> 'none' AND pets <> ''",
+    f"WITH {U}, e AS (SELECT * REPLACE (CASE WHEN pos % 7 = 0 THEN '' ELSE laundry END AS laundry, CASE WHEN pos % 5 = 0 THEN '' ELSE parking END AS parking) FROM u), c AS ("
+    + " UNION ALL ".join(f"SELECT {i} AS i, '{name}' AS name, count(*) AS n FROM e WHERE {test}" for i, (name, test) in enumerate(COVERAGE_SQL.items()))
+    + ") SELECT name, n, row_number() OVER (ORDER BY n DESC, i) - 1 AS place FROM c WHERE n > 0",
     on="units",
-)(lambda u: dashboard.coverage(u, dashboard.amenity_tests() | {"Pets OK": (C("pets") != "none") & (C("pets") != "")}))
+)(
+    lambda u: ops.numbered(dashboard.coverage(u.withColumns({"laundry": F.when(C("pos") % 7 == 0, "").otherwise(C("laundry")), "parking": F.when(C("pos") % 5 == 0, "").otherwise(C("parking"))}), dashboard.amenity_tests()), [C("n").desc(), F.array_position(F.array(*map(F.lit, COVERAGE_SQL)), C("name"))], "place")
+)
 query("agg16_count_if", "SELECT count(*) FILTER (l_returnflag = 'R') AS r, count(*) FILTER (l_linestatus = 'O') AS o, count(*) FILTER (l_discount > 0.05) AS d FROM lineitem", on="lineitem")(
     lambda x: x.agg(F.count_if(C("l_returnflag") == "R").alias("r"), F.count_if(C("l_linestatus") == "O").alias("o"), F.count_if(C("l_discount") > 0.05).alias("d"))
 )
@@ -371,28 +479,38 @@ query("agg19_pages", f"WITH {U}, {CACHE_SQL} SELECT url, count(*) AS members, mi
     lambda u: ops.pages_to_read(u, cache_of(u), ["pos"]).select("url", "members", C("first.pos").alias("first"))
 )
 query("agg20_shared_pages", f"WITH {U} SELECT pos, count(*) OVER (PARTITION BY source, url) AS members FROM u WHERE url IS NOT NULL", on="units")(lambda u: ops.with_page_members(u).select("pos", "members"))
-query("agg21_totals", "SELECT count(*) FILTER (o_orderstatus = 'O') AS sources_ok, count(*) FILTER (o_orderstatus <> 'O') AS sources_failed, CAST(sum(o_custkey) AS BIGINT) AS total_units FROM orders", on="orders")(
-    lambda o: raw.status_totals(o.select((C("o_orderstatus") == "O").alias("ok"), C("o_custkey").alias("units")))
-)
-query("agg22_costs", "WITH k AS (SELECT n_chars // 4 + 700 AS t FROM documents) SELECT count(*) AS pages, CAST(sum(t) AS BIGINT) AS tokens_in, count(*) * 220 AS tokens_out, min(t) AS least, list_sort(list(t))[count(*) // 2 + 1] AS median, max(t) AS most FROM k", on="documents")(
-    lambda d: ops.token_costs(d, C("n_chars"))
+COSTS_SQL = "k AS (SELECT count(*) AS pages, round(coalesce(sum(n_chars / 4.0 + 700), 0), 2)::DOUBLE AS tokens_in, count(*) * 220 AS tokens_out, min(n_chars) AS least, list_sort(list(n_chars))[count(*) // 2 + 1] AS median, max(n_chars) AS most FROM documents)"
+query("agg22_costs", f"WITH {COSTS_SQL} SELECT * FROM k", on="documents")(lambda d: ops.token_costs(d, C("n_chars")).withColumn("tokens_in", F.round("tokens_in", 2)))
+RATES = (("small", 1.0, 5.0), ("middle", 2.0, 10.0), ("large", 5.0, 25.0))
+query("agg22_prices", f"WITH {COSTS_SQL}, p AS (SELECT r.model, tokens_in / 1e6 * r.i + tokens_out / 1e6 * r.o AS p FROM k, (VALUES " + ", ".join(map(str, RATES)) + ") AS r(model, i, o)) SELECT model, round(p, 2)::DOUBLE AS at_once, round(p / 2, 2)::DOUBLE AS in_batch FROM p", on="documents")(
+    lambda d: ops.price_table(ops.token_costs(d, C("n_chars")), RATES)
 )
+query("agg11_median_of_all", "SELECT CAST(median(l_extendedprice) AS DOUBLE) AS median FROM lineitem", on="lineitem")(lambda x: dashboard.median_of(x, C("l_extendedprice")))
 query("agg23_estimate", "SELECT count(*) AS n, round(count(*) * (5000 * 1.0 + 200 * 5.0) / 1e6 / 2, 2) AS cost FROM documents", on="documents")(lambda d: ops.flat_cost(d, 1.0, 5.0))
 query("agg24_first_contact", "SELECT c_mktsegment AS slug, arg_min(c_name, c_custkey) AS contact FROM customer GROUP BY 1", on="customer")(lambda c: ops.first_contacts(c.select(C("c_mktsegment").alias("slug"), C("c_name").alias("contact"), "c_custkey"), ["c_custkey"]))
 query("agg25_contact_coverage", f"WITH {CONTACTS_SQL} SELECT count(*) AS managers, count(phone) AS phones, count(*) FILTER (len(emails) > 0) AS emails FROM l", on="customer")(lambda c: ops.contact_coverage(contacts(c)))
 
 # orders, limits
 
+#: Orders over units of which some state an empty date or city, and some differ by their address alone.
+EMPTIES = "e AS (SELECT * REPLACE (CASE WHEN pos % 31 = 5 THEN '' ELSE available_date END AS available_date, CASE WHEN pos % 19 = 2 THEN '' ELSE city END AS city, CASE WHEN pos % 3 = 0 THEN NULL ELSE rent END AS rent) FROM u)"
 SORT_SQL = {
-    "srt01_raw": ("raw", "lower(coalesce(nullif(city, ''), '~')), coalesce(bedrooms, 99), coalesce(rent, 9e9)"),
-    "srt02_merged": ("soonest", "available_now DESC, coalesce(available_date, '9999-99-99'), coalesce(rent, 9e9)"),
-    "srt03_rent_asc": ("rent-asc", "rent ASC NULLS LAST"),
+    "srt01_raw": ("raw", RAW_ORDER_SQL),
+    "srt02_merged": ("soonest", "NOT available_now, CASE WHEN coalesce(available_date, '') = '' THEN '9999-99-99' ELSE available_date END, coalesce(rent, 9e9)"),
+    "srt03_rent_asc": ("rent-asc", "coalesce(rent, 9e9)"),
     "srt03_rent_desc": ("rent-desc", "coalesce(rent, -1) DESC"),
-    "srt03_beds_desc": ("beds-desc", "bedrooms DESC NULLS LAST"),
-    "srt03_city": ("city", "lower(coalesce(city, '~')) <> '', lower(replace(coalesce(city, '~'), '~', ' '))"),
+    "srt03_beds_desc": ("beds-desc", "coalesce(bedrooms, -1) DESC"),
+    # a locale puts signs, such as ~, before letters
+    "srt03_city": ("city", "CASE WHEN coalesce(city, '') = '' THEN ' ' ELSE lower(city) END"),
 }
+
+
+def with_empties(u: DataFrame) -> DataFrame:
+    return u.withColumns({"available_date": F.when(C("pos") % 31 == 5, "").otherwise(C("available_date")), "city": F.when(C("pos") % 19 == 2, "").otherwise(C("city")), "rent": F.when(C("pos") % 3 != 0, C("rent"))})
+
+
 for _name, (_sort, _order) in SORT_SQL.items():
-    query(_name, f"WITH {U} SELECT pos, row_number() OVER (ORDER BY {_order}, pos) - 1 AS place FROM u", on="units")(lambda u, s=_sort: ops.numbered(u, [*dashboard.SORTS[s](), C("pos")], "place").select("pos", "place"))
+    query(_name, f"WITH {U}, {EMPTIES} SELECT pos, row_number() OVER (ORDER BY {_order}, pos) - 1 AS place FROM e", on="units")(lambda u, s=_sort: ops.numbered(with_empties(u), [*dashboard.SORTS[s](), C("pos")], "place").select("pos", "place"))
 query("srt05_page_ids", f"WITH {U}, k AS (SELECT DISTINCT url FROM u WHERE url IS NOT NULL) SELECT url, 'p' || lpad(CAST(row_number() OVER (ORDER BY url) - 1 AS STRING), 5, '0') AS page_id FROM k", on="units")(
     lambda u: ops.numbered_pages(u.where("url is not null").select("url").distinct()).select("url", "page_id")
 )
@@ -413,7 +531,7 @@ query(
     on="pages",
 )(lambda p: p.select("page_id", text.clean_text(C("html")).alias("clean")))
 query("str02_rent", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN least(99999.99::DOUBLE, CASE WHEN o_totalprice >= 100 THEN round(o_totalprice, 2) END) WHEN o_orderkey % 4 = 3 OR o_totalprice < 100 OR o_totalprice > 100000 THEN NULL ELSE round(o_totalprice, 2) END AS rent FROM orders", on="orders")(
-    lambda o: o.select("o_orderkey", text.parse_rent(F.when(C("o_orderkey") % 4 == 0, F.concat(F.lit("Rent: $"), F.format_number("o_totalprice", 2), F.lit(" / mo"))).when(C("o_orderkey") % 4 == 1, F.concat(F.lit("$"), F.format_string("%.2f", "o_totalprice"), F.lit(" - $99,999.99"))).when(C("o_orderkey") % 4 == 2, F.format_string("%.2f", "o_totalprice")).otherwise("Call for pricing")).alias("rent"))
+    lambda o: o.select("o_orderkey", text.parse_rent(F.when(C("o_orderkey") % 4 == 0, F.concat(F.lit("Rent: $"), F.format_number("o_totalprice", 2), F.lit(" / mo"))).when(C("o_orderkey") % 4 == 1, F.concat(F.lit("$"), F.format_string("%.2f", "o_totalprice"), F.lit(" - $99,999.99"))).when(C("o_orderkey") % 4 == 2, F.format_string("%.2f", "o_totalprice")).otherwise("ask us")).alias("rent"))
 )
 query("str03_bedrooms", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 0.0 WHEN 3 THEN NULL ELSE CASE WHEN p_size <= 20 THEN CAST(p_size AS DOUBLE) END END::DOUBLE AS beds FROM part", on="part")(
     lambda p: p.select("p_partkey", text.parse_bedrooms(F.when(C("p_partkey") % 4 == 0, "Studio / 1 ba").when(C("p_partkey") % 4 == 1, F.concat("p_size", F.lit(" Bed | 1 Bath"))).when(C("p_partkey") % 4 == 2, F.concat(F.lit(" "), "p_size", F.lit(" "))).otherwise("call us")).alias("beds"))
@@ -447,7 +565,7 @@ query("str09_classify", "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'app
     lambda p: p.select("p_partkey", kinds.classify(C("p_name"), F.element_at(F.array(*map(F.lit, ("Rental Application", "Covered Parking", "Locker 4", "Private room near campus", "Sunny flat"))), (C("p_partkey") % 5 + 1).cast("int")), F.when(C("p_size") < 25, 0.0).otherwise(2.0)).alias("kind"))
 )
 query("str10_title_beds", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 0.0 WHEN 1 THEN CASE WHEN p_size <= 20 THEN CAST(p_size AS DOUBLE) END END::DOUBLE AS beds FROM part", on="part")(
-    lambda p: p.select("p_partkey", text.bedrooms_from_title(F.when(C("p_partkey") % 3 == 0, "Top-Floor Studio").when(C("p_partkey") % 3 == 1, F.concat(F.lit("Sunny "), "p_size", F.lit("BR flat"))).otherwise(C("p_size").cast("string"))).alias("beds"))
+    lambda p: p.select("p_partkey", text.bedrooms_from_title(F.when(C("p_partkey") % 3 == 0, "Corner studio with view").when(C("p_partkey") % 3 == 1, F.concat(F.lit("Sunny "), "p_size", F.lit("BR flat"))).otherwise(C("p_size").cast("string"))).alias("beds"))
 )
 query("str11_address", f"WITH {U} SELECT pos, {ADDRESS_SQL} AS address FROM u", on="units")(lambda u: u.select("pos", text.normal_address(C("address")).alias("address")))
 query("str12_facts", "SELECT c_custkey, c_name AS name, CAST(c_nationkey AS STRING) AS nation FROM customer", on="customer")(
@@ -511,7 +629,7 @@ def two_readings(o: DataFrame) -> tuple[dict, dict]:
 )
 def _(o):
     mine, page = two_readings(o)
-    return o.select("o_orderkey", F.explode(ops.compare_readings(mine, page, F.lit(TODAY))).alias("c")).select("o_orderkey", "c.field", "c.type")
+    return ops.compare_readings(o, ["o_orderkey"], mine, page, F.lit(TODAY)).select("o_orderkey", "field", "type")
 
 
 @query(
@@ -523,7 +641,7 @@ def _(o):
 )
 def _(o):
     mine, page = two_readings(o)
-    return o.select(F.explode(ops.compare_readings(mine, page, F.lit(TODAY))).alias("c")).groupBy("c.type").agg(F.count("*").alias("n"))
+    return ops.compare_readings(o, [], mine, page, F.lit(TODAY)).groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query(

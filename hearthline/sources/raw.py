@@ -26,7 +26,12 @@ def read_raw(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame
 
 def readable(docs: DataFrame) -> DataFrame:
     """Documents that could be parsed to their end; of a broken one nothing counts, not even what came before the break."""
-    return docs.where(F.col("source").isNotNull() & F.col("_corrupt_record").isNull())
+    return docs.where(F.col("_corrupt_record").isNull())
+
+
+def slug() -> Column:
+    """A document's source, or its file's name without the ending where it states none."""
+    return F.coalesce(F.nullif("source", F.lit("")), F.regexp_replace("file_name", r"\.[^.]*$", ""))
 
 
 def broken(docs: DataFrame) -> DataFrame:
@@ -37,7 +42,7 @@ def broken(docs: DataFrame) -> DataFrame:
 
 def units_of(docs: DataFrame) -> DataFrame:
     """One row a unit of readable documents, with file_name and pos, its place."""
-    rows = readable(docs).select("file_name", F.col("source").alias("doc_source"), F.col("manager").alias("doc_manager"), "scraped_at", F.posexplode("units").alias("pos", "u"))
+    rows = readable(docs).select("file_name", slug().alias("doc_source"), F.col("manager").alias("doc_manager"), "scraped_at", F.posexplode("units").alias("pos", "u"))
     return rows.select("file_name", "pos", "doc_source", "doc_manager", "scraped_at", "u.*")
 
 
