@@ -1,11 +1,13 @@
 """End to end over a folder of raw documents; portals on made-up cards; the stream."""
 
 import json
+import os
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
+from hearthline.functions import text
 from hearthline.operators import dashboard, units as ops
 from hearthline.sources import portals, raw
 from hearthline.streaming import ingest
@@ -40,10 +42,11 @@ def test_merge(spark, folder):
     got = {(r["address"], r["file_name"], r["unit_type"], r["room_type"]) for r in merged.collect()}
     assert got == {
         ("1 Oak Street", "a.json", "1_bedroom", "entire_place"), ("3 Oak St", "a.json", "2_bedroom", "entire_place"), ("2 Oak St", "b.json", "1_bedroom", "entire_place"),
-        ("5 Oak", "b.json", "1_bedroom", "entire_place"), ("3 Oak St", "b.json", "2_bedroom", "private_room"),
+        ("5 Oak", "b.json", "1_bedroom", None), ("3 Oak St", "b.json", "2_bedroom", "private_room"),
     }
     assert ops.merge_units(merged.withColumn("kind", F.lit("residential"))).count() == merged.count()
     cells = dashboard.facets(merged, ["room_type", "pets"], ["file_name", "pos"])
+    assert {(r["value"], r["n"]) for r in cells.where("facet = 'room_type'").collect()} == {("entire_place", 3), ("private_room", 1), ("unknown", 1)}
     assert {r["facet"]: r["n"] for r in cells.groupBy("facet").agg(F.sum("n").alias("n")).collect()} == {"room_type": 5, "pets": 5}
 
 
@@ -110,39 +113,68 @@ def test_json_portals(spark):
     assert (u["address"], u["kind"], u["room_type"], u["pets"], u["available_date"], u["rent"]) == ("1 Way #2A", "room", "private_room", "none", "2026-08-01", 900.0)
 
 
-def test_stream(spark, folder, tmp_path_factory):
-    out = tmp_path_factory.mktemp("stream")
-    (_ := ingest.ingest(ingest.stream_raw(spark, folder), str(out / "units"), str(out / "at"))).awaitTermination(120)
-    assert spark.read.parquet(str(out / "units")).count() == 9
+def put(folder, name, *units, **doc):
+    """A document of units, each an address and what differs from the usual."""
+    (folder / name).parent.mkdir(exist_ok=True)
+    (folder / name).write_text(json.dumps({"source": "a", "units": [unit(x, **more) for x, more in units]} | doc))
 
 
-def test_stream_keeps_files_of_one_source(spark, tmp_path_factory):
-    """A file a batch, all of one source; then one of them comes again."""
+def as_batch(spark, folder):
+    """What batch reading of the files gives, deduped by source: source, address and the file's name."""
+    units = raw.units_of(raw.read_raw(spark, str(folder)))
+    first = ops.keep_first(units, ["doc_source", text.normal_address(F.col("address")), "bedrooms", "rent"], ["file_name", "pos"])
+    return sorted((r["doc_source"], r["address"], r["file_name"]) for r in first.collect())
+
+
+def test_stream_equals_batch_reading(spark, tmp_path_factory):
+    """Three batches and a file without source; then one is replaced, one emptied and one broken where they lie."""
     inbox, out = tmp_path_factory.mktemp("inbox"), tmp_path_factory.mktemp("stream")
+    table = str(out / "units")
 
-    def put(name, *addresses):
-        (inbox / name).write_text(json.dumps({"source": "a", "units": [unit(x) for x in addresses]}))
+    def state():
+        rows = ingest.deduped(ingest.current(spark.read.parquet(table)), ["file_name", "pos"])
+        return sorted((r["doc_source"], r["address"], r["file_name"]) for r in rows.collect())
 
     def run():
-        ingest.ingest(ingest.stream_raw(spark, str(inbox), 1), str(out / "units"), str(out / "at")).awaitTermination(120)
-        table = spark.read.parquet(str(out / "units"))
-        return table.count(), sorted(r["address"] for r in ingest.current(table).collect())
-
-    put("1.json", "1 A St"), put("2.json", "2 B St", "3 C St"), put("3.json", "4 D St")
-    assert run() == (4, ["1 A St", "2 B St", "3 C St", "4 D St"])
-    assert run()[0] == 4
-    (inbox / "2.json").unlink()
-    put("2.json", "9 Z St")  # a source looks at a path once, so what came again is read as a stream of its own
-    units = spark.read.parquet(str(out / "units"))
-    later = units.where("file_name = '2.json'").limit(1).withColumns({"address": F.lit("9 Z St"), "batch": F.lit(99)})
-    assert sorted(r["address"] for r in ingest.current(units.unionByName(later)).collect()) == ["1 A St", "4 D St", "9 Z St"]
+        ingest.ingest(ingest.stream_raw(spark, str(inbox), 1), table, str(out / "at")).awaitTermination(120)
+        return state()
+
+    put(inbox, "1.json", ("1 A St", {}), ("2 B St", {})), put(inbox, "2.json", ("2 B Street", {}), ("3 C St", {})), put(inbox, "3.json", ("4 D St", {}), source=None)
+    assert run() == as_batch(spark, inbox) == [("3", "4 D St", "3.json"), ("a", "1 A St", "1.json"), ("a", "2 B St", "1.json"), ("a", "3 C St", "2.json")]
+    assert run() == as_batch(spark, inbox) and ingest.catch_up(spark, str(inbox), table) == 0
+    later = os.stat(inbox / "1.json").st_mtime + 10
+    put(inbox, "1.json", ("1 A St", {"rent": 1.0}))  # the second file's unit at 2 B comes back
+    os.utime(inbox / "1.json", (later, later))
+    assert ingest.catch_up(spark, str(inbox), table) == 1
+    assert state() == as_batch(spark, inbox) and ("a", "2 B Street", "2.json") in state()
+    put(inbox, "2.json"), (inbox / "3.json").write_text("{broken")
+    for name in ("2.json", "3.json"):
+        os.utime(inbox / name, (later + 10, later + 10))
+    put(inbox, "4.json", ("9 Z St", {}))
+    assert ingest.catch_up(spark, str(inbox), table) == 2
+    assert run() == as_batch(spark, inbox) == [("a", "1 A St", "1.json"), ("a", "9 Z St", "4.json")]
+
+
+def test_stream_tells_files_of_equal_names_apart(spark, tmp_path_factory):
+    inbox, out = tmp_path_factory.mktemp("inbox"), tmp_path_factory.mktemp("stream")
+    put(inbox, "one/x.json", ("1 A St", {})), put(inbox, "two/x.json", ("2 B St", {}))
+    ingest.ingest(ingest.stream_raw(spark, f"{inbox}/*", 1), str(out / "units"), str(out / "at")).awaitTermination(120)
+    table = spark.read.parquet(str(out / "units"))
+    assert sorted(r["address"] for r in ingest.current(table).collect()) == ["1 A St", "2 B St"]
+    assert ingest.current(table, ["doc_source"]).count() == 1
 
 
 def test_costs_and_queue(spark):
     pages = spark.createDataFrame([(400,), (800,), (1200,), (4000,)], "n int")
     row = ops.token_costs(pages, F.col("n")).first()
-    assert (row["pages"], row["tokens_in"], row["tokens_out"], row["least"], row["median"], row["most"]) == (4, 4400, 880, 800, 1000, 1700)
-    assert ops.token_costs(pages.limit(0), F.col("n")).first()["pages"] == 0
+    assert (row["pages"], row["tokens_in"], row["tokens_out"], row["least"], row["median"], row["most"]) == (4, 4400.0, 880, 400, 1200, 4000)
+    uneven = spark.createDataFrame([(403,), (801,), (1203,), (4001,)], "n int")
+    row = ops.token_costs(uneven, F.col("n")).first()
+    assert (row["tokens_in"], row["least"], row["median"], row["most"]) == (4402.0, 403, 1203, 4001)
+    prices = ops.price_table(ops.token_costs(uneven, F.col("n")), [("x", 1000.0, 2000.0)]).first()
+    assert (prices["at_once"], prices["in_batch"]) == (round(4.402 + 1.76, 2), round((4.402 + 1.76) / 2, 2))
+    none = ops.token_costs(pages.limit(0), F.col("n")).first()
+    assert (none["pages"], none["tokens_in"], none["median"]) == (0, 0.0, None)
     queue = spark.createDataFrame([("b", 1), ("a", 2), ("c", 4)], "url string, members int")
     first, over = ops.queue_limit(queue, 2)
     assert sorted(r["url"] for r in first.collect()) == ["a", "b"] and [r["url"] for r in over.collect()] == ["c"]
