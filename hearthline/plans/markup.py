@@ -80,11 +80,51 @@ query("src10_tripalink", f"SELECT '1 Way #' || k AS address, CASE WHEN k % 2 = 0
             says('{"address":"', F.when(K() % 10 == 0, "").otherwise("1 Way"), '","id":4,"leasePolicy":[{"catalogName":"Pet Policy","type":["No Pets"]},{"catalogName":"Occupancy Policy","type":["1 tenant max per room"]}],"availableUnits":[{"name":"', K().cast("string"), '","floorPlanBedroomNum":3,"minPrice":', (1000 + K() % 500).cast("string"), ',"rooms":[', F.when(K() % 2 == 0, '{"id":1}').otherwise('{"id":1},{"id":2}'), "]}]}").alias("payload")),
         F.lit(TODAY)).select("address", "kind", "room_type", "pets", "rent")
 )
+def portal_pages(orders: DataFrame) -> DataFrame:
+    """url, body of two portals: listing page, list, and a page for each order; some of these failed, some are missing, some are empty."""
+    spark, k = orders.sparkSession, K().cast("string")
+    half = F.when(K() % 2 == 0, "https://even.org").otherwise("https://odd.org")
+    build = F.when(K() % 2 == 0, "b0").otherwise("b1")
+    lists = orders.groupBy(half.alias("base"), build.alias("build")).agg(F.collect_list(F.struct(k.alias("id"))).alias("ids"))
+    listing = lists.select(F.concat("base", F.lit(portals.LISTING_PAGE)).alias("url"), says('<script id="__NEXT_DATA__" type="application/json">{"buildId":"', C("build"), '"}</script>').alias("body"))
+    named = lists.withColumn("base_url", C("base")).select(portals.filled(portals.LIST_JSON, C("build")).alias("url"), says('{"pageProps":{"data":{"ESProperties":{"data":', F.to_json("ids"), "}}}}").alias("body"))
+    detail = says('{"pageProps":{"data":{"address":"', k, ' Way","id":"', k, '","availableUnits":[{"name":"1","minPrice":', (1000 + K() % 500).cast("string"), '},{"name":"2","maxPrice":"$900"}]}}}')
+    body = F.when(K() % 5 == 1, F.lit(None)).when(K() % 5 == 2, '{"pageProps":{}}').otherwise(detail)
+    details = orders.where(K() % 5 > 0).withColumn("base_url", half).select(portals.filled(portals.DETAIL_JSON, build, k, k).alias("url"), body.alias("body"))
+    dead = spark.createDataFrame([("https://dead.org" + portals.LISTING_PAGE, "<html>moved</html>")], "url string, body string")
+    return listing.unionByName(named).unionByName(details).unionByName(dead)
+
+
+@query("src10_two_hops", "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS source, o_orderkey || ' Way #' || n AS address, CASE n WHEN 1 THEN CAST(1000 + o_orderkey % 500 AS DOUBLE) ELSE 900.0 END AS rent, 'https://' || CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END || '.org/apartments/bay-area/berkeley/' || o_orderkey AS url FROM orders, (VALUES (1), (2)) AS v(n) WHERE o_orderkey % 5 > 2", on="orders")
+def _(o):
+    sources = o.sparkSession.createDataFrame([(n, "M", f"https://{n}.org") for n in ("even", "odd", "dead", "gone")], "source string, manager string, base_url string")
+    return portals.tripalink_scan(sources, portal_pages(o), F.lit(TODAY)).select("source", "address", "rent", "url")
+
+
+def list_pages(orders: DataFrame) -> DataFrame:
+    """Lists of ten records a page, a source for each customer modulo 5: all full; page 3 short; page 3 empty; page 3 failed; page 1 failed."""
+    page = (F.floor(C("o_custkey") / 5) % 6 + 1).cast("int")
+    rows = orders.select((C("o_custkey") % 5).cast("string").alias("source"), page.alias("page")).distinct()
+    record = lambda i: says('{"meta":{"property_status":"current","city":"Oakland","map":{"address":"', C("source"), "-", C("page").cast("string"), "-", i.cast("string"), '"}}}')
+    some = lambda n: says("[", F.array_join(F.transform(F.sequence(F.lit(1), n), record), ","), "]")
+    third = C("page") == 3
+    body = F.when((C("source") == "1") & third, some(F.lit(4))).when((C("source") == "2") & third, "[]").when((C("source") == "3") & third | (C("source") == "4") & (C("page") == 1), F.lit(None)).otherwise(some(F.lit(10)))
+    return rows.select("source", F.lit("M").alias("manager"), F.lit("https://x.org").alias("base_url"), "page", body.alias("payload"))
+
+
+query(
+    "src09_pages",
+    "WITH p AS (SELECT DISTINCT (o_custkey % 5)::VARCHAR AS source, (o_custkey // 5) % 6 + 1 AS page FROM orders) SELECT source, source || '-' || page || '-' || i AS address FROM p, range(1, 11) AS r(i) WHERE source = '0' OR source < '4' AND page < 3 OR source = '1' AND page = 3 AND i <= 4",
+    on="orders",
+)(lambda o: portals.relisto(portals.until_stop(list_pages(o), per_page=10), F.lit(TODAY)).select("source", "address"))
+query("src09_failed_sources", "SELECT '4' AS source", on="orders")(lambda o: portals.failed_sources(o.select((C("o_custkey") % 5).cast("string").alias("source")).distinct(), list_pages(o)))
 query("flt04_no_address", "SELECT count(*) AS n FROM orders WHERE o_orderkey % 10 <> 0", on="orders")(lambda o: read(o, "eri", says('<div class="rental3"><p class="rraddr">', STREET(), "</p></div>"), "address").agg(F.count("*").alias("n")))
 query("prj02_recompute", f"WITH {U}, v AS (SELECT pos, bedrooms + 1 AS bedrooms FROM u) SELECT pos, CASE WHEN bedrooms < 1 THEN 'studio' WHEN bedrooms >= 3 THEN '3plus_bedroom' WHEN bedrooms IS NOT NULL THEN CAST(CAST(floor(bedrooms) AS INT) AS STRING) || '_bedroom' END AS unit_type FROM v", on="units")(
     lambda u: u.withColumn("bedrooms", C("bedrooms") + 1).select("pos", kinds.unit_type(C("bedrooms")).alias("unit_type"))
 )
-query("prj04_no_kind", "SELECT unnest(['file_name', 'pos', 'address']) AS name", on="units")(lambda u: u.sparkSession.createDataFrame([(c,) for c in ops.published(u.select("file_name", "pos", "kind", "address")).columns], "name string"))
+query("prj04_no_kind", f"WITH {U} SELECT pos, address, unnest(['pos', 'address', 'room_type']) AS name FROM u", on="units")(  # what is left of each row's names as JSON
+    lambda u: ops.published(u.select("pos", "kind", "address", F.lit("x").alias("room_type"))).withColumn("row", F.to_json(F.struct("*"))).select("pos", "address", F.explode(F.json_object_keys("row")).alias("name"))
+)
 query("prj07_zero_stays", f"WITH {U}, c AS (SELECT DISTINCT url FROM u WHERE url IS NOT NULL AND pos % 3 = 0) SELECT pos, coalesce(bedrooms, CASE WHEN c.url IS NOT NULL THEN 9.0 END) AS bedrooms FROM u LEFT JOIN c ON u.url = c.url", on="units")(
     lambda u: ops.fill(u, u.where("url is not null and pos % 3 = 0").select("url").distinct().withColumn("bedrooms", F.lit(9.0)), ("bedrooms",)).select("pos", "bedrooms")
 )

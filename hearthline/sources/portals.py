@@ -244,6 +244,68 @@ def tripalink(pages: DataFrame, today: Column) -> DataFrame:
     )
 
 
+# Addresses of the portal's embedded JSON, and where the list and a property's details stand in it.
+LISTING_PAGE = "/berkeley/homes-for-rent"
+LIST_JSON = "/_next/data/{}/berkeley/homes-for-rent.json?urlPath=berkeley&urlPath=homes-for-rent"
+DETAIL_JSON = "/_next/data/{}/apartments/bay-area/berkeley/{}.json?cityRoute=bay-area&areaRoute=berkeley&id={}"
+LIST_DATA = "$.pageProps.data.ESProperties.data"
+DETAIL_DATA = "$.pageProps.data"
+
+
+def filled(address: str, *parts: Column) -> Column:
+    """base_url and an address with its gaps filled."""
+    texts = address.split("{}")
+    return F.concat(F.col("base_url"), F.lit(texts[0]), *[x for part, after in zip(parts, texts[1:], strict=True) for x in (part, F.lit(after))])
+
+
+def tripalink_lists(sources: DataFrame, pages: DataFrame) -> DataFrame:
+    """The first hop: source, manager, base_url, build and id of each property in the list whose address the listing page's build id names.
+
+    sources: source, manager, base_url, a row a portal, so both joins here broadcast it. pages: url, body; null bodies are failed fetches.
+    """
+    of = ["source", "manager", "base_url"]
+    fetched = pages.where("body is not null").groupBy("url").agg(F.max("body").alias("body"))
+    asked = sources.select(*of, F.concat("base_url", F.lit(LISTING_PAGE)).alias("url"))
+    builds = fetched.join(F.broadcast(asked), "url").select(*of, build_id(F.col("body")).alias("build")).where("build is not null")
+    lists = fetched.join(F.broadcast(builds.select(*of, "build", filled(LIST_JSON, F.col("build")).alias("url"))), "url")
+    ids = F.from_json(F.get_json_object("body", LIST_DATA), "array<struct<id:string>>")
+    return lists.select(*of, "build", F.posexplode(ids).alias("place", "p")).select(*of, "build", "place", some(F.col("p.id")).alias("id")).where("id is not null")
+
+
+def tripalink_scan(sources: DataFrame, pages: DataFrame, today: Column) -> DataFrame:
+    """Units of portals from a table of pages: the listing page's build id names the list, the list and the build id name each property's page, and that has its
+    units. Properties whose page is missing, failed or empty give none, and keep nothing else from being read."""
+    props = tripalink_lists(sources, pages)
+    asked = props.select("source", "manager", "base_url", filled(DETAIL_JSON, F.col("build"), F.col("id"), F.col("id")).alias("url")).distinct()
+    fetched = pages.where(F.col("body").isNotNull() & F.contains("url", F.lit("/apartments/")))
+    details = fetched.groupBy("url").agg(F.max("body").alias("body")).join(asked, "url").withColumn("payload", F.get_json_object("body", DETAIL_DATA))
+    return tripalink(details.where("payload is not null").select("source", "manager", "base_url", "payload"), today)
+
+
+# Records on a full page of the portal's list, and the most pages it is asked for.
+PER_PAGE, MOST_PAGES = 100, 40
+
+
+def until_stop(pages: DataFrame, per_page: int = PER_PAGE, most: int = MOST_PAGES) -> DataFrame:
+    """The pages of each source up to its first one that isn't full: an empty or failed one ends the list, a short one is its last.
+
+    pages: source, page (from 1), payload, a JSON list; a failed page has no payload or none that can be read, a missing one failed. A source whose first page failed has no
+    pages here and is found by failed_sources.
+    """
+    size = F.coalesce(F.size(F.from_json("payload", "array<string>")), F.lit(-1))
+    full = pages.where(F.col("page").between(1, most) & (size >= per_page)).groupBy("source").agg(F.collect_set("page").alias("full"))  # no more than most
+    none = F.array().cast("array<int>")
+    last = F.array_min(F.array_except(F.sequence(F.lit(1), F.lit(most + 1)), F.coalesce("full", none)))
+    read = pages.join(full, "source", "left").withColumn("__last", last)
+    return read.where((F.col("page") >= 1) & (F.col("page") <= F.least("__last", F.lit(most))) & (size > 0)).drop("full", "__last")
+
+
+def failed_sources(sources: DataFrame, pages: DataFrame) -> DataFrame:
+    """The sources whose first page failed: no list at all, which is an error and no end."""
+    first = pages.where(F.col("page") == 1).where(F.from_json("payload", "array<string>").isNotNull())
+    return sources.join(first.select("source"), "source", "left_anti")
+
+
 ADAPTERS: dict[str, Callable[[DataFrame, Column], DataFrame]] = {
     "appfolio": appfolio, "buildium": buildium, "showmojo": showmojo, "eri": eri, "mmg": mmg, "boston_pm": boston_pm, "relisto": relisto, "tripalink": tripalink,
 }
