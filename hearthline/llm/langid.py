@@ -35,6 +35,7 @@ from .decontamination import bounded
 
 ORDER, BYTES = 3, 256
 DOCS_PER_LANG = 600
+#: What may be a letter; of these, number signs such as ½, ② or Ⅷ are none.
 LETTER = re.compile(r"[^\W\d_]")
 #: The share of a text's code-length lead, in bits a byte, that makes the score; 1 / (1 + 2 ** -(EVIDENCE * lead)).
 EVIDENCE = 16.0
@@ -42,6 +43,10 @@ EVIDENCE = 16.0
 CHUNK = 1 << 20
 
 
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in LETTER.finditer(text))
+
+
 def last_bytes(k: int) -> np.uint64:
     """What keeps the last k bytes of a string's number."""
     return np.uint64((1 << (8 * k)) - 1)
@@ -224,7 +229,7 @@ def learn(docs: DataFrame, text_col: str, lang_col: str, per_lang: int = DOCS_PE
 def score_texts(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
     """Of each text, its language and score."""
     langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-    good = [i for i, t in enumerate(texts) if t and model.langs and LETTER.search(t)]
+    good = [i for i, t in enumerate(texts) if t and model.langs and has_letter(t)]
     if good:
         total, sizes = code_lengths([texts[i] for i in good], model)
         bits = total / sizes[:, None]
