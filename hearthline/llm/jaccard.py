@@ -35,22 +35,27 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from .common import cut, join_counted, table
 from .components import components
 
 N, THRESHOLD, TARGET = 5, 0.8, 0.999
 T, DEPTH, SMALL, LARGE, BLOCK, SPLITS = 128, 3, 512, 8192, 512, 3
-#: Blocks of a bucket or component at most; beyond, blocks grow.
-MOST_BLOCKS = 64
+#: Blocks that a bucket or component has while its blocks grow; from the largest block on, it has more blocks and no larger ones.
+EVEN_BLOCKS = 64
+#: Sets of a block at most: in a bucket, and in a component, where a task holds the shingles of two blocks and a square of counts.
+LARGEST_BUCKET, LARGEST_BLOCK = 2048, 1024
+#: Shingles of a block on average at most, 8 bytes each, however long the texts are.
+BLOCK_SHINGLES = 2_000_000
 #: Share of a bucket's pairs that a split keeps at least.
 KEPT = 0.9
 #: Mean agreement of two sketches' bits from which a bucket is tight: what a similarity of 0.4 gives.
 TIGHT = 0.7
 #: Sketches agree in so many of T places at least to make a candidate: what a similarity of 0.65 gives, 0.15 below the threshold and over 3 deviations of a sketch.
 LEAST_AGREE = int(T * (0.65 + 0.35 / 4))
-#: Ids that are broadcast at most, 8 bytes each; more are joined by a shuffle.
-MOST_BROADCAST = 500_000
+#: Bytes that are broadcast at most, as few() counts them; more are joined by a shuffle.
+MOST_BROADCAST = 64 << 20
 
 SKETCH = tuple(f"s{k}" for k in range(T // 32))
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -274,6 +279,17 @@ def compare_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": sets[member], "b": sets[root[member]]})
 
 
+def few(df: DataFrame, *ids: str, row: int = 64) -> DataFrame:
+    """df, broadcast if it is small: row bytes a row, and twice what its ids, of any type, take as text. df is cut off."""
+    size = df.agg(F.sum(sum((2 * F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in ids), F.lit(row)))).first()[0] or 0
+    return F.broadcast(df) if size <= MOST_BROADCAST else df
+
+
+def n_blocks(n, least: int, most: int):
+    """How many blocks n sets are dealt into."""
+    return F.ceil(n / F.least(F.greatest(F.lit(least), F.ceil(n / EVEN_BLOCKS)), F.lit(most))).cast("int")
+
+
 def bucket_links(rows: DataFrame) -> DataFrame:
     """a, b of rows (path, set, side and sketch) whose paths have a bounded number of rows each."""
     return rows.repartition("path").sortWithinPartitions("path", "set").mapInPandas(compare_buckets, "a binary, b binary").distinct()
@@ -287,8 +303,7 @@ def agreement():
 
 def block_links(rows: DataFrame) -> DataFrame:
     """a, b of rows (path, n, set and sketch) of large paths: all pairs, in blocks of rows of which each pair is a group of its own."""
-    blocks = F.ceil(F.col("n") / F.greatest(F.lit(BLOCK), F.ceil(F.col("n") / MOST_BLOCKS))).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("set", "path"), "blocks").cast("int"))
+    dealt = rows.withColumn("blocks", n_blocks(F.col("n"), BLOCK, LARGEST_BUCKET)).withColumn("own", F.pmod(F.xxhash64("set", "path"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") < F.col("other")).cast("int"))
     return bucket_links(dealt.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"), "set", *SKETCH, side.alias("side")))
@@ -301,18 +316,17 @@ def candidate_links(reps: DataFrame, n: int, target: float = TARGET) -> DataFram
     at = paths(reps, depth, runs_for(target, depth))
     for k in range(SPLITS + 1):
         many = cut(at.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > SMALL))
-        n_many = many.count()
         go_on = False
-        if not n_many:
+        if many.isEmpty():
             links = bucket_links(at.withColumn("side", F.lit(-1)))
         else:
-            few = F.broadcast(many) if n_many <= MOST_BROADCAST else many
-            links = bucket_links(at.join(few, "path", "left_anti").withColumn("side", F.lit(-1)))
-            stay = cut(at.join(few, "path"))
+            large = few(many)
+            links = bucket_links(at.join(large, "path", "left_anti").withColumn("side", F.lit(-1)))
+            stay = cut(at.join(large, "path"))
             go_on = k < SPLITS and not many.where(F.col("n") > LARGE).isEmpty()
             if go_on:
                 loose = cut(stay.where(F.col("n") > LARGE).groupBy("path").agg(agreement().alias("agree")).where(F.col("agree") < TIGHT).select("path"))
-                loose = F.broadcast(loose) if n_many <= MOST_BROADCAST else loose
+                loose = few(loose)
                 # a set has no more paths than runs give it: they are gathered, so that its signature is sent once
                 own = cut(stay.join(loose, "path", "left_semi").groupBy("set").agg(F.collect_list("path").alias("paths")))
                 stay = stay.join(loose, "path", "left_anti")
@@ -387,12 +401,11 @@ def jaccard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = components(candidate_links(reps.select("set", "sig"), reps.count(), target)).select(F.col("node").alias("set"), F.col("root").alias("cid"))
     members = cut(found.join(reps.select("set", "rep", "copies"), "set"))
     n_members = members.count()
-    few = F.broadcast(members) if n_members <= MOST_BROADCAST else members
-    at = texts.join(few, F.col("id").eqNullSafe(F.col("rep.id")) & (F.col("h") == F.col("rep.h"))).select("set", "cid", "copies", "text").mapInPandas(_members, "set binary, cid binary, copies long, shingles binary")
+    at = texts.join(few(members, "rep.id", row=160), F.col("id").eqNullSafe(F.col("rep.id")) & (F.col("h") == F.col("rep.h"))).select("set", "cid", "copies", "text").mapInPandas(_members, "set binary, cid binary, copies long, shingles binary")
     at = cut(at.groupBy("set").agg(*[F.first(c).alias(c) for c in ("cid", "copies", "shingles")]))  # rows that repeat an id and its text
     # a component of more than BLOCK / 4 sets is dealt into blocks, of which each pair is a task's group
-    blocks = F.ceil(F.col("n") / F.greatest(F.lit(BLOCK // 4), F.ceil(F.col("n") / MOST_BLOCKS))).cast("int")
-    sizes = members.groupBy("cid").agg(F.count("*").alias("n")).withColumn("blocks", blocks)
+    blocks = F.greatest(n_blocks(F.col("n"), BLOCK // 4, LARGEST_BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int"))
+    sizes = at.groupBy("cid").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles") / 8).alias("all")).withColumn("blocks", blocks).drop("all")
     dealt = join_counted(at, sizes, "cid", n_members).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("other", other).select("cid", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "blocks", "set", "copies", "shingles")
@@ -426,17 +439,14 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     here = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__h"))
     key = (F.col("id").alias("__id"), F.col("h").alias("__h"))
 
-    def few(df: DataFrame) -> DataFrame:
-        df = cut(df)
-        return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
-
-    kept = docs.join(few(keys.where("not stays").select(*key)), here, "left_anti")
-    again = few(keys.where("stays and n > 1").select(*key))
+    kept = docs.join(few(cut(keys.where("not stays").select(*key)), "__id"), here, "left_anti")
+    again = few(cut(keys.where("stays and n > 1").select(*key)), "__id")
     if again.isEmpty():
         return kept
     # rows that repeat both id and text: the least of each is found with partial aggregation
     same = kept.join(again, here, "left_semi").withColumn("__h", F.xxhash64(text_col))
-    same = same.groupBy(id_col, "__h").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    order = F.struct(*[F.to_json(F.struct(c)).alias(c) if isinstance(docs.schema[c].dataType, (MapType, VariantType)) else F.col(c) for c in docs.columns])
+    same = same.groupBy(id_col, "__h").agg(F.min_by(F.struct(*docs.columns), order).alias("__row")).select("__row.*")
     return kept.join(again, here, "left_anti").unionByName(same)
 
 
