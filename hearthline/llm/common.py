@@ -46,12 +46,12 @@ def window_hashes(word_array: Column, n: int) -> Column:
 HEAVY = 500
 
 
-def join_counted(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
-    """rows joined to facts, which has one row a key and n, the key's number of rows; n is dropped.
+def join_counted(rows: DataFrame, facts: DataFrame, key: str | list[str], total: int, n: str = "n") -> DataFrame:
+    """rows joined to facts, which has one row a key and column n, the key's number of rows; that is dropped.
 
     Facts of keys with one in HEAVY of all rows or more, at most HEAVY, are broadcast: such a key's rows stay where they lie and no task
     gets them all. The others are joined by a shuffle. rows is read twice, so it should be cut off before.
     """
     least = max(1000, total // HEAVY)
-    heavy, light = F.broadcast(facts.where(F.col("n") >= least).drop("n")), facts.where(F.col("n") < least).drop("n")
+    heavy, light = F.broadcast(facts.where(F.col(n) >= least).drop(n)), facts.where(F.col(n) < least).drop(n)
     return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(light, key))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, join_counted, table
 from .decontamination import bounded
 
 KINDS = ("email", "ip", "card", "phone")
@@ -44,8 +44,11 @@ NUMERIC = re.compile(r"[+(]*[0-9][0-9().-]*")
 #: The most digits of a known kind, a card number.
 RUN_DIGITS = 19
 
-#: Parameters: rounds of scoring, least score of a pattern, least number of distinct known identifiers and of occurrences behind it, prior doubt.
-ROUNDS, LEAST_SCORE, LEAST_KNOWN, LEAST_SEEN, PRIOR = 3, 0.6, 5, 10, 3.0
+#: Parameters: rounds of scoring, least score of a pattern, prior doubt in it. An identifier that occurs n times weighs log(1 + n); a pattern needs more
+#: evidence than doubt, however large the table is.
+ROUNDS, LEAST_SCORE, PRIOR = 3, 0.6, 3.0
+#: What the identifiers by a pattern must weigh for any score above LEAST_SCORE: w / (w + PRIOR).
+LEAST_WEIGHT = LEAST_SCORE * PRIOR / (1 - LEAST_SCORE)
 #: How often in a round the scores of patterns and the doubt in forms are counted from each other.
 PASSES = 3
 
@@ -182,12 +185,12 @@ def _graph_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _scores(belief: DataFrame, forms: DataFrame | None) -> DataFrame:
-    """Of each pattern score, occurrences (seen), believed instances (known) and their occurrences by kind (n0, n1, ...)."""
+    """Of each pattern score and the occurrences of believed instances by kind (n0, n1, ...)."""
     rows = belief.withColumn("near", F.lit(0.0)) if forms is None else belief.join(bounded(forms, forms.count()), "form", "left")
     weight, doubt = F.log1p("n"), F.greatest(F.col("p"), 1 - F.coalesce("near", F.lit(0.0)))
     of = [F.sum(F.when((F.col("p") > 0) & (F.col("kind") == i), F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(KINDS))]
     score = F.sum(weight * F.col("p")) / (F.sum(weight * doubt) + PRIOR)
-    return rows.groupBy("pattern").agg(score.alias("score"), F.sum("n").alias("seen"), F.sum((F.col("p") > 0).cast("int")).alias("known"), *of)
+    return rows.groupBy("pattern").agg(score.alias("score"), *of)
 
 
 def learn_patterns(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -200,25 +203,32 @@ def learn_patterns(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     edges = cut(raw.groupBy("pattern", "form", "instance", "kind").agg(F.count("*").alias("n")))
     side = F.substring("pattern", 1, 1).alias("side")
     met = cut(edges.where("kind < 0").groupBy(side, "form").agg(F.sum("n").alias("met")))
-    # a pattern with fewer occurrences or instances than the thresholds ask can pass in no round
-    live = edges.groupBy("pattern").agg(F.sum("n").alias("seen"), F.count("*").alias("instances")).where((F.col("seen") >= LEAST_SEEN) & (F.col("instances") >= LEAST_KNOWN))
-    edges = cut(edges.join(live.select("pattern"), "pattern"))
+    # a pattern whose instances, all believed, would not weigh enough passes in no round
+    live = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.log1p("n")).alias("weight")).where(F.col("weight") >= LEAST_WEIGHT).select("pattern", "n")
+    live = cut(live)
+    edges = cut(join_counted(edges, live.select("pattern", F.col("n").alias("rows")), "pattern", edges.count(), "rows"))
+    total = edges.count()
     belief = edges.withColumn("p", (F.col("kind") >= 0).cast("double"))
-    good = None
+    good, before = None, None
+    with_counts = lambda facts: facts.join(live.select("pattern", F.col("n").alias("rows")), "pattern")
     for k in range(rounds):
         forms = None
         for _ in range(PASSES):
             # by form, the mean score of the patterns that its unknown instances stand in, on the side where that is most
             scores = _scores(belief, forms).where("score > 0").select("pattern", "score")
-            near = belief.where("p = 0").join(scores, "pattern").groupBy(side, "form").agg(F.sum(F.col("n") * F.col("score")).alias("near"))
+            near = join_counted(belief.where("p = 0"), with_counts(scores), "pattern", total, "rows").groupBy(side, "form").agg(F.sum(F.col("n") * F.col("score")).alias("near"))
             forms = cut(near.join(met, ["side", "form"]).groupBy("form").agg(F.max(F.col("near") / F.col("met")).alias("near")))
         scores = _scores(belief, forms)
-        good = scores.where((F.col("score") >= LEAST_SCORE) & (F.col("seen") >= LEAST_SEEN) & (F.col("known") >= LEAST_KNOWN))
+        good = scores.where(F.col("score") >= LEAST_SCORE)
         most = F.array_max(F.array(*[F.struct(F.col(f"n{i}").alias("n"), F.lit(-i).alias("i")) for i in range(len(KINDS))]))
         good = cut(good.select("pattern", (-most["i"]).cast("int").alias("kind"), "score"))
+        now = tuple(good.agg(F.count("*"), F.bit_xor(F.xxhash64("pattern", "kind"))).first())
+        if now == before:
+            break  # the same patterns as a round ago: another one would find no more
+        before = now
         if k + 1 < rounds:
             trust = 1 - F.exp(F.sum(F.log(F.lit(1.0) - F.least(F.col("score"), F.lit(0.99)))))
-            found = edges.where("kind < 0").drop("kind").join(good, "pattern").groupBy("instance").agg(trust.alias("trust"), F.max_by("kind", F.struct("score", "kind")).alias("as"))
+            found = join_counted(edges.where("kind < 0").drop("kind"), with_counts(good), "pattern", total, "rows").groupBy("instance").agg(trust.alias("trust"), F.max_by("kind", F.struct("score", "kind")).alias("as"))
             kind, p = F.when(F.col("kind") >= 0, F.col("kind")).otherwise(F.coalesce("as", F.lit(-1))), F.when(F.col("kind") >= 0, 1.0).otherwise(F.coalesce(F.col("trust") * 0.9, F.lit(0.0)))
             belief = cut(edges.join(found, "instance", "left").select("pattern", "form", "instance", kind.alias("kind"), "n", p.alias("p")))
     return good
@@ -238,8 +248,8 @@ def _places(texts: pd.Series) -> pd.DataFrame:
 def scan_pii(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     """docs without text, with `base` and `spans`: arrays of struct<start,kind,end> in order; spans has the discovered ones too.
 
-    Patterns are joined to the few rows that have candidates, exploded, and never collected; the join's hash key is the
-    pattern, whose rows are pre-aggregated on the one side and dealt anew by adaptive execution on the other.
+    Patterns are joined to the few rows that have candidates, exploded, and never collected; patterns that stand by much of all places are
+    broadcast, so their places stay where they lie.
     """
     patterns = learn_patterns(docs) if patterns is None else patterns
     span = "struct<start:int,kind:int,end:int>"
@@ -248,7 +258,9 @@ def scan_pii(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     placed = own.withColumn("__p", places_of("text")).select(*[c for c in own.columns if c != "text"], "__p.*")
     places = cut(placed.withColumn("__row", F.monotonically_increasing_id()))
     asked = places.select("__row", F.explode("found").alias("f")).select("__row", "f.start", "f.end", F.explode("f.patterns").alias("pattern"))
-    hits = asked.join(patterns, "pattern").groupBy("__row", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+    asked = cut(asked)
+    counts = asked.groupBy("pattern").agg(F.count("*").alias("n"))
+    hits = join_counted(asked, patterns.join(counts, "pattern"), "pattern", asked.count()).groupBy("__row", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
     hits = hits.groupBy("__row").agg(F.collect_list(F.struct("start", F.col("kind").cast("int").alias("kind"), "end")).alias("__more"))
     spans = F.array_sort(F.concat("base", F.coalesce("__more", F.array().cast(f"array<{span}>"))))
     return places.join(hits, "__row", "left").withColumn("spans", spans).drop("__row", "__more", "found")
