@@ -688,6 +688,19 @@ query("udf02_extractor", f"WITH {U}, {CACHE_SQL}, p AS (SELECT DISTINCT url FROM
 )
 
 
+@query("udf02_resumable", f"WITH {U}, p AS (SELECT DISTINCT url, contains(url, '0') AS said FROM u WHERE url IS NOT NULL) SELECT url, 'llm' AS method, CASE WHEN said THEN 'none' END AS pets, 2 AS version FROM p", on="units")
+def _(u):
+    """Half of the pages are read, then all: those of the first run come from the journal. The answers are published as a cache, which is read back."""
+    folder = scratch(u.sparkSession, "answers")
+    journal, cache = extractor.Journal(f"{folder}/journal", 8), PublishedByKey(u.sparkSession, f"{folder}/cache", extractor.RESULT, "url", 8)
+    pages = u.where("url is not null").select("url", C("url").alias("text"))
+    for some in (pages.where("url like '%1'"), pages):
+        found = extractor.read_pages(some, cache.read(), extractor.resumable(keyword_reader, journal, chunk=500))
+        found.write.format("noop").mode("overwrite").save()
+        version = extractor.absorb(u.sparkSession, journal, cache)
+    return read_back(cache.read(version).select("url", "method", "pets", F.lit(version).alias("version")), folder)
+
+
 def full_cache(u: DataFrame) -> DataFrame:
     names = [x.split(" ", 1) for x in ("room_type string", "pets string", "parking string", "summary string", "method string", "evidence map<string,string>", f"observed {raw.OBSERVED}")]
     return cache_of(u).select("url", "laundry", "furnished", *[F.lit(None).cast(kind).alias(name) for name, kind in names])
