@@ -15,6 +15,8 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,11 @@ from .common import ensure_checkpoint_dir, join_counted, table
 
 LENGTH, GRAM = 100, 32
 #: Bytes that are worked through at once: about 100 times as many are used meanwhile. Longer texts are cut where windows start.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Entries of one g that are compared in one task; more are compared by a shuffle of their windows.
 MOST_OF_GRAM = 8192
-#: Pieces, about 100 bytes each with their document, whose list is broadcast at most.
-MOST_BROADCAST = 300_000
+#: Stands for a null id.
+LAST = 2**63 - 1
 #: The batches that a table is read in: so many at least, and no more bytes than this each.
 BATCHES, BATCH_BYTES = 4, 4 << 40
 #: Two families of hashes, each of 64 bits: odd multipliers, otherwise arbitrary, and a value for each byte.
@@ -106,15 +108,17 @@ def spread(doc: np.ndarray, a: np.ndarray) -> np.ndarray:
 
 
 def index_entries(docs: DataFrame, *, length: int = LENGTH, chunk: int = CHUNK) -> DataFrame:
-    """The entries of docs (doc, th, text). gone: one whose g and s an earlier one of the same chunk has; it is a repeat and no entry, and its g
+    """The entries of docs (doc, th, text as binary). gone: one whose g and s an earlier one of the same chunk has; it is a repeat and no entry, and its g
     is replaced so that copies by the thousand don't meet in a bucket."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, th = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("doc", "th"))
-            for group in pieces((x or b"" for x in batch.column("text").to_pylist()), chunk, length):
+            placed = np.lexsort((th, doc))
+            doc, th = doc[placed], th[placed]
+            for group in pieces((batch.column("text")[int(k)].as_py() or b"" for k in placed), chunk, length):
                 g, s, i, a, n = entries_of(group, length)
-                order = np.lexsort((a, th[i], doc[i], s, g))
+                order = np.lexsort((s, g))  # stable: of equal entries the earlier comes first
                 g, s, i, a, n = (x[order] for x in (g, s, i, a, n))
                 d, t = doc[i], th[i]
                 head = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (s[1:] != s[:-1])])) if len(g) else np.zeros(0, dtype=np.int64)
@@ -124,7 +128,7 @@ def index_entries(docs: DataFrame, *, length: int = LENGTH, chunk: int = CHUNK)
                 columns = [g.view(np.int64), s.view(np.int64), d, t, a, n, gone]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [*COLUMNS, "gone"])
 
-    return docs.select("doc", "th", F.col("text").cast("binary").alias("text")).mapInArrow(work, f"{ENTRY}, gone boolean")
+    return docs.select("doc", "th", "text").mapInArrow(work, f"{ENTRY}, gone boolean")
 
 
 def compared(rows: Iterator[pa.RecordBatch], length: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -178,15 +182,6 @@ def repeated(part: pa.Table, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in out], SPAN)
 
 
-def with_bytes(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """g, doc, th, a, n, mine and the bytes of entries, from the documents that they lie in."""
-    asked = wanted.groupBy("doc", "th").agg(F.collect_list(F.struct("g", "a", "n", "mine")).alias("at"))
-    few = wanted.count() <= MOST_BROADCAST
-    rows = texts.select("doc", "th", F.col("text").cast("binary").alias("text")).join(F.broadcast(asked) if few else asked, ["doc", "th"])
-    piece = F.transform("at", lambda x: F.struct(x["g"].alias("g"), x["a"].alias("a"), x["n"].alias("n"), x["mine"].alias("mine"), F.substring(F.col("text"), x["a"] + 1, x["n"] + (length - 1)).alias("bytes")))
-    return rows.select("doc", "th", F.explode(piece).alias("x")).select("x.g", "doc", "th", "x.a", "x.n", "x.mine", "x.bytes")
-
-
 def hot_windows(found: DataFrame, length: int) -> DataFrame:
     """As compared(), for entries whose g is very frequent: their windows are grouped by two hashes, in each task before they are shuffled."""
 
@@ -204,11 +199,30 @@ def hot_windows(found: DataFrame, length: int) -> DataFrame:
     return join_counted(rows.where("mine").drop("mine"), facts, ["w0", "w1"], max(1, found.count() * 32)).where(start > F.col("first")).select("doc", "th", "a", F.lit(1).alias("n"))
 
 
+#: What lets tables that are bucketed and sorted by g meet without a shuffle or a sort, also where they are joined by g and s.
+MERGE_SCANS = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+
+
+@contextmanager
+def configured(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for a while; afterwards they are as they were."""
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 class SuffixFamily:
-    """Levels of entries, the oldest first, each a table bucketed and sorted by g, and the documents that they point into.
+    """Levels of entries, the oldest first, each one or more sorted runs: tables that are bucketed and sorted by g; and the documents that they point
+    into, tables bucketed by doc.
 
     add() takes a batch of documents (doc, th, text) that come after all of earlier batches and gives the runs of windows, a and n of (doc, th), that start
-    earlier too. Tables lie in the warehouse, what a batch needs besides in the checkpoint folder; close() removes both.
+    earlier too. A batch shuffles its texts once and its entries once; what the levels hold is read and not shuffled. Tables lie in the
+    warehouse, what a batch needs besides in the checkpoint folder; close() removes both.
     """
 
     def __init__(self, spark: SparkSession, *, length: int = LENGTH, chunk: int = CHUNK, most_of_gram: int = MOST_OF_GRAM) -> None:
@@ -217,15 +231,18 @@ class SuffixFamily:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"suffixes_{uuid.uuid4().hex}"
         self.folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{self.name}"
-        self.levels: list[tuple[str, int]] = []
-        self.texts: DataFrame | None = None
+        self.levels: list[tuple[list[str], int]] = []
+        self.texts: list[str] = []
+        self.tables: set[str] = set()
         self.made = 0
 
-    def table(self, rows: DataFrame, dealt: bool = False) -> str:
-        """rows as a table bucketed by g; dealt: they are so already."""
-        self.made += 1
-        name = f"{self.name}_{self.made}"
-        (rows if dealt else rows.repartition(self.buckets, "g")).write.bucketBy(self.buckets, "g").sortBy("g").saveAsTable(name)
+    def table(self, rows: DataFrame, key: str = "g", dealt: bool = False, name: str | None = None) -> str:
+        """rows as a table bucketed and sorted by key, or appended to one; dealt: they are in their buckets already."""
+        if name is None:
+            self.made += 1
+            name = f"{self.name}_{self.made}"
+            self.tables.add(name)
+        (rows if dealt else rows.repartition(self.buckets, key)).write.mode("append").bucketBy(self.buckets, key).sortBy(key).saveAsTable(name)
         return name
 
     def store(self, rows: DataFrame) -> DataFrame:
@@ -233,61 +250,85 @@ class SuffixFamily:
         rows.write.parquet(f"{self.folder}/{self.made}")
         return self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{self.made}")
 
-    def drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self.tables.discard(name)
 
     def merge(self) -> None:
         """Merges the last levels while one is at least half as large as the one before it."""
         while len(self.levels) > 1 and 2 * self.levels[-1][1] >= self.levels[-2][1]:
             (one, n), (two, m) = self.levels[-2:]
-            self.levels[-2:] = [(self.table(self.spark.table(one).unionByName(self.spark.table(two))), n + m)]
-            self.drop(one)
-            self.drop(two)
+            every = reduce(DataFrame.unionByName, [self.spark.table(run) for run in [*one, *two]])
+            self.levels[-2:] = [([self.table(every)], n + m)]
+            self.drop(*one, *two)
+
+    def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The batch's documents, as they are read again, and its runs."""
+        with configured(self.spark, MERGE_SCANS):
+            return self.added(docs)
 
-    def add(self, docs: DataFrame) -> DataFrame:
+    def added(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         self.merge()
-        name = self.table(index_entries(docs, length=self.length, chunk=self.chunk))
-        self.texts = docs if self.texts is None else self.texts.unionByName(docs)
+        self.texts.append(self.table(docs.select("doc", "th", F.col("text").cast("binary").alias("text")), "doc"))
+        texts = self.spark.table(self.texts[-1])
+        name = self.table(index_entries(texts, length=self.length, chunk=self.chunk))
         every = self.spark.table(name)
         own = every.where("not gone").select(*COLUMNS)
-        near = self.spark.createDataFrame([], ENTRY)
-        for level, _ in self.levels:  # the merge scan: both sides are bucketed by g, so neither is shuffled
-            near = near.unionByName(self.spark.table(level).join(own.select("g"), "g", "left_semi"))
-        near = self.store(near)
-        shared = self.store(own.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g").unionByName(near.select("g")).distinct())
-        likely = self.store(own.join(shared, "g", "left_semi"))
-        facts = likely.groupBy("g", "s").agg(F.min(F.struct("doc", "th", "a", F.col("n").alias("windows"))).alias("first"), F.count("*").alias("n"))
-        facts = self.store(facts.join(near.select("g", "s", F.lit(True).alias("hit")).distinct(), ["g", "s"], "left"))
-        place = F.struct("doc", "th", "a") > F.struct("first.doc", "first.th", "first.a")
-        whole = join_counted(likely.withColumnRenamed("n", "windows"), facts, ["g", "s"], likely.count()).where(F.col("hit") | place).select("doc", "th", "a", F.col("windows").alias("n"))
-        new = facts.where("hit is null").select("g", "s", "first.doc", "first.th", "first.a", F.col("first.windows").alias("n"))
-        level = self.table(own.join(shared, "g", "left_anti"), dealt=True)
-        new.repartition(self.buckets, "g").write.mode("append").bucketBy(self.buckets, "g").sortBy("g").saveAsTable(level)
-        self.levels.append((level, self.spark.table(level).count()))
-        found = self.store(every.where("gone").select(*SPAN).unionByName(whole).unionByName(self.in_part(new, near)))
-        self.drop(name)
-        return found
-
-    def in_part(self, new: DataFrame, near: DataFrame) -> DataFrame:
+        near = self.table(self.spark.createDataFrame([], ENTRY))
+        for run in (r for runs, _ in self.levels for r in runs):  # the merge scan: both sides are bucketed and sorted by g
+            self.table(self.spark.table(run).join(own.select("g"), "g", "left_semi"), dealt=True, name=near)
+        met = self.spark.table(near)
+        of_near = met.groupBy("g").agg(F.count("*").alias("n_near"))
+        counts = own.groupBy("g").agg(F.count("*").alias("n")).join(of_near, "g", "left")
+        shared = self.table(counts.where("n > 1 or n_near > 0").select("g"), dealt=True)
+        likely = own.join(self.spark.table(shared), "g", "left_semi")
+        firsts = likely.groupBy("g", "s").agg(F.min(F.struct("doc", "th", "a", "n")).alias("first"))
+        hits = met.groupBy("g", "s").agg(F.lit(True).alias("hit"))
+        facts = self.table(firsts.join(hits, ["g", "s"], "left"), dealt=True)
+        known = self.spark.table(facts)
+        later = F.struct("doc", "th", "a") > F.struct("first.doc", "first.th", "first.a")
+        whole = likely.join(known, ["g", "s"]).where(F.col("hit") | later).select(*SPAN)
+        new = known.where("hit is null").select("g", "s", "first.doc", "first.th", "first.a", "first.n")
+        runs = [self.table(own.join(self.spark.table(shared), "g", "left_anti"), dealt=True), self.table(new, dealt=True)]
+        found = self.store(every.where("gone").select(*SPAN).unionByName(whole).unionByName(self.in_part(new, met, of_near)))
+        self.levels.append((runs, sum(self.spark.table(r).count() for r in runs)))
+        self.drop(name, near, shared, facts)
+        return texts, found
+
+    def in_part(self, new: DataFrame, near: DataFrame, of_near: DataFrame) -> DataFrame:
         """Runs of windows of new entries that others which share g, but not all bytes, have too."""
-        both = new.withColumn("mine", F.lit(True)).unionByName(near.withColumn("mine", F.lit(False)))
-        kinds = self.store(both.groupBy("g").agg(F.count("*").alias("of_g"), F.max("mine").alias("any")).where("of_g > 1 and any").select("g", "of_g"))
-        found = self.store(with_bytes(both.join(kinds.select("g"), "g", "left_semi"), self.texts, self.length))
+        counts = new.groupBy("g").agg(F.count("*").alias("n_new")).join(of_near, "g", "left").select("g", (F.col("n_new") + F.coalesce("n_near", F.lit(0))).alias("of_g"))
+        mixed = self.table(counts.where("of_g > 1"), dealt=True)
+        kinds = self.spark.table(mixed)
+        asked = [rows.join(kinds.select("g"), "g", "left_semi").withColumn("mine", F.lit(mine)) for rows, mine in ((new, True), (near, False))]
+        by_doc = asked[0].unionByName(asked[1]).groupBy("doc", "th").agg(F.collect_list(F.struct("g", "a", "n", "mine")).alias("at"))
+        wanted = self.table(by_doc, "doc")
+        found = reduce(DataFrame.unionByName, [with_bytes(self.spark.table(wanted), self.spark.table(t), self.length) for t in self.texts])
         length, most = self.length, self.most
         hot = kinds.where(F.col("of_g") > most).select("g")  # of each more than so many entries, so it is 1/most of them at most
-        few = found.join(hot, "g", "left_anti").repartition(self.buckets, "g").sortWithinPartitions("g")
-        runs = few.mapInArrow(lambda rows: compared(rows, length, most), "doc long, th long, a int, n int")
-        return runs if hot.isEmpty() else runs.unionByName(hot_windows(found.join(hot, "g", "left_semi"), length))
+        none = hot.isEmpty()
+        found = found if none else self.store(found)
+        few = (found if none else found.join(hot, "g", "left_anti")).repartition(self.buckets, "g").sortWithinPartitions("g")
+        spans = few.mapInArrow(lambda rows: compared(rows, length, most), "doc long, th long, a int, n int")
+        spans = self.store(spans if none else spans.unionByName(hot_windows(found.join(hot, "g", "left_semi"), length)))
+        self.drop(mixed, wanted)
+        return spans
 
     def close(self) -> None:
-        for level, _ in self.levels:
-            self.drop(level)
+        self.drop(*list(self.tables))
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def with_bytes(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """g, doc, th, a, n, mine and the bytes of entries, which wanted lists by document; both sides are bucketed by doc."""
+    piece = F.transform("at", lambda x: F.struct(x["g"].alias("g"), x["a"].alias("a"), x["n"].alias("n"), x["mine"].alias("mine"), F.substring(F.col("text"), x["a"] + 1, x["n"] + (length - 1)).alias("bytes")))
+    return texts.join(wanted, ["doc", "th"]).select("doc", "th", F.explode(piece).alias("x")).select("x.g", "doc", "th", "x.a", "x.n", "x.mine", "x.bytes")
+
+
 def cleaned(docs: DataFrame, spans: DataFrame, *, length: int = LENGTH) -> DataFrame:
-    """doc, th, n_bytes, n_removed, n_spans and kept (binary) of docs (doc, th, text): each text without the bytes of its runs of windows."""
+    """doc, th, n_bytes, n_removed, n_spans and kept (binary) of docs (doc, th, text as binary): each text without the bytes of its runs of windows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -309,24 +350,24 @@ def cleaned(docs: DataFrame, spans: DataFrame, *, length: int = LENGTH) -> DataF
                 yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("th"), *[pa.array([r[k] for r in rows], type=t) for k, t in enumerate(kinds)]], ["doc", "th", "n_bytes", "n_removed", "n_spans", "kept"])
 
     lists = spans.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "n")).alias("at"))
-    rows = docs.select("doc", "th", F.col("text").cast("binary").alias("text")).join(lists, ["doc", "th"], "left")
+    rows = docs.join(lists, ["doc", "th"], "left")
     return rows.mapInArrow(work, "doc long, th long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def numbered(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, th, text: doc orders documents and th, a hash of the text, those that share it; it is 0 if none do. A null id comes last."""
-    last = F.lit(2**63 - 1)
-    text, doc = F.coalesce(text_col, F.lit("")), F.coalesce(F.col(id_col).cast("long"), last)
-    many = docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    return docs.select(doc.alias("doc"), F.lit(0).cast("long").alias("th") if many else F.xxhash64(text).alias("th"), text.alias("text"))
+def numbered(docs: DataFrame, unique: bool, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc, th, text: doc orders documents and th, a hash of the text, those that share it; 0 where no two do (unique). A null id comes last."""
+    text = F.coalesce(text_col, F.lit(""))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.lit(0).cast("long").alias("th") if unique else F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def batches_of(docs: DataFrame, least: int = BATCHES, most_bytes: int = BATCH_BYTES) -> list[DataFrame]:
-    """docs in ranges of doc, of about as many documents each."""
-    n = max(least, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // most_bytes))
-    cuts = sorted(set(docs.agg(F.percentile_approx("doc", [k / n for k in range(1, n)], 10_000)).first()[0] or [])) if n > 1 else []
-    doc = F.col("doc")
-    return [docs.where((doc > a if a is not None else F.lit(True)) & (doc <= b if b is not None else F.lit(True))) for a, b in zip([None, *cuts], [*cuts, None], strict=True)]
+def batches_of(docs: DataFrame, id_col: str, text_col: str, least: int = BATCHES, most_bytes: int = BATCH_BYTES) -> list[DataFrame]:
+    """docs in ranges of ids, of about as many documents each; null ids are in the last."""
+    key = F.col(id_col)
+    n = max(least, -(-(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // most_bytes))
+    cuts = sorted(set(docs.agg(F.percentile_approx(key.cast("long"), [k / n for k in range(1, n)], 10_000)).first()[0] or [])) if n > 1 else []
+    if not cuts:
+        return [docs]
+    return [docs.where(key <= cuts[0]), *[docs.where((key > a) & (key <= b)) for a, b in zip(cuts, cuts[1:], strict=False)], docs.where((key > cuts[-1]) | key.isNull())]
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, least_batches: int = BATCHES, chunk: int = CHUNK, most_of_gram: int = MOST_OF_GRAM, digest: bool = False) -> DataFrame:
@@ -338,14 +379,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     gives no rows; other columns are not read. The result is written, since the family's tables go.
     """
     spark = docs.sparkSession
-    rows = numbered(docs, id_col=id_col, text_col=text_col)
+    unique = docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     family, results = SuffixFamily(spark, length=length, chunk=chunk, most_of_gram=most_of_gram), []
     out = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{family.name}_result"
-    last = F.lit(2**63 - 1)
-    named = [F.when(F.col("doc") < last, F.col("doc")).alias(id_col), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256") if digest else F.col("kept")]
+    named = [F.when(F.col("doc") < LAST, F.col("doc")).alias(id_col), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256") if digest else F.col("kept")]
     try:
-        for k, batch in enumerate(batches_of(rows, least_batches)):
-            cleaned(batch, family.add(batch), length=length).select(*named).write.parquet(f"{out}/{k}")
+        for k, batch in enumerate(batches_of(docs, id_col, text_col, least_batches)):
+            texts, spans = family.add(numbered(batch, unique, id_col=id_col, text_col=text_col))
+            with configured(spark, MERGE_SCANS):
+                cleaned(texts, spans, length=length).select(*named).write.parquet(f"{out}/{k}")
             results.append(f"{out}/{k}")
             spark._jvm.System.gc()  # what a batch has shuffled goes with its DataFrames, not at the end of all
     finally:
