@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .text import found, strip
 
 LIVABLE = ("residential", "room")
+# What a listing can be.
+KINDS = ("residential", "room", "parking", "storage", "commercial", "application")
 
 # Words in address and title that tell the kind.
 APPLICATION = r"(?iU)rental\s+application|roommate\s+(change|switch|add-?on)|sublet\s+application|application\s+only|waitlist\s+application|co-?signer\s+add-?on|\bnot\s+on\s+(the\s+)?market\b"

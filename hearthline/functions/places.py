@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import found, let, plain
+from .text import found, let, plain, strip
 
 # Forms of a location, and endings of a street that is no city.
 PIPED = r"(?U)^\s*([^,|]+?)\s*,\s*([A-Za-z]{2})\s*(?:\|\s*(\d{5}))?\s*$"
@@ -85,12 +85,23 @@ def covered_areas(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s, c) for s in CITIES for c in CITIES[s]], "area_state string, area_city string")
 
 
+def with_area(units: DataFrame, areas: DataFrame | None) -> DataFrame:
+    """units with area_city, null outside of the covered ones. The built-in list is broadcast, a given one is joined as any table."""
+    areas = F.broadcast(covered_areas(units.sparkSession)) if areas is None else areas
+    return units.join(areas, (F.upper("state") == F.col("area_state")) & (F.lower(strip(F.col("city"))) == F.col("area_city")), "left")
+
+
+def is_covered() -> Column:
+    """Of rows of with_area: in a covered city, or without a city."""
+    return F.col("area_city").isNotNull() | (F.coalesce("city", F.lit("")) == "")
+
+
 def keep_covered(units: DataFrame, areas: DataFrame | None = None) -> DataFrame:
-    """Units in a covered city, and those without a city; an unknown state is not covered.
+    """Units in a covered city, and those without a city; an unknown state is not covered."""
+    return with_area(units, areas).where(is_covered()).drop("area_state", "area_city")
 
-    The built-in list is broadcast, a given one is joined as any table.
-    """
-    areas = F.broadcast(covered_areas(units.sparkSession)) if areas is None else areas
-    key = (F.upper("state") == F.col("area_state")) & (F.lower(F.trim("city")) == F.col("area_city"))
-    joined = units.join(areas, key, "left")
-    return joined.where(F.col("area_city").isNotNull() | (F.coalesce("city", F.lit("")) == "")).drop("area_state", "area_city")
+
+def outside(units: DataFrame, areas: DataFrame | None = None) -> DataFrame:
+    """place, n: how many units are in no covered city, by city and state."""
+    place = F.concat(F.coalesce(F.nullif("city", F.lit("")), F.lit("(unknown)")), F.lit(", "), F.coalesce("state", F.lit("(unknown)")))
+    return with_area(units, areas).where(~is_covered()).groupBy(place.alias("place")).agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, kinds, text
@@ -132,6 +132,27 @@ def facet_order() -> list[Column]:
     return [F.col("facet").asc(), (F.col("value") == "unknown").asc(), F.col("n").desc(), F.col("first").asc()]
 
 
+def summary(units: DataFrame, generated_at: str, stale_after: int = 48) -> DataFrame:
+    """One row: when the payload was made, how many units it has, and after how many hours a source is stale."""
+    return units.agg(F.lit(generated_at).alias("generated_at"), F.count("*").alias("total_units"), F.lit(stale_after).alias("stale_after_hours"))
+
+
+def all_facets(units: DataFrame, order: list[str]) -> DataFrame:
+    """facet, name, label, count of every facet in the order that a page shows them: cities by count, bedrooms by number and unknown last, the ends of the rent,
+    and six fields with unknown last, by count, then by which value comes first."""
+    text_of = lambda c: F.col(c).cast("string")
+    none = F.lit(None).cast("string")
+    cities = count_facet(units, "city").select(F.lit(0).alias("at"), F.lit("cities").alias("facet"), F.col("value").alias("name"), none.alias("label"), "n", F.array((-F.col("n")).cast("double")).alias("by"), F.col("value").alias("then"))
+    beds = bedroom_facet(units).select(F.lit(1).alias("at"), F.lit("bedrooms").alias("facet"), text_of("bedrooms").alias("name"), kinds.bed_label(F.col("bedrooms")).alias("label"), "n", F.array(F.coalesce("bedrooms", F.lit(1e9))).alias("by"), none.alias("then"))
+    ends = rent_range(units).select(F.explode(F.array(F.struct(F.lit("min").alias("label"), F.col("least").alias("v")), F.struct(F.lit("max").alias("label"), F.col("most").alias("v")))).alias("e"))
+    rent = ends.select(F.lit(2).alias("at"), F.lit("rent").alias("facet"), text_of("e.v").alias("name"), F.col("e.label").alias("label"), F.lit(None).cast("long").alias("n"), F.array((F.col("e.label") == "max").cast("double")).alias("by"), none.alias("then"))
+    cells = facets(units, FACETS, order)
+    place = F.array_position(F.array(*map(F.lit, FACETS)), F.col("facet")) + 2
+    fields = cells.select(place.cast("int").alias("at"), "facet", F.col("value").alias("name"), none.alias("label"), "n", F.array((F.col("value") == "unknown").cast("double"), (-F.col("n")).cast("double"), F.row_number().over(Window.partitionBy("facet").orderBy("first")).cast("double")).alias("by"), none.alias("then"))
+    every = cities.unionByName(beds).unionByName(rent).unionByName(fields)
+    return every.orderBy("at", "by", "then").select("facet", "name", "label", F.col("n").alias("count"))
+
+
 def median_by_bucket(df: DataFrame, beds: Column, rent: Column, whole: Column) -> DataFrame:
     """bucket, n and median (half up) of rents of whole units by bedrooms, 4 and more together."""
     rows = df.where(whole & rent.isNotNull() & beds.isNotNull()).select(F.least(F.floor(beds), F.lit(4)).cast("int").alias("bucket"), rent.alias("r"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
@@ -49,14 +49,29 @@ def published(units: DataFrame) -> DataFrame:
     return units.drop("kind")
 
 
-def merge_units(units: DataFrame, order: Sequence[str] = ("file_name", "pos")) -> DataFrame:
-    """Published units: livable and covered ones first, then the first of each address, bedrooms and rent, then defaults."""
-    kept = places.keep_covered(units.where(is_livable(F.col("kind"))))
+def merge_units(units: DataFrame, order: Sequence[str] = ("file_name", "pos"), counted: Observation | None = None) -> DataFrame:
+    """Published units: livable and covered ones first, then the first of each address, bedrooms and rent, then defaults.
+
+    counted gets, from the same job that writes or reads the result, seen, excluded_<kind>, excluded_other, out_of_area and kept.
+    """
+    livable = is_livable(F.col("kind"))
+    placed = places.with_area(units, None)
+    if counted is not None:
+        kind = F.col("kind")
+        other = [k for k in kinds.KINDS if k not in kinds.LIVABLE]
+        sums = [F.count_if(kind == k).alias(f"excluded_{k}") for k in other] + [F.count_if(~livable & ~kind.isin(*other)).alias("excluded_other")]
+        placed = placed.observe(counted, F.count("*").alias("seen"), *sums, F.count_if(livable & ~places.is_covered()).alias("out_of_area"), F.count_if(livable & places.is_covered()).alias("covered"))
+    kept = placed.where(livable & places.is_covered()).drop("area_state", "area_city")
     first = keep_first(kept, [text.normal_address(F.col("address")), "bedrooms", "rent"], order)
     done = first.withColumn("room_type", default_room_type(F.col("kind"), F.col("room_type")))
     return published(done.withColumn("unit_type", kinds.unit_type(F.col("bedrooms"))))
 
 
+def excluded(units: DataFrame) -> DataFrame:
+    """kind, n of the units that are not livable, by kind."""
+    return units.where(~is_livable(F.col("kind"))).groupBy("kind").agg(F.count("*").alias("n")).orderBy("kind")
+
+
 def cache_key(url: Column) -> Column:
     return F.coalesce(url, F.lit(""))
 
@@ -179,6 +194,16 @@ def per_source(sources: DataFrame, units: DataFrame, key: str = "source") -> Dat
     return sources.join(counts, key, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 
+def source_list(docs: DataFrame, merged: DataFrame, registry: DataFrame, now: Column) -> DataFrame:
+    """slug, manager, site, platform, unit_count, scraped_at, stale of every document, those with the most published units first, then by file name.
+
+    docs: file_name, slug, manager and scraped_at of readable documents; merged: published units with file_name, the document they were kept from.
+    """
+    listed = per_source(with_registry(docs, registry), merged.select("file_name"), "file_name")
+    rows = listed.select("slug", "manager", "site", "platform", F.col("n").alias("unit_count"), "scraped_at", dates.is_stale(F.col("scraped_at"), now).alias("stale"), "file_name")
+    return rows.orderBy(F.col("unit_count").desc(), "file_name").drop("file_name")
+
+
 def with_page_members(units: DataFrame) -> DataFrame:
     """Units that have a url with members, the number of units of their source on their page."""
     own = units.where(cache_key(F.col("url")) != "")
@@ -263,13 +288,18 @@ def single_unit_pages(units: DataFrame) -> DataFrame:
     return own.join(alone, ["source", "url"])
 
 
-def cross_check(units: DataFrame, cache: DataFrame, today: Column) -> DataFrame:
-    """One row a difference: address, manager, url, field, parser, page, type. cache: url and observed, a struct."""
+def cross_check(units: DataFrame, cache: DataFrame, today: Column, counted: Observation | None = None) -> DataFrame:
+    """One row a difference: address, manager, url, field, parser, page, type. cache: url and observed, a struct.
+
+    counted gets checked, the pages of one unit that have a reading, from the same job. Readings that don't describe one unit are checked and differ in nothing.
+    """
     fields = ("bedrooms", "bathrooms", "rent", "square_feet", "available_date", "available_now", "city")
-    joined = single_unit_pages(units).join(cache.where("observed.describes_one_unit").select("url", "observed"), "url")
+    joined = single_unit_pages(units).join(cache.where("observed is not null").select("url", "observed"), "url")
+    if counted is not None:
+        joined = joined.observe(counted, F.count("*").alias("checked"))
     page = {f: F.col(f"observed.{f}") for f in fields} | {"kind": F.col("observed.listing_kind")}
     mine = {f: F.col(f) for f in (*fields, "kind")}
-    return compare_readings(joined, ["address", "manager", "url"], mine, page, today)
+    return compare_readings(joined.where("observed.describes_one_unit"), ["address", "manager", "url"], mine, page, today)
 
 
 def page_values(conflicts: DataFrame) -> DataFrame:

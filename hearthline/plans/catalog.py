@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut, ensure_checkpoint_dir
@@ -435,13 +435,54 @@ query("agg06_facets", f"WITH {U}, v AS (SELECT *, {TYPE_SQL} AS unit_type FROM u
 query("agg06_facets_labels", "WITH j AS (SELECT lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)) " + " UNION ALL ".join(f"SELECT '{c}' AS facet, coalesce(CAST({c} AS STRING), 'unknown') AS value, count(*) AS n FROM j GROUP BY ALL" for c in ("lang", "quality", "toxic")))(
     lambda spark, sf: dashboard.facets(t(spark, sf, "documents").select("doc_id", "lang").join(t(spark, sf, "labels"), "doc_id", "left"), ("lang", "quality", "toxic"), ["doc_id"]).select("facet", "value", "n")
 )
-query("agg07_excluded", f"WITH {U} SELECT kind, count(*) AS n FROM u WHERE NOT {LIVABLE_SQL} GROUP BY 1", on="units")(lambda u: u.where(~ops.is_livable(C("kind"))).groupBy("kind").agg(F.count("*").alias("n")))
-query("agg08_out_of_area", f"WITH {U}, {AREAS_SQL} SELECT city || ', ' || state AS place, count(*) AS n FROM u WHERE NOT {COVERED_SQL} GROUP BY 1 ORDER BY n DESC, place LIMIT 8", on="units")(
-    lambda u: u.join(places.keep_covered(u).select("pos"), "pos", "left_anti").groupBy(F.concat_ws(", ", "city", "state").alias("place")).agg(F.count("*").alias("n")).orderBy(C("n").desc(), "place").limit(8)
+query("agg07_excluded", f"WITH {U} SELECT kind, count(*) AS n FROM u WHERE NOT {LIVABLE_SQL} GROUP BY 1", on="units")(ops.excluded)
+query("agg08_out_of_area", f"WITH {U}, {AREAS_SQL} SELECT city || ', ' || coalesce(state, '(unknown)') AS place, count(*) AS n FROM (SELECT * REPLACE (CASE WHEN pos % 9 = 0 THEN NULL ELSE state END AS state) FROM u) WHERE NOT coalesce({COVERED_SQL}, false) GROUP BY 1 ORDER BY n DESC, place LIMIT 8", on="units")(
+    lambda u: dashboard.top(places.outside(u.withColumn("state", F.when(C("pos") % 9 > 0, C("state")))), 8, "place")
 )
 query("agg09_per_source", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")(
     lambda spark, sf: ops.per_source(t(spark, sf, "customer").select("c_custkey"), t(spark, sf, "orders").select(C("o_custkey").alias("c_custkey")), "c_custkey")
 )
+#: A document for each file of the units, one that has none, and what a registry knows of some of their sources.
+DOCS_SQL = """d AS (SELECT DISTINCT file_name, 'd' || file_name AS slug FROM u UNION ALL SELECT 'empty', 'dempty'),
+    l AS (SELECT file_name, slug, CASE WHEN slug IN ('df1', 'df2') THEN 'Own' WHEN slug IN ('df3', 'df4') THEN 'Reg' ELSE slug END AS manager, CASE WHEN slug IN ('df2', 'df3', 'df4') THEN 'https://x.org' END AS site, CASE WHEN slug IN ('df2', 'df3', 'df4') THEN 'eri' END AS platform,
+      CASE WHEN slug = 'df5' THEN 'never' ELSE '2026-07-' || CASE WHEN slug < 'df3' THEN '20' ELSE '18' END || 'T12:00:00+00:00' END AS scraped_at, slug IN ('df3', 'df4', 'df6') AS stale FROM d)"""
+
+
+def listed_sources(u: DataFrame) -> DataFrame:
+    docs = u.select("file_name").distinct().unionByName(u.sparkSession.createDataFrame([("empty",)], "file_name string")).withColumn("slug", F.concat(F.lit("d"), "file_name"))
+    docs = docs.withColumn("manager", F.when(C("slug").isin("df1", "df2"), "Own")).withColumn("scraped_at", F.when(C("slug") == "df5", "never").when(C("slug") < "df3", "2026-07-20T12:00:00+00:00").otherwise("2026-07-18T12:00:00+00:00"))
+    known = u.sparkSession.createDataFrame([(f"df{i}", "Reg", "https://x.org", "eri") for i in (2, 3, 4)], "slug string, manager string, site string, platform string")
+    return ops.source_list(docs, ops.merge_units(u), known, F.lit("2026-07-20 12:00:01"))
+
+
+SOURCES_SQL = "n AS (SELECT file_name, count(*) AS c FROM m GROUP BY 1), s AS (SELECT slug, manager, site, platform, coalesce(c, 0) AS unit_count, scraped_at, stale, row_number() OVER (ORDER BY coalesce(c, 0) DESC, file_name) - 1 AS place FROM l LEFT JOIN n USING (file_name))"
+query("agg09_sources", f"WITH {U}, {AREAS_SQL}, {MERGED_SQL}, {DOCS_SQL}, {SOURCES_SQL} SELECT * FROM s", on="units")(
+    lambda u: ops.numbered(listed_sources(u).withColumn("file_name", F.substring("slug", 2, 100)), [C("unit_count").desc(), C("file_name")], "place").drop("file_name")
+)
+
+
+@query(
+    "agg21_run_audit",
+    f"WITH {U}, {AREAS_SQL} SELECT unnest([{{'name': 'seen', 'n': count(*)}}, " + ", ".join(f"{{'name': 'excluded_{k}', 'n': count(*) FILTER (kind = '{k}')}}" for k in ("parking", "storage", "commercial", "application"))
+    + f", {{'name': 'excluded_other', 'n': 0}}, {{'name': 'out_of_area', 'n': count(*) FILTER ({LIVABLE_SQL} AND NOT {COVERED_SQL})}}, {{'name': 'covered', 'n': count(*) FILTER ({LIVABLE_SQL} AND {COVERED_SQL})}}], recursive := true) FROM u",
+    on="units",
+)
+def _(u):
+    """What a merge has counted while its result was written."""
+    counted = Observation()
+    ops.merge_units(u, counted=counted).write.format("noop").mode("overwrite").save()
+    return u.sparkSession.createDataFrame(list(counted.get.items()), "name string, n long")
+
+
+@query("agg17_checked", f"WITH {U}, k AS (SELECT source, url FROM u WHERE coalesce(url, '') <> '' AND kind IN ('residential', 'room') GROUP BY ALL HAVING count(*) = 1), c AS (SELECT DISTINCT url FROM u WHERE url IS NOT NULL AND pos % 3 = 0), j AS (SELECT u.* FROM u JOIN k USING (source, url) JOIN c USING (url) WHERE kind IN ('residential', 'room')) SELECT (SELECT count(*) FROM j) AS checked, (SELECT count(*) FROM j WHERE bedrooms <> 2) AS conflicts, (SELECT count(*) FROM j WHERE bedrooms IS NULL) AS parser_missing", on="units")
+def _(u):
+    """Differences by type, and how many pages were checked, from one job."""
+    counted = Observation()
+    observed = F.from_json(F.lit('{"describes_one_unit": true, "bedrooms": 2.0, "listing_kind": "unknown"}'), raw.OBSERVED)
+    rows = cut(ops.cross_check(u, cache_of(u).select("url", observed.alias("observed")), F.lit(TODAY), counted).groupBy().agg(F.count_if(C("type") == "conflict").alias("conflicts"), F.count_if(C("type") == "parser_missing").alias("parser_missing")))
+    return rows.select(F.lit(counted.get["checked"]).cast("long").alias("checked"), "conflicts", "parser_missing")
+
+
 query("agg10_headline", f"WITH {U} SELECT count(*) AS n, CAST(median(rent) FILTER (room_type = 'entire_place') AS DOUBLE) AS median_rent, count(DISTINCT nullif(city, '')) AS cities, count(DISTINCT manager) AS managers FROM u", on="units")(
     lambda u: dashboard.headline(u, C("rent"), C("room_type") == "entire_place", C("city"), C("manager"))
 )

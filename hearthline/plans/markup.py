@@ -3,13 +3,13 @@ the keys, and each adapter has to read from them what went in; every tenth card
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kinds, places
 from ..operators import dashboard, units as ops
 from ..sources import portals, raw
-from .catalog import TODAY, C, U, query
+from .catalog import AREAS_SQL, DOCS_SQL, LIVABLE_SQL, MERGED_SQL, SOURCES_SQL, TODAY, TYPE_SQL, C, U, listed_sources, query
 
 
 
@@ -151,9 +151,39 @@ query("str14_boston", f"WITH {U}, v AS (SELECT *, address || coalesce(' - ' || n
     lambda u: u.withColumns({"title": says(C("address"), F.coalesce(says(" - ", F.nullif("city", F.lit(""))), F.lit(""))), "link": says("https://x.org/resident_listings/12-", F.lower(F.replace(F.nullif("city", F.lit("")), F.lit(" "), F.lit("-"))), "-", (C("pos") % 5).cast("string"), "/")})
     .select("pos", portals.title_city(C("title")).alias("city"), portals.street_key(C("title")).alias("street"), portals.slug_tail(C("link")).alias("tail"))
 )
-query("snk07_payload", f"WITH {U} SELECT 'unit' AS type, CAST(pos AS STRING) AS pos, address, NULL AS value, NULL AS n FROM u UNION ALL SELECT 'facet', NULL, NULL, coalesce(nullif(pets, ''), 'unknown') AS value, CAST(count(*) AS STRING) FROM u GROUP BY 4", on="units")(
-    lambda u: raw.merged_payload(u.select("pos", "address"), dashboard.facets(u, ["pets"], ["pos"])).select(F.get_json_object("value", "$.type").alias("type"), *[F.get_json_object("value", f"$.row.{c}").alias(c) for c in ("pos", "address")], F.get_json_object("value", "$.row.n").alias("n"), F.get_json_object("value", "$.row.value").alias("value"))
+LABEL_SQL = "CASE WHEN bedrooms IS NULL THEN 'Unknown' WHEN bedrooms = 0 THEN 'Studio' WHEN bedrooms = floor(bedrooms) THEN CAST(CAST(bedrooms AS INT) AS STRING) || ' bed' ELSE CAST(bedrooms AS STRING) || ' bed' END"
+FACETS_SQL = (
+    f"v AS (SELECT * REPLACE (CASE WHEN room_type IS NULL AND kind = 'residential' THEN 'entire_place' ELSE room_type END AS room_type), {TYPE_SQL} AS unit_type FROM m), "
+    "f AS (SELECT 0 AS part, 'cities' AS facet, city AS name, NULL AS label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, city) AS i FROM v WHERE coalesce(city, '') <> '' GROUP BY city "
+    f"UNION ALL SELECT 1, 'bedrooms', CAST(bedrooms AS STRING), {LABEL_SQL}, count(*), row_number() OVER (ORDER BY bedrooms NULLS LAST) FROM v GROUP BY bedrooms "
+    "UNION ALL SELECT 2, 'rent', CAST(min(rent) AS STRING), 'min', NULL, 1 FROM v UNION ALL SELECT 2, 'rent', CAST(max(rent) AS STRING), 'max', NULL, 2 FROM v "
+    + " ".join(f"UNION ALL SELECT {3 + i}, '{c}', coalesce(nullif({c}, ''), 'unknown') AS name, NULL, count(*), row_number() OVER (ORDER BY coalesce(nullif({c}, ''), 'unknown') = 'unknown', count(*) DESC, min(file_name || lpad(CAST(pos AS STRING), 12, '0'))) FROM v GROUP BY 3" for i, c in enumerate(dashboard.FACETS))
+    + ")"
 )
+
+
+@query(
+    "snk07_payload",
+    f"""WITH {U}, {AREAS_SQL}, {MERGED_SQL}, {DOCS_SQL}, {SOURCES_SQL}, {FACETS_SQL}
+    SELECT 'summary' AS section, 0 AS place, 'now' AS name, NULL AS label, count(*) AS n FROM v UNION ALL SELECT 'source', place, slug, manager, unit_count FROM s
+    UNION ALL SELECT 'facet', row_number() OVER (ORDER BY part, i) - 1, facet || '=' || coalesce(name, ''), label, n FROM f
+    UNION ALL SELECT 'excluded', row_number() OVER (ORDER BY kind) - 1, kind, NULL, count(*) FROM u WHERE NOT {LIVABLE_SQL} GROUP BY kind UNION ALL SELECT 'unit', NULL, address, unit_type, NULL FROM v""",
+    on="units",
+)
+def _(u):
+    merged = ops.merge_units(u)
+    sections = {"summary": dashboard.summary(merged, "now"), "source": listed_sources(u), "facet": dashboard.all_facets(merged, ["file_name", "pos"]), "excluded": ops.excluded(u)}
+    rows = raw.merged_payload(merged, sections)
+    get = lambda *names: F.coalesce(*[F.get_json_object("value", f"$.{n}") for n in names])
+    facet = says(get("facet"), "=", F.coalesce(get("name"), F.lit("")))
+    name = F.when(C("section") == "facet", facet).when(C("section") == "source", get("slug")).when(C("section") == "unit", get("address")).otherwise(get("generated_at", "kind"))
+    label = F.when(C("section") == "source", get("manager")).when(C("section") == "unit", get("unit_type")).otherwise(get("label"))
+    count = F.when(C("section") != "unit", get("total_units", "unit_count", "count", "n").cast("long"))
+    place = F.when(C("section") != "unit", F.row_number().over(Window.partitionBy("section").orderBy("place")) - 1)
+    few = rows.where("section <> 'unit'").withColumn("p", place)
+    return few.unionByName(rows.where("section = 'unit'").withColumn("p", F.lit(None).cast("int"))).select("section", C("p").cast("long").alias("place"), name.alias("name"), label.alias("label"), count.alias("n"))
+
+
 @query("udf01_adapters", "SELECT c_name AS address, 'made_up' AS platform FROM customer", on="customer")
 def _(c):
     """A platform of one's own is registered and then read like the built-in ones."""

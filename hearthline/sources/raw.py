@@ -117,8 +117,27 @@ def report_order() -> list[Column]:
     return [F.col("field"), F.coalesce("address", F.lit("")), F.col("url")]
 
 
-def merged_payload(units: DataFrame, facets: DataFrame) -> DataFrame:
-    """value: JSON lines, one a unit and one a facet cell, for a static page to read."""
-    return units.select(F.to_json(F.struct(F.lit("unit").alias("type"), F.struct(*units.columns).alias("row"))).alias("value")).unionByName(
-        facets.select(F.to_json(F.struct(F.lit("facet").alias("type"), F.struct(*facets.columns).alias("row"))).alias("value"))
-    )
+#: Parts of a merged payload, in their order.
+SECTIONS = ("summary", "source", "facet", "manager", "excluded", "unit")
+
+
+def merged_payload(units: DataFrame, sections: dict[str, DataFrame]) -> DataFrame:
+    """section, place, value: a page's data as JSON rows, section by section in the order of SECTIONS and each in its own order.
+
+    units and sections, by name, are in the order that they are shown in: sources and facet cells as their functions give them. Places are those of that
+    order; units, of which there may be many, are written as they come and have none.
+    """
+    parts = []
+    for name in SECTIONS:
+        rows = units if name == "unit" else sections.get(name)
+        if rows is None:
+            continue
+        value = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")
+        if name == "unit":
+            parts.append(rows.select(F.lit(name).alias("section"), F.lit(None).cast("long").alias("place"), value))
+        else:  # no more rows than sources, managers, kinds or values of facets
+            parts.append(rows.select(F.lit(name).alias("section"), F.monotonically_increasing_id().alias("place"), value))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
