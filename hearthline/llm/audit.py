@@ -12,21 +12,25 @@ from itertools import combinations, permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_counted, table, words
+from .common import cut, join_counted, let, table, words
 
 FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
-#: Where blocks start, in code points: each is 16 times as long as what stands before it. A string has less than 2^31.
+#: Where blocks start, in bytes: each is about 16 times as long as what stands before it. A string has less than 2^31.
 STARTS = (0, 64, 1024, 16384, 262144, 4194304, 67108864, 1073741824)
 #: Classes whose ids, 16 bytes each with what a hash table needs, are broadcast at most; beyond, they are joined by a shuffle.
 MOST_BROADCAST = 500_000
 
 
 def block_chain(text: Column, hashed=F.xxhash64) -> Column:
-    """What a text is split by, round by round: its length, then a hash of length and first block, of these and the second block, and so on."""
-    size = F.length(text).cast("long")
-    blocks = [F.when(size > a, hashed(F.substring(text, a + 1, b - a))) for a, b in zip(STARTS, (*STARTS[1:], 2**31 - 1), strict=True)]
-    return F.array_compact(F.array(size, *[F.when(size > STARTS[k], hashed(size, *blocks[: k + 1])) for k in range(len(STARTS))]))
+    """What a text is split by, round by round: its length in code points, then a hash of length and first block of its bytes, of these and the second block,
+    and so on."""
+    data = text.cast("binary")
+    size = F.octet_length(data)
+    ends = (*STARTS[1:], 2**31 - 1)
+    blocks = F.array_compact(F.array(*[F.when(size > a, F.xxhash64(F.substring(data, a + 1, b - a))) for a, b in zip(STARTS, ends, strict=True)]))
+    of = lambda x: F.concat(F.array(x["size"]), F.transform(x["blocks"], lambda _, i: hashed(x["size"], F.slice(x["blocks"], 1, i + 1))))
+    return let(F.struct(F.length(text).cast("long").alias("size"), blocks.alias("blocks")), of)
 
 
 def refine(rows: DataFrame) -> DataFrame:
