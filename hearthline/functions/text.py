@@ -6,6 +6,7 @@ Patterns run with (?U), so that spaces, word characters and digits are Unicode's
 from __future__ import annotations
 
 import html.entities
+import json
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,25 +51,44 @@ def literal_map(entries: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in entries.items() for x in kv])
 
 
+def entities() -> Column:
+    """HTML 5's names, as the standard library has them, by their first character: name (with & and, where it has one, semicolon) to text."""
+    by_first: dict[str, dict[str, str]] = {}
+    for name, chars in html.entities.html5.items():
+        by_first.setdefault(name[0], {})[f"&{name}"] = chars
+    return F.from_json(F.lit(json.dumps(by_first)), "map<string,map<string,string>>")
+
+
+#: Names that count without a semicolon, and then also where more letters follow; a longer one goes first.
+BARE_NAMES = "|".join(sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+
+
 def unescape(text: Column) -> Column:
-    """HTML entities decoded in one pass: numbers, and the 252 names of HTML 4.
+    """HTML 5 entities decoded in one pass: numbers and names. A name that is none counts by the longest name without semicolon that it begins with.
 
-    Numbers that are no characters give U+FFFD, and 128 to 159 what Windows code page 1252 has there, as browsers do.
+    Numbers that are no characters give U+FFFD, those that are controls or no characters of text nothing, and 128 to 159 what Windows code page 1252 has there, as
+    browsers do.
     """
-    names = literal_map({f"&{name};": chr(point) for name, point in html.entities.name2codepoint.items()})
     high = bytes(range(128, 160)).decode("cp1252", "replace")
     point = lambda t: F.coalesce(F.conv(found(t, r"^&#[xX]([0-9a-fA-F]+);?$"), 16, 10), found(t, r"^&#([0-9]+);?$")).try_cast("long")
 
-    def char(t: Column) -> Column:
-        def of(n: Column) -> Column:
-            bad = (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
-            known = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-            return F.when(bad, "�").when(n.between(128, 159), F.substring(F.lit(high), (n - 127).cast("int"), F.lit(1))).otherwise(known)
+    def char(n: Column) -> Column:
+        bad = (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+        own = F.when(F.substring(F.lit(high), (n - 127).cast("int"), F.lit(1)) == "\ufffd", F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.substring(F.lit(high), (n - 127).cast("int"), F.lit(1)))
+        unseen = n.between(1, 8) | (n == 11) | n.between(14, 31) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFF)) >= 0xFFFE) | (n == 127)
+        known = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return F.when(bad, "\ufffd").when(n.between(128, 159), own).when(unseen, "").otherwise(known)
+
+    def named(t: Column) -> Column:
+        start = F.concat(F.lit("&"), F.regexp_extract(t, f"^&({BARE_NAMES})", 1))
+        name = lambda x: F.try_element_at(F.try_element_at(entities(), F.substring(x, 2, 1)), x)
+        return F.coalesce(name(t), F.concat(name(start), F.substring(t, F.length(start) + 1, F.length(t))), t)
 
-        return F.when(t.rlike(r"^&#(?:[0-9]+|[xX][0-9a-fA-F]+);?$"), F.coalesce(let(point(t), of), F.lit("�"))).when(F.startswith(t, F.lit("&")), F.coalesce(F.try_element_at(names, t), t)).otherwise(t)
+    def of(t: Column) -> Column:
+        return F.when(t.rlike(r"^&#(?:[0-9]+|[xX][0-9a-fA-F]+);?$"), F.coalesce(let(point(t), char), F.lit("\ufffd"))).when(F.length(t) > 1, F.when(F.startswith(t, F.lit("&")), named(t)).otherwise(t)).otherwise(t)
 
-    parts = F.regexp_extract_all(text, F.lit(r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&"), 0)
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, char), "")).otherwise(text)
+    parts = F.regexp_extract_all(text, F.lit(r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[^\t\n\f <&#;]{1,32};?|[^&]+|&"), 0)
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, of), "")).otherwise(text)
 
 
 def clean_text(markup: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, kinds, text
@@ -65,6 +65,27 @@ def page_of(units: DataFrame, sort: str, tie: list[str], size: int = 50, page: i
     return units.orderBy(*SORTS[sort](), *tie).offset(size * page).limit(size)
 
 
+def store_order(units: DataFrame, sort: str, tie: list[str], path: str, block: int = 100_000) -> None:
+    """Writes units in a sort order with their place from 0, in blocks of so many places each, so that a page is read from the blocks it lies in and from
+    no other, however far down it is."""
+    rows = units_in_order(units, sort, tie).withColumn("block", F.floor(F.col("place") / block))
+    rows.sortWithinPartitions("block", "place").write.mode("overwrite").partitionBy("block").parquet(path)
+
+
+def units_in_order(units: DataFrame, sort: str, tie: list[str]) -> DataFrame:
+    """units with place, from 0, in a sort order."""
+    from .units import numbered  # which imports this module's neighbours
+
+    return numbered(units, [*SORTS[sort](), *tie], "place")
+
+
+def stored_page(spark: SparkSession, path: str, size: int = 50, page: int = 0, block: int = 100_000) -> DataFrame:
+    """A page, from 0, of a stored order. block: as it was stored with."""
+    first = size * page
+    here = F.col("block").between(first // block, (first + size - 1) // block) & F.col("place").between(first, first + size - 1)
+    return spark.read.parquet(path).where(here).orderBy("place").drop("block")
+
+
 def top(counts: DataFrame, most: int, name: str = "value") -> DataFrame:
     """The most frequent values; of equal counts the first value."""
     return counts.orderBy(F.col("n").desc(), name).limit(most)

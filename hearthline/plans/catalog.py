@@ -381,6 +381,17 @@ def cache_of(u: DataFrame) -> DataFrame:
 query("join01_fill", f"WITH {U}, {CACHE_SQL} SELECT pos, coalesce(u.laundry, c.laundry) AS laundry, coalesce(u.furnished, c.furnished) AS furnished FROM u LEFT JOIN c ON u.url = c.url", on="units")(
     lambda u: ops.fill(u, cache_of(u), ("laundry", "furnished")).select("pos", "laundry", "furnished")
 )
+@query("join01_stored_cache", f"WITH {U}, {CACHE_SQL} SELECT pos, coalesce(u.laundry, c.laundry) AS laundry, coalesce(u.furnished, c.furnished) AS furnished FROM u LEFT JOIN c ON u.url = c.url", on="units")
+def _(u):
+    """Filled from a cache that lies bucketed by url."""
+    name = f"cache_{uuid.uuid4().hex}"
+    cache = raw.store_by_url(cache_of(u), name, buckets=8)
+    try:
+        return cut(ops.fill(u, cache, ("laundry", "furnished")).select("pos", "laundry", "furnished"))
+    finally:
+        u.sparkSession.sql(f"DROP TABLE {name}")
+
+
 query(
     "join02_reconcile",
     f"WITH {U}, c AS (SELECT url, CAST(bedrooms + 1 AS DOUBLE) AS b FROM u WHERE url IS NOT NULL AND pos % 5 = 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY pos DESC) = 1), r AS (SELECT pos, coalesce(c.b, u.bedrooms) AS bedrooms FROM u LEFT JOIN c ON u.url = c.url) SELECT pos, bedrooms, {TYPE_SQL} AS unit_type FROM r",
@@ -557,6 +568,17 @@ query("srt05_page_ids", f"WITH {U}, k AS (SELECT DISTINCT url FROM u WHERE url I
 )
 query("srt06_statuses", "SELECT 's' || s_suppkey AS slug, row_number() OVER (ORDER BY 's' || s_suppkey) - 1 AS place FROM supplier", on="supplier")(lambda s: ops.numbered(raw.status_rows(s.select(F.concat(F.lit("s"), "s_suppkey").alias("slug"))), ["slug"], "place"))
 query("lim01_paging", f"WITH {U} SELECT pos FROM u ORDER BY coalesce(rent, -1) DESC, pos LIMIT 50 OFFSET 100", on="units")(lambda u: dashboard.page_of(u, "rent-desc", ["pos"], page=2).select("pos"))
+@query("lim01_stored_order", f"WITH {U}, {EMPTIES}" + " UNION ALL ".join(f" SELECT '{s}' AS sort, pos, place FROM (SELECT pos, row_number() OVER (ORDER BY {o}, pos) - 1 AS place FROM e) WHERE place BETWEEN 350 AND 399" for s, o in SORT_SQL.values()), on="units")
+def _(u):
+    """The eighth page of each order, read from the block of 100 places that it lies in."""
+    folder = scratch(u.sparkSession, "orders")
+    found = []
+    for sort, _ in SORT_SQL.values():
+        dashboard.store_order(with_empties(u), sort, ["pos"], f"{folder}/{sort}", block=100)
+        found.append(dashboard.stored_page(u.sparkSession, f"{folder}/{sort}", page=7, block=100).select(F.lit(sort).alias("sort"), "pos", "place"))
+    return read_back(functools.reduce(DataFrame.unionByName, found), folder)
+
+
 query("lim01_pages_of_each_order", f"WITH {U}" + " UNION ALL ".join(f" SELECT '{s}' AS sort, pos FROM (SELECT pos FROM u ORDER BY {o}, pos LIMIT 50 OFFSET 50)" for s, o in SORT_SQL.values()), on="units")(
     lambda u: functools.reduce(DataFrame.unionByName, [dashboard.page_of(u, s, ["pos"], page=1).select(F.lit(s).alias("sort"), "pos") for s, _ in SORT_SQL.values()])
 )

@@ -58,6 +58,12 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def store_by_url(rows: DataFrame, table: str, buckets: int = 200) -> DataFrame:
+    """rows as a table that is bucketed and sorted by url, and read again: joins by url then shuffle their other side alone, day after day."""
+    rows.repartition(buckets, "url").write.mode("overwrite").bucketBy(buckets, "url").sortBy("url").saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
 def fresh_pages(pages: DataFrame, now_seconds: float, hours: int = 24) -> DataFrame:
     """Pages fetched in the last hours; those without a time are not fresh."""
     return pages.where(F.coalesce("fetched_at", F.lit(0.0)) >= now_seconds - hours * 3600)
