@@ -8,6 +8,7 @@ shuffled, and the cuts are a row a group.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,10 +55,7 @@ def at_rank(rows: DataFrame, value: Column, by: Sequence[str], rank: Column, mos
             counted.join(old, on("g")).where(holds)
             .select(*keys, "__m", "__lo", "__hi", "n", (F.col("__rank") - F.col("__upto") + F.col("__m")).alias("__rank"), F.coalesce("__after", "__next").alias("__next"))
         )
-    found = done[0]
-    for more in done[1:]:
-        found = found.unionByName(more)
-    found = cut(found)
+    found = reduce(DataFrame.unionByName, done)
     last = found.where("__lo < __hi").select(*named("s"), F.col("__lo").alias("__a"), F.col("__hi").alias("__b"))
     arrays = alive.join(last, [*on("s"), F.col("__v").between(F.col("__a"), F.col("__b"))]).groupBy(*keys).agg(F.sort_array(F.collect_list("__v")).alias("__vs"))
     joined = found.join(arrays.select(*named("a"), "__vs"), on("a"), "left")
