@@ -207,6 +207,25 @@ def test_command_line(spark, folder, tmp_path_factory, capsys):
     assert "queued 1 pages" in capsys.readouterr().out and not (tmp_path / "none").exists()
 
 
+def test_publish_on_the_command_line(spark, folder, tmp_path_factory, capsys):
+    from hearthline.__main__ import main
+    from hearthline.sources.published import Published, part_of_source
+
+    out = str(tmp_path_factory.mktemp("published") / "t")
+    assert main([folder, out, "--publish"]) == 0
+    said = capsys.readouterr().out
+    assert "a: 4 units\n" in said and "b: 4 units\n" in said and "2 sources ok, 0 failed, 8 units; version 1" in said
+    with open(f"{folder}/a.json", "w") as f:
+        json.dump({"source": "a", "manager": "A", "units": []}, f)
+    with open(f"{folder}/b.json", "w") as f:
+        json.dump({"source": "b", "manager": "B", "units": [unit("7 Oak", source="b", rent=3.0)]}, f)
+    assert main([folder, out, "--publish"]) == 1
+    assert "a: 4 units preserved\nb: invalid: rent\n" in capsys.readouterr().out
+    assert main([folder, out, "--publish", "--allow-empty", "--only", "a"]) == 0
+    table = Published(spark, out, f"{raw.UNIT}, pos int", part_of_source(F.col("source")))
+    assert table.latest() == 3 and {r["source"] for r in table.read().collect()} == {"b"}
+
+
 def test_sinks(spark, folder, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("sink"))
     units = raw.units_of(raw.read_raw(spark, folder)).drop("conflicts")
