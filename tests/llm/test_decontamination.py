@@ -84,6 +84,23 @@ def test_radius_loses_no_leak(spark):
     assert got == want and len(want) > 250
 
 
+def test_pairs_beyond_the_radius_are_found(spark, monkeypatch):
+    """Items of 9 words of which a text has 8, and bags of which one shingle makes the most: some differ in more bits than the radius. So do nearly all where
+    the radius is 2."""
+    rng = random.Random(21)
+    items = [(k, " ".join(f"i{k}-{j}" for j in range(9))) for k in range(600)] + [(900, " ".join("ab"[j % 2] for j in range(13))), (901, "a b c d e " * 4)]
+    docs = [(k, " ".join(f"i{k}-{j}" for j in range(8))) for k in range(600)] + [(900, " ".join("ba"[j % 2] for j in range(13))), (901, "x " + "a b c d e " * 3 + "a b c"), (902, " ".join(f"i{rng.randrange(600)}-{j}" for j in range(300)))]
+    docs += [(1000 + k, f"i{k}-0 x i{k}-1 i{k}-2 i{k}-3 y i{k}-4 i{k}-5 i{k}-6 i{k}-7 z") for k in range(50)]
+    frames = [spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")]
+    mine = [d for d in docs if d[0] in range(0, 600, 12) or d[0] >= 900]
+    want = {(d, i): 0.8 for d in range(600) for i in [d]} | brute([d for d in mine if d[0] >= 900], items[:60] + items[600:])
+    for radius in (dec.RADIUS, 2):
+        monkeypatch.setattr(dec, "RADIUS", radius)
+        monkeypatch.setattr(dec, "BLOCKS", [round(k * dec.BITS / (radius + 1)) for k in range(radius + 2)])
+        assert {(r["id"], r["item_id"]): round(r["similarity"], 9) for r in dec.find_leaks(*frames).collect()} == want
+    assert (900, 900) in want
+
+
 def test_blocks_hold_the_guarantee():
     """Two numbers that differ in RADIUS bits agree in a block, wherever the bits are."""
     rng = random.Random(5)

@@ -1,8 +1,10 @@
+import os
 import random
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from hearthline.llm import components, jaccard
 
@@ -138,6 +140,73 @@ def test_ids_of_any_type_and_repeats(spark):
     assert jaccard.one_of_each_class(df.limit(0)).count() == 0
 
 
+def test_blocks_stay_bounded(spark, monkeypatch):
+    """With low limits a component and a bucket need more than 64 blocks; no task's group is larger than two blocks may be, and the counts stay exact."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "SMALL", 8)
+    monkeypatch.setattr(jaccard, "EVEN_BLOCKS", 4)
+    monkeypatch.setattr(jaccard, "LARGEST_BUCKET", 16)
+    monkeypatch.setattr(jaccard, "LARGEST_BLOCK", 4)
+    rng = random.Random(3)
+    words = [f"b{k}" for k in range(120)]
+    docs = []
+    for k in range(300):
+        w = list(words)
+        w[rng.randrange(len(w))] = f"n{k}"
+        docs.append((k, " ".join(w)))
+    sizes = jaccard.n_blocks(F.col("n"), 4, 4)
+    assert spark.createDataFrame([(300,)], "n long").select(sizes).first()[0] == 75
+    seen = tmp_counts(spark, monkeypatch)
+    assert run(spark, docs) == brute(docs)
+    assert 2 < max(seen()) <= 30, "two blocks of 4 on average"
+
+
+def tmp_counts(spark, monkeypatch):
+    """How many rows the groups of exact_links have, noted in files by the workers."""
+    import tempfile
+    from pathlib import Path
+
+    folder = tempfile.mkdtemp()
+    real = jaccard.link_counts
+
+    def counted(sets, copies, left):
+        with open(Path(folder, f"{os.getpid()}"), "a") as f:
+            f.write(f"{len(sets)}\n")
+        return real(sets, copies, left)
+
+    def exact_links(batches):
+        jaccard.link_counts = counted
+        yield from EXACT(batches)
+
+    monkeypatch.setattr(jaccard, "exact_links", exact_links)
+    return lambda: [int(x) for p in Path(folder).iterdir() for x in p.read_text().split()]
+
+
+EXACT = jaccard.exact_links
+
+
+def test_recall_at_real_settings(spark):
+    """Pairs near the threshold among texts with a passage in common, at the settings of the query: measured, not by formula."""
+    rng = random.Random(17)
+    shared = " ".join(f"s{k}" for k in range(30))
+    docs = []
+    for g in range(500):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(90)]
+        near = list(base)
+        near[rng.randrange(10, 80)] = f"n{g}"
+        if g % 2:
+            near[5] = f"m{g}"
+        docs += [(len(docs), f"{shared} {' '.join(base)}"), (len(docs) + 1, f"{shared} {' '.join(near)}")]
+    want, got = brute(docs), run(spark, docs)
+    links = sum(n for _, _, n in want)
+    assert links > 700 and sum(n for _, _, n in got) >= 0.999 * links
+
+
+def test_rows_with_maps(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six", {"a": 1}), (1, "one two three four five six", {"a": 1}), (2, "else", None)], "doc_id long, text string, m map<string,int>")
+    assert sorted((r["doc_id"], r["m"]) for r in jaccard.one_of_each_class(docs).collect()) == [(1, {"a": 1}), (2, None)]
+
+
 def test_empty(spark):
     assert run(spark, [(1, "a b c")])[0] == (1, 1, 0)
     assert jaccard.jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0

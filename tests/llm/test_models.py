@@ -26,6 +26,73 @@ def test_gam_scores_are_sums_of_bins():
     assert model.score(x[:1])[0] == 1 / (1 + math.exp(-z))
 
 
+def slow_fit(x, y):
+    """The model of the module's docstring, row by row: scores of the training rows."""
+    share = min(max(sum(y) / len(y), 1e-3), 1 - 1e-3)
+    z = [math.log(share / (1 - share))] * len(y)
+
+    def edges(values, bins):
+        values = sorted(set(values))
+        if len(values) > bins:
+            raise ValueError("too many values for this version")
+        return [(a + b) / 2 for a, b in zip(values, values[1:])]
+
+    def slopes():
+        p = [1 / (1 + math.exp(-v)) for v in z]
+        return [(t - q, max(q * (1 - q), 1e-6)) for t, q in zip(y, p)]
+
+    def leaf(rows, s):
+        return sum(s[i][0] for i in rows) / (sum(s[i][1] for i in rows) + gam.RIDGE)
+
+    def gain(rows, s):
+        return sum(s[i][0] for i in rows) ** 2 / (sum(s[i][1] for i in rows) + gam.RIDGE)
+
+    def tree(spots, n, s):
+        parts = [(0, n)]
+        inside = lambda a, b: [i for i, k in enumerate(spots) if a <= k < b]
+        while len(parts) < gam.LEAVES:
+            best = (1e-9, None, None)
+            for k, (a, b) in enumerate(parts):
+                for c in range(a + 1, b):
+                    more = gain(inside(a, c), s) + gain(inside(c, b), s) - gain(inside(a, b), s)
+                    if more > best[0] + 1e-12:
+                        best = (more, k, c)
+            if best[1] is None:
+                break
+            a, b = parts[best[1]]
+            parts[best[1] : best[1] + 1] = [(a, best[2]), (best[2], b)]
+        return {k: leaf(inside(a, b), s) for a, b in parts for k in range(a, b)}
+
+    columns = list(zip(*x))
+    cuts = [edges(c, gam.BINS) for c in columns]
+    spots = [[sum(v > e for e in cut) for v in c] for c, cut in zip(columns, cuts)]
+    for _ in range(gam.ROUNDS):
+        for at, cut in zip(spots, cuts):
+            values = tree(at, len(cut) + 1, slopes())
+            z = [v + gam.RATE * values[k] for v, k in zip(z, at)]
+    return [1 / (1 + math.exp(-v)) for v in z]
+
+
+def test_gam_equals_a_plain_version(monkeypatch):
+    """Boosting of the lookup tables, without pairs."""
+    monkeypatch.setattr(gam, "ROUNDS", 12)
+    monkeypatch.setattr(gam, "PAIRS", 0)
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.integers(0, 7, 80), rng.integers(0, 2, 80), rng.integers(0, 5, 80) / 3]).astype(float)
+    y = (x[:, 0] + 2 * x[:, 1] + rng.normal(size=80) > 4).astype(float)
+    got = gam.fit(x, y).score(x)
+    assert np.allclose(got, slow_fit(x.tolist(), y.tolist()), atol=1e-9)
+
+
+def test_scores_do_not_depend_on_the_order_of_rows(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["alpha", "beta", "GAMMA", "#", "12"], rng.integers(3, 40))) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int("#" in t)) for k, t in enumerate(texts)], "doc_id long, quality int")
+    scores = [{r["doc_id"]: r["score"] for r in gam.classify(d, gam.learn(d, labels)).collect()} for d in (docs, docs.repartition(5))]
+    assert scores[0] == scores[1]
+
+
 def test_quality_query(spark):
     sf = "/root/testdata/sf0.01"
     out = gam.op8_quality_classifier(spark, sf)
@@ -137,3 +204,11 @@ def test_language_learns_whole_texts(spark):
     assert all(sum(n) == sum(len(t) for t in docs.where(F.col("lang") == s).toPandas()["text"]) for s, (_, n) in zip(model.langs, model.counts, strict=True))
     assert [langid.score_texts([own[s]], model)[0] for s in ("de", "en")] == [["de"], ["en"]]
     assert langid.learn(docs.limit(0), "text", "lang").langs == []
+
+
+def test_number_signs_are_no_letters():
+    model = langid.model_of({"de": langid.string_counts("ein kleiner Text"), "en": langid.string_counts("a little text")})
+    texts = ["½ ② ²", "Ⅷ ⅷ ¾", "12 _ -", "", None, "² a", "日本", "ª"]
+    langs, scores = langid.score_texts(texts, model)
+    assert [x == "und" for x in langs] == [True, True, True, True, True, False, False, False]
+    assert all(s == 0.0 for s, x in zip(scores, langs, strict=True) if x == "und")
