@@ -14,13 +14,13 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ensure_checkpoint_dir, join_counted, table
@@ -92,15 +92,16 @@ def entries_of(group: list[tuple[int, int, bytes]], length: int) -> tuple[np.nda
     low = np.uint64((1 << 22) - 1)  # the place; what is above decides, and the first of equal ones
     packed = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     anchor = (least_of(packed, length - GRAM + 1) & low).astype(np.int64)
-    piece = np.searchsorted(ends, np.arange(len(anchor)), side="right")
-    inside = np.arange(len(anchor)) + length <= ends[piece]
-    of = np.where(inside, anchor, -1)
+    of = anchor
+    for end in ends[:-1]:  # windows that would cross into the next piece are none
+        of[max(0, end - length + 1) : end] = -1
     first = np.flatnonzero(np.diff(of, prepend=-2))
     n = np.diff(np.append(first, len(of)))
     n, first = n[of[first] >= 0], first[of[first] >= 0]
+    piece = np.searchsorted(ends, first, side="right")
     s = mix(mix(windows[first], windows[first + n - 1], 1), (n * 1024 + anchor[first] - first).astype(np.uint64), 1)
     which, at = np.array([i for i, _, _ in group]), np.array([a for _, a, _ in group])
-    return grams[anchor[first]], s, which[piece[first]], (first - starts[piece[first]] + at[piece[first]]).astype(np.int32), n.astype(np.int32)
+    return grams[anchor[first]], s, which[piece], (first - starts[piece] + at[piece]).astype(np.int32), n.astype(np.int32)
 
 
 def spread(doc: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -231,20 +232,25 @@ class SuffixFamily:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"suffixes_{uuid.uuid4().hex}"
         self.folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{self.name}"
-        self.levels: list[tuple[list[str], int]] = []
+        self.levels: list[tuple[list[str], int]] = []  # each level's runs, and how many entries it has
         self.texts: list[str] = []
         self.tables: set[str] = set()
         self.made = 0
 
-    def table(self, rows: DataFrame, key: str = "g", dealt: bool = False, name: str | None = None) -> str:
-        """rows as a table bucketed and sorted by key, or appended to one; dealt: they are in their buckets already."""
+    def table(self, rows: DataFrame, key: str = "g", dealt: bool = False, name: str | None = None, parts: Sequence[str] = ()) -> str:
+        """rows as a table bucketed and sorted by key, or appended to one; dealt: they are in their buckets already. parts: columns whose values are read apart."""
         if name is None:
             self.made += 1
             name = f"{self.name}_{self.made}"
             self.tables.add(name)
-        (rows if dealt else rows.repartition(self.buckets, key)).write.mode("append").bucketBy(self.buckets, key).sortBy(key).saveAsTable(name)
+        (rows if dealt else rows.repartition(self.buckets, key)).write.mode("append").partitionBy(*parts).bucketBy(self.buckets, key).sortBy(key).saveAsTable(name)
         return name
 
+    def run(self, name: str) -> DataFrame:
+        """The entries of a run; of a batch's table those that share g with no other when it came."""
+        rows = self.spark.table(name)
+        return (rows.where("not shared") if "shared" in rows.columns else rows).select(*COLUMNS)
+
     def store(self, rows: DataFrame) -> DataFrame:
         self.made += 1
         rows.write.parquet(f"{self.folder}/{self.made}")
@@ -259,7 +265,7 @@ class SuffixFamily:
         """Merges the last levels while one is at least half as large as the one before it."""
         while len(self.levels) > 1 and 2 * self.levels[-1][1] >= self.levels[-2][1]:
             (one, n), (two, m) = self.levels[-2:]
-            every = reduce(DataFrame.unionByName, [self.spark.table(run) for run in [*one, *two]])
+            every = reduce(DataFrame.unionByName, [self.run(name) for name in [*one, *two]])
             self.levels[-2:] = [([self.table(every)], n + m)]
             self.drop(*one, *two)
 
@@ -272,17 +278,18 @@ class SuffixFamily:
         self.merge()
         self.texts.append(self.table(docs.select("doc", "th", F.col("text").cast("binary").alias("text")), "doc"))
         texts = self.spark.table(self.texts[-1])
-        name = self.table(index_entries(texts, length=self.length, chunk=self.chunk))
+        name = self.table(index_entries(texts, length=self.length, chunk=self.chunk), parts=["gone"])
         every = self.spark.table(name)
         own = every.where("not gone").select(*COLUMNS)
         near = self.table(self.spark.createDataFrame([], ENTRY))
         for run in (r for runs, _ in self.levels for r in runs):  # the merge scan: both sides are bucketed and sorted by g
-            self.table(self.spark.table(run).join(own.select("g"), "g", "left_semi"), dealt=True, name=near)
+            self.table(self.run(run).join(own.select("g"), "g", "left_semi"), dealt=True, name=near)
         met = self.spark.table(near)
         of_near = met.groupBy("g").agg(F.count("*").alias("n_near"))
-        counts = own.groupBy("g").agg(F.count("*").alias("n")).join(of_near, "g", "left")
-        shared = self.table(counts.where("n > 1 or n_near > 0").select("g"), dealt=True)
-        likely = own.join(self.spark.table(shared), "g", "left_semi")
+        several = (F.count("*").over(Window.partitionBy("g")) > 1).alias("several")  # in the order of the table, without a shuffle or a sort
+        marked = own.select("*", several).join(of_near, "g", "left").select(*COLUMNS, (F.col("several") | F.col("n_near").isNotNull()).alias("shared"))
+        batch = self.table(marked, dealt=True, parts=["shared"])
+        likely = self.spark.table(batch).where("shared").select(*COLUMNS)
         firsts = likely.groupBy("g", "s").agg(F.min(F.struct("doc", "th", "a", "n")).alias("first"))
         hits = met.groupBy("g", "s").agg(F.lit(True).alias("hit"))
         facts = self.table(firsts.join(hits, ["g", "s"], "left"), dealt=True)
@@ -290,10 +297,10 @@ class SuffixFamily:
         later = F.struct("doc", "th", "a") > F.struct("first.doc", "first.th", "first.a")
         whole = likely.join(known, ["g", "s"]).where(F.col("hit") | later).select(*SPAN)
         new = known.where("hit is null").select("g", "s", "first.doc", "first.th", "first.a", "first.n")
-        runs = [self.table(own.join(self.spark.table(shared), "g", "left_anti"), dealt=True), self.table(new, dealt=True)]
+        runs = [batch, self.table(new, dealt=True)]
         found = self.store(every.where("gone").select(*SPAN).unionByName(whole).unionByName(self.in_part(new, met, of_near)))
-        self.levels.append((runs, sum(self.spark.table(r).count() for r in runs)))
-        self.drop(name, near, shared, facts)
+        self.levels.append((runs, sum(self.run(r).count() for r in runs)))
+        self.drop(name, near, facts)
         return texts, found
 
     def in_part(self, new: DataFrame, near: DataFrame, of_near: DataFrame) -> DataFrame:
