@@ -105,7 +105,7 @@ def link_quotes(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str
 def with_positions(rows: DataFrame, text_col: str) -> DataFrame:
     """rows with position, a row's place in its conversation's reply order; null for rows without conversation or turn.
 
-    Rows are range-partitioned by that order. A place is the place in its partition plus the conversation's rows in earlier partitions,
+    Rows that share thread, turn and text, whatever else they have, take their places in any order. Rows are range-partitioned by that order. A place is the place in its partition plus the conversation's rows in earlier partitions,
     which only a conversation that crosses a border has: no more rows than there are partitions, twice.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

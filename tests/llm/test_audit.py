@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthline.llm import audit
+from hearthline.llm.common import cut
 from tests.rows import same
 
 LONG = "word " * 30_000
@@ -71,7 +72,7 @@ def test_classes_of_several_texts(spark, monkeypatch, few):
     weak = lambda *parts: F.lit(0).cast("long")
     docs, _ = frames(spark)
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("said"), audit.block_chain(text, weak).alias("chain"), audit.marked(text).alias("mark")).localCheckpoint()
+    rows = cut(docs.select("doc_id", text.alias("said"), audit.block_chain(text, weak).alias("chain"), audit.marked(text).alias("mark")))
     found = sorted((r["doc_id"], r["said"][:5]) for r in audit.copies(docs, rows, hashed=weak).collect())
     assert found == [(2, ""), (5, "same "), (6, "same "), (6, "same "), (8, "word "), (11, "AAAAA"), (15, "ééééé")]
 
@@ -79,7 +80,7 @@ def test_classes_of_several_texts(spark, monkeypatch, few):
 def test_refinement_drops_what_is_alone(spark):
     docs, _ = frames(spark)
     text = F.coalesce("text", F.lit(""))
-    rows = docs.where("doc_id is not null").select("doc_id", audit.block_chain(text).alias("chain")).localCheckpoint()
+    rows = cut(docs.where("doc_id is not null").select("doc_id", audit.block_chain(text).alias("chain")))
     assert sorted(r["doc_id"] for r in audit.refine(rows).collect()) == [1, 2, 4, 5, 6, 6, 7, 8, 10, 11, 13, 15]
 
 
