@@ -51,10 +51,11 @@ def literal_map(entries: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in entries.items() for x in kv])
 
 
-def entities() -> Column:
-    """HTML 5's names, as the standard library has them, by their first character: name (with & and, where it has one, semicolon) to text."""
+def entities(bare: bool = True) -> Column:
+    """HTML 5's names, as the standard library has them, by their first character: name (with & and, where it has one, semicolon) to text. bare: those without
+    semicolon too."""
     by_first: dict[str, dict[str, str]] = {}
-    for name, chars in html.entities.html5.items():
+    for name, chars in ((n, c) for n, c in html.entities.html5.items() if bare or n.endswith(";")):
         by_first.setdefault(name[0], {})[f"&{name}"] = chars
     return F.from_json(F.lit(json.dumps(by_first)), "map<string,map<string,string>>")
 
@@ -63,8 +64,9 @@ def entities() -> Column:
 BARE_NAMES = "|".join(sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
 
 
-def unescape(text: Column) -> Column:
-    """HTML 5 entities decoded in one pass: numbers and names. A name that is none counts by the longest name without semicolon that it begins with.
+def unescape(text: Column, bare: bool = True) -> Column:
+    """HTML 5 entities decoded in one pass: numbers and names. A name that is none counts by the longest name without semicolon that it begins with; unless bare, only
+    names with their semicolon count.
 
     Numbers that are no characters give U+FFFD, those that are controls or no characters of text nothing, and 128 to 159 what Windows code page 1252 has there, as
     browsers do.
@@ -80,8 +82,10 @@ def unescape(text: Column) -> Column:
         return F.when(bad, "\ufffd").when(n.between(128, 159), own).when(unseen, "").otherwise(known)
 
     def named(t: Column) -> Column:
+        name = lambda x: F.try_element_at(F.try_element_at(entities(bare), F.substring(x, 2, 1)), x)
+        if not bare:
+            return F.coalesce(name(t), t)
         start = F.concat(F.lit("&"), F.regexp_extract(t, f"^&({BARE_NAMES})", 1))
-        name = lambda x: F.try_element_at(F.try_element_at(entities(), F.substring(x, 2, 1)), x)
         return F.coalesce(name(t), F.concat(name(start), F.substring(t, F.length(start) + 1, F.length(t))), t)
 
     def of(t: Column) -> Column:
@@ -91,9 +95,9 @@ def unescape(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, of), "")).otherwise(text)
 
 
-def clean_text(markup: Column) -> Column:
-    """Tags to spaces, entities decoded, white space collapsed and trimmed; null gives an empty text."""
-    text = unescape(F.regexp_replace(F.coalesce(markup, F.lit("")), "<[^>]+>", " "))
+def clean_text(markup: Column, bare: bool = True) -> Column:
+    """Tags to spaces, entities decoded, white space collapsed and trimmed; null gives an empty text. bare: as in unescape."""
+    text = unescape(F.regexp_replace(F.coalesce(markup, F.lit("")), "<[^>]+>", " "), bare)
     return strip(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
