@@ -197,9 +197,9 @@ def extract_contact(markup: Column) -> Column:
     return let(visible(markup), contact)
 
 
-def detail_text(markup: Column, most: int = 20_000) -> Column:
-    """What a reader of a page gets: visible text, at most so many characters."""
-    return F.substring(clean_text(visible(markup)), 1, most)
+def detail_text(markup: Column, most: int = 20_000, bare: bool = True) -> Column:
+    """What a reader of a page gets: visible text, at most so many characters. bare: as in unescape."""
+    return F.substring(clean_text(visible(markup), bare), 1, most)
 
 
 def joined_address(*parts: Column) -> Column:

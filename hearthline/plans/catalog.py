@@ -584,7 +584,7 @@ query("lim01_pages_of_each_order", f"WITH {U}" + " UNION ALL ".join(f" SELECT '{
 )
 query("lim03_top_k", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_partkey LIMIT 8", on="lineitem")(lambda x: dashboard.top(x.groupBy("l_partkey").agg(F.count("*").alias("n")), 8, "l_partkey"))
 CLEAN_SQL = r"""trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<noscript\b.*?</noscript>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '[\s\x{00A0}]+', ' ', 'g'))"""
-query("lim04_truncate", f"SELECT page_id, left({CLEAN_SQL}, 200) AS head, length(left({CLEAN_SQL}, 20000)) AS n FROM pages", on="pages")(lambda p: p.select("page_id", text.detail_text(C("html"), 200).alias("head"), F.length(text.detail_text(C("html"))).cast("long").alias("n")))
+query("lim04_truncate", f"SELECT page_id, left({CLEAN_SQL}, 200) AS head, length(left({CLEAN_SQL}, 20000)) AS n FROM pages", on="pages")(lambda p: p.select("page_id", text.detail_text(C("html"), 200, bare=False).alias("head"), F.length(text.detail_text(C("html"), bare=False)).cast("long").alias("n")))
 
 # scalar functions
 

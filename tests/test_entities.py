@@ -19,6 +19,10 @@ def test_clean_text_decodes_the_names_that_its_sql_does(spark, duck, tmp_path):
     assert compared(spark, duck, tmp_path, "str01_clean_text") == len(ROWS)
 
 
+def test_detail_text_decodes_the_names_that_its_sql_does(spark, duck, tmp_path):
+    assert compared(spark, duck, tmp_path, "lim04_truncate") == len(ROWS)
+
+
 def test_names_without_semicolon_count_by_default(spark):
     row = spark.createDataFrame([("x &amp</b> &ampy",)], "t string").select(text.clean_text(F.col("t")).alias("own"), text.clean_text(F.col("t"), bare=False).alias("strict")).first()
     assert (row["own"], row["strict"]) == ("x & &y", "x &amp &ampy")
