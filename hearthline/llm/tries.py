@@ -261,7 +261,7 @@ def conversation_trie(turns: DataFrame, *, rebuild: bool = False, conv_col: str
 
 
 def op12_conversation_trie(spark, sf_dir: str) -> DataFrame:
-    return conversation_trie(table(spark, sf_dir, "conversations"), rebuild=True)
+    return conversation_trie(table(spark, sf_dir, "conversations"), rebuild=True).drop("first", "last")
 
 
 OP12_SQL = r"""

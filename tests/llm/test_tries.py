@@ -90,3 +90,7 @@ def test_no_conversations(spark):
 
 def test_query_equals_sql(spark, sf, duck):
     assert same(tries.op12_conversation_trie(spark, sf).drop("first", "last"), duck, tries.OP12_SQL) > 0
+
+
+def test_query_has_the_columns_of_its_sql(spark, sf, duck):
+    assert same(tries.op12_conversation_trie(spark, sf), duck, tries.OP12_SQL) > 0
