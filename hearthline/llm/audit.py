@@ -37,9 +37,10 @@ def refine(rows: DataFrame) -> DataFrame:
     """The rows whose text may equal another's, with key, their last class. rows: chain and others, cut off.
 
     A round counts classes and drops rows that are alone in theirs; rows without a further block wait. Counts are made before they are
-    shuffled, and classes with much of the table are joined by a broadcast, so no task gets all rows of a class.
+    shuffled, and classes with much of the table are joined by a broadcast, so no task gets all rows of a class. A round unites three parts,
+    each with partitions of its own; they are put together to as many as rows has, or each round would have three times those of the last.
     """
-    k, alive = 0, rows
+    k, alive, parts = 0, rows, rows.rdd.getNumPartitions()
     size = F.size("chain")
     while True:
         left = alive.agg(F.count("*").alias("n"), F.max(size).alias("most")).first()
@@ -47,7 +48,7 @@ def refine(rows: DataFrame) -> DataFrame:
             return alive.withColumn("key", F.element_at("chain", -1))
         here = alive.where(size > k).withColumn("key", F.get("chain", k))
         many = here.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        alive = cut(join_counted(here, many, "key", left["n"]).select(*rows.columns).unionByName(alive.where(size <= k)))
+        alive = cut(join_counted(here, many, "key", left["n"]).select(*rows.columns).unionByName(alive.where(size <= k)).coalesce(parts))
         k += 1
 
 

@@ -86,3 +86,10 @@ def test_refinement_drops_what_is_alone(spark):
 
 def test_query_equals_sql(spark, sf, duck):
     assert same(audit.op11_filter_audit(spark, sf), duck, audit.OP11_SQL) > 0
+
+
+def test_rounds_keep_the_number_of_partitions(spark):
+    docs, _ = frames(spark)
+    text = F.coalesce("text", F.lit(""))
+    rows = cut(docs.where("doc_id is not null").select("doc_id", audit.block_chain(text).alias("chain")).repartition(5))
+    assert audit.refine(rows).rdd.getNumPartitions() <= 5
