@@ -44,7 +44,7 @@ def strip(text: Column) -> Column:
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
     """A pattern's group in text, null where the pattern isn't found or the group is empty."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return let(F.regexp_extract(text, pattern, group), lambda v: F.nullif(v, F.lit("")))
 
 
 def literal_map(entries: dict) -> Column:
@@ -91,19 +91,24 @@ def unescape(text: Column, bare: bool = True) -> Column:
     def of(t: Column) -> Column:
         return F.when(t.rlike(r"^&#(?:[0-9]+|[xX][0-9a-fA-F]+);?$"), F.coalesce(let(point(t), char), F.lit("\ufffd"))).when(F.length(t) > 1, F.when(F.startswith(t, F.lit("&")), named(t)).otherwise(t)).otherwise(t)
 
-    parts = F.regexp_extract_all(text, F.lit(r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[^\t\n\f <&#;]{1,32};?|[^&]+|&"), 0)
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, of), "")).otherwise(text)
+    parts = lambda s: F.regexp_extract_all(s, F.lit(r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[^\t\n\f <&#;]{1,32};?|[^&]+|&"), 0)
+    return let(text, lambda s: F.when(F.contains(s, F.lit("&")), F.array_join(F.transform(parts(s), of), "")).otherwise(s))
 
 
-def clean_text(markup: Column, bare: bool = True) -> Column:
-    """Tags to spaces, entities decoded, white space collapsed and trimmed; null gives an empty text. bare: as in unescape."""
+def clean_text(markup: Column) -> Column:
+    """Tags to spaces, entities decoded, white space collapsed and trimmed; null gives an empty text."""
+    return cleaned(markup, True)
+
+
+def cleaned(markup: Column, bare: bool) -> Column:
+    """clean_text, with or without entities that lack their semicolon; bare: as in unescape."""
     text = unescape(F.regexp_replace(F.coalesce(markup, F.lit("")), "<[^>]+>", " "), bare)
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))  # all white space is spaces by then
 
 
 def plain(text: Column) -> Column:
     """text cleaned if it has a `<`, else trimmed."""
-    return F.when(F.contains(text, F.lit("<")), clean_text(text)).otherwise(strip(text))
+    return let(text, lambda s: F.when(F.contains(s, F.lit("<")), clean_text(s)).otherwise(strip(s)))
 
 
 def within(value: Column, lo, hi) -> Column:
@@ -199,7 +204,7 @@ def extract_contact(markup: Column) -> Column:
 
 def detail_text(markup: Column, most: int = 20_000, bare: bool = True) -> Column:
     """What a reader of a page gets: visible text, at most so many characters. bare: as in unescape."""
-    return F.substring(clean_text(visible(markup), bare), 1, most)
+    return F.substring(cleaned(visible(markup), bare), 1, most)
 
 
 def joined_address(*parts: Column) -> Column:

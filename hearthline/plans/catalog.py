@@ -592,7 +592,7 @@ query(
     "str01_clean_text",
     """SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '[\\s\\x{00A0}]+', ' ', 'g')) AS clean FROM pages""",
     on="pages",
-)(lambda p: p.select("page_id", text.clean_text(C("html"), bare=False).alias("clean")))
+)(lambda p: p.select("page_id", text.cleaned(C("html"), bare=False).alias("clean")))
 query("str02_rent", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN least(99999.99::DOUBLE, CASE WHEN o_totalprice >= 100 THEN round(o_totalprice, 2) END) WHEN o_orderkey % 4 = 3 OR o_totalprice < 100 OR o_totalprice > 100000 THEN NULL ELSE round(o_totalprice, 2) END AS rent FROM orders", on="orders")(
     lambda o: o.select("o_orderkey", text.parse_rent(F.when(C("o_orderkey") % 4 == 0, F.concat(F.lit("Rent: $"), F.format_number("o_totalprice", 2), F.lit(" / mo"))).when(C("o_orderkey") % 4 == 1, F.concat(F.lit("$"), F.format_string("%.2f", "o_totalprice"), F.lit(" - $99,999.99"))).when(C("o_orderkey") % 4 == 2, F.format_string("%.2f", "o_totalprice")).otherwise("ask us")).alias("rent"))
 )

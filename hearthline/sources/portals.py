@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions import dates, kinds, places, text
 
 UNITS = (
@@ -21,14 +22,19 @@ CASTS = {"bedrooms": "double", "bathrooms": "double", "rent": "double", "square_
 
 def cards(pages: DataFrame, marker: str) -> DataFrame:
     """page, pos and card: what follows each marker; before the first there is no card."""
-    parts = F.split("html", marker, -1)
-    return pages.where(F.col("html").isNotNull()).select("source", "manager", "base_url", F.posexplode(F.slice(parts, F.lit(2), F.size(parts))).alias("pos", "card"))
+    after = text.let(F.split("html", marker, -1), lambda parts: F.slice(parts, F.lit(2), F.size(parts)))
+    return pages.where(F.col("html").isNotNull()).select("source", "manager", "base_url", F.posexplode(after).alias("pos", "card"))
+
+
+def once(rows: DataFrame, **given: Column) -> DataFrame:
+    """rows with more columns, each computed once a row: what a generator gives is not written out again where later columns or filters use it."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in given.items()]))))
 
 
 def field(pattern: str, group: int = 1, block: Column | None = None) -> Column:
     """A field's cleaned text; null where the card lacks it."""
     block = F.col("card") if block is None else block
-    return F.when(block.rlike(pattern), text.clean_text(F.regexp_extract(block, pattern, group)))
+    return text.let(F.regexp_extract(block, pattern, group), lambda v: F.when((v != "") | block.rlike(pattern), text.clean_text(v)))
 
 
 def classed(name: str, end: str, quote: str = '"') -> str:
@@ -106,13 +112,13 @@ NEXT_DATA = r'(?s)<script id="__NEXT_DATA__" type="application/json"[^>]*>(.*?)<
 
 
 def appfolio(pages: DataFrame, today: Column) -> DataFrame:
-    rows = cards(pages, APPFOLIO_CARD).withColumn("facts", text.label_values(F.col("card"), APPFOLIO_FACT))
+    rows = once(cards(pages, APPFOLIO_CARD), facts=text.label_values(F.col("card"), APPFOLIO_FACT))
     fact = lambda name: some(F.try_element_at("facts", F.lit(name)))
-    rows = rows.select(
-        "*", field(classed("js-listing-address", "span")).alias("a"), field(APPFOLIO_TITLE).alias("t"), F.coalesce(fact("bed / bath"), field(classed("js-listing-blurb-bed-bath", "span"))).alias("size"),
-        F.coalesce(fact("rent"), field(classed("js-listing-blurb-rent", "div"))).alias("price"), F.coalesce(fact("available"), field(classed("js-listing-available", "(?:dd|span)"))).alias("when"), fact("square feet").alias("area"),
+    rows = once(
+        rows, a=field(classed("js-listing-address", "span")), t=field(APPFOLIO_TITLE), size=F.coalesce(fact("bed / bath"), field(classed("js-listing-blurb-bed-bath", "span"))),
+        price=F.coalesce(fact("rent"), field(classed("js-listing-blurb-rent", "div"))), when=F.coalesce(fact("available"), field(classed("js-listing-available", "(?:dd|span)"))), area=fact("square feet"),
     )
-    rows = rows.select("*", places.parse_location(F.col("a")).alias("loc"), dates.parse_available(F.col("when"), today).alias("av"), F.coalesce(text.parse_bedrooms(F.col("size")), text.bedrooms_from_title(F.col("t"))).alias("beds"))
+    rows = once(rows, loc=places.parse_location(F.col("a")), av=dates.parse_available(F.col("when"), today), beds=F.coalesce(text.parse_bedrooms(F.col("size")), text.bedrooms_from_title(F.col("t"))))
     link = text.found(F.col("card"), APPFOLIO_LINK)
     return finish(
         rows, address=F.col("a"), city=F.col("loc.city"), state=F.coalesce("loc.state", F.lit("CA")), postal_code=F.col("loc.zip"), kind=kinds.classify(F.col("a"), F.col("t"), F.col("beds")),
@@ -124,11 +130,11 @@ def appfolio(pages: DataFrame, today: Column) -> DataFrame:
 def buildium(pages: DataFrame, today: Column) -> DataFrame:
     attr = lambda name: some(text.strip(F.regexp_extract("card", rf'(?i){name}="([^"]*)"', 1)))
     part = lambda name, end="p": field(classed(f"featured-listing__{name}", end))
-    rows = cards(pages, BUILDIUM_CARD).select("*", part("title", "h3").alias("t"), part("address").alias("line"), part("features").alias("features"), part("price").alias("price"), part("availability").alias("when"))
-    rows = rows.select("*", F.when((F.col("t") != "") & (F.col("line") != ""), F.concat_ws(", ", "t", "line")).otherwise(F.coalesce(some(F.col("t")), some(F.col("line")))).alias("a"))
-    stated = places.parse_location(attr("data-location"))
+    rows = once(cards(pages, BUILDIUM_CARD), t=part("title", "h3"), line=part("address"), features=part("features"), price=part("price"), when=part("availability"))
+    rows = once(rows, a=F.when((F.col("t") != "") & (F.col("line") != ""), F.concat_ws(", ", "t", "line")).otherwise(F.coalesce(some(F.col("t")), some(F.col("line")))))
     shown = places.parse_location(F.coalesce(some(F.col("line")), F.col("a")))
-    rows = rows.select("*", F.when(stated["city"].isNotNull(), stated).otherwise(shown).alias("loc"), dates.parse_available(F.col("when"), today).alias("av"), F.coalesce(text.parse_bedrooms(attr("data-bedrooms")), text.parse_bedrooms(F.col("features")), text.bedrooms_from_title(F.col("t"))).alias("beds"))
+    loc = text.let(places.parse_location(attr("data-location")), lambda stated: F.when(stated["city"].isNotNull(), stated).otherwise(shown))
+    rows = once(rows, loc=loc, av=dates.parse_available(F.col("when"), today), beds=F.coalesce(text.parse_bedrooms(attr("data-bedrooms")), text.parse_bedrooms(F.col("features")), text.bedrooms_from_title(F.col("t"))))
     return finish(
         rows, address=F.col("a"), city=F.col("loc.city"), state=F.coalesce("loc.state", F.lit("CA")), postal_code=F.col("loc.zip"), kind=kinds.classify(F.col("a"), F.col("t"), F.col("beds")), bedrooms=F.col("beds"),
         bathrooms=F.coalesce(text.parse_bathrooms(attr("data-bathrooms")), text.parse_bathrooms(F.col("features"))), rent=F.coalesce(text.parse_rent(attr("data-rent")), text.parse_rent(F.col("price"))),
@@ -140,23 +146,25 @@ def buildium(pages: DataFrame, today: Column) -> DataFrame:
 def showmojo(pages: DataFrame, today: Column) -> DataFrame:
     both = "'\""
     icon = lambda word: F.try_element_at(F.filter(F.transform(F.filter(F.regexp_extract_all("card", F.lit(SHOWMOJO_ICON), 1), lambda w: w.rlike(rf"(?i)icons?/[^'\"]*{word}")), text.clean_text), lambda t: t != ""), F.lit(1))
-    rows = cards(pages, SHOWMOJO_CARD).select("*", field(classed("listing-address-header", "div", both)).alias("street"), some(field(classed("listing-city-state-zip", "p", both))).alias("line"), F.coalesce(text.found(F.col("card"), SHOWMOJO_RENT), F.col("card")).alias("info"))
-    rows = rows.where("street <> ''").withColumn("a", F.concat_ws(", ", "street", "line"))
+    rows = once(cards(pages, SHOWMOJO_CARD), street=field(classed("listing-address-header", "div", both))).where("street <> ''")
+    rows = once(rows, line=text.let(field(classed("listing-city-state-zip", "p", both)), some), info=F.coalesce(text.found(F.col("card"), SHOWMOJO_RENT), F.col("card")), bed=icon("bed"), bath=icon("bath"))
+    rows = rows.withColumn("a", F.concat_ws(", ", "street", "line"))
     price = F.coalesce(text.found(F.col("info"), classed("price", "span", both)), text.found(F.col("card"), classed("price", "span", both)), F.col("info"))
     when = F.coalesce(text.found(text.clean_text(F.col("info")), SHOWMOJO_AVAILABLE), text.found(text.clean_text(F.col("card")), SHOWMOJO_AVAILABLE))
-    rows = rows.select("*", places.parse_location(F.coalesce("line", "a")).alias("loc"), dates.parse_available(when, today).alias("av"), text.parse_bedrooms(icon("bed")).alias("beds"))
+    rows = once(rows, loc=places.parse_location(F.coalesce("line", "a")), av=dates.parse_available(when, today), beds=text.parse_bedrooms(F.col("bed")))
     return finish(
         rows, address=F.col("a"), city=F.col("loc.city"), state=F.coalesce("loc.state", F.lit("CA")), postal_code=F.col("loc.zip"), kind=kinds.classify(F.col("a"), F.col("street"), F.col("beds")), bedrooms=F.col("beds"),
-        bathrooms=text.parse_bathrooms(icon("bath")), rent=text.parse_rent(price), available_date=F.col("av.date"), available_now=F.coalesce("av.now", F.lit(False)), title=F.col("street"), url=F.coalesce(text.found(F.col("card"), SHOWMOJO_LINK), F.col("base_url")),
+        bathrooms=text.parse_bathrooms(F.col("bath")), rent=text.parse_rent(price), available_date=F.col("av.date"), available_now=F.coalesce("av.now", F.lit(False)), title=F.col("street"), url=F.coalesce(text.found(F.col("card"), SHOWMOJO_LINK), F.col("base_url")),
     )
 
 
 def eri(pages: DataFrame, today: Column) -> DataFrame:
-    part = lambda name: some(field(rf'(?is)class="{name}"[^>]*>(.*?)</p>'))
-    rows = cards(pages, ERI_CARD).select("*", field(ERI_ADDRESS, 2).alias("street"), text.found(F.col("card"), ERI_ADDRESS, 1).alias("link"), part("rrcity").alias("c"), part("rrunitid").alias("n"), F.transform(F.regexp_extract_all("card", F.lit(r'(?is)class="rr"[^>]*>(.*?)</p>'), 1), text.clean_text).alias("lines"))
-    rows = rows.where("street <> ''").select("*", F.array_join("lines", " ").alias("all"))
+    part = lambda name: text.let(field(rf'(?is)class="{name}"[^>]*>(.*?)</p>'), some)
+    rows = once(cards(pages, ERI_CARD), street=field(ERI_ADDRESS, 2)).where("street <> ''")
+    rows = once(rows, link=text.found(F.col("card"), ERI_ADDRESS, 1), c=part("rrcity"), n=part("rrunitid"), lines=F.transform(F.regexp_extract_all("card", F.lit(r'(?is)class="rr"[^>]*>(.*?)</p>'), 1), text.clean_text))
+    rows = once(rows, all=F.array_join("lines", " "))
     when = F.regexp_replace(F.coalesce(F.try_element_at(F.filter("lines", lambda t: t.rlike("(?i)avail")), F.lit(1)), F.col("all")), r"(?i)^\s*available\s*:?\s*", "")
-    rows = rows.select("*", F.concat_ws(", ", "street", "n", F.col("c"), F.when(F.col("c").isNotNull(), "CA")).alias("a"), dates.parse_available(when, today).alias("av"), text.parse_bedrooms(F.col("all")).alias("beds"))
+    rows = once(rows, a=F.concat_ws(", ", "street", "n", F.col("c"), F.when(F.col("c").isNotNull(), "CA")), av=dates.parse_available(when, today), beds=text.parse_bedrooms(F.col("all")))
     return finish(
         rows, address=F.col("a"), city=F.col("c"), state=F.lit("CA"), kind=kinds.classify(F.col("a"), F.col("all"), F.col("beds")), bedrooms=F.col("beds"), bathrooms=text.parse_bathrooms(F.col("all")), rent=text.parse_rent(F.col("all")),
         available_date=F.col("av.date"), available_now=F.coalesce("av.now", F.lit(False)), url=F.coalesce(site(F.concat(F.lit("/"), F.col("link"))), site(F.lit("/rental.php"))),
@@ -164,11 +172,12 @@ def eri(pages: DataFrame, today: Column) -> DataFrame:
 
 
 def mmg(pages: DataFrame, today: Column) -> DataFrame:
-    rows = cards(pages, MMG_CARD).select("*", field(classed("wpl_prp_listing_location", "h4")).alias("loc"), field(classed("wpl_prp_title", "h3")).alias("t"), field(MMG_VALUE % r"\bbedroom\b").alias("b"), field(MMG_VALUE % r"\bbathroom\b").alias("bath"), field(MMG_VALUE % "living_area").alias("area"))
-    rows = rows.select("*", F.coalesce(some(F.col("loc")), some(F.col("t"))).alias("a"))
+    rows = once(cards(pages, MMG_CARD), loc=field(classed("wpl_prp_listing_location", "h4")), t=field(classed("wpl_prp_title", "h3")))
+    rows = rows.withColumn("a", F.coalesce(some(F.col("loc")), some(F.col("t")))).where("a <> ''")
+    rows = once(rows, b=field(MMG_VALUE % r"\bbedroom\b"), bath=field(MMG_VALUE % r"\bbathroom\b"), area=field(MMG_VALUE % "living_area"))
     city = F.coalesce(places.normal_city(text.strip(F.get(F.split("loc", ","), F.lit(1)))), places.city_of_address(F.col("a")))
     beds = F.coalesce(text.parse_bedrooms(F.col("b")), text.bedrooms_from_title(F.col("t")), F.when(F.col("bath").isNotNull(), 0.0))  # studios have no bedroom element
-    rows = rows.select("*", city.alias("c"), beds.alias("beds"))
+    rows = once(rows, c=city, beds=beds)
     return finish(
         rows, address=F.col("a"), city=F.col("c"), state=F.lit("CA"), postal_code=text.found(F.col("loc"), r"\b(\d{5})(?:-\d{4})?\s*$"), kind=kinds.classify(F.col("a"), F.col("t"), F.col("beds")), bedrooms=F.col("beds"),
         bathrooms=text.parse_bedrooms(F.col("bath")), rent=text.parse_rent(text.found(F.col("card"), MMG_PRICE)), available_now=F.lit(False), square_feet=text.parse_square_feet(F.col("area")), title=F.col("t"),
@@ -178,8 +187,10 @@ def mmg(pages: DataFrame, today: Column) -> DataFrame:
 
 def boston_pm(pages: DataFrame, today: Column) -> DataFrame:
     """A card's city is its title's; else its link's last word, if some title names that city; else that of the first card of its street."""
-    rows = cards(pages, BOSTON_CARD).select("*", field(BOSTON_TITLE, 2).alias("t"), text.found(F.col("card"), BOSTON_TITLE, 1).alias("href"), F.transform(F.regexp_extract_all("card", F.lit(r"(?is)<h5[^>]*>(.*?)</h5>"), 1), text.clean_text).alias("lines")).where("t <> ''")
+    rows = once(cards(pages, BOSTON_CARD), t=field(BOSTON_TITLE, 2)).where("t <> ''")
+    rows = once(rows, href=text.found(F.col("card"), BOSTON_TITLE, 1), lines=F.transform(F.regexp_extract_all("card", F.lit(r"(?is)<h5[^>]*>(.*?)</h5>"), 1), text.clean_text))
     rows = rows.select("*", title_city(F.col("t")).alias("own"), slug_tail(F.col("href")).alias("tail"), street_key(F.col("t")).alias("street"), F.array_join("lines", " ").alias("all"))
+    rows = cut(rows.drop("card"))  # three reads follow: cities, streets and the cards themselves
     known = rows.where("own is not null")
     words = known.select("source", F.lower("own").alias("tail")).distinct().withColumn("is_city", F.lit(True))
     streets = street_cities(rows)
@@ -187,7 +198,7 @@ def boston_pm(pages: DataFrame, today: Column) -> DataFrame:
     rows = rows.withColumn("c", F.coalesce("own", F.when(F.col("is_city"), places.normal_city(F.col("tail"))), "there"))
     when = F.regexp_replace(F.coalesce(F.try_element_at(F.filter("lines", lambda t: t.rlike("(?i)avail")), F.lit(1)), F.lit("")), r"(?i)^\s*availability\s*:?\s*", "")
     line = F.when(F.col("c").isNotNull(), text.strip(F.regexp_replace("t", BOSTON_CITY, ""))).otherwise(F.col("t"))
-    rows = rows.select("*", line.alias("line"), dates.parse_available(when, today).alias("av"), text.parse_bedrooms(F.col("all")).alias("beds")).withColumn("a", F.concat_ws(", ", "line", "c", F.when(F.col("c").isNotNull(), "MA")))
+    rows = once(rows, line=line, av=dates.parse_available(when, today), beds=text.parse_bedrooms(F.col("all"))).withColumn("a", F.concat_ws(", ", "line", "c", F.when(F.col("c").isNotNull(), "MA")))
     return finish(
         rows, address=F.col("a"), city=F.col("c"), state=F.lit("MA"), kind=kinds.classify(F.col("a"), F.col("all"), F.col("beds")), bedrooms=F.col("beds"), bathrooms=text.parse_bathrooms(F.col("all")), rent=text.parse_rent(F.col("all")),
         available_date=F.col("av.date"), available_now=F.coalesce("av.now", F.lit(False)), title=F.col("line"), url=absolute(F.col("href"), "/residents/listings/"),

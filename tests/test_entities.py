@@ -24,5 +24,9 @@ def test_detail_text_decodes_the_names_that_its_sql_does(spark, duck, tmp_path):
 
 
 def test_names_without_semicolon_count_by_default(spark):
-    row = spark.createDataFrame([("x &amp</b> &ampy",)], "t string").select(text.clean_text(F.col("t")).alias("own"), text.clean_text(F.col("t"), bare=False).alias("strict")).first()
+    row = spark.createDataFrame([("x &amp</b> &ampy",)], "t string").select(text.clean_text(F.col("t")).alias("own"), text.cleaned(F.col("t"), bare=False).alias("strict")).first()
     assert (row["own"], row["strict"]) == ("x & &y", "x &amp &ampy")
+
+
+def test_clean_text_goes_through_lists(spark):
+    assert spark.createDataFrame([(["<b>a</b>", "&amp b"],)], "t array<string>").select(F.transform("t", text.clean_text).alias("c")).first()["c"] == ["a", "& b"]

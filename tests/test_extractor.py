@@ -6,8 +6,9 @@ from pathlib import Path
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from hearthline.sources import extractor, raw
+from hearthline.sources import extractor, portals, raw
 from hearthline.sources.published import PublishedByKey
 
 
@@ -75,3 +76,11 @@ def test_pages_without_answer_are_asked_again(spark, tmp_path):
     assert {(r["url"], r["pets"]) for r in every(pages).collect()} == {("a", "none"), (None, "allowed"), ("b", "allowed")}
     assert every(pages.limit(0)).count() == 0
     assert raw.CACHE.startswith("url")
+
+
+def test_fields_of_a_card_are_found_once(spark):
+    """Later columns and filters read a field; none writes its pattern out again."""
+    pages = spark.createDataFrame([("s", "M", "https://x.org", "<p>")], "source string, manager string, base_url string, html string")
+    for platform, name in (("buildium", "featured-listing__title"), ("mmg", "wpl_prp_listing_location"), ("appfolio", "js-listing-address"), ("showmojo", "listing-address-header")):
+        plan = portals.extract(pages, platform, F.lit("2027-03-09").cast("date"))._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 < plan.count(name) <= 2, platform
