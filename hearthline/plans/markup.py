@@ -81,13 +81,14 @@ query("src10_tripalink", f"SELECT '1 Way #' || k AS address, CASE WHEN k % 2 = 0
         F.lit(TODAY)).select("address", "kind", "room_type", "pets", "rent")
 )
 def portal_pages(orders: DataFrame) -> DataFrame:
-    """url, body of two portals: listing page, list, and a page for each order; some of these failed, some are missing, some are empty."""
+    """url, body of two portals: listing page, list in pages as long as they are however many orders there are, and a page for each order; some of these failed,
+    some are missing, some are empty."""
     spark, k = orders.sparkSession, K().cast("string")
     half = F.when(K() % 2 == 0, "https://even.org").otherwise("https://odd.org")
     build = F.when(K() % 2 == 0, "b0").otherwise("b1")
-    lists = orders.groupBy(half.alias("base"), build.alias("build")).agg(F.collect_list(F.struct(k.alias("id"))).alias("ids"))
-    listing = lists.select(F.concat("base", F.lit(portals.LISTING_PAGE)).alias("url"), says('<script id="__NEXT_DATA__" type="application/json">{"buildId":"', C("build"), '"}</script>').alias("body"))
-    named = lists.withColumn("base_url", C("base")).select(portals.filled(portals.LIST_JSON, C("build")).alias("url"), says('{"pageProps":{"data":{"ESProperties":{"data":', F.to_json("ids"), "}}}}").alias("body"))
+    lists = orders.groupBy(half.alias("base"), build.alias("build"), F.floor(K() / 1024).alias("page")).agg(F.collect_list(F.struct(k.alias("id"))).alias("ids"))
+    listing = orders.select(half.alias("base"), build.alias("build")).distinct().select(F.concat("base", F.lit(portals.LISTING_PAGE)).alias("url"), says('<script id="__NEXT_DATA__" type="application/json">{"buildId":"', C("build"), '"}</script>').alias("body"))
+    named = lists.withColumn("base_url", C("base")).select(says(portals.filled(portals.LIST_JSON, C("build")), portals.LIST_PAGE, C("page").cast("string")).alias("url"), says('{"pageProps":{"data":{"ESProperties":{"data":', F.to_json("ids"), "}}}}").alias("body"))
     detail = says('{"pageProps":{"data":{"address":"', k, ' Way","id":"', k, '","availableUnits":[{"name":"1","minPrice":', (1000 + K() % 500).cast("string"), '},{"name":"2","maxPrice":"$900"}]}}}')
     body = F.when(K() % 5 == 1, F.lit(None)).when(K() % 5 == 2, '{"pageProps":{}}').otherwise(detail)
     details = orders.where(K() % 5 > 0).withColumn("base_url", half).select(portals.filled(portals.DETAIL_JSON, build, k, k).alias("url"), body.alias("body"))

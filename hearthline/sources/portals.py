@@ -258,6 +258,7 @@ def tripalink(pages: DataFrame, today: Column) -> DataFrame:
 # Addresses of the portal's embedded JSON, and where the list and a property's details stand in it.
 LISTING_PAGE = "/berkeley/homes-for-rent"
 LIST_JSON = "/_next/data/{}/berkeley/homes-for-rent.json?urlPath=berkeley&urlPath=homes-for-rent"
+LIST_PAGE = "&page="
 DETAIL_JSON = "/_next/data/{}/apartments/bay-area/berkeley/{}.json?cityRoute=bay-area&areaRoute=berkeley&id={}"
 LIST_DATA = "$.pageProps.data.ESProperties.data"
 DETAIL_DATA = "$.pageProps.data"
@@ -272,13 +273,16 @@ def filled(address: str, *parts: Column) -> Column:
 def tripalink_lists(sources: DataFrame, pages: DataFrame) -> DataFrame:
     """The first hop: source, manager, base_url, build and id of each property in the list whose address the listing page's build id names.
 
-    sources: source, manager, base_url, a row a portal, so both joins here broadcast it. pages: url, body; null bodies are failed fetches.
+    sources: source, manager, base_url, a row a portal, so both joins here broadcast it. pages: url, body; null bodies are failed fetches. A long list
+    may come in pages, each fetched by the list's address with LIST_PAGE and its number after it; place is a property's place in its own page.
     """
     of = ["source", "manager", "base_url"]
-    fetched = pages.where("body is not null").groupBy("url").agg(F.max("body").alias("body"))
+    some_page = pages.where(F.col("body").isNotNull() & ~F.contains("url", F.lit("/apartments/")))  # properties' pages are most, and no part of this hop
+    fetched = some_page.groupBy("url").agg(F.max("body").alias("body"))
     asked = sources.select(*of, F.concat("base_url", F.lit(LISTING_PAGE)).alias("url"))
     builds = fetched.join(F.broadcast(asked), "url").select(*of, build_id(F.col("body")).alias("build")).where("build is not null")
-    lists = fetched.join(F.broadcast(builds.select(*of, "build", filled(LIST_JSON, F.col("build")).alias("url"))), "url")
+    named = F.broadcast(builds.select(*of, "build", filled(LIST_JSON, F.col("build")).alias("whole")))
+    lists = fetched.withColumn("whole", F.regexp_replace("url", LIST_PAGE + r"\d+$", "")).join(named, "whole")
     ids = F.from_json(F.get_json_object("body", LIST_DATA), "array<struct<id:string>>")
     return lists.select(*of, "build", F.posexplode(ids).alias("place", "p")).select(*of, "build", "place", some(F.col("p.id")).alias("id")).where("id is not null")
 
