@@ -85,3 +85,13 @@ def test_paged_source(spark, tmp_path):
     assert read(p2=full)[:2] == ([], 1)
     assert read(p1="[]")[:2] == ([], 0)
     assert read(**{f"p{k}": full for k in range(1, 12)})[:2] == (list(range(1, 10)), 0)
+
+
+def test_stored_order_lists_no_other_block(spark, tmp_path):
+    """Folders that aren't a page's don't count, even one that Spark couldn't take for a block."""
+    units = spark.range(300).select(F.col("id").alias("pos"), F.col("id").cast("double").alias("rent"))
+    dashboard.store_order(units, "rent-asc", ["pos"], str(tmp_path / "o"), block=100)
+    (tmp_path / "o" / "other=1" / "block=x").mkdir(parents=True)
+    (tmp_path / "o" / "other=1" / "block=x" / "a.parquet").write_bytes(b"no parquet")
+    page = lambda n: [r["pos"] for r in dashboard.stored_page(spark, str(tmp_path / "o"), page=n, block=100).collect()]
+    assert page(3) == list(range(150, 200))
